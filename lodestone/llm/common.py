@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +55,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 def text_slices(batch: pa.RecordBatch, column: str = TEXT, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch where its texts pass `most` bytes; a single longer text is a slice by itself."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for k, n in enumerate(sizes):
         if held and held + n > most:
