@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, quality, token_store, toxicity
+from . import bpe, decontam, minhash, quality, suffix, token_store, toxicity
 from .common import crc_mod5, read, work_dir
 
 
@@ -31,6 +31,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix.remove_repeats(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -65,6 +70,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array": op2_suffix_array,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
