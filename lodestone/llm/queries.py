@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, quality, suffix, token_store, toxicity
+from . import bpe, decontam, minhash, quality, spans, suffix, token_store, toxicity
 from .common import crc_mod5, read, work_dir
 
 
@@ -21,6 +21,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary(), carry=["doc_id"])
     return made.select(
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_store": op6_token_store,
     "op7_minhash": op7_minhash,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_bpe": op9_bpe,
 }
 
