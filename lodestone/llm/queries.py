@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, quality, spans, suffix, token_store, toxicity
+from . import bpe, decontam, hmm, minhash, quality, spans, suffix, token_store, toxicity
 from .common import crc_mod5, read, work_dir
 
 
@@ -73,6 +73,13 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod5("doc_id") == 1
+    model = hmm.train(docs.where(~held_out))
+    return hmm.score(docs, model, ~held_out).withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array": op2_suffix_array,
     "op3_quality": op3_quality,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_bpe": op9_bpe,
+    "op10_hmm": op10_hmm,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
