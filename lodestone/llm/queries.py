@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hmm, minhash, quality, spans, suffix, token_store, toxicity
+from . import bpe, decontam, hmm, hnsw, minhash, quality, spans, suffix, token_store, toxicity
 from .common import crc_mod5, read, work_dir
 
 
@@ -35,6 +35,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = suffix.remove_repeats(read(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,6 +85,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw": op1_hnsw,
     "op2_suffix_array": op2_suffix_array,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
@@ -98,6 +103,17 @@ _WORDS4 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SEQ7 = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_hnsw": """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node WHERE r.seen < l.b)
+SELECT d.vec_id, CAST(coalesce(n.c, 0) AS BIGINT) AS n_links, m.c AS component_id, m.c = d.vec_id AS kept
+FROM embeddings d JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) m ON m.node = d.vec_id
+LEFT JOIN (SELECT a, count(*) AS c FROM l GROUP BY a) n ON n.a = d.vec_id
+""",
     "op7_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_SEQ7} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
