@@ -48,9 +48,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's size, from file sizes alone (no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text_col: str) -> int:
+    """About a DataFrame's size on disk: Catalyst's estimate from file sizes (no job), or half its texts' bytes where it has none."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < 1 << 50:
+        return guess
+    return (df.agg(F.sum(F.octet_length(F.col(quoted(text_col)).cast("string")))).first()[0] or 0) // 2
 
 
 def text_slices(batch: pa.RecordBatch, column: str = TEXT, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
     tokens of D kinds gives a token (c + 0.5) / (T + 0.5 (D + 1)). Null and empty
     texts are an end alone. All rows stay. Tokens are told apart by 64-bit hashes.
     """
-    size = plan_bytes(docs)
+    size = plan_bytes(docs, text_col)
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), min(CLASSES, max(1, math.ceil(size / BUCKET_BYTES)))
     spark = docs.sparkSession
     number = F.col(quoted(id_col))

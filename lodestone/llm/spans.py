@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     outputs = ["doc_id", "n_sentences", "n_removed", "removed_words", "kept_text"]
     carry = [c for c in (carry or []) if c not in outputs]
-    size = plan_bytes(docs)
+    size = plan_bytes(docs, text_col)
     blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     number = F.col(quoted(id_col)).cast("long")
     base = docs.select(

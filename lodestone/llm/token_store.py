@@ -193,7 +193,7 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
         if runs is None:
             drop_path(spark, folder)
     if runs is None:
-        parts = max(1, math.ceil(plan_bytes(source) / RANGE_BYTES))
+        parts = max(1, math.ceil(plan_bytes(source, TEXT) / RANGE_BYTES))
         cuts = source.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
         cuts = np.unique(np.array(cuts, np.int64))
 
