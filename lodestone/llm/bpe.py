@@ -29,7 +29,19 @@ from .common import map_texts
 CACHE_ENTRIES = 250_000
 #: Symbols of a word up to which words share an array of trees.
 SHARED_TREE = 64
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Letters and numbers of the regex module's Unicode that the tokenizers library's does not know yet.
+NEWER = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb
+11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191
+191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
+1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+# Capitals that the library lower-cases and Python does not yet: first, last, distance.
+CAPITALS = [(7305, 7305, 1), (42955, 42955, -42343), (42956, 42956, 1), (42958, 42958, 1), (42962, 42962, 1), (42964, 42964, 1), (42970, 42970, 1), (42972, 42972, -42561), (68944, 68965, 32), (93856, 93880, 27)]
+_NEWER = "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in NEWER.split()) + "]"
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--{_NEWER}]+|[\p{{N}}--{_NEWER}]|[[^\s\p{{L}}\p{{N}}]||{_NEWER}]+", regex.V1)
+_CAPITALS = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
 #: The same on lower-case ASCII, and on texts of signs that Python's re and the pattern take alike.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 _USUAL_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -69,6 +81,37 @@ class Kept:
         return self.young
 
 
+class Splitter:
+    """Normalises and pre-tokenises as a vocabulary file of this kind says, without calling the library."""
+
+    def __init__(self, spec: dict):
+        split = next((p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        #: whether the file is of this kind
+        self.fits = split.get("pattern", {}).get("Regex") == PATTERN and kinds == ["NFC", "Replace", "Lowercase"]
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        if text.isascii():
+            return _ASCII_WORDS.findall(text.lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # character by character: a capital sigma at a word's end is no exception here
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return _USUAL_WORDS.findall(text) if _USUAL.fullmatch(text) else _WORDS.findall(text.translate(_CAPITALS))
+
+    def words_of(self, text: str) -> list[str]:
+        """The pre-tokenised words of a text; special tokens stand for themselves."""
+        if self.special is None or "<|" not in text or not self.special.search(text):
+            return self._words(text)
+        found: list[str] = []
+        for p in self.special.split(text):
+            found += [p] if p in self.added else self._words(p)
+        return found
+
+
 class WordBpe:
     """Encodes and decodes as the tokenizers library does with the same file."""
 
@@ -88,8 +131,10 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.splitter = Splitter(spec)
+        if not self.splitter.fits:
+            raise ValueError(f"{path} has another normaliser or pre-tokeniser")
+        added = self.splitter.added
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.tokens = [""] * (1 + max([*vocab.values(), *added.values()]))
         for token, i in [*vocab.items(), *added.items()]:
@@ -224,27 +269,8 @@ class WordBpe:
 
     # -- texts ------------------------------------------------------------
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if text.isascii():
-            return _ASCII_WORDS.findall(text.lower())
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # character by character: a capital sigma at a word's end is no exception here
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return (_USUAL_WORDS if _USUAL.fullmatch(text) else _WORDS).findall(text)
-
-    def words_of(self, text: str) -> list[str]:
-        """The pre-tokenised words of a text; special tokens stand for themselves."""
-        if self.special is None or "<|" not in text or not self.special.search(text):
-            return self._words(text)
-        found: list[str] = []
-        for p in self.special.split(text):
-            found += [p] if p in self.special_ids else self._words(p)
-        return found
-
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        split = [self.words_of(x) for x in texts]
+        split = [self.splitter.words_of(x) for x in texts]
         known = self.known.having(set(chain.from_iterable(split)))
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
