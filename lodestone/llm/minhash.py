@@ -25,6 +25,8 @@ SHINGLE, PERCENT = 5, 80
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**4)**32 < 5e-8.
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: Sets in a block of those compared with one another.
+COMPARED = 256
 #: Sets in a band's bucket up to which each pair is a candidate at once.
 SMALL = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,6 +126,62 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _rest(large: DataFrame, joined: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Links `a`, `b` that join the components of classes in large buckets.
+
+    Classes that large buckets connect, linked or not, are a group. In each group the
+    classes outside of its main component are compared with all of its classes: both
+    are dealt into blocks, and a task compares one block with another by an inverted
+    index. So pairs are looked at in a task and never made as rows, and no task holds
+    more than two blocks.
+    """
+    groups = components(large.select(F.col("least.rep").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    members = groups.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m"))
+    main = main.where(F.col("m.n") < F.col("all")).select("family", "all", (F.col("all") - F.col("m.n")).alias("apart"), (-F.col("m.c")).alias("main"))
+    split = checkpointed(members.join(main, "family"))
+
+    def make():
+        shingles = Shingler(shingle)
+        return lambda texts: [[shingles(x).tobytes() for x in texts]]
+
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("rep"), F.col(quoted(text_col)).alias("text")).join(split.select("rep"), "rep", "left_semi")
+    sets = map_texts(texts, make, "elements binary", "text", ["rep"]).groupBy("rep").agg(F.min("elements").alias("elements"))
+    held = checkpointed(split.join(sets, "rep"))
+    left_blocks, right_blocks = (F.ceil(F.col(c) / COMPARED).cast("int") for c in ("apart", "all"))
+    mine = lambda blocks: F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    to = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    kept = ["family", "rep", "component", "elements"]
+    left = held.where(F.col("component") != F.col("main")).select(*kept, mine(left_blocks).alias("i"), to(right_blocks).alias("j"))
+    right = held.select(*kept, mine(right_blocks).alias("j"), to(left_blocks).alias("i"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            x = [np.frombuffer(e, np.uint64) for e in left.column("elements").to_pylist()]
+            owner = np.repeat(np.arange(len(x)), [len(e) for e in x])
+            flat = np.concatenate(x)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            n = np.array([len(e) for e in x])
+            ids, parts = left.column("rep").to_pylist(), left.column("component").to_numpy()
+            for rep, part, e in zip(right.column("rep").to_pylist(), right.column("component").to_pylist(), right.column("elements").to_pylist(), strict=True):
+                y = np.frombuffer(e, np.uint64)
+                lo, hi = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
+                count = hi - lo
+                total = int(count.sum())
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
+                shared = np.bincount(owner[at], minlength=len(x))
+                for k in np.flatnonzero((100 * shared >= percent * (n + len(y) - shared)) & (parts != part)).tolist():
+                    a.append(min(ids[k], rep))
+                    b.append(max(ids[k], rep))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["family", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` (the least id of its component) for each row.
 
@@ -134,8 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one class, represented by its least id, so a group of copies costs
     one row from there on. In a bucket of up to SMALL classes each pair is a candidate;
-    in a larger one each class is compared with the least one first, and only classes
-    that are in different components after that are compared pair by pair.
+    in a larger one each class is compared with the least one first; classes that are
+    then outside of the main component of their family are compared with all of it.
     """
     features = checkpointed(_features(docs, id_col, text_col, shingle).where(F.col("doc_id").isNotNull()))
     classes = features.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands")).getField("bands").alias("bands"), F.first("n_shingles").alias("n"))
@@ -156,13 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links)
 
     if not large.isEmpty():
-        named = large.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        # buckets of one component are done
-        spread = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("bucket")
-        named = checkpointed(named.join(spread, "bucket", "left_semi"))
-        other = named.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        rest = named.join(other, "bucket").where((F.col("component") != F.col("component2")) & (F.col("rep") < F.col("rep2")) & fits(F.col("n"), F.col("n2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-        more = checkpointed(_confirmed(rest, docs, id_col, text_col, shingle, percent))
+        more = checkpointed(_rest(large, joined, docs, id_col, text_col, shingle, percent))
         if not more.isEmpty():
             joined = components(links.unionByName(more))
     roots = joined.select(F.col("node").alias("rep"), "component")
