@@ -29,7 +29,7 @@ RUN, LEAST_WORDS, PIECE = 3, 25, 20
 #: Input file bytes of a block of documents, and of a bucket of hashes.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 _END = re.compile(r"[.!?]\s+|\n\s*")
-_PIECE = re.compile(rf"(?:\S+\s*){{{PIECE}}}")
+_PIECE = re.compile(rf"(?:\S++\s*+){{{PIECE}}}")
 
 
 def sentences(text: str) -> list[str]:
