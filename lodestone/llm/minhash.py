@@ -26,7 +26,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Sets in a block of those compared with one another.
-COMPARED = 256
+COMPARED = 1024
 #: Sets in a band's bucket up to which each pair is a candidate at once.
 SMALL = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
