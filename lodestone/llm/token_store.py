@@ -12,6 +12,7 @@ import math
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .bpe import Kept
-from .common import TEXT, chunks_of, drop_path, plan_bytes, quoted, text_slices
+from .bpe import Kept, Splitter, byte_symbols
+from .common import TEXT, drop_path, plan_bytes, quoted, text_slices
 
 #: Token ids in a file: it is closed at the first document end beyond.
 FILE_IDS = 8 << 20
+#: Words that a worker keeps, in each of two generations.
+CACHED_WORDS = 400_000
 #: Input bytes for each range of document ids, where they have to be dealt anew.
 RANGE_BYTES = 24 << 20
 _MAGIC = b"LSTOK\x00\x00\x01"
@@ -34,7 +37,7 @@ _RUN = "path string, first long, last long, nulls long, docs long, ids long"
 
 
 class LibraryEncoder:
-    """Encodes by the tokenizers library; each distinct run of characters other than white space once, while it is cached."""
+    """Encodes by the tokenizers library, each distinct word of the pre-tokeniser once, while it is cached."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,34 +45,29 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = [t for t in spec["added_tokens"] if not t["normalized"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])]
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.mark, self.mark_id = (added[-1]["content"], added[-1]["id"]) if added else (None, None)
+        self.splitter = Splitter(spec)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.known = Kept(self.encode_chunks)
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.known = Kept(self.encode_words, CACHED_WORDS)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        out = [b""] * len(chunks)
-        alone = [k for k, c in enumerate(chunks) if self.mark is None or any(t in c for t in self.special)]
-        for k in alone:
-            out[k] = self._whole(chunks[k]).tobytes()
-        rest = [k for k in range(len(chunks)) if k not in set(alone)] if alone else list(range(len(chunks)))
-        for a in range(0, len(rest), 4096):
-            part = rest[a : a + 4096]
-            ids = self._whole(self.mark.join(chunks[k] for k in part))
-            cut = np.flatnonzero(ids == self.mark_id)
-            raw, w = ids.tobytes(), self.width
-            for k, s, e in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                out[k] = raw[s * w : e * w]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """By the library's model, which is what is left of its pipeline for a normalised, pre-tokenised word."""
+        tokenize, symbols, added = self.library.model.tokenize, self.symbols, self.splitter.added
+        out = []
+        for w in words:
+            ids = [added[w]] if w in added else [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]
+            out.append(np.array(ids, self.kind).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks_of(x) for x in texts]
-        known = self.known.having({c for s in split for c in s})
+        if not self.splitter.fits:
+            return [self._whole(x).tobytes() for x in texts]
+        split = [self.splitter.words_of(x) for x in texts]
+        known = self.known.having(set(chain.from_iterable(split)))
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
