@@ -1,10 +1,14 @@
 """Substring deduplication by sliding spans of sentences.
 
-A sentence ends behind . ! or ? before white space, and at a line's end; one of more
-than PIECE words is cut into pieces of as many, which count as sentences. A span is
-the shortest run of at least RUN sentences and LEAST_WORDS words that starts, or that
-ends, at a sentence. Spans are hashed and joined over all documents; of equal spans
-the first (by document id, then place) stays, and the sentences of the others go.
+A sentence ends behind . ! or ? before white space, behind their ideographic forms,
+and at a line's end. It is cut into pieces behind each word whose hash, with the word
+before it, is least in some window of REACH such places inside the sentence: whether a
+place is a cut depends on the words within REACH of it alone, so that the pieces of a
+passage realign wherever it starts. Hashed are every run of RUN sentences, and the
+shortest run of pieces of at least LEAST_WORDS words that starts, or that ends, at each
+piece; any common passage of 50 words has such a run. Spans are joined over all
+documents; of equal spans the first (by document id, then place) stays, and the pieces
+of the others go.
 
 A block of documents sends each of its hashes once, with the document that has it
 first, and is answered which of them another block has earlier: a passage that is in
@@ -14,7 +18,7 @@ a third of all documents costs a row entry a block.
 from __future__ import annotations
 
 import math
-import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -24,54 +28,143 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import plan_bytes, quoted
+from .minhash import mix
 
+#: Sentences and words of a span; words of a piece, at most.
 RUN, LEAST_WORDS, PIECE = 3, 25, 20
+#: Places of a window; a power of two. No piece has more than REACH + 1 words.
+REACH = 8
 #: Input file bytes of a block of documents, and of a bucket of hashes.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
-_END = re.compile(r"[.!?]\s+|\n\s*")
-_PIECE = re.compile(rf"(?:\S++\s*+){{{PIECE}}}")
+SPACE, ALONE, ENDING = 1, 2, 3
+#: Scripts written without spaces, each character of which is a word: South-East Asian, Japanese and Chinese.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)]
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for a, b in _UNSPACED:
+        kinds[a : b + 1] = ALONE
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = SPACE
+    kinds[[ord(c) for c in "\u3002\uff01\uff1f\uff61"]] = ENDING
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+class _Hashes(dict):
+    """Hashes of words, as met."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        made = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return made
+
+
+_HASHES = _Hashes()
+_POWERS = np.ones((2, 1), np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of _BASE, and of its inverse, modulo 2**64."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        size = 1 << n.bit_length()
+        steps = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64).repeat(size, 1)
+        steps[:, 0] = 1
+        _POWERS = np.cumprod(steps, axis=1)
+    return _POWERS
+
+
+def _least_in_reach(own: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Which places are least in a window of REACH places; `inside`: whether the one that ends at a place counts."""
+    n = len(own)
+    if n < REACH:
+        return np.zeros(n, bool)
+    least, step = own, 1
+    while step < REACH:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    # 0: less than any place
+    most = np.zeros(n + REACH - 1, np.uint64)
+    most[REACH - 1 : n] = np.where(inside[REACH - 1 :], least, 0)
+    step = 1
+    while step < REACH:
+        most = np.maximum(most[:-step], most[step:])
+        step *= 2
+    return most == own
+
+
+class Pieces:
+    """A text's pieces: `offset` of each first character, `words` before each and in all, `opens`: whether a sentence starts; and its spans."""
+
+    def __init__(self, text: str, compared: bool = True):
+        none = np.zeros(0, np.int64)
+        self.hash, self.first, self.last = none.view(np.uint64), none, none
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KINDS[code]
+        space, alone = kind == SPACE, kind >= ALONE
+        start = ~space
+        start[1:] &= space[:-1]
+        plain = not alone.any()
+        if not plain:
+            start |= alone
+            start[1:] |= ~space[1:] & alone[:-1]
+        starts = np.flatnonzero(start)
+        n = len(starts)
+        if not n:
+            some = min(1, len(text))
+            self.offset, self.words, self.opens = np.zeros(some, np.int64), np.zeros(some + 1, np.int64), np.ones(some, bool)
+            return
+        ends = np.flatnonzero(~space & np.append(start[1:] | space[1:], True))
+        ending = code[ends]
+        done = ((ending == 46) | (ending == 33) | (ending == 63)) & np.append(space, False)[ends + 1] | (kind[ends] == ENDING)
+        before = np.searchsorted(starts, np.flatnonzero(code == 10))
+        done[before[before > 0] - 1] = True
+        done[-1] = True
+        own = text.split() if plain else [text[a:b] for a, b in zip(starts.tolist(), (ends + 1).tolist(), strict=True)]
+        word = np.fromiter(map(_HASHES.__getitem__, own), np.uint64, n)
+        opens = np.append(True, done[:-1])
+        at = np.arange(n)
+        since = at - np.maximum.accumulate(np.where(opens, at, 0))
+        place = mix(word + np.append(np.uint64(0), word[:-1]) * np.uint64(_BASE)) | np.uint64(1)
+        cut = done | _least_in_reach(place, since >= REACH)
+        first = np.flatnonzero(np.append(True, cut[:-1]))
+        self.offset, self.words, self.opens = starts[first], np.append(first, n), opens[first]
+        self.offset[0] = 0
+        if compared:
+            self._span(word)
+
+    def _span(self, word: np.ndarray) -> None:
+        total, n = self.words, len(self.offset)
+        i = np.arange(n)
+        last = np.searchsorted(total, total[:-1] + LEAST_WORDS) - 1
+        first = np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1
+        sentence = np.append(np.flatnonzero(self.opens), n)
+        key = np.unique(np.concatenate([(i * n + last)[last < n], (first * n + i)[first >= 0], sentence[: max(0, len(sentence) - RUN)] * n + sentence[RUN:] - 1]))
+        self.first, self.last = np.divmod(key, n)
+        power, inverse = _powers(len(word))
+        sums = np.append(np.uint64(0), np.cumsum(word * power[: len(word)]))
+        a = total[self.first]
+        self.hash = mix((sums[total[self.last + 1]] - sums[a]) * inverse[a])
+
+    def of(self, text: str) -> list[str]:
+        at = [*self.offset.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences with the white space behind them; joined they are the text."""
-    out, start = [], 0
-    for m in _END.finditer(text):
-        out.append(text[start : m.end()])
-        start = m.end()
-    if start < len(text):
-        out.append(text[start:])
-    cut = []
-    for s in out:
-        # a piece has PIECE words, so a sentence of few characters has no two
-        if len(s) > 2 * PIECE and len(s.split()) > PIECE:
-            at = 0
-            for m in _PIECE.finditer(s):
-                cut.append(m[0])
-                at = m.end()
-            if at < len(s):
-                cut.append(s[at:])
-        else:
-            cut.append(s)
-    return cut
+    """The pieces of sentences with the white space behind them; joined they are the text."""
+    return Pieces(text, False).of(text)
 
 
 def spans_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first and last sentences of a text's spans."""
-    n = len(parts)
-    none = np.zeros(0, np.int64)
-    if n < RUN:
-        return none.view(np.uint64), none, none
-    words = [p.split() for p in parts]
-    total = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    if total[-1] < LEAST_WORDS:
-        return none.view(np.uint64), none, none
-    own = np.array([xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "replace")) for w in words], np.uint64).tobytes()
-    i = np.arange(n)
-    last = np.maximum(i + RUN - 1, np.searchsorted(total, total[:-1] + LEAST_WORDS) - 1)
-    first = np.minimum(i - RUN + 1, np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1)
-    pairs = np.unique(np.concatenate([np.stack([i, last], 1)[last < n], np.stack([first, i], 1)[first >= 0]]), axis=0)
-    hashes = [xxhash.xxh3_64_intdigest(own[8 * a : 8 * b + 8]) for a, b in pairs.tolist()]
-    return np.array(hashes, np.uint64), pairs[:, 0], pairs[:, 1]
+    """Hashes, first and last pieces of the spans of a text cut by sentences()."""
+    found = Pieces("".join(parts))
+    return found.hash, found.first, found.last
 
 
 class Block:
@@ -80,33 +173,39 @@ class Block:
     def __init__(self, ids: list, texts: list[str]):
         self.order = sorted((k for k in range(len(ids))), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k]))
         self.ids = [ids[k] for k in self.order]
-        self.parts = [sentences(texts[k]) for k in self.order]
-        found = [spans_of(p) if d is not None else spans_of([]) for d, p in zip(self.ids, self.parts, strict=True)]
-        self.hash = np.concatenate([np.zeros(0, np.uint64), *(h for h, _, _ in found)])
-        self.doc = np.repeat(np.arange(len(found)), [len(h) for h, _, _ in found])
-        self.first = np.concatenate([np.zeros(0, np.int64), *(a for _, a, _ in found)])
-        self.last = np.concatenate([np.zeros(0, np.int64), *(b for _, _, b in found)])
+        self.texts = [texts[k] for k in self.order]
+        self.pieces = [Pieces(t, d is not None) for d, t in zip(self.ids, self.texts, strict=True)]
+        self.hash = np.concatenate([np.zeros(0, np.uint64), *(p.hash for p in self.pieces)])
+        self.doc = np.repeat(np.arange(len(self.pieces)), [len(p.hash) for p in self.pieces])
+        self.first = np.concatenate([np.zeros(0, np.int64), *(p.first for p in self.pieces)])
+        self.last = np.concatenate([np.zeros(0, np.int64), *(p.last for p in self.pieces)])
+
+    @property
+    def parts(self) -> list[list[str]]:
+        return [p.of(t) for p, t in zip(self.pieces, self.texts, strict=True)]
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """Each hash and where it is first."""
         return np.unique(self.hash, return_index=True)
 
     def removed(self, earlier: np.ndarray) -> list[np.ndarray]:
-        """For each document, which sentences go; `earlier`: hashes that another block has first, ascending."""
+        """For each document, which pieces go; `earlier`: hashes that another block has first, ascending."""
         own, at = self.firsts()
         gone = np.ones(len(self.hash), bool)
         gone[at] = np.isin(own, earlier, assume_unique=True)
-        out = [np.zeros(len(p), bool) for p in self.parts]
-        for k in np.flatnonzero(gone).tolist():
-            out[self.doc[k]][self.first[k] : self.last[k] + 1] = True
-        return out
+        cut = np.cumsum([0, *(len(p.offset) for p in self.pieces)])
+        base = cut[self.doc[gone]]
+        edge = np.bincount(base + self.first[gone], minlength=cut[-1] + 1) - np.bincount(base + self.last[gone] + 1, minlength=cut[-1] + 1)
+        return np.split((np.cumsum(edge) > 0)[:-1], cut[1:-1])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`doc_id`, the columns `carry`, `n_sentences`, `n_removed`, `removed_words` and `kept_text` for each row.
 
-    Null and empty texts have no sentences and keep the empty text; texts of fewer
-    than RUN sentences or LEAST_WORDS words have no spans. A row of a null id is
+    `n_removed` counts the sentences of which a piece or all goes. Null and empty texts
+    have no sentences and keep the empty text; texts of fewer than RUN sentences and
+    fewer than LEAST_WORDS words have no spans. Words are parted by white space; a
+    character of a script without spaces is a word. A row of a null id is
     neither compared nor changed. Rows of one id are ordered by their texts. An empty
     table gives an empty result. Columns of `carry` that have the name of an output
     are replaced. A worker holds a block or a bucket.
@@ -150,9 +249,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         earlier = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("earlier").to_pylist())]))
         gone = block.removed(earlier)
         own = left.take(pa.array(block.order, pa.int64()))
-        words = [sum(len(p.split()) for p, g in zip(parts, bad.tolist(), strict=True) if g) if bad.any() else 0 for parts, bad in zip(block.parts, gone, strict=True)]
-        kept = ["".join(p for p, g in zip(parts, bad.tolist(), strict=True) if not g) for parts, bad in zip(block.parts, gone, strict=True)]
-        columns = [own.column("doc_id"), *(own.column(f"__{k}") for k in range(len(carry))), pa.array([len(p) for p in block.parts], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(words, pa.int64()), pa.array(kept, pa.string())]
+        words = [int(np.diff(p.words)[bad].sum()) for p, bad in zip(block.pieces, gone, strict=True)]
+        kept = ["".join(x for x, g in zip(p.of(t), bad.tolist(), strict=True) if not g) if bad.any() else t for t, p, bad in zip(block.texts, block.pieces, gone, strict=True)]
+        whole = [int(p.opens.sum()) for p in block.pieces]
+        cut = [len(np.unique(np.cumsum(p.opens)[bad])) if bad.any() else 0 for p, bad in zip(block.pieces, gone, strict=True)]
+        columns = [own.column("doc_id"), *(own.column(f"__{k}") for k in range(len(carry))), pa.array(whole, pa.int64()), pa.array(cut, pa.int64()), pa.array(words, pa.int64()), pa.array(kept, pa.string())]
         return pa.table(columns, names=schema.names)
 
     by_block = base.groupBy("block")

@@ -178,6 +178,30 @@ def test_long_passages_are_covered_whole():
         assert kept == "unlike that.\nand so on it goes."
 
 
+def kept_of_second(one, two):
+    b = spans.Block([1, 2], [one, two])
+    return "".join(p for p, g in zip(b.parts[1], b.removed(np.zeros(0, np.uint64))[1], strict=True) if not g)
+
+
+def test_passages_inside_of_sentences_are_found():
+    rng = random.Random(3)
+
+    def words(n, kind, stops=0.0):
+        return " ".join(kind + str(rng.randint(0, 999)) + ("." if rng.random() < stops else "") for _ in range(n))
+
+    for k in range(300):
+        passage = words(50, "p", 0.1 * (k % 3))
+        kept = kept_of_second(f"{words(rng.randint(0, 30), 'a')} {passage} {words(rng.randint(0, 30), 'b')}", f"{words(rng.randint(0, 30), 'c')} {passage} {words(rng.randint(0, 30), 'd')}")
+        assert sum(w.startswith("p") for w in kept.split()) <= 25 and not any(w in passage.split() for w in kept.split() if w[0] != "p")
+
+
+def test_short_sentences_and_scripts_without_spaces_have_spans():
+    assert kept_of_second("One here. Yes. No. Maybe. Two.", "Other start. Yes. No. Maybe. An end.") == "Other start. An end."
+    rng = random.Random(4)
+    passage = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60))
+    assert len(kept_of_second("\u4e00\u4e01" + passage + "\u4e02\u3002", "\u4e03" + passage + "\u4e04\u4e05\u3002")) <= 25 + 3
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
