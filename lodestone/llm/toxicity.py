@@ -1,29 +1,37 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings, kept where a log-likelihood ratio ties them to
-the label in a bounded sample of labelled documents. Examples are ordered so that
-alike ones share a block; a block's bound is the sum of its terms' largest weights,
-and only blocks whose bound passes the k-th best score so far are scored.
+Terms are all words and word beginnings; a log-likelihood ratio that ties a term to the
+label in a bounded sample of labelled documents raises its weight, and no term of a text
+or an example is left out of its vector. Examples are ordered so that alike ones share a
+block. Postings are read for the terms that tell most for their number; what the others
+can add is bounded by their norm and by the sum of their largest weights in a block, and
+only examples whose bound reaches the k-th best score so far are scored, by all terms.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept
 from .common import checkpointed, crc_mod5, map_texts, quoted
 from .decontam import NORMAL
 
 #: Labelled documents that a model is fitted on, at most.
 EXAMPLES = 6000
-#: Terms kept, at most, and the least log-likelihood ratio and number of examples of one.
-TERMS, LEAST_RATIO, LEAST_EXAMPLES = 512, 25.0, 5
+#: The log-likelihood ratio at which a term has about half of its weight.
+HALF_RATIO = 25.0
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
-#: Weight of the examples without any term in each vote, in neighbours of cosine 1.
+#: Norm of the terms, at most, whose postings are not read at first.
+REST = 0.1
+#: Words, and terms of no example, that a worker remembers.
+REMEMBERED = 1 << 18
+#: Weight of the whole sample's share in each vote, in neighbours of cosine 1.
 PRIOR = 0.5
 
 
@@ -37,86 +45,160 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(b"^" + w[:n].encode() for n in BEGINNINGS if len(w) > n)]
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `length` of them, one range behind the other."""
+    out = np.repeat(start - np.cumsum(length) + length, length)
+    out += np.arange(len(out))
+    return out
+
+
 class BlockMaxIndex:
-    """Exact top-k by inner product over examples of sparse unit vectors."""
-
-    def __init__(self, rows: list[dict[int, float]], n_terms: int):
-        self.order = np.array(sorted(range(len(rows)), key=lambda k: (sorted(rows[k], key=lambda t: (-rows[k][t], t))[:3], k)), np.int64)
-        at = [(t, e, w) for e, k in enumerate(self.order) for t, w in rows[k].items()]
-        at.sort()
-        self.example = np.array([e for _, e, _ in at], np.int64)
-        self.weight = np.array([w for _, _, w in at])
-        self.start = np.searchsorted([t for t, _, _ in at], np.arange(n_terms + 1))
-        self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (np.array([t for t, _, _ in at], np.int64), self.example // BLOCK), self.weight)
+    """Exact top-k by inner product over examples of sparse unit vectors: dicts, or pairs of arrays of terms and weights."""
+
+    def __init__(self, rows: list, n_terms: int):
+        rows = [(np.array(list(r), np.int32), np.array(list(r.values()))) if isinstance(r, dict) else r for r in rows]
+        self.order = np.array(sorted(range(len(rows)), key=lambda k: (rows[k][0][np.lexsort((rows[k][0], -rows[k][1]))[:3]].tolist(), k)), np.int64)
+        self.n, self.n_terms, self.blocks = len(rows), n_terms, -(-len(rows) // BLOCK)
+        self.size = np.array([len(rows[k][0]) for k in self.order], np.int64)
+        self.own_terms = np.concatenate([np.zeros(0, np.int32), *(rows[k][0] for k in self.order)])
+        self.own_weights = np.concatenate([np.zeros(0), *(rows[k][1] for k in self.order)])
+        self._invert()
+
+    def _invert(self) -> None:
+        of = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
+        at = np.argsort(self.own_terms, kind="stable")
+        self.example, self.weight = of[at].astype(np.int64), self.own_weights[at]
+        self.start = np.append(0, np.cumsum(np.bincount(self.own_terms, minlength=self.n_terms)))
+        self.own_start = np.cumsum(self.size) - self.size
+        # block maxima of the terms of more examples than there are in a block; the others are always read
+        self.common = np.diff(self.start) > BLOCK
+        row = np.cumsum(self.common) - 1
+        self.row = np.where(self.common, row, -1)
+        term = self.own_terms[at]
+        mine = self.common[term]
+        self.most = np.zeros((int(self.common.sum()), self.blocks))
+        np.maximum.at(self.most, (row[term[mine]], self.example[mine] // BLOCK), self.weight[mine])
+        self.block = np.arange(self.n) // BLOCK
+        self.query = np.zeros(self.n_terms)
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("order", "n", "n_terms", "blocks", "size", "own_terms", "own_weights")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._invert()
+
+    def _read(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the terms add to each example's score."""
+        length = self.start[terms + 1] - self.start[terms]
+        at = ranges(self.start[terms], length)
+        return np.bincount(self.example.take(at), np.repeat(weights, length) * self.weight.take(at), self.n)
+
+    def _scores(self, examples: np.ndarray) -> np.ndarray:
+        """Scores of examples by all their terms."""
+        length = self.size[examples]
+        at = ranges(self.own_start[examples], length)
+        return np.add.reduceat(self.own_weights[at] * self.query[self.own_terms[at]], np.cumsum(length) - length)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the k best examples and their scores, best first; ties by example."""
         if not self.n or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms]
-        first = np.argsort(-bound, kind="stable")[: 1 + k // BLOCK]
-        postings = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in terms])
-        share = np.repeat(weights, self.start[terms + 1] - self.start[terms]) * self.weight[postings]
-        example = self.example[postings]
-        block = example // BLOCK
-
-        def scores(chosen: np.ndarray) -> np.ndarray:
-            wanted = np.zeros(self.blocks, bool)
-            wanted[chosen] = True
-            mine = wanted[block]
-            return np.bincount(example[mine], share[mine], self.n)
-
-        best = np.sort(scores(first))[-k:]
-        least = best[0] if len(best) == k else 0.0
-        found = scores(np.union1d(first, np.flatnonzero(bound >= least * (1 - 1e-9))) if least > 0 else np.flatnonzero(bound > 0))
-        top = np.lexsort((self.order, -found))[:k]
+        number = self.start[terms + 1] - self.start[terms]
+        # first the terms of least square weight a posting
+        order = np.lexsort((weights**2 / np.maximum(number, 1), ~self.common[terms]))
+        norm = np.sqrt(np.cumsum(weights[order] ** 2))
+        late = int(np.searchsorted(norm, REST, "right"))
+        late = min(late, int(self.common[terms].sum()))
+        rest, read = order[:late], order[late:]
+        part = self._read(terms[read], weights[read])
+        chosen, found = np.arange(self.n), part
+        # no bound can tell examples apart while the rest may outweigh the k-th best
+        if late and np.partition(part, max(0, self.n - k))[max(0, self.n - k)] > norm[late - 1]:
+            bound = part + np.minimum(norm[late - 1], weights[rest] @ self.most[self.row[terms[rest]]])[self.block] + 1e-12
+            self.query[terms] = weights
+            first = np.argpartition(-bound, min(2 * k, self.n) - 1)[: 2 * k]
+            least = np.sort(self._scores(first))[-k:][0]
+            chosen = np.flatnonzero(bound >= least * (1 - 1e-9))
+            found = self._scores(chosen)
+            self.query[terms] = 0
+        elif late:
+            found = part + self._read(terms[rest], weights[rest])
+        if len(chosen) > 4 * k:
+            least = np.partition(found, len(found) - k)[-k]
+            chosen, found = chosen[found >= least], found[found >= least]
+        top = np.lexsort((self.order[chosen], -found))[:k]
         top = top[found[top] > 0]
-        return self.order[top], found[top]
+        return self.order[chosen[top]], found[top]
 
 
 class Model:
-    def __init__(self, terms: list[bytes], idf: np.ndarray, counts: list[dict[int, int]], labels: list[int], ids: list):
-        self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
-        self.names = [t.decode("utf-8", "replace") for t in terms]
-        vectors = [self.vector(c) for c in counts]
-        kept = [k for k, v in enumerate(vectors) if v]
-        blank = [labels[k] for k, v in enumerate(vectors) if not v]
+    """`terms`: those of the examples, with the weights of one occurrence; `rows`: an example's terms and numbers; `other`: weight of a term of no example."""
+
+    def __init__(self, terms: list[bytes], weights: np.ndarray, other: float, rows: list, labels: list[int], ids: list):
+        self.terms, self.weights, self.other = terms, weights, other
+        vectors = []
+        for own, counts in rows:
+            raw = (1 + np.log(counts)) * weights[own]
+            vectors.append((own.astype(np.int32), raw / np.sqrt(raw @ raw)))
+        kept = [k for k, (own, _) in enumerate(vectors) if len(own)]
         self.index = BlockMaxIndex([vectors[k] for k in kept], len(terms))
         self.labels = np.array([labels[k] for k in kept], float)
         self.ids = [ids[k] for k in kept]
+        blank = [labels[k] for k, (own, _) in enumerate(vectors) if not len(own)]
         share = sum(labels) / len(labels) if labels else 0.5
-        #: share of label 1 among the examples without any term, smoothed by one example of the whole sample's share
+        #: share of label 1 among the examples without any word, smoothed by one example of the whole sample's share
         self.blank = (sum(blank) + share) / (len(blank) + 1)
-        self.cache = None
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / norm) for t, w in raw.items()} if norm else {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        if self.cache is None:
-            self.cache = Kept(lambda words: [tuple(k for t in terms_of(w) if (k := self.terms.get(t)) is not None) for w in words])
-        words = words_of(text)
-        known = self.cache.having(set(words))
-        out: dict[int, int] = {}
-        for found in filter(None, map(known.__getitem__, words)):
-            for t in found:
-                out[t] = out.get(t, 0) + 1
-        return out
+        self.share = share
+        self.numbers = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "numbers": None, "of_word": None}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A text's terms and how often each occurs; those of no example have numbers behind the others."""
+        if self.numbers is None or len(self.numbers) > len(self.terms) + REMEMBERED or len(self.of_word) > REMEMBERED:
+            self.numbers, self.of_word = {t: k for k, t in enumerate(self.terms)}, {}
+        numbers, of_word = self.numbers, self.of_word
+        words = Counter(words_of(text))
+        for w in words:
+            if w not in of_word:
+                of_word[w] = [numbers.setdefault(t, len(numbers)) for t in terms_of(w)]
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [of_word[w] for w in words]
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
+        own, at = np.unique(np.fromiter(chain.from_iterable(found), np.int64, len(times)), return_inverse=True)
+        return own, np.bincount(at, times).astype(np.int64)
 
     def score(self, text: str) -> tuple[float, list, list[str]]:
         """Score, ids of the nearest examples of label 1, the text's terms by weight."""
-        v = self.vector(self.counts(text))
-        if not v:
-            return self.blank, [], []
-        near, cosine = self.index.top(np.array(list(v), np.int64), np.array(list(v.values())), NEIGHBOURS)
+        own, counts = self.counts(text)
+        known = int(np.searchsorted(own, len(self.terms)))
+        if not known:
+            return (self.share if len(own) else self.blank), [], []
+        raw = 1 + np.log(counts)
+        raw[:known] *= self.weights[own[:known]]
+        raw[known:] *= self.other
+        own, weights = own[:known], raw[:known] / np.sqrt(raw @ raw)
+        near, cosine = self.index.top(own, weights, NEIGHBOURS)
         votes = cosine**2
-        score = float((votes @ self.labels[near] + PRIOR * self.blank) / (votes.sum() + PRIOR))
+        score = float((votes @ self.labels[near] + PRIOR * self.share) / (votes.sum() + PRIOR))
         evidence = [self.ids[k] for k in near if self.labels[k]][:5]
-        return score, evidence, [self.names[t] for t in sorted(v, key=lambda t: -v[t])[:5]]
+        return score, evidence, [self.terms[own[t]].decode("utf-8", "replace") for t in np.lexsort((own, -weights))[:5]]
+
+
+def weights_of(n: np.ndarray, p: np.ndarray, size: int, positive: int) -> np.ndarray:
+    """Weight of one occurrence of a term of `n` of `size` examples, `p` of the `positive` ones: its inverse document frequency, raised by its log-likelihood ratio."""
+    clean = size - positive
+
+    def part(seen, rows, share):
+        # 0 where nothing is seen
+        return np.where(seen > 0, seen * np.log(np.where(seen > 0, seen * float(size), 1.0) / np.where(seen > 0, rows * float(share), 1.0)), 0.0)
+
+    ratio = 2 * (part(p, n, positive) + part(n - p, n, clean) + part(positive - p, size - n, positive) + part(clean - n + p, size - n, clean))
+    ratio = np.maximum(ratio, 0.0)
+    return (np.log((size + 1) / (n + 1)) + 1) * (1 + ratio) / (1 + ratio + HALF_RATIO)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
@@ -153,36 +235,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         .select("label", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-        .where(F.col("n") >= LEAST_EXAMPLES)
     )
-
-    def part(seen, rows, share):
-        return F.when(seen > 0, seen * F.log(seen * size / (rows * share))).otherwise(0.0)
-
-    n, p, clean = F.col("n"), F.col("p"), size - positive
-    ratio = 2 * (part(p, n, F.lit(positive)) + part(n - p, n, F.lit(clean)) + part(positive - p, size - n, F.lit(positive)) + part(clean - n + p, size - n, F.lit(clean)))
-    top = per_term.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
-    names = [bytes(r["term"]) for r in top]
-    idf = np.log((size + 1) / (np.array([r["n"] for r in top], float) + 1)) + 1
-    counting = Model(names, idf, [], [], [])
+    # the sample bounds its terms
+    table = per_term.toArrow().sort_by("term")
+    names = table.column("term").to_pylist()
+    weights = weights_of(table.column("n").to_numpy(), table.column("p").to_numpy(), size, positive)
+    other = float(weights_of(np.zeros(1, np.int64), np.zeros(1, np.int64), size, positive)[0])
+    sent = docs.sparkSession.sparkContext.broadcast(Model(names, weights, other, [], [], []))
 
     def make_counts():
+        counting = sent.value
+
         def work(texts):
             own = [counting.counts(x) for x in texts]
-            return [[list(c) for c in own], [list(c.values()) for c in own]]
+            return [[t for t, _ in own], [c for _, c in own]]
 
         return work
 
-    rows = map_texts(held, make_counts, "terms array<int>, counts array<int>", "text", ["doc_id", "label"]).orderBy("doc_id").collect()
-    return Model(names, idf, [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows], [r["label"] for r in rows], [r["doc_id"] for r in rows])
+    rows = map_texts(held, make_counts, "terms array<int>, counts array<int>", "text", ["doc_id", "label"]).toArrow().sort_by("doc_id")
+    pairs = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True)]
+    return Model(names, weights, other, pairs, rows.column("label").to_pylist(), rows.column("doc_id").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds `score` (0 to 1), `evidence` (ids of up to five nearest toxic examples) and `terms` (up to five of the text's).
 
-    Null and empty texts, and texts without any term, have the share of label 1 among
-    examples without any term. All rows stay. No shuffle; the model is bounded by
-    its numbers of examples and terms, and broadcast.
+    Null and empty texts have the share of label 1 among examples without any word, and
+    texts that have no term in common with the examples the share among all. All rows
+    stay. No shuffle; the model is bounded by its examples, and broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -232,6 +232,19 @@ def test_block_max_is_exact():
         assert np.allclose(scores, every[best][: len(scores)]) and np.allclose(every[ids], scores)
 
 
+def test_block_max_is_exact_where_bounds_decide():
+    rng = np.random.default_rng(5)
+    scale = np.concatenate([np.full(60, 0.01), np.ones(600)])
+    dense = np.where(rng.random((700, 660)) < np.concatenate([np.full(60, 0.8), np.full(600, 0.02)]), rng.random((700, 660)), 0) * scale
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    index = toxicity.BlockMaxIndex([{int(t): float(r[t]) for t in np.flatnonzero(r)} for r in dense], 660)
+    for q in dense[:40]:
+        t = np.flatnonzero(q)
+        ids, scores = index.top(t, q[t], 15)
+        every = dense @ q
+        assert np.allclose(scores, np.sort(every)[::-1][:15]) and np.allclose(every[ids], scores)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(4)
     k, c = hmm.STATES, hmm.CLASSES

@@ -187,6 +187,17 @@ def test_classifier_edges(spark, odd, empty):
             assert all(0 <= r.score <= 1 for r in scored.collect()) and scored.count() == docs.count()
 
 
+def test_toxicity_finds_copies_of_examples_of_rare_terms(spark):
+    """No term is in two examples, so none is tied to the label."""
+    docs = spark.createDataFrame([(k, " ".join(f"{chr(97 + k)}{chr(97 + j)}x" for j in range(8))) for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.score(docs, model, carry=["doc_id"]).collect()}
+    for k in range(12):
+        if zlib.crc32(str(k).encode()) % 5:
+            assert (rows[k].score >= 0.5) == (k % 2 == 1) and rows[k].evidence == [str(k)] * (k % 2) and len(rows[k].terms) == 5
+
+
 def test_language_model_query(spark, monkeypatch):
     import math
     import re
