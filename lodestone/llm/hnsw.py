@@ -4,7 +4,9 @@ Vectors are dealt over shards by a hash of their id, and each shard's graph is a
 in the shared folder. Every vector is searched in every shard: it descends the levels
 to the bottom one, where a beam widens as long as all of it is linked. The beam that a
 shard starts with is doubled until an audit passes: probes made at the threshold from
-the shard's own vectors must find them. Candidates are verified by the cosine in
+the shard's own vectors must find them; a shard whose
+audit fails is scanned exactly, and so are the nodes without in-links in any. What one
+end of a link finds counts for both. Candidates are verified by the cosine in
 double precision, and links are united to components.
 
 Searches run in lockstep: a batch of queries takes each step together in numpy.
@@ -129,9 +131,16 @@ class Graph:
         top = int(level[0]) if len(level) else 0
         self.sizes = [int((level >= k).sum()) for k in range(top + 1)]
         self.links = [np.full((self.sizes[k], BOTTOM if k == 0 else UPPER), -1, np.int32) for k in range(top + 1)]
-        self.beam, self.recall = FIRST_BEAM, 1.0
+        self.beam, self.recall, self.exact = FIRST_BEAM, 1.0, False
         for k in range(top, -1, -1):
             self._build(k)
+        self._mark()
+
+    def _mark(self) -> None:
+        """`lost`: the nodes that no link of the bottom level leads to."""
+        into = np.zeros(len(self.ids), bool)
+        into[self.links[0][self.links[0] >= 0]] = True
+        self.lost = np.flatnonzero(~into)
 
     def _build(self, level: int) -> None:
         links, size = self.links[level], self.sizes[level]
@@ -196,6 +205,11 @@ class Graph:
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         n = len(self.ids)
         step = max(1, min(LOCKSTEP, (64 << 20) // max(1, n)))
+        if self.exact:
+            for a in range(0, len(queries), step):
+                hit = queries[a : a + step] @ self.space.T >= least
+                out[a : a + step] = [np.flatnonzero(h) for h in hit]
+            return out
         for a in range(0, len(queries), step):
             todo, beam = np.arange(a, min(len(queries), a + step)), min(self.beam, n)
             while todo.size:
@@ -206,10 +220,13 @@ class Graph:
                 for k in np.flatnonzero(~wider).tolist():
                     out[todo[k]] = ids[k][hit[k]]
                 todo, beam = todo[wider], min(n, 4 * beam)
+            if len(self.lost):
+                for k, hit in enumerate(queries[a : a + step] @ self.space[self.lost].T >= least, a):
+                    out[k] = np.union1d(out[k], self.lost[hit])
         return out
 
     def audit(self, threshold: float) -> None:
-        """Doubles the beam until probes of cosine `threshold` to known vectors find them; a beam of all nodes sees all that is connected."""
+        """Doubles the beam until probes of cosine `threshold` to known vectors find them. If a beam of all nodes does not, the shard is scanned exactly from then on."""
         n, width = self.space.shape
         if not n:
             return
@@ -224,13 +241,16 @@ class Graph:
         while True:
             found = self.near(probes, threshold - SLACK)
             self.recall = sum(p in f for p, f in zip(picked.tolist(), map(set, (x.tolist() for x in found)), strict=True)) / len(picked)
-            if self.recall >= RECALL or self.beam >= n:
+            if self.recall >= RECALL or self.exact:
                 return
+            if self.beam >= n:
+                self.exact = True
+                continue
             self.beam *= 2
 
     def save(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, copies=self.copies, vectors=self.vectors, sizes=self.sizes, meta=[self.beam, self.recall], roots=self.roots, **{f"links{k}": x for k, x in enumerate(self.links)})
+        np.savez(out, ids=self.ids, copies=self.copies, vectors=self.vectors, sizes=self.sizes, meta=[self.beam, self.recall, self.exact], roots=self.roots, **{f"links{k}": x for k, x in enumerate(self.links)})
         return out.getvalue()
 
     @classmethod
@@ -240,8 +260,9 @@ class Graph:
         self.ids, self.copies, self.vectors, self.roots = kept["ids"], kept["copies"], kept["vectors"], kept["roots"]
         self.sizes = kept["sizes"].tolist()
         self.links = [kept[f"links{k}"] for k in range(len(self.sizes))]
-        self.beam, self.recall = int(kept["meta"][0]), float(kept["meta"][1])
+        self.beam, self.recall, self.exact = int(kept["meta"][0]), float(kept["meta"][1]), bool(kept["meta"][2])
         self.space = unit(self.vectors)
+        self._mark()
         return self
 
     def linked(self, vectors: np.ndarray, ids: np.ndarray, threshold: float) -> list[np.ndarray]:
@@ -281,6 +302,21 @@ def _graph(path: str) -> Graph:
         return Graph.load(f.read())
 
 
+def both_ends(node: int, copies: int, others: np.ndarray, their_copies: np.ndarray) -> np.ndarray:
+    """Rows (end, other end, copies of the other end) of a node's links, for both ends: the other one may not find this one."""
+    of = np.full(len(others), node)
+    return np.concatenate([np.stack([of, others, their_copies], 1), np.stack([others, of, np.full(len(others), copies)], 1)])
+
+
+def totals(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes, and the copies at the other ends of their links, each link once."""
+    links = np.unique(links, axis=0)
+    node, at = np.unique(links[:, 0], return_inverse=True)
+    total = np.zeros(len(node), np.int64)
+    np.add.at(total, at, links[:, 2])
+    return node, total
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """`vec_id`, `n_links`, `component_id`, `kept` for each row.
 
@@ -333,17 +369,33 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 part = batch.filter(pa.array(widths == width))
                 ids, copies = part.column(0).to_numpy(), part.column(2).to_numpy()
                 own = matrix(part.column(1), int(width))
-                total, ends = copies - 1, [set() for _ in ids]
+                ends, pairs = [set() for _ in ids], []
                 for path in paths.get(int(width), []):
                     graph = _graph(path)
                     for k, found in enumerate(graph.linked(own, ids, threshold)):
-                        total[k] += graph.copies[found].sum()
                         ends[k].update(graph.ids[graph.roots[found]].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total, pa.int64()), pa.array([sorted(e) for e in ends], pa.list_(pa.int64()))], ["node", "n_links", "ends"])
-
-    asked = checkpointed(nodes.select("node", "v", "copies", "width").repartition(max(1, math.ceil(n / 2048)), "node").mapInArrow(ask, "node long, n_links long, ends array<long>"))
+                        pairs.append(both_ends(ids[k], copies[k], graph.ids[found], graph.copies[found]))
+                    # what others reach by a root of this shard, its nodes reach too
+                    _, mine, here = np.intersect1d(ids, graph.ids, return_indices=True)
+                    for k, root in zip(mine.tolist(), graph.ids[graph.roots[here]].tolist(), strict=True):
+                        ends[k].add(root)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([sorted(e) for e in ends], pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                found = np.concatenate([np.zeros((0, 3), np.int64), *pairs])
+                bucket = (mix(found[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                rows = [(int(x), found[bucket == x].astype("<i8").tobytes()) for x in np.unique(bucket)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names)
+
+    def count(table: pa.Table) -> pa.Table:
+        found = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in table.column("pairs").to_pylist()])
+        node, total = totals(found)
+        return pa.table({"node": node, "others": total})
+
+    buckets, names = max(1, math.ceil(n / 2048)), ["node", "ends", "bucket", "pairs"]
+    asked = checkpointed(nodes.select("node", "v", "copies", "width").repartition(buckets, "node").mapInArrow(ask, "node long, ends array<long>, bucket int, pairs binary"))
+    others = asked.where(F.col("bucket").isNotNull()).select("bucket", "pairs").groupBy("bucket").applyInArrow(count, "node long, others long")
+    asked = asked.where(F.col("node").isNotNull())
     joined = components(asked.select(F.col("node").alias("a"), F.explode("ends").alias("b")))
-    of_node = asked.select("node", "n_links").join(joined, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("component"))
+    of_node = nodes.select("node", "copies").join(others, "node", "left").join(joined, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     by_vector = nodes.select("v", "node").join(of_node, "node").select("v", "n_links", "component")
     out = rows.join(by_vector, "v", "left")
     component = F.coalesce("component", "vec_id")

@@ -295,3 +295,22 @@ def test_graph_recall_against_brute_force():
     assert hits >= 0.99 * exact.sum() and sum(map(len, found)) == hits
     g.unite(0.95)
     assert (hnsw.Graph.load(g.save()).roots == g.roots).all()
+
+
+def test_nodes_without_in_links_and_failed_audits_are_scanned():
+    rng = np.random.default_rng(8)
+    v = (rng.standard_normal(16) + 0.05 * rng.standard_normal((300, 16))).astype(np.float32)
+    g = hnsw.Graph(v, np.arange(300), np.ones(300, np.int64))
+    g.links[0][g.links[0] == 7] = -1
+    g = hnsw.Graph.load((setattr(g, "roots", np.arange(300)), g.save())[1])
+    assert all(7 in f for f in g.near(g.space, 0.9) if len(f) > 1)
+    g.links[0][:] = -1
+    g.lost = g.lost[:0]
+    g.audit(0.95)
+    assert g.recall >= hnsw.RECALL and g.exact
+
+
+def test_a_link_found_from_one_side_counts_for_both():
+    one = hnsw.both_ends(1, 2, np.array([5, 9]), np.array([1, 4]))
+    other = hnsw.both_ends(5, 1, np.array([1]), np.array([2]))
+    assert [x.tolist() for x in hnsw.totals(np.concatenate([one, other]))] == [[1, 5, 9], [5, 2, 2]]
