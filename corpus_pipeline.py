@@ -55,7 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"), carry=docs.columns)
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"), carry=docs.columns, nameless=True)
     return found.where(F.size("hit_words") == 0).select(*docs.columns)
 
 

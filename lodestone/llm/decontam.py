@@ -67,7 +67,7 @@ def scan(built: ahocorasick.Automaton, text: str) -> tuple[int, list[int], list[
         edge[last - n] += 1
         edge[last] -= 1
         items |= own
-    return len(words), np.flatnonzero(np.cumsum(edge)[:-1]).tolist(), sorted(items)
+    return len(words), np.flatnonzero(np.cumsum(edge)[:-1]).tolist(), sorted(items, key=lambda x: (x is None, x or ""))
 
 
 def char_spans(text: str, hit_words: list[int]) -> list[tuple[int, int]]:
@@ -92,18 +92,20 @@ def contamination(
     carry: list[str] | None = None,
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    nameless: bool = False,
 ) -> DataFrame:
     """Adds `n_words`, `hit_words` (indexes from 0) and `items` (sorted strings) to each document.
 
     A document's word is hit inside any occurrence of `window` consecutive words of
     an item; an item of fewer words, but not none, is one window. Null and empty
-    texts have no words; an item of null id is left out, repeated item rows count
-    once; with an empty benchmark nothing is hit. Rows are neither dropped nor
+    texts have no words; an item of null id is left out, or with `nameless` hits words and
+    is a null, the last one, among the items; repeated item rows count once; with an empty benchmark nothing is hit. Rows are neither dropped nor
     merged. No shuffle of documents. Columns of `carry` that have the name of an
     output are replaced.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(quoted(item_id)).cast("string").alias("item"), F.col(quoted(item_text)).cast("string").alias("words")).dropna()
+    items = benchmark.select(F.col(quoted(item_id)).cast("string").alias("item"), F.col(quoted(item_text)).cast("string").alias("words"))
+    items = items.dropna(subset=["words"] if nameless else None)
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     carry = list(carry or [])

@@ -53,7 +53,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    made = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"], nameless=True)
     return made.select(
         "doc_id",
         "n_words",

@@ -97,6 +97,18 @@ def test_against_sql(spark, name):
     assert compare(spark, name)
 
 
+def test_decontamination_against_sql_with_null_ids(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    odd.select("doc_id", "text").where("doc_id <> 9").write.parquet(f"{tmp_path}/raw")
+    docs = spark.read.parquet(f"{tmp_path}/raw")
+    docs.coalesce(1).toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, PASSAGE), (None, "plain text"), (3, "two sentences"), (4, None)], "item_id long, text string").toPandas().astype({"item_id": "Int64"}).to_parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().to_parquet(f"{tmp_path}/embeddings.parquet")
+    assert compare(spark, "op4_decontamination", str(tmp_path))
+    assert not {1, 6, 7, 10} & {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+
+
 def test_minhash_large_buckets(spark, monkeypatch):
     """Every bucket is a large one, and blocks are small."""
     monkeypatch.setattr(minhash, "SMALL", 1)
