@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a worker takes up at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of rows in a batch that Spark sends to a worker, about.
+BATCH_BYTES = 8 << 20
 
 TEXT = "__text"
 #: For bytes.translate: A-Z to a-z, everything else as it is.
@@ -23,9 +25,11 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,7 +60,15 @@ def plan_bytes(df: DataFrame, text_col: str) -> int:
     return (df.agg(F.sum(F.octet_length(F.col(quoted(text_col)).cast("string")))).first()[0] or 0) // 2
 
 
-def text_slices(batch: pa.RecordBatch, column: str = TEXT, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Has rows sent to Python workers in batches of BATCH_BYTES, unless the session says otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES and df.sparkSession.sparkContext.getConf().get(key) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def text_slices(batch: pa.RecordBatch, column: str | int = TEXT, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch where its texts pass `most` bytes; a single longer text is a slice by itself."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
@@ -69,12 +81,28 @@ def text_slices(batch: pa.RecordBatch, column: str = TEXT, most: int = SLICE_BYT
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int, column: str | int = TEXT) -> Iterator[pa.RecordBatch]:
+    """Slices of texts of about `most` bytes, over the ends of batches."""
+    held, size = [], 0
+    for batch in batches:
+        for part in text_slices(batch, column, most):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], list[Iterable]]],
     out: str,
     text_col: str = "text",
     carry: list[str] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Runs over every text in Arrow batches, without a shuffle.
 
@@ -84,6 +112,8 @@ def map_texts(
     """
     fields = T.StructType.fromDDL(out)
     carry = [c for c in (carry or []) if c not in fields.names]
+    # a carried text is sent once
+    at = carry.index(text_col) if text_col in carry and isinstance(df.schema[text_col].dataType, T.StringType) else len(carry)
     kept = T.StructType([df.schema[c] for c in carry])
     schema = T.StructType([*kept.fields, *fields.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,13 +123,15 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for part in text_slices(batch):
-                texts = [x or "" for x in part.column(TEXT).to_pylist()]
-                made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(work(texts), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carry))), *made], names)
-
-    source = df.select(*(F.col(quoted(c)) for c in carry), F.col(quoted(text_col)).cast("string").alias(TEXT))
+        for part in gathered(batches, slice_bytes, at):
+            texts = [x or "" for x in part.column(at).to_pylist()]
+            made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(work(texts), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carry))), *made], names)
+
+    sent = [F.col(quoted(c)) for c in carry]
+    if at == len(carry):
+        sent.append(F.col(quoted(text_col)).cast("string").alias(TEXT))
+    source = bounded_batches(df).select(*sent)
     return source.mapInArrow(run, schema)
 
 

@@ -3,14 +3,14 @@
 Terms are all words and word beginnings; a log-likelihood ratio that ties a term to the
 label in a bounded sample of labelled documents raises its weight, and no term of a text
 or an example is left out of its vector. Examples are ordered so that alike ones share a
-block. Postings are read for the terms that tell most for their number; what the others
-can add is bounded by their norm and by the sum of their largest weights in a block, and
-only examples whose bound reaches the k-th best score so far are scored, by all terms.
+block. Postings are read for the terms of few examples; what the others can add is bounded
+by the sum of their largest weights in a block, and only blocks whose bound reaches the
+k-th best score so far are read, for a batch of texts together. The best examples are
+then scored in double precision by all terms.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -27,8 +27,10 @@ HALF_RATIO = 25.0
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
-#: Norm of the terms, at most, whose postings are not read at first.
-REST = 0.1
+#: Terms of more than this part of the examples have no postings; blocks that are read at first; room for single precision.
+WIDE, FIRST_BLOCKS, SLACK = 16, 2, 1e-5
+#: Texts that are scored together.
+TOGETHER = 128
 #: Words, and terms of no example, that a worker remembers.
 REMEMBERED = 1 << 18
 #: Weight of the whole sample's share in each vote, in neighbours of cosine 1.
@@ -53,7 +55,11 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact top-k by inner product over examples of sparse unit vectors: dicts, or pairs of arrays of terms and weights."""
+    """Exact top-k by inner product over examples of sparse unit vectors: dicts, or pairs of arrays of terms and weights.
+
+    Terms of few examples have postings. Those of more than a WIDE-th have a column in
+    each block of examples, under the block's maxima.
+    """
 
     def __init__(self, rows: list, n_terms: int):
         rows = [(np.array(list(r), np.int32), np.array(list(r.values()))) if isinstance(r, dict) else r for r in rows]
@@ -62,23 +68,24 @@ class BlockMaxIndex:
         self.size = np.array([len(rows[k][0]) for k in self.order], np.int64)
         self.own_terms = np.concatenate([np.zeros(0, np.int32), *(rows[k][0] for k in self.order)])
         self.own_weights = np.concatenate([np.zeros(0), *(rows[k][1] for k in self.order)])
-        self._invert()
+        self.query = None
 
     def _invert(self) -> None:
-        of = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
-        at = np.argsort(self.own_terms, kind="stable")
-        self.example, self.weight = of[at].astype(np.int64), self.own_weights[at]
-        self.start = np.append(0, np.cumsum(np.bincount(self.own_terms, minlength=self.n_terms)))
+        """What is made where the index is asked, and not sent."""
+        of = np.repeat(np.arange(self.n), self.size)
         self.own_start = np.cumsum(self.size) - self.size
-        # block maxima of the terms of more examples than there are in a block; the others are always read
-        self.common = np.diff(self.start) > BLOCK
-        row = np.cumsum(self.common) - 1
-        self.row = np.where(self.common, row, -1)
-        term = self.own_terms[at]
-        mine = self.common[term]
-        self.most = np.zeros((int(self.common.sum()), self.blocks))
-        np.maximum.at(self.most, (row[term[mine]], self.example[mine] // BLOCK), self.weight[mine])
-        self.block = np.arange(self.n) // BLOCK
+        number = np.bincount(self.own_terms, minlength=self.n_terms)
+        self.wide = number > max(BLOCK, self.n // WIDE)
+        self.column = np.cumsum(self.wide) - 1
+        wide = self.wide[self.own_terms]
+        block, slot = np.divmod(of[wide], BLOCK)
+        self.table = np.zeros((self.blocks, int(self.wide.sum()), BLOCK), np.float32)
+        self.table[block, self.column[self.own_terms[wide]], slot] = self.own_weights[wide]
+        self.most = np.ascontiguousarray(self.table.max(2).T)
+        narrow = np.flatnonzero(~wide)
+        narrow = narrow[np.argsort(self.own_terms[narrow], kind="stable")]
+        self.example, self.weight = of[narrow], self.own_weights[narrow]
+        self.start = np.append(0, np.cumsum(np.where(self.wide, 0, number)))
         self.query = np.zeros(self.n_terms)
 
     def __getstate__(self) -> dict:
@@ -86,106 +93,144 @@ class BlockMaxIndex:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._invert()
-
-    def _read(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the terms add to each example's score."""
-        length = self.start[terms + 1] - self.start[terms]
-        at = ranges(self.start[terms], length)
-        return np.bincount(self.example.take(at), np.repeat(weights, length) * self.weight.take(at), self.n)
+        self.query = None
 
     def _scores(self, examples: np.ndarray) -> np.ndarray:
-        """Scores of examples by all their terms."""
+        """Scores of examples by all their terms, in double precision."""
         length = self.size[examples]
         at = ranges(self.own_start[examples], length)
         return np.add.reduceat(self.own_weights[at] * self.query[self.own_terms[at]], np.cumsum(length) - length)
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the k best examples and their scores, best first; ties by example."""
-        if not self.n or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        number = self.start[terms + 1] - self.start[terms]
-        # first the terms of least square weight a posting
-        order = np.lexsort((weights**2 / np.maximum(number, 1), ~self.common[terms]))
-        norm = np.sqrt(np.cumsum(weights[order] ** 2))
-        late = int(np.searchsorted(norm, REST, "right"))
-        late = min(late, int(self.common[terms].sum()))
-        rest, read = order[:late], order[late:]
-        part = self._read(terms[read], weights[read])
-        chosen, found = np.arange(self.n), part
-        # no bound can tell examples apart while the rest may outweigh the k-th best
-        if late and np.partition(part, max(0, self.n - k))[max(0, self.n - k)] > norm[late - 1]:
-            bound = part + np.minimum(norm[late - 1], weights[rest] @ self.most[self.row[terms[rest]]])[self.block] + 1e-12
-            self.query[terms] = weights
-            first = np.argpartition(-bound, min(2 * k, self.n) - 1)[: 2 * k]
-            least = np.sort(self._scores(first))[-k:][0]
-            chosen = np.flatnonzero(bound >= least * (1 - 1e-9))
+    def tops(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries the k best examples and their scores, best first, ties by example; `of`, ascending: whose term it is."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
+        if not self.n:
+            return [nothing] * n
+        if self.query is None:
+            self._invert()
+        k = min(k, self.n)
+        cut = np.searchsorted(of, np.arange(n + 1))
+        wide = self.wide[terms]
+        asked = np.zeros((n, self.table.shape[1]), np.float32)
+        asked[of[wide], self.column[terms[wide]]] = weights[wide]
+        score = np.empty((n, self.blocks * BLOCK), np.float32)
+        for q, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            own = terms[a:b]
+            length = self.start[own + 1] - self.start[own]
+            at = ranges(self.start[own], length)
+            score[q] = np.bincount(self.example[at], np.repeat(weights[a:b], length) * self.weight[at], self.blocks * BLOCK)
+        by_block = score.reshape(n, self.blocks, BLOCK)
+        bound = by_block.max(2) + asked @ self.most + SLACK
+
+        def read(due: np.ndarray) -> None:
+            for block in np.flatnonzero(due.any(0)).tolist():
+                rows = np.flatnonzero(due[:, block])
+                by_block[rows, block] += asked[rows] @ self.table[block]
+
+        def least(read: np.ndarray) -> np.ndarray:
+            known = np.where(read[:, :, None], by_block, -1.0).reshape(n, -1)[:, : self.n]
+            return np.partition(known, self.n - k, axis=1)[:, self.n - k]
+
+        # the blocks of the largest bounds give a score to beat; then only those that may beat it are read
+        done = np.zeros((n, self.blocks), bool)
+        first = min(self.blocks, FIRST_BLOCKS)
+        np.put_along_axis(done, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        read(done)
+        more = ~done & (bound >= least(done)[:, None] - SLACK)
+        read(more)
+        done |= more
+        floor = least(done) - SLACK
+        out = []
+        for q, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            chosen = np.flatnonzero((score[q, : self.n] >= floor[q]) & np.repeat(done[q], BLOCK)[: self.n]) if b > a else nothing[0]
+            if not len(chosen):
+                out.append(nothing)
+                continue
+            self.query[terms[a:b]] = weights[a:b]
             found = self._scores(chosen)
-            self.query[terms] = 0
-        elif late:
-            found = part + self._read(terms[rest], weights[rest])
-        if len(chosen) > 4 * k:
-            least = np.partition(found, len(found) - k)[-k]
-            chosen, found = chosen[found >= least], found[found >= least]
-        top = np.lexsort((self.order[chosen], -found))[:k]
-        top = top[found[top] > 0]
-        return self.order[chosen[top]], found[top]
+            self.query[terms[a:b]] = 0
+            top = np.lexsort((self.order[chosen], -found))[:k]
+            top = top[found[top] > 0]
+            out.append((self.order[chosen[top]], found[top]))
+        return out
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one query."""
+        return self.tops(np.zeros(len(terms), np.int64), np.asarray(terms), np.asarray(weights), 1, k)[0]
 
 
 class Model:
-    """`terms`: those of the examples, with the weights of one occurrence; `rows`: an example's terms and numbers; `other`: weight of a term of no example."""
-
-    def __init__(self, terms: list[bytes], weights: np.ndarray, other: float, rows: list, labels: list[int], ids: list):
-        self.terms, self.weights, self.other = terms, weights, other
-        vectors = []
-        for own, counts in rows:
-            raw = (1 + np.log(counts)) * weights[own]
-            vectors.append((own.astype(np.int32), raw / np.sqrt(raw @ raw)))
-        kept = [k for k, (own, _) in enumerate(vectors) if len(own)]
-        self.index = BlockMaxIndex([vectors[k] for k in kept], len(terms))
+    """`terms`: those of the examples, joined by spaces, with the weights of one occurrence; `rows`: an example's terms and their weights in its unit vector; `other`: weight of a term of no example."""
+
+    def __init__(self, terms: bytes, weights: np.ndarray, other: float, rows: list | None = None, labels: list[int] | None = None, ids: list | None = None):
+        self.joined, self.weights, self.other = terms, weights, other
+        rows, labels, ids = rows or [], labels or [], ids or []
+        kept = [k for k, (own, _) in enumerate(rows) if len(own)]
+        self.index = BlockMaxIndex([rows[k] for k in kept], len(weights))
         self.labels = np.array([labels[k] for k in kept], float)
         self.ids = [ids[k] for k in kept]
-        blank = [labels[k] for k, (own, _) in enumerate(vectors) if not len(own)]
+        blank = [labels[k] for k, (own, _) in enumerate(rows) if not len(own)]
         share = sum(labels) / len(labels) if labels else 0.5
         #: share of label 1 among the examples without any word, smoothed by one example of the whole sample's share
         self.blank = (sum(blank) + share) / (len(blank) + 1)
         self.share = share
-        self.numbers = None
+        self.terms = self.numbers = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "numbers": None, "of_word": None}
+        return {**self.__dict__, "terms": None, "numbers": None, "of_word": None, "expand": None}
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A text's terms and how often each occurs; those of no example have numbers behind the others."""
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of texts, ascending, their terms, ascending, and how often each occurs; terms of no example have numbers behind the others."""
+        if self.terms is None:
+            self.terms = self.joined.split()
         if self.numbers is None or len(self.numbers) > len(self.terms) + REMEMBERED or len(self.of_word) > REMEMBERED:
             self.numbers, self.of_word = {t: k for k, t in enumerate(self.terms)}, {}
+            self.expand = np.full((1 << 12, 1 + len(BEGINNINGS)), -1, np.int64)
         numbers, of_word = self.numbers, self.of_word
-        words = Counter(words_of(text))
-        for w in words:
-            if w not in of_word:
-                of_word[w] = [numbers.setdefault(t, len(numbers)) for t in terms_of(w)]
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = [of_word[w] for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
-        own, at = np.unique(np.fromiter(chain.from_iterable(found), np.int64, len(times)), return_inverse=True)
-        return own, np.bincount(at, times).astype(np.int64)
-
-    def score(self, text: str) -> tuple[float, list, list[str]]:
-        """Score, ids of the nearest examples of label 1, the text's terms by weight."""
-        own, counts = self.counts(text)
-        known = int(np.searchsorted(own, len(self.terms)))
-        if not known:
-            return (self.share if len(own) else self.blank), [], []
-        raw = 1 + np.log(counts)
-        raw[:known] *= self.weights[own[:known]]
-        raw[known:] *= self.other
-        own, weights = own[:known], raw[:known] / np.sqrt(raw @ raw)
-        near, cosine = self.index.top(own, weights, NEIGHBOURS)
-        votes = cosine**2
-        score = float((votes @ self.labels[near] + PRIOR * self.share) / (votes.sum() + PRIOR))
-        evidence = [self.ids[k] for k in near if self.labels[k]][:5]
-        return score, evidence, [self.terms[own[t]].decode("utf-8", "replace") for t in np.lexsort((own, -weights))[:5]]
+        split = [words_of(x) for x in texts]
+        new = sorted(set(chain.from_iterable(split)).difference(of_word))
+        if len(of_word) + len(new) > len(self.expand):
+            self.expand = np.pad(self.expand, ((0, len(of_word) + len(new)), (0, 0)), constant_values=-1)
+        for w in new:
+            found = [numbers.setdefault(t, len(numbers)) for t in terms_of(w)]
+            self.expand[len(of_word), : len(found)] = found
+            of_word[w] = len(of_word)
+        total = sum(map(len, split))
+        word = np.fromiter(map(of_word.__getitem__, chain.from_iterable(split)), np.int64, total)
+        key, times = np.unique(np.repeat(np.arange(len(texts)), [len(s) for s in split]) << 32 | word, return_counts=True)
+        found = self.expand[key & 0xFFFFFFFF]
+        real = found >= 0
+        key, at = np.unique((np.broadcast_to((key >> 32 << 32)[:, None], found.shape) | found)[real], return_inverse=True)
+        number = np.bincount(at, np.broadcast_to(times[:, None], found.shape)[real], len(key))
+        return key >> 32, key & 0xFFFFFFFF, number.astype(np.int64)
+
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' unit vectors: places of texts, terms and weights."""
+        of, own, counts = self.counts(texts)
+        raw = (1 + np.log(counts)) * self.other
+        known = own < len(self.terms)
+        raw[known] = (1 + np.log(counts[known])) * self.weights[own[known]]
+        return of, own, raw / np.sqrt(np.bincount(of, raw * raw, len(texts)))[of]
+
+    def score(self, texts: list[str]) -> list[tuple[float, list, list[str]]]:
+        """Score, ids of the nearest examples of label 1, the text's terms by weight, for each text."""
+        of, own, raw = self.vectors(texts)
+        n = len(texts)
+        some, known = np.bincount(of, minlength=n), own < len(self.terms)
+        of, own, weights = of[known], own[known], raw[known]
+        cut = np.searchsorted(of, np.arange(n + 1)).tolist()
+        out = []
+        for k, (near, cosine) in enumerate(self.index.tops(of, own, weights, n, NEIGHBOURS)):
+            a, b = cut[k], cut[k + 1]
+            if a == b:
+                out.append(((self.share if some[k] else self.blank), [], []))
+                continue
+            votes = cosine**2
+            score = float((votes @ self.labels[near] + PRIOR * self.share) / (votes.sum() + PRIOR))
+            evidence = [self.ids[e] for e in near if self.labels[e]][:5]
+            best = np.lexsort((own[a:b], -weights[a:b]))[:5]
+            out.append((score, evidence, [self.terms[t].decode("utf-8", "replace") for t in own[a:b][best]]))
+        return out
 
 
 def weights_of(n: np.ndarray, p: np.ndarray, size: int, positive: int) -> np.ndarray:
@@ -238,22 +283,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     )
     # the sample bounds its terms
     table = per_term.toArrow().sort_by("term")
-    names = table.column("term").to_pylist()
+    names = b" ".join(table.column("term").to_pylist())
     weights = weights_of(table.column("n").to_numpy(), table.column("p").to_numpy(), size, positive)
     other = float(weights_of(np.zeros(1, np.int64), np.zeros(1, np.int64), size, positive)[0])
-    sent = docs.sparkSession.sparkContext.broadcast(Model(names, weights, other, [], [], []))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(names, weights, other))
 
-    def make_counts():
-        counting = sent.value
+    def make_vectors():
+        bare = sent.value
 
         def work(texts):
-            own = [counting.counts(x) for x in texts]
-            return [[t for t, _ in own], [c for _, c in own]]
+            of, own, weight = bare.vectors(texts)
+            cut = np.searchsorted(of, np.arange(1, len(texts)))
+            return [np.split(own, cut), np.split(weight, cut)]
 
         return work
 
-    rows = map_texts(held, make_counts, "terms array<int>, counts array<int>", "text", ["doc_id", "label"]).toArrow().sort_by("doc_id")
-    pairs = [(np.asarray(t.values), np.asarray(c.values)) for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True)]
+    rows = map_texts(held, make_vectors, "terms array<int>, weights array<double>", "text", ["doc_id", "label"]).toArrow().sort_by("doc_id")
+    sent.destroy()
+    pairs = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows.column("terms"), rows.column("weights"), strict=True)]
     return Model(names, weights, other, pairs, rows.column("label").to_pylist(), rows.column("doc_id").to_pylist())
 
 
@@ -270,7 +317,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
         model = sent.value
 
         def work(texts):
-            scores, evidence, terms = zip(*map(model.score, texts), strict=True)
+            scored = chain.from_iterable(model.score(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER))
+            scores, evidence, terms = zip(*scored, strict=True)
             return [list(scores), [list(map(str, e)) for e in evidence], list(terms)]
 
         return work
