@@ -3,8 +3,9 @@
 A token's class is a hash of it. A state emits a class, and a class emits its tokens
 by their corpus counts, so the states' tables are of a fixed size while the counts
 grow with the vocabulary. Baum-Welch counts are made in every partition over all
-training documents and added up; the forward recursion, scaled at each step, gives a
-text's exact probability. Counts of tokens never meet in one place: blocks of
+training documents and added up, from a starting point that is drawn from all of them
+as well; how far tables are smoothed is chosen by documents set aside. The forward
+recursion, scaled at each step, gives a text's exact probability. Counts of tokens never meet in one place: blocks of
 documents ask buckets of tokens for the counts that they need.
 """
 
@@ -22,14 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Kept
-from .common import LOWER, TEXT, plan_bytes, quoted, text_slices
-
-#: Hidden states, classes, Baum-Welch rounds over all training documents.
-STATES, CLASSES, ROUNDS = 6, 8192, 2
-#: Documents that the starting point is drawn from; every round covers them all.
-SEED_DOCS, SEED_ROUNDS = 1500, 20
-#: Weight of the classes' overall shares in a state's table, in tokens.
-PRIOR = 10.0
+from .common import LOWER, TEXT, bounded_batches, checkpointed, drop_path, gathered, plan_bytes, quoted, work_dir
+
+#: Hidden states, classes, Baum-Welch rounds over all training documents, at most.
+STATES, CLASSES, ROUNDS = 6, 8192, 3
+#: The rounds end when the log-likelihood of the documents set aside gains less than this part of it.
+GAIN = 2e-3
+#: Classes are folded to so many for the starting point; rounds, and tries, of a mixture that groups documents there.
+FOLDED, SEED_ROUNDS, SEED_TRIES = 256, 15, 4
+#: Rows of groups that one task unites.
+UNITED = 256
+#: One document in so many is set aside to choose the prior.
+ASIDE = 8
+#: Weights of the classes' overall shares in a state's table, in tokens, to choose from.
+PRIORS = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0)
 #: Tokens of a batch of sequences, and bytes of text from which batches are made.
 BATCH_TOKENS, SLICE = 300_000, 12 << 20
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
@@ -63,40 +70,63 @@ class Model:
         self.start, self.move, self.emit = start, move, emit
 
     @staticmethod
-    def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
+    def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: float) -> Model:
         """From expected counts; no probability is 0."""
-        share = (emit.sum(1) + 1) / (emit.sum() + len(emit))
-        table = (emit + PRIOR * share[:, None]) / (emit.sum(0) + PRIOR)
-        return Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), table)
+        return Model((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), table_of(emit, prior))
 
     @staticmethod
-    def seeded(docs: list[np.ndarray]) -> Model:
-        """A starting point: a mixture of class shares, a state a document, fitted on a few documents."""
-        rng = np.random.default_rng(7)
-        counts = np.zeros((len(docs), CLASSES))
-        for k, d in enumerate(docs):
-            counts[k] = np.bincount(d, minlength=CLASSES)
-        if not len(docs):
-            return Model.of_counts(np.ones(STATES), np.ones((STATES, STATES)), np.ones((CLASSES, STATES)))
-        shares = counts / counts.sum(1, keepdims=True)
-        # far apart first: each further state starts at the document least like the ones before
-        roots, picks = np.sqrt(shares), [int(rng.integers(len(docs)))]
-        nearest = roots @ roots[picks[0]]
-        while len(picks) < min(STATES, len(docs)):
-            picks.append(int(np.argmin(nearest)))
-            nearest = np.maximum(nearest, roots @ roots[picks[-1]])
-        overall = (counts.sum(0) + 1) / (counts.sum() + CLASSES)
-        table = np.stack([0.5 * shares[p] + 0.5 * overall for p in picks] + [overall] * (STATES - len(picks)), 1)
-        weight = np.full(STATES, 1 / STATES)
+    def seeded(groups: np.ndarray, prior: float) -> Model:
+        """A starting point, in which a document mostly stays in the state of its group; `groups`: tokens of each class by group."""
+        emit = groups.T
+        weight = (emit.sum(0) + 1) / (emit.sum() + STATES)
+        return Model(weight, np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), table_of(emit, prior))
+
+
+def table_of(emit: np.ndarray, prior: float) -> np.ndarray:
+    share = (emit.sum(1) + 1) / (emit.sum() + len(emit))
+    return (emit + prior * share[:, None]) / (emit.sum(0) + prior)
+
+
+def deleted(rest: np.ndarray, aside: np.ndarray) -> float:
+    """The prior with which tables of the counts `rest` give the counts `aside` the largest likelihood."""
+    return max(PRIORS, key=lambda p: float((aside * np.log(table_of(rest, p))).sum()))
+
+
+def grouped(rows: np.ndarray) -> np.ndarray:
+    """A group for each row of numbers of tokens by class: a mixture fitted by expectation and maximisation."""
+    counts = rows.reshape(len(rows), -1, FOLDED).sum(1).astype(np.float64)
+    counts /= np.maximum(1.0, counts.sum(1, keepdims=True) / 1000)  # a long document weighs as a thousand tokens
+    overall = (counts.sum(0) + 1) / (counts.sum() + FOLDED)
+    rng, best = np.random.default_rng(7), (-math.inf, np.zeros(len(rows), np.int64))
+    for _ in range(SEED_TRIES):
+        part = rng.dirichlet(np.full(STATES, 0.3), len(rows))
         for _ in range(SEED_ROUNDS):
-            log = counts @ np.log(table) + np.log(weight)
-            log -= log.max(1, keepdims=True)
-            part = np.exp(log)
-            part /= part.sum(1, keepdims=True)
-            weight = (part.sum(0) + 1) / (len(docs) + STATES)
             emit = counts.T @ part
             table = (emit + 100 * overall[:, None]) / (emit.sum(0) + 100)
-        return Model(weight, np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES), table)
+            log = counts @ np.log(table) + np.log((part.sum(0) + 1) / (len(rows) + STATES))
+            most = log.max(1, keepdims=True)
+            part = np.exp(log - most)
+            whole = part.sum(1, keepdims=True)
+            part /= whole
+        best = max(best, (float((most + np.log(whole)).sum()), log.argmax(1)), key=lambda x: x[0])
+    return best[1]
+
+
+def united(rows: np.ndarray) -> np.ndarray:
+    """Rows of numbers of tokens by class, united to STATES groups."""
+    out = np.zeros((STATES, CLASSES))
+    if len(rows):
+        np.add.at(out, grouped(rows), rows)
+    return out
+
+
+def groups_of(docs: list[np.ndarray]) -> np.ndarray:
+    """The same for documents, without a row of all classes for each."""
+    if not docs:
+        return np.zeros((STATES, CLASSES))
+    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), list(map(len, docs)))
+    folded = np.bincount(of * FOLDED + flat % FOLDED, minlength=len(docs) * FOLDED).reshape(len(docs), FOLDED)
+    return np.bincount(grouped(folded)[of] * CLASSES + flat, minlength=STATES * CLASSES).reshape(STATES, CLASSES).astype(float)
 
 
 def batches_of(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,11 +163,12 @@ def forward(model: Model, lengths: np.ndarray, seen: np.ndarray, keep: bool = Fa
     return (log, states, scale, active) if keep else log
 
 
-def expected(model: Model, docs: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Adds the documents' expected counts to (start, move, emit)."""
-    start, move, emit = into
+def expected(model: Model, docs: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Adds the documents' expected counts and log-likelihood to (start, move, emit, likelihood)."""
+    start, move, emit, likelihood = into
     for _, lengths, seen in batches_of(docs):
-        _, states, scale, active = forward(model, lengths, seen, keep=True)
+        log, states, scale, active = forward(model, lengths, seen, keep=True)
+        likelihood += log.sum()
         steps, n = seen.shape
         ahead = np.ones((n, len(model.start)))
         back = model.move.T.copy()
@@ -156,41 +187,96 @@ def expected(model: Model, docs: list[np.ndarray], into: tuple[np.ndarray, np.nd
             emit[:, k] += np.bincount(own, part[:, k], CLASSES)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on every row of `docs`: ROUNDS rounds, each a pass over all of them.
+def zeros() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), np.zeros(1)
+
+
+def sums_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    s, m = STATES, STATES + STATES * STATES
+    return flat[:s], flat[s:m].reshape(STATES, STATES), flat[m:-1].reshape(CLASSES, STATES), flat[-1:]
 
-    Null and empty texts are an end alone. Sums are taken in the order of the
-    partitions. What is gathered from a partition is of fixed size, and is added up
-    in slices on the executors.
+
+def rounds(model: Model, prior: float, count) -> Model:
+    """Baum-Welch: `count` gives a model's sums over the documents set aside and over the rest.
+
+    What is set aside has no part in any model but the last one, so that it tells
+    which prior serves unseen text, and when to stop.
+    """
+    before = -math.inf
+    for k in range(ROUNDS):
+        aside, rest = count(model)
+        if not rest[2].sum():
+            return Model.of_counts(*(a + r for a, r in zip(aside[:3], rest[:3], strict=True)), prior)
+        if aside[2].sum():
+            prior = deleted(rest[2], aside[2])
+        done = k == ROUNDS - 1 or float(aside[3][0]) - before < GAIN * abs(before)
+        before = float(aside[3][0])
+        used = [a + r for a, r in zip(aside[:3], rest[:3], strict=True)] if done else rest[:3]
+        model = Model.of_counts(*used, prior)
+        if done:
+            break
+    return model
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on every row of `docs`: a pass that turns them to classes and groups them, then up to ROUNDS rounds.
+
+    The classes are written to the shared folder for the rounds, and deleted behind
+    them. Each task groups its documents slice by slice, and groups are united in
+    turn until there are as many as states: the starting point, over all rows.
+    Null and empty texts are an end alone; null ids and repeated rows count as
+    other rows. Sums are taken in the order of the partitions. What is gathered from
+    a partition is of fixed size, and is added up in slices on the executors.
     """
-    texts = docs.select(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias(TEXT))
     spark = docs.sparkSession
-    picked = docs.select(F.xxhash64(F.col(quoted(id_col))).alias("h"), F.col(quoted(id_col)).alias("id")).orderBy("h", "id").limit(SEED_DOCS).select("id")
-    few = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias(TEXT)).join(F.broadcast(picked.distinct()), "id")
+    aside = F.coalesce(F.pmod(F.xxhash64(F.col(quoted(id_col))), F.lit(ASIDE)) == 0, F.lit(False))
+    texts = bounded_batches(docs).select(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias(TEXT), aside.alias("aside"))
 
     def classes(batches):
-        hasher = Hasher()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(hasher(x)).tobytes() for x in b.column(0).to_pylist()], pa.binary())], ["c"])
-
-    # whole texts of a bounded number of documents, 4 bytes a token
-    seeds = sorted(bytes(r["c"]) for r in few.select(TEXT).mapInArrow(classes, "c binary").collect())
-    model = Model.seeded([np.frombuffer(s, np.int32) for s in seeds])
-    width = STATES + STATES * STATES + CLASSES * STATES
+        hasher, own, k = Hasher(), TaskContext.get().partitionId(), 0
+        for b in gathered(batches, SLICE):
+            made = [class_of(hasher(x)) for x in b.column(0).to_pylist()]
+            groups = groups_of([d for d, a in zip(made, b.column(1).to_pylist(), strict=True) if not a])
+            row = [own, k, np.concatenate(made).astype("<u2").tobytes(), np.array(list(map(len, made)), "<i8").tobytes(), b.column(1).to_numpy(zero_copy_only=False).tobytes(), groups.astype("<f4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
+            k += 1
+
+    names = ["part", "k", "classes", "lengths", "aside", "groups"]
+    folder = work_dir(spark, "hmm")
+    texts.mapInArrow(classes, "part long, k long, classes binary, lengths binary, aside binary, groups binary").write.parquet(folder)
+    held = spark.read.parquet(folder)
+
+    def unite(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("part", "ascending"), ("k", "ascending")])
+        rows = np.concatenate([np.frombuffer(x, "<f4").reshape(STATES, CLASSES) for x in table.column("groups").to_pylist()])
+        made = united(rows[rows.sum(1) > 0]).astype("<f4").tobytes()
+        return pa.table({"part": table.column("part")[:1], "k": table.column("k")[:1], "groups": pa.array([made], pa.binary())})
+
+    groups = held.select("part", "k", "groups")
+    left = groups.count()
+    while left > 1:
+        left = math.ceil(left / UNITED)
+        groups = checkpointed(groups.groupBy(F.pmod(F.xxhash64("part", "k"), F.lit(left)).alias("to")).applyInArrow(unite, "part long, k long, groups binary"))
+        left = min(left, groups.count())
+    first = groups.first()
+    seeds = np.frombuffer(first["groups"], "<f4").reshape(STATES, CLASSES).astype(float) if first else np.zeros((STATES, CLASSES))
+    width = 2 * (STATES + STATES * STATES + CLASSES * STATES + 1)
     cut = 4096
-    for _ in range(ROUNDS):
+
+    def count(model: Model):
         sent = spark.sparkContext.broadcast(model)
 
-        def count(batches, sent=sent):
-            hasher, model = Hasher(), sent.value
-            sums = (np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))
+        def work(batches):
+            own, sums = sent.value, (zeros(), zeros())
             for b in batches:
-                for part in text_slices(b, TEXT, SLICE):
-                    expected(model, [class_of(hasher(x)) for x in part.column(0).to_pylist()], sums)
-            flat = np.concatenate([s.ravel() for s in sums])
+                for flat, lengths, aside in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    docs = np.split(np.frombuffer(flat, "<u2").astype(np.int32), np.cumsum(np.frombuffer(lengths, "<i8"))[:-1])
+                    for mark, into in zip((True, False), sums, strict=True):
+                        expected(own, [d for d, a in zip(docs, np.frombuffer(aside, bool).tolist(), strict=True) if a == mark], into)
+            flat = np.concatenate([s.ravel() for part in sums for s in part])
             parts = [flat[k : k + cut].tobytes() for k in range(0, width, cut)]
-            own = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([own] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part", "sums"])
+            here = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([here] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part", "sums"])
 
         def add(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table.column("part").to_pylist(), table.column("sums").to_pylist(), strict=True), key=lambda r: r[0])
@@ -199,12 +285,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
                 total += np.frombuffer(x)
             return pa.table({"slice": table.column("slice")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-        rows = texts.mapInArrow(count, "slice int, part int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()
+        rows = held.select("classes", "lengths", "aside").mapInArrow(work, "slice int, part int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()
+        sent.destroy()
         if not rows:
-            break
+            return zeros(), zeros()
         flat = np.frombuffer(b"".join(bytes(r["sums"]) for r in sorted(rows, key=lambda r: r["slice"])))
-        s, m = STATES, STATES + STATES * STATES
-        model = Model.of_counts(flat[:s], flat[s:m].reshape(STATES, STATES), flat[m:].reshape(CLASSES, STATES))
+        return sums_of(flat[: width // 2]), sums_of(flat[width // 2 :])
+
+    model = rounds(Model.seeded(seeds, 100.0), PRIORS[-1], count)
+    drop_path(spark, folder)
     return model
 
 

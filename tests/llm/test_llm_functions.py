@@ -82,15 +82,19 @@ def test_aho_corasick_against_windows():
     rng = random.Random(3)
     draw = lambda n: " ".join(rng.choice(["a", "b", "É", "c.", "C", "don't"]) for _ in range(n))
     items = [(str(k), draw(rng.randint(0, 14))) for k in range(30)] + [("x", "")]
-    built = decontam.automaton(items, 3)
+    built = decontam.Benchmark(items, 3)
     for n in range(60):
         text = draw(n)
-        assert decontam.scan(built, text) == brute_hits(text, items, 3)
+        words = decontam.words_of(text)
+        hit, own = built.scan(words)
+        assert (len(words), hit.tolist(), sorted(own)) == brute_hits(text, items, 3)
 
 
 def test_spans_point_at_the_original():
     text = "Wer? über--die brÜCKE gehen! nein (über die brÜcke, gehen)"
-    n, hit, _ = decontam.scan(decontam.automaton([("1", "über die brÜCKE gehen")]), text)
+    words = decontam.words_of(text)
+    hit, _ = decontam.Benchmark([("1", "über die brÜCKE gehen")]).scan(words)
+    n, hit = len(words), hit.tolist()
     assert n == 10 and [text[a:b] for a, b in decontam.char_spans(text, hit)] == ["über--die brÜCKE gehen", "über die brÜcke, gehen"]
 
 
@@ -269,16 +273,38 @@ def test_forward_is_exact():
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(6)
     docs = [(rng.integers(0, 20, 30) + 100 * (n % 3)).astype(np.int32) for n in range(60)]
-    model, before = hmm.Model.seeded(docs[:30]), -np.inf
+    model, before = hmm.Model.seeded(hmm.groups_of(docs[:30]), 100.0), -np.inf
     for _ in range(3):
         score = sum(hmm.forward(model, lengths, seen).sum() for _, lengths, seen in hmm.batches_of(docs))
         assert score > before - 1e-6
         before = score
-        sums = (np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.CLASSES, hmm.STATES)))
+        sums = hmm.zeros()
         hmm.expected(model, docs, sums)
+        assert abs(sums[3][0] - score) < 1e-6
         assert abs(sums[2].sum() - 60 * 30) < 1e-6 and abs(sums[0].sum() - 60) < 1e-6
-        model = hmm.Model.of_counts(*sums)
-
+        model = hmm.Model.of_counts(*sums[:3], 10.0)
+
+
+def test_documents_of_unlike_words_are_grouped_apart():
+    rng = np.random.default_rng(9)
+    docs = [(rng.integers(0, 20, 60) + 30 * (n % 3)).astype(np.int32) for n in range(90)]
+    groups = hmm.groups_of(docs)
+    of_kind = np.stack([groups[:, 30 * k : 30 * k + 20].sum(1) for k in range(3)], 1)
+    assert groups.sum() == 90 * 60 and ((of_kind > 0).sum(1) <= 1).all()
+    again = hmm.united(np.concatenate([hmm.groups_of(docs[:45]), hmm.groups_of(docs[45:])]))
+    assert np.allclose(again.sum(0), groups.sum(0))
+
+
+def test_prior_follows_unseen_counts():
+    rng = np.random.default_rng(10)
+    share = np.r_[np.full(50, 0.015), np.full(hmm.CLASSES - 50, 0.25 / (hmm.CLASSES - 50))]
+    draw = lambda n: np.stack([np.bincount(rng.choice(hmm.CLASSES, n, p=share), minlength=hmm.CLASSES) for _ in range(hmm.STATES)], 1).astype(float)
+    # states that do not differ need a large prior, those that do a small one
+    alike = hmm.deleted(draw(300), draw(300))
+    apart = np.zeros((hmm.CLASSES, hmm.STATES))
+    for k in range(hmm.STATES):
+        apart[100 * k : 100 * k + 100, k] = 50
+    assert hmm.deleted(apart, apart) < alike
 
 def test_graph_recall_against_brute_force():
     rng = np.random.default_rng(8)

@@ -72,7 +72,7 @@ def test_token_store(spark, odd, empty, shuffled):
 def test_decontamination_edges(spark, odd, empty):
     bench = spark.createDataFrame([("q2", PASSAGE), ("q1", "no id"), (None, "x"), ("q3", None), ("q2", PASSAGE)], "item_id string, text string")
     one = {(r.doc_id, tuple(r["items"]), len(r.hit_words)) for r in decontam.contamination(odd, bench, carry=["doc_id", "n_words"]).collect()}
-    many = {(r.doc_id, tuple(r["items"]), len(r.hit_words)) for r in decontam.contamination(odd, bench, carry=["doc_id", "n_words"], block_bytes=600).collect()}
+    many = {(r.doc_id, tuple(r["items"]), len(r.hit_words)) for r in decontam.contamination(odd, bench, carry=["doc_id", "n_words"], shard_bytes=600).collect()}
     assert one == many and (6, ("q2",), 60) in one and (None, ("q1",), 2) in one and (9, (), 0) in one
     assert decontam.contamination(odd, bench.limit(0), carry=["doc_id"]).agg(F.max(F.size("hit_words"))).first()[0] == 0
     assert decontam.contamination(empty, bench, carry=["doc_id"]).count() == 0
