@@ -66,7 +66,7 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A module for each supplier k of n: it imports k * 7 % n and k * k % n, and os."""
     s = table(spark, sf_dir, "supplier")
     n = s.agg(F.count("*").alias("n"))
-    one = s.withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one")
+    one = s.crossJoin(F.broadcast(n))  # one row
     k = F.col("s_suppkey")
     line = lambda m: F.concat(F.lit("import m_"), m.cast("string"))
     return files(one, "s_suppkey", numbered("m_", "s_suppkey"), lines("import os", line(k * 7 % F.col("n")), line(k * k % F.col("n"))))
@@ -194,3 +194,66 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probe for each event: the url is the user's, errors are down, purchases are 500, the rest 200."""
     e = table(spark, sf_dir, "events")
     return e.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("ms"), F.when(F.col("event_type") == "purchase", 500).when(F.col("event_type") != "error", 200).alias("code"), F.when(F.col("event_type") == "error", "timeout").alias("error"))
+
+
+def coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules by twenties: the first imports the others of its twenty, and is imported by the next four."""
+    s = table(spark, sf_dir, "supplier")
+    k, i = F.col("s_suppkey"), F.col("s_suppkey") % 20
+    others = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(19)), lambda j: F.concat(F.lit("import k_"), (k + j).cast("string"))), "\n")
+    content = F.when(i == 0, others).when(i <= 4, F.concat(F.lit("import k_"), (k - i).cast("string"))).otherwise("x_1 = 1")
+    return files(s, "s_suppkey", numbered("k_", "s_suppkey"), content, F.concat(F.lit("t"), F.floor(k / 20).cast("string")))
+
+
+def unhealthy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules by tens, for every supplier one with what lowers each score: a pickle if the key is divisible by 7, rings of imports by threes,
+    (key modulo 4) * 4 ifs, six parameters if the key is divisible by 5, a one-letter name if it is even."""
+    s = table(spark, sf_dir, "supplier")
+    k, i = F.col("s_suppkey"), F.col("s_suppkey") % 10
+    following = F.when(i % 3 == 2, k - 2).otherwise(k + 1)
+    args = F.when(k % 5 == 0, "first, second, third, fourth, fifth, sixth").otherwise("first")
+    ifs = F.array_join(F.array_repeat(F.lit("    if first:\n        total = 1"), (k % 4 * 4).cast("int")), "\n")
+    return files(
+        s, "s_suppkey", numbered("h_", "s_suppkey"),
+        lines(F.concat(F.lit("import h_"), following.cast("string")), F.when(k % 2 == 0, "q = 2"), F.concat(F.lit("def f_"), k.cast("string"), F.lit("("), args, F.lit("):")), F.when(k % 7 == 0, "    pickle.loads(first)"), F.nullif(ifs, F.lit("")), "    return first"),
+        F.concat(F.lit("h"), F.floor(k / 10).cast("string")),
+    )
+
+
+# A line for each stage of a pipeline that tells of it alone.
+STAGE_LINES = [
+    "pd.read_csv('a')", "dropna", "get_dummies", "MinMaxScaler", "KFold", "PCA", "nn.Linear", "AdamW", "DataLoader", "loss.backward()", "TensorBoard", "predict_proba (a)",
+    "confusion_matrix", "torch.save", "plt.show", "px.bar", "cv2.resize", "scipy.stats", "ic (a)", "pl.DataFrame", "lgb.train", "nlp = spacy", "cdef a",
+]
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each supplier that holds the line of stage key modulo 23, on line key modulo 3 + 1, twice."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    own = F.get(F.array(*map(F.lit, STAGE_LINES)), (k % len(STAGE_LINES)).cast("int"))
+    return files(s, "s_suppkey", numbered("ml_", "s_suppkey"), F.concat(F.repeat(F.lit("\n"), (k % 3).cast("int")), own, F.lit("\n"), own))
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A TypeScript file for each supplier: a function, a class, an interface and a type by its key, a call of the function, imports; one of them unused if the key is even."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    of = lambda a, b="": F.concat(F.lit(a), k, F.lit(b))
+    return files(
+        s, "s_suppkey", numbered("ts_", "s_suppkey", ".ts"),
+        lines("import { a } from './lib/tools'", of("export function run_", "(x) { return x }"), of("class Box_", " extends Base { }"), of("export interface Like_", " { }"), of("type Of_", " = string"), of("run_", "(1)"), F.when(F.col("s_suppkey") % 2 == 1, "tools.open()")),
+    )
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each supplier that does not parse and has the word of its key modulo 3 on two lines."""
+    s = table(spark, sf_dir, "supplier")
+    word = F.concat(F.lit("word_"), (F.col("s_suppkey") % 3).cast("string"))
+    return files(s, "s_suppkey", numbered("b_", "s_suppkey"), F.concat(word, F.lit(" = (\n    "), word, F.lit(", ")))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file for each supplier, which breaks on line 2 if the key is divisible by 3."""
+    s = table(spark, sf_dir, "supplier")
+    return files(s, "s_suppkey", numbered("j_", "s_suppkey", ".json"), F.when(F.col("s_suppkey") % 3 == 0, '{"a": 1,\n"b" 2}').otherwise('{"a": 1}'))

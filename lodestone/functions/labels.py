@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 BIG_O_WORST_FIRST = ["O(2^n)", "O(n³)", "O(n²)", "O(n log n)", "O(n)", "O(log n)", "O(1)"]
 HOT = ["O(n²)", "O(n³)", "O(2^n)"]
 EFFICIENT, MODERATE = ["O(1)", "O(log n)"], ["O(n)", "O(n log n)"]
-CC_COLOURS = {"low": "#00f5a0", "medium": "#ffb627", "high": "#ff8c42", "critical": "#ff3366"}
+CC_COLOURS = {"low": "#00f5a0", "medium": "#ffb627", "high": "#ff8a00", "critical": "#ff3366"}
+BIG_O_COLOURS = {"O(1)": "#00f5a0", "O(log n)": "#8ef5c0", "O(n)": "#ffb627", "O(n log n)": "#ff8a00", "O(n²)": "#ff3366", "O(n³)": "#ff3366", "O(2^n)": "#ff3366"}
+BIG_O_ELSE = "#4a5880"
 SEVERITY_RANK = {"High": 0, "Medium": 1, "Low": 2}
+HIGH_SMELLS, MEDIUM_SMELLS = ["god_object", "shadowed_name", "circular_dependency"], ["large_class", "inconsistent_casing", "unstable_dependency"]
+KIND_ORDER = [
+    ["god_object", "large_class", "deep_nesting", "long_function", "excessive_parameters"],
+    ["shadowed_name", "inconsistent_casing", "single_letter_name"],
+    ["circular_dependency", "unstable_dependency", "high_efferent_coupling"],
+]
 MARKER_SEVERITY = {"error": 8, "warning": 4, "info": 2, "hint": 1}
 NUMERIC_NAMES = ["sort", "search", "compute", "calc", "matrix", "multiply", "fft", "transform", "encode", "decode", "hash", "compress", "convolve"]
 
@@ -50,10 +58,6 @@ def is_hot(big_o: Column, quartic: bool = False) -> Column:
     return big_o.isin([*HOT, "O(n^4)"] if quartic else HOT)
 
 
-def worst_rank(big_o: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*map(F.lit, BIG_O_WORST_FIRST)), big_o), F.lit(0))
-
-
 def worst_big_o(labels: Column) -> Column:
     """The worst known label of an array; unknown ones only if there is nothing else; O(1) if empty."""
     known = F.filter(F.array(*map(F.lit, BIG_O_WORST_FIRST)), lambda x: F.array_contains(labels, x))
@@ -77,8 +81,22 @@ def issue_count_band(n: Column) -> Column:
 
 
 def smell_severity(kind: Column) -> Column:
-    """By kind of smell: errors are High, those to look at Medium, the rest Low."""
-    return F.when(kind.isin("god_object", "circular_dependency", "unstable_dependency"), "High").when(kind.isin("long_function", "large_class", "deep_nesting", "high_efferent_coupling"), "Medium").otherwise("Low")
+    """By kind of smell."""
+    return F.when(kind.isin(HIGH_SMELLS), "High").when(kind.isin(MEDIUM_SMELLS), "Medium").otherwise("Low")
+
+
+def kind_rank(kind: Column) -> Column:
+    """The order of kinds within their family."""
+    return mapped(kind, {k: n for family in KIND_ORDER for n, k in enumerate(family)}, 99)
+
+
+def big_o_colour(big_o: Column) -> Column:
+    return mapped(big_o, BIG_O_COLOURS, BIG_O_ELSE)
+
+
+def big_o_order(big_o: Column) -> Column:
+    """From the best label to the worst; unknown ones come first."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, reversed(BIG_O_WORST_FIRST))), big_o), F.lit(0)) - 1, F.lit(-1))
 
 
 def big_o(depth: Column, recursive: Column, split: Column) -> Column:
@@ -148,10 +166,19 @@ def halstead(h: Column) -> dict[str, Column]:
     return {"vocabulary": vocabulary.cast("long"), "length": length.cast("long"), "volume": volume, "difficulty": difficulty, "effort": difficulty * volume}
 
 
+def is_numeric_name(name: Column) -> Column:
+    return F.lower(name).rlike("|".join(NUMERIC_NAMES))
+
+
 def wasm_priority(label: Column, cc: Column, loc: Column, name: Column) -> Column:
-    numeric = F.lower(name).rlike("|".join(NUMERIC_NAMES))
-    return F.when(is_hot(label), 3).otherwise(0) + F.when(cc >= 5, 2).otherwise(0) + F.when(loc >= 30, 1).otherwise(0) + F.when(numeric, 2).otherwise(0)
+    return F.when(is_hot(label), 3).otherwise(0) + F.when(cc >= 5, 2).otherwise(0) + F.when(loc >= 30, 1).otherwise(0) + F.when(is_numeric_name(name), 2).otherwise(0)
+
+
+def speedup(label: Column, cc: Column, language: Column) -> Column:
+    """What a hint promises, by the language that a function is in."""
+    # Fixed values
+    return F.when(language.isin("c", "cpp"), "2-10x vs JavaScript").when(language.isin("javascript", "typescript"), "3-20x for numeric work").otherwise(_python_speedup(label, cc))
 
 
-def speedup(label: Column, cc: Column) -> Column:
+def _python_speedup(label: Column, cc: Column) -> Column:
     return F.when(label.isin("O(n³)", "O(2^n)"), "10-100x").when(label == "O(n²)", "5-30x").when(cc >= 10, "2-10x").otherwise("1.5-3x")

@@ -9,7 +9,9 @@ blocks of a module are listed.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
+from functools import cached_property
 
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -32,33 +34,40 @@ CREDENTIAL_NEEDLES = ("password", "passwd", "pwd", "secret", "api_key", "apikey"
 CASING_IGNORED = {"self", "cls"}
 
 
-def own(node: ast.AST) -> Iterator[ast.AST]:
-    """Everything below a node in source order, without the insides of nested functions and classes."""
-    for child in ast.iter_child_nodes(node):
-        yield child
-        if not isinstance(child, SCOPES):
-            yield from own(child)
+def body_nodes(body: list[ast.stmt]) -> list[ast.AST]:
+    """Everything in source order, without the insides of nested functions and classes."""
+    out, stack = [], body[::-1]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        if not isinstance(node, SCOPES):
+            below = children(node)
+            below.reverse()
+            stack += below
+    return out
 
 
-def body_nodes(body: list[ast.stmt]) -> Iterator[ast.AST]:
-    for stmt in body:
-        yield stmt
-        if not isinstance(stmt, SCOPES):
-            yield from own(stmt)
+def children(node: ast.AST) -> list[ast.AST]:
+    out: list[ast.AST] = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        if isinstance(value, list):
+            out += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST):
+            out.append(value)
+    return out
 
 
-def deep(body: list[ast.stmt]) -> Iterator[ast.AST]:
+def deep(body: list[ast.stmt]) -> list[ast.AST]:
     """Everything, nested functions included, in source order."""
-    for stmt in body:
-        yield stmt
-        stack = [ast.iter_child_nodes(stmt)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            else:
-                yield child
-                stack.append(ast.iter_child_nodes(child))
+    out, stack = [], body[::-1]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        below = children(node)
+        below.reverse()
+        stack += below
+    return out
 
 
 def blocks_of(stmt: ast.stmt) -> list[list[ast.stmt]]:
@@ -101,14 +110,10 @@ def decisions(node: ast.AST) -> int:
     return max(0, len(node.cases) - 1) if isinstance(node, ast.Match) else 0
 
 
-def cyclomatic(body: list[ast.stmt]) -> int:
-    return 1 + sum(map(decisions, body_nodes(body)))
-
-
-def cyclomatic_light(function: ast.AST) -> int:
-    """The editor's quick count: with, assert and comprehensions count, nested functions too."""
+def cyclomatic_light(nodes: list[ast.AST]) -> int:
+    """The editor's quick count over all nodes of a function: with, assert and comprehensions count, nested functions too."""
     total = 1
-    for node in ast.walk(function):
+    for node in nodes:
         if isinstance(node, (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension)):
             total += 1
         elif isinstance(node, ast.BoolOp):
@@ -136,16 +141,16 @@ def leaves_early(body: list[ast.stmt], inside: bool = False) -> bool:
     return False
 
 
-def splits_in_half(body: list[ast.stmt]) -> bool:
+def splits_in_half(nodes: list[ast.AST]) -> bool:
     halving = {ast.FloorDiv: 2, ast.RShift: 1}
-    for node in deep(body):
+    for node in nodes:
         if isinstance(node, ast.BinOp) and isinstance(node.right, ast.Constant) and type(node.right.value) is int and node.right.value == halving.get(type(node.op)):
             return True
     return False
 
 
-def calls_of(body: list[ast.stmt]) -> list[str]:
-    functions = (n.func for n in deep(body) if isinstance(n, ast.Call))
+def calls_of(calls: list[ast.Call]) -> list[str]:
+    functions = (n.func for n in calls)
     return sorted({f.id if isinstance(f, ast.Name) else f.attr for f in functions if isinstance(f, (ast.Name, ast.Attribute))})
 
 
@@ -153,9 +158,8 @@ def is_call_of(node: ast.AST | None, name: str) -> bool:
     return isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == name
 
 
-def self_calls(body: list[ast.stmt], name: str) -> tuple[int, int]:
+def self_calls(nodes: list[ast.AST], name: str) -> tuple[int, int]:
     """Calls of the function itself, and those that are returned as they are."""
-    nodes = list(deep(body))
     return sum(is_call_of(n, name) for n in nodes), sum(isinstance(n, ast.Return) and is_call_of(n.value, name) for n in nodes)
 
 
@@ -170,7 +174,7 @@ def branch_factor(body: list[ast.stmt], name: str) -> int:
         elif inner := [b for b in blocks_of(s) if not isinstance(s, ast.TryStar)]:
             total += sum(branch_factor(b, name) for b in inner)
         else:
-            total += self_calls([s], name)[0]
+            total += self_calls(deep([s]), name)[0]
     return total
 
 
@@ -199,29 +203,32 @@ def comprehension_depth(node: ast.AST) -> int:
     return 1 + comprehension_depth(node.elt) if isinstance(node, COMPREHENSIONS) else 0
 
 
-def receivers(body: list[ast.stmt], methods: set[str]) -> set[str]:
-    return {n.func.value.id for n in deep(body) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in methods and isinstance(n.func.value, ast.Name)}
+def receivers(calls: list[ast.Call], methods: set[str]) -> set[str]:
+    return {n.func.value.id for n in calls if isinstance(n.func, ast.Attribute) and n.func.attr in methods and isinstance(n.func.value, ast.Name)}
 
 
-def traversal(body: list[ast.stmt], recursive: bool) -> str | None:
+def traversal(nodes: list[ast.AST], calls: list[ast.Call], recursive: bool) -> str | None:
     assigned = set()
-    for n in deep(body):
+    for n in nodes:
         targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []
         assigned |= {t.id.lower() for t in targets if isinstance(t, ast.Name)}
     if assigned & INDEGREE_NAMES:
         return "Topological Sort (Kahn's algorithm)"
     if assigned & VISITED_NAMES:
-        if receivers(body, {"popleft"}):
+        if receivers(calls, {"popleft"}):
             return "BFS"
-        if recursive or receivers(body, {"append", "pop"}):
+        if recursive or receivers(calls, {"append", "pop"}):
             return "DFS"
     return None
 
 
 def function_facts(f: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
-    sites, tails = self_calls(f.body, f.name)
-    recursive, split = sites > 0, splits_in_half(f.body)
-    loops = sum(isinstance(n, (ast.For, ast.While)) for n in ast.walk(f))
+    nodes = deep(f.body)
+    own = body_nodes(f.body) if any(isinstance(n, SCOPES) for n in nodes) else nodes
+    every = [*nodes, *deep([f.args, *f.decorator_list, *([f.returns] if f.returns else [])])]
+    calls = [n for n in nodes if isinstance(n, ast.Call)]
+    sites, tails = self_calls(nodes, f.name)
+    recursive, split = sites > 0, splits_in_half(nodes)
     named = any(k in f.name.lower() for k in GRAMMAR_NAMES)
     return {
         "name": f.name,
@@ -233,22 +240,22 @@ def function_facts(f: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
         "decorators": [decorator(d) for d in f.decorator_list],
         "docstring": docstring(f.body),
         "returns_annotated": f.returns is not None,
-        "complexity": cyclomatic(f.body),
-        "cc_light": cyclomatic_light(f),
+        "complexity": 1 + sum(map(decisions, own)),
+        "cc_light": cyclomatic_light(every),
         "loop_depth": nesting(f.body, LOOPS),
-        "loop_count": loops,
+        "loop_count": sum(isinstance(n, (ast.For, ast.While)) for n in every),
         "early_exit": leaves_early(f.body),
         "is_recursive": recursive,
         "is_tail_recursive": recursive and sites == tails,
         "binary_split": split,
-        "halves": any(isinstance(n, ast.AugAssign) and isinstance(n.op, ast.FloorDiv) for n in ast.walk(f)),
+        "halves": any(isinstance(n, ast.AugAssign) and isinstance(n.op, ast.FloorDiv) for n in every),
         "dc_factor": branch_factor(f.body, f.name) if recursive and split else 0,
-        "growth_depth": max([growth(f.body), *map(comprehension_depth, deep(f.body))]),
+        "growth_depth": max([growth(f.body), *(comprehension_depth(n) for n in nodes if isinstance(n, COMPREHENSIONS))]),
         "block_depth": nesting(f.body, BLOCKS),
-        "uses_regex": any(isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in REGEX_METHODS and dotted(n.func.value) == "re" for n in deep(f.body)),
-        "grammar_shaped": named and (recursive or bool(receivers(f.body, {"append", "pop"}))),
-        "traversal": traversal(f.body, recursive),
-        "calls": calls_of(f.body),
+        "uses_regex": any(isinstance(n.func, ast.Attribute) and n.func.attr in REGEX_METHODS and dotted(n.func.value) == "re" for n in calls),
+        "grammar_shaped": named and (recursive or bool(receivers(calls, {"append", "pop"}))),
+        "traversal": traversal(nodes, calls, recursive),
+        "calls": calls_of(calls),
     }
 
 
@@ -290,9 +297,9 @@ def class_facts(c: ast.ClassDef) -> dict:
     }
 
 
-def import_facts(tree: ast.Module) -> list[dict]:
+def import_facts(nodes: list[ast.AST]) -> list[dict]:
     out = []
-    for n in deep(tree.body):
+    for n in nodes:
         if isinstance(n, ast.Import):
             out += [{"module": a.name, "name": None, "alias": a.asname, "type": "import", "line": n.lineno} for a in n.names]
         elif isinstance(n, ast.ImportFrom):
@@ -368,7 +375,7 @@ def finding_of(call: ast.Call, tainted: dict) -> dict | None:
 
 def function_findings(f: ast.AST) -> list[dict]:
     tainted: dict[str, tuple[str, bool]] = {}
-    nodes = list(body_nodes(f.body))
+    nodes = body_nodes(f.body)
     for n in nodes:
         if isinstance(n, ast.Assign):
             info = taint(n.value, tainted)
@@ -389,9 +396,9 @@ def is_placeholder(value: str) -> bool:
     return not v or low in ("changeme", "todo") or (len(low) >= 3 and set(low) == {"x"}) or low.startswith("your") or wrapped
 
 
-def credentials(tree: ast.Module) -> list[dict]:
+def credentials(nodes: list[ast.AST]) -> list[dict]:
     out = []
-    for n in deep(tree.body):
+    for n in nodes:
         targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) and n.value else []
         if targets and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) and not is_placeholder(n.value.value):
             for t in targets:
@@ -445,8 +452,7 @@ def shadowed(body: list[ast.stmt], outer: set[str]) -> Iterator[dict]:
                 yield from shadowed(b, outer)
 
 
-def naming(tree: ast.Module) -> list[dict]:
-    nodes = list(deep(tree.body))
+def naming(tree: ast.Module, nodes: list[ast.AST]) -> list[dict]:
     loops = [n.target for n in nodes if isinstance(n, (ast.For, ast.AsyncFor, ast.comprehension))]
     exempt = {(x.id, x.lineno) for t in loops for x in bound(t)}
     out, seen = [], set()
@@ -557,9 +563,9 @@ def raw_lines(content: str, tree: ast.Module | None) -> dict:
 # -- lint and symbols ------------------------------------------------------
 
 
-def lint(tree: ast.Module) -> list[dict]:
+def lint(nodes: list[ast.AST]) -> list[dict]:
     out = []
-    for n in ast.walk(tree):
+    for n in nodes:
         at = {"line": getattr(n, "lineno", None), "col": getattr(n, "col_offset", 0)}
         if isinstance(n, ast.Assert):
             out.append(at | {"code": "W001", "message": "assert is switched off by -O"})
@@ -574,10 +580,10 @@ def lint(tree: ast.Module) -> list[dict]:
     return out
 
 
-def symbols(tree: ast.Module) -> tuple[list[dict], list[dict]]:
+def symbols(nodes: list[ast.AST]) -> tuple[list[dict], list[dict]]:
     """Definitions and references, a row each; a query filters them by name."""
     found, refs = [], []
-    for n in ast.walk(tree):
+    for n in nodes:
         if isinstance(n, DEFS):
             found.append({"name": n.name, "kind": "method" if n.col_offset else "function", "line": n.lineno, "col": n.col_offset, "label": f"{n.name}({', '.join(a.arg for a in n.args.args)})"})
             refs.append({"name": n.name, "kind": "definition", "line": n.lineno, "col": n.col_offset})
@@ -590,45 +596,79 @@ def symbols(tree: ast.Module) -> tuple[list[dict], list[dict]]:
                     found.append({"name": t.id, "kind": "constant" if t.id.isupper() else "variable", "line": n.lineno, "col": t.col_offset, "label": t.id})
         elif isinstance(n, (ast.Import, ast.ImportFrom)):
             found += [{"name": a.asname or a.name.split(".")[0], "kind": "import", "line": n.lineno, "col": n.col_offset, "label": a.asname or a.name} for a in n.names]
-        elif isinstance(n, ast.Call):
-            f = n.func
-            if isinstance(f, (ast.Name, ast.Attribute)):
-                refs.append({"name": f.id if isinstance(f, ast.Name) else f.attr, "kind": "call", "line": f.lineno, "col": f.col_offset})
         elif isinstance(n, ast.Name):
-            refs.append({"name": n.id, "kind": "definition" if isinstance(n.ctx, ast.Store) else "read", "line": n.lineno, "col": n.col_offset})
+            refs.append({"name": n.id, "kind": "read", "line": n.lineno, "col": n.col_offset})
         elif isinstance(n, ast.Attribute):
-            refs.append({"name": n.attr, "kind": "read", "line": n.lineno, "col": n.col_offset})
+            refs.append({"name": n.attr, "kind": "call", "line": n.end_lineno, "col": n.col_offset})
     return found, refs
 
 
-def parse(content: str) -> dict:
-    """All facts of a file; a syntax error is a fact as well."""
+def light_function(f: ast.AST) -> dict:
+    nodes = list(ast.walk(f))
+    return {
+        "name": f.name,
+        "cc": cyclomatic_light(nodes),
+        "loops": sum(isinstance(n, (ast.For, ast.While)) for n in nodes),
+        "recursive": any(is_call_of(n, f.name) for n in nodes),
+        "halves": any(isinstance(n, ast.AugAssign) and isinstance(n.op, ast.FloorDiv) for n in nodes),
+    }
+
+
+class File:
+    """A parsed file; what several facts need is made once, and only if one is asked for."""
+
+    def __init__(self, content: str):
+        self.content, self.tree = content, ast.parse(content)
+
+    @cached_property
+    def nodes(self) -> list[ast.AST]:
+        return deep(self.tree.body)
+
+    @cached_property
+    def walked(self) -> list[ast.AST]:
+        return list(ast.walk(self.tree))
+
+    @cached_property
+    def listed(self) -> list[ast.AST]:
+        return list(listed_functions(self.tree.body))
+
+    @cached_property
+    def named(self) -> tuple[list[dict], list[dict]]:
+        return symbols(self.walked)
+
+
+FACTS = {
+    "functions": lambda f: [function_facts(x) for x in f.listed],
+    "classes": lambda f: [class_facts(n) for n in f.nodes if isinstance(n, ast.ClassDef)],
+    "imports": lambda f: import_facts(f.nodes),
+    "findings": lambda f: sorted([x for g in f.listed for x in function_findings(g)] + credentials(f.nodes), key=lambda r: r["line"]),
+    "naming": lambda f: naming(f.tree, f.nodes),
+    "used_names": lambda f: sorted({n.id for n in f.nodes if isinstance(n, ast.Name)} | {n.attr for n in f.nodes if isinstance(n, ast.Attribute)}),
+    "lint": lambda f: lint(f.walked),
+    "symbols": lambda f: f.named[0],
+    "refs": lambda f: f.named[1],
+    "halstead": lambda f: halstead(f.tree),
+    "raw": lambda f: raw_lines(f.content, f.tree),
+    "light_functions": lambda f: [light_function(n) for n in f.walked if isinstance(n, DEFS)],
+    "light_imports": lambda f: sum(isinstance(n, (ast.Import, ast.ImportFrom)) for n in f.nodes),
+    "light_classes": lambda f: sum(isinstance(n, ast.ClassDef) for n in f.nodes),
+}
+#: Every whole word of a file, for files without a tree.
+WORD = re.compile(r"[^\W\d]\w*")
+
+
+def parse(content: str, wanted: set[str] | None = None) -> dict:
+    """The wanted facts of a file, all if None; a syntax error is a fact as well, and leaves its words as references."""
     try:
-        tree = ast.parse(content)
+        file = File(content)
     except SyntaxError as e:
-        return {"language": "python", "error": e.msg, "error_line": e.lineno, "error_col": e.offset, "raw": raw_lines(content, None)}
+        failed = {"error": e.msg, "error_line": e.lineno, "error_col": e.offset}
     except (ValueError, RecursionError, MemoryError) as e:
-        return {"language": "python", "error": str(e) or type(e).__name__, "raw": raw_lines(content, None)}
-    listed = list(listed_functions(tree.body))
-    found, refs = symbols(tree)
-    every = [n for n in ast.walk(tree) if isinstance(n, DEFS)]
-    return {
-        "language": "python",
-        "functions": [function_facts(f) for f in listed],
-        "classes": [class_facts(n) for n in deep(tree.body) if isinstance(n, ast.ClassDef)],
-        "imports": import_facts(tree),
-        "findings": sorted([x for f in listed for x in function_findings(f)] + credentials(tree), key=lambda r: r["line"]),
-        "naming": naming(tree),
-        "used_names": sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)}),
-        "lint": lint(tree),
-        "symbols": found,
-        "refs": refs,
-        "halstead": halstead(tree),
-        "raw": raw_lines(content, tree),
-        "light_functions": [
-            {"name": f.name, "cc": cyclomatic_light(f), "loops": sum(isinstance(n, (ast.For, ast.While)) for n in ast.walk(f)), "recursive": any(is_call_of(n, f.name) for n in ast.walk(f)), "halves": any(isinstance(n, ast.AugAssign) and isinstance(n.op, ast.FloorDiv) for n in ast.walk(f))}
-            for f in every
-        ],
-        "light_imports": sum(isinstance(n, (ast.Import, ast.ImportFrom)) for n in ast.walk(tree)),
-        "light_classes": sum(isinstance(n, ast.ClassDef) for n in ast.walk(tree)),
-    }
+        failed = {"error": str(e) or type(e).__name__}
+    else:
+        return {"language": "python"} | {k: fact(file) for k, fact in FACTS.items() if wanted is None or k in wanted}
+    if wanted is None or "raw" in wanted:
+        failed["raw"] = raw_lines(content, None)
+    if wanted is None or "refs" in wanted:
+        failed["refs"] = [{"name": m[0], "kind": "use", "line": k, "col": m.start()} for k, line in enumerate(content.splitlines(), 1) for m in WORD.finditer(line)]
+    return {"language": "python"} | failed

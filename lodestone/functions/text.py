@@ -10,8 +10,8 @@ BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE = "[\\s\x1c-\x1f\x85\\p{Z}]"
 CREDENTIAL_NEEDLES = ["password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "accesskey", "auth_token", "authtoken", "private_key", "privatekey"]
 LANGUAGES = {
-    ".py": "python", ".pyw": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp",
-    ".rs": "rust", ".go": "go", ".java": "java", ".html": "html", ".css": "css", ".json": "json", ".md": "markdown", ".sh": "shell",
+    ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".java": "java",
+    ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby", ".sql": "sql", ".md": "markdown", ".json": "json", ".yaml": "yaml",
 }
 
 
@@ -88,7 +88,7 @@ def language(path: Column) -> Column:
 def parser_of(path: Column) -> Column:
     """Which parser takes a file; C headers go to that of C++. Null: unsupported."""
     s = suffix(path)
-    return F.when(s.isin(".py", ".pyw"), "python").when(s.isin(".js", ".jsx", ".mjs"), "javascript").when(s.isin(".ts", ".tsx"), "typescript").when(s == ".c", "c").when(s.isin(".cpp", ".cc", ".cxx", ".hpp", ".h"), "cpp")
+    return F.when(s == ".py", "python").when(s.isin(".js", ".jsx"), "javascript").when(s.isin(".ts", ".tsx"), "typescript").when(s == ".c", "c").when(s.isin(".cpp", ".cc", ".cxx", ".hpp", ".h"), "cpp")
 
 
 def human_size(n: Column) -> Column:
@@ -130,22 +130,17 @@ def is_identifier(text: Column) -> Column:
     return text.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$")
 
 
-def is_snake(name: Column) -> Column:
-    core = F.regexp_replace(name, "^_+|_+$", "")
-    return ~name.startswith("__") & core.contains("_") & (core == F.lower(core))
-
-
-def is_camel(name: Column) -> Column:
-    core = F.regexp_replace(name, "^_+|_+$", "")
-    return (F.length(name) > 1) & ~name.startswith("__") & ~core.contains("_") & name.rlike(r"^\p{Ll}") & (name != F.lower(name))
-
-
 def html_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
+def clock(at: Column | None = None) -> Column:
+    """The session's local time of day, of now if no time is given."""
+    return F.date_format(F.current_timestamp() if at is None else at, "HH:mm:ss")
+
+
 def null_ratio(text: Column) -> Column:
     return count_of(text, "\x00") / F.greatest(F.length(text), F.lit(1))
 
@@ -177,6 +172,7 @@ def validation(path: Column, text: Column, syntax_error: Column) -> dict[str, Co
             F.when((s == ".py") & looks_cut_off(text), "truncated"),
             F.when(scripted & (balance != 0), F.format_string("unbalanced braces (%+d)", balance)),
             F.when((s == ".py") & syntax_error.isNotNull(), F.concat(F.lit("syntax error: "), syntax_error)),
+            F.when(~F.is_valid_utf8(text), "not UTF-8"),
             F.when(feeds > 5000, F.format_string("very long (%d lines)", feeds)),
             F.when(is_blank(text), "empty"),
         )
@@ -184,6 +180,7 @@ def validation(path: Column, text: Column, syntax_error: Column) -> dict[str, Co
     return {
         "is_binary": binary,
         "valid": ~binary,
+        "encoding_ok": F.is_valid_utf8(text),
         "is_truncated": ~binary & (s == ".py") & looks_cut_off(text),
         "safe_mode": ~binary & (s == ".py") & syntax_error.isNotNull(),
         "warnings": F.when(binary, F.array().cast("array<string>")).otherwise(notes),

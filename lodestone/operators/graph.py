@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..functions.cycles import shortest_cycles
 from .parse import KEYS
 
 #: More internal imports than this are high coupling; used by as many and unstable beyond the share.
@@ -78,35 +80,35 @@ def coupling_smells(nodes: DataFrame) -> DataFrame:
     return high.unionByName(unstable)
 
 
-def cycles(edges: DataFrame, most: int = MOST_CYCLES, checkpoint: bool = False) -> DataFrame:
+def cycles(edges: DataFrame, most: int = MOST_CYCLES) -> DataFrame:
     """Simple cycles, shortest first, then by their nodes from the least one; up to `most` a project.
 
-    Nodes without an edge in or out are taken off until none is left. Paths grow from
-    their least node only; a round keeps no more paths of a start than could matter:
-    all of them, since a cap would lose cycles, but a project with `most` cycles of
-    shorter length is done and grows no further.
+    A project is the unit: its distinct edges meet in one task, where those between
+    strongly connected components fall away before cycles are looked for. A cycle's
+    length has no other bound.
     """
-    steps = edges.select("project_id", "src", "dst").where(F.col("src") != F.col("dst")).distinct()
-    size = None
-    while size != (now := steps.count()):
-        size = now
-        starts, ends = (steps.select("project_id", F.col(c).alias("node")).distinct() for c in ("src", "dst"))
-        steps = steps.join(starts.withColumnRenamed("node", "dst"), ["project_id", "dst"], "left_semi").join(ends.withColumnRenamed("node", "src"), ["project_id", "src"], "left_semi").select("project_id", "src", "dst").cache()
-    paths = steps.where(F.col("src") < F.col("dst")).select("project_id", F.array("src", "dst").alias("nodes"))
-    found, length = None, 2
-    while not paths.isEmpty():
-        last = paths.withColumn("src", F.element_at("nodes", -1)).join(steps, ["project_id", "src"]).cache()
-        closed = last.where(F.col("dst") == F.element_at("nodes", 1)).select("project_id", F.lit(length).alias("length"), "nodes")
-        found = closed if found is None else found.unionByName(closed)
-        full = found.groupBy("project_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("project_id")
-        open_ = last.where((F.col("dst") > F.element_at("nodes", 1)) & ~F.array_contains("nodes", F.col("dst"))).join(full, "project_id", "left_anti")
-        paths = open_.select("project_id", F.concat("nodes", F.array("dst")).alias("nodes"))
-        paths = paths.checkpoint() if checkpoint else paths.cache()
-        length += 1
-    if found is None:
-        found = steps.select("project_id", F.lit(0).alias("length"), F.array("src").alias("nodes")).limit(0)
-    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("length", "nodes"))
-    return found.withColumn("cycle_id", rank).where(F.col("cycle_id") <= most).select("project_id", "cycle_id", "length", "nodes")
+
+    def find(table: pa.Table) -> pa.Table:
+        src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
+        names = sorted({*src, *dst})
+        number = {n: k for k, n in enumerate(names)}
+        found = shortest_cycles([(number[a], number[b]) for a, b in zip(src, dst, strict=True)], most)
+        project = table.column("project_id")[0].as_py()
+        rows = [{"project_id": project, "cycle_id": k, "length": len(c), "nodes": [names[n] for n in c]} for k, c in enumerate(found, 1)]
+        return pa.Table.from_pylist(rows, pa.schema([("project_id", pa.string()), ("cycle_id", pa.int32()), ("length", pa.int32()), ("nodes", pa.list_(pa.string()))]))
+
+    steps = edges.select(F.col("project_id").cast("string").alias("project_id"), "src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    return steps.groupBy("project_id").applyInArrow(find, "project_id string, cycle_id int, length int, nodes array<string>")
+
+
+def cycle_summary(found: DataFrame) -> DataFrame:
+    """Of each project the cycles and the files in any."""
+    return found.select("project_id", "cycle_id", F.explode("nodes").alias("path")).groupBy("project_id").agg(F.countDistinct("cycle_id").alias("cycles"), F.countDistinct("path").alias("files"))
+
+
+def max_in_degree(nodes: DataFrame) -> DataFrame:
+    """Of each project the most imports of one file; 0 without edges."""
+    return nodes.groupBy("project_id").agg(F.coalesce(F.max("in_degree"), F.lit(0)).alias("max_in_degree"))
 
 
 def cycle_smells(found: DataFrame) -> DataFrame:
@@ -118,10 +120,11 @@ def cycle_members(found: DataFrame) -> DataFrame:
     return found.select("project_id", F.explode("nodes").alias("path")).distinct()
 
 
-def module_edges(imports: DataFrame) -> DataFrame:
-    """A file's own module edges: from the first to the last part of each dotted import; its cycles are capped at five."""
+def module_cycles(imports: DataFrame, most: int = 5) -> DataFrame:
+    """A file's own cycles of modules: edges from the first to the last part of each dotted import."""
     parts = F.split("module", r"\.")
-    return imports.select(F.concat_ws("#", "project_id", "file_ord").alias("project_id"), F.element_at(parts, 1).alias("src"), F.element_at(parts, -1).alias("dst"))
+    own = imports.where(F.size(parts) > 1).select(F.concat_ws("#", "project_id", "file_ord").alias("project_id"), F.element_at(parts, 1).alias("src"), F.element_at(parts, -1).alias("dst"))
+    return cycles(own, most)
 
 
 def call_graph(fns: DataFrame) -> DataFrame:
@@ -145,7 +148,19 @@ def heatmap(fns: DataFrame) -> DataFrame:
     cc, big_o = labels.cc_band(F.col("complexity")), labels.big_o_band(F.col("big_o"))
     cc_rank = F.when(cc == "critical", 0).when(cc.isin("high", "medium"), 1).otherwise(3)
     big_o_rank = F.when(big_o == "expensive", 0).when(big_o == "moderate", 2).otherwise(3)
-    return fns.select(*KEYS, "fn_ord", "name", "line", "complexity", "big_o", cc.alias("cc_level"), labels.mapped(cc, labels.CC_COLOURS).alias("colour"), big_o.alias("big_o_level"), (cc_rank + big_o_rank).alias("heat"))
+    return fns.select(*KEYS, "fn_ord", "name", "line", "complexity", "big_o", cc.alias("cc_level"), labels.mapped(cc, labels.CC_COLOURS).alias("colour"), big_o.alias("big_o_level"), labels.big_o_colour(F.col("big_o")).alias("big_o_colour"), (cc_rank + big_o_rank).alias("heat"))
+
+
+def ordered_heatmap(rows: DataFrame) -> DataFrame:
+    """Hottest first: falling urgency, then falling complexity, then as they stand."""
+    return rows.orderBy("project_id", "heat", F.desc("complexity"), "file_ord", "fn_ord")
+
+
+def call_nodes(fns: DataFrame, active: DataFrame) -> DataFrame:
+    """The functions of a call graph with their colours; `hot`: of an expensive label."""
+    big_o = labels.big_o_band(F.col("big_o"))
+    first = fns.join(active, ["project_id", "name"], "left_semi").groupBy("project_id", "name").agg(F.min(F.struct("file_ord", "fn_ord", "path", "line", "complexity", "big_o")).alias("x")).select("project_id", "name", "x.*")
+    return first.withColumns({"level": big_o, "colour": labels.big_o_colour(F.col("big_o")), "hot": big_o == "expensive"})
 
 
 def heatmap_summary(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,13 +112,53 @@ def issue_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("project_id").agg(F.count("*").alias("issues"), n("error").alias("errors"), n("warning").alias("warnings"), F.countDistinct("path").alias("files"))
 
 
+def issue_cards(issues: DataFrame, most: int = 15) -> DataFrame:
+    """The first issues of each file, as its card shows them."""
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy("line", "col", "code"))
+    return issues.withColumn("k", rank).where(F.col("k") <= most)
+
+
+def run_summary(files: DataFrame, issues: DataFrame, apis: DataFrame) -> DataFrame:
+    """One row: files, issues, errors, warnings, endpoints and those that are ok."""
+    n = lambda c: F.count_if(c)
+    i = issues.agg(F.count("*").alias("issues"), n(F.col("severity") == "error").alias("errors"), n(F.col("severity") == "warning").alias("warnings"))
+    a = apis.agg(F.count("*").alias("apis"), n(F.col("status") == "ok").alias("apis_ok"))
+    # a row each
+    return files.agg(F.count("*").alias("files")).crossJoin(i).crossJoin(a)
+
+
+def mean_score(scores: DataFrame) -> DataFrame:
+    """The mean of the files that have a score, in two decimals."""
+    return scores.groupBy("project_id").agg(F.round(F.avg("score"), 2).alias("score"), F.count("score").alias("files"))
+
+
+def json_errors(files: DataFrame) -> DataFrame:
+    """An issue for each .json file that is none, where it breaks."""
+
+    @F.pandas_udf("line int, col int, message string")
+    def broken(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in content:
+            try:
+                json.loads(x or "")
+                rows.append((None, None, None))
+            except json.JSONDecodeError as e:
+                rows.append((e.lineno, e.colno, e.msg))
+            except RecursionError:
+                rows.append((1, 1, "nested too deep"))
+        return pd.DataFrame(rows, columns=["line", "col", "message"]).astype({"line": "Int32", "col": "Int32"})
+
+    rows = files.where(text.suffix(F.col("path")) == ".json").select(*KEYS, broken("content").alias("x")).where(F.col("x.line").isNotNull())
+    return rows.select(*KEYS, F.lit("json").alias("tool"), "x.line", "x.col", F.lit("error").alias("severity"), F.lit("E999").alias("code"), "x.message")
+
+
 def overall_status(apis: DataFrame, issues: DataFrame, logs: DataFrame) -> DataFrame:
     """One row: down, warning or ok."""
     a = apis.agg(F.coalesce(F.bool_or(F.col("status") == "down"), F.lit(False)).alias("down"))
     i = issues.agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("error"), F.coalesce(F.bool_or(F.col("severity") == "warning"), F.lit(False)).alias("warning"))
     g = logs.agg(F.coalesce(F.bool_or(F.col("level").isin("critical", "error")), F.lit(False)).alias("bad"))
-    one = F.lit(1).alias("one")
-    row = a.select("*", one).join(i.select("*", one), "one").join(g.select("*", one), "one")
+    # a row each
+    row = a.crossJoin(i).crossJoin(g)
     return row.select(F.when(F.col("down") | F.col("error"), "down").when(F.col("warning") | F.col("bad"), "warning").otherwise("ok").alias("status"))
 
 

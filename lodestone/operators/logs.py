@@ -38,6 +38,12 @@ def warning_lines(rows: DataFrame, most: int = 100) -> DataFrame:
     return rows.where(F.col("level") == "warning").select("name", "line_no", F.substring(text.strip(F.col("line")), 1, 200).alias("line")).orderBy("name", "line_no").limit(most)
 
 
+def problems(rows: DataFrame, most: int = 100) -> DataFrame:
+    """The errors, then the warnings, each up to `most`."""
+    both = error_lines(rows, most).withColumn("part", F.lit(0)).unionByName(warning_lines(rows, most).withColumns({"part": F.lit(1), "level": F.lit("warning")}))
+    return both.orderBy("part", "name", "line_no").drop("part")
+
+
 def error_numbers(rows: DataFrame, most: int = 20) -> DataFrame:
     """Each file's first error line numbers."""
     rank = F.row_number().over(Window.partitionBy("name").orderBy("line_no"))
@@ -59,5 +65,20 @@ def history(probes: DataFrame, kept: int = HISTORY, shown: int = SHOWN) -> DataF
     return probes.withColumn("back", rank).where(F.col("back") <= min(kept, shown))
 
 
+def ping_status(error: Column) -> Column:
+    """Of a probe that sees no answer: what times out is down, what fails otherwise a warning."""
+    return F.when(error.isNull(), "ok").when(F.lower(error).rlike("timed? ?out|abort"), "down").otherwise("warning")
+
+
+def cards(probes: DataFrame, query: str) -> DataFrame:
+    """Endpoint cards whose url, status or error holds the query."""
+    return probes.where(F.contains(F.lower(F.concat_ws(" ", "url", "status", "error")), F.lit(query.lower())))
+
+
+def all_badges(probes: DataFrame, issues: DataFrame, files: DataFrame) -> DataFrame:
+    """The badges of endpoints, issues and files, as one row."""
+    return badges(probes).crossJoin(issues.agg(F.count("*").alias("issues"))).crossJoin(files.agg(F.count("*").alias("files")))
+
+
 def badges(probes: DataFrame) -> DataFrame:
     return probes.agg(F.count("*").alias("apis"), *(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "down", "error")))

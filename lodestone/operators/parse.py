@@ -21,11 +21,15 @@ from ..functions import labels, pyfacts, scripts, text
 KEYS = ["project_id", "file_ord", "path"]
 
 
-def facts_of(path: str, content: str, parser: str | None) -> dict:
-    """Facts of one file; whatever goes wrong is its `error`, never a failed batch."""
+#: Bytes of input for each core up to which files are dealt over all cores first.
+DEALT_BYTES = 32 << 20
+
+
+def facts_of(path: str, content: str, parser: str | None, wanted: set[str] | None = None) -> dict:
+    """The wanted facts of one file; whatever goes wrong is its `error`, never a failed batch."""
     try:
         if parser == "python":
-            return pyfacts.parse(content)
+            return pyfacts.parse(content, wanted)
         if parser in ("javascript", "typescript"):
             return scripts.parse_js(content, parser)
         if parser in ("c", "cpp"):
@@ -36,17 +40,25 @@ def facts_of(path: str, content: str, parser: str | None) -> dict:
 
 
 def parse_files(files: DataFrame, facts: list[str] | None = None) -> DataFrame:
-    """SOURCE_FILE rows to PARSED_FILE rows (or its columns `facts`, beside keys, language and error). Null content is empty."""
+    """SOURCE_FILE rows to PARSED_FILE rows (or its columns `facts`, beside keys, language and error). Null content is empty.
+
+    Facts that are not asked for are not made. Parsing is heavy for its bytes, so an
+    input too small for a scan partition for each core is dealt over all cores first.
+    """
     wanted = [f for f in schemas.PARSED_FILE if facts is None or f.name in {*KEYS, "language", "error", *facts}]
     out = T.StructType(wanted)
     schema = to_arrow_schema(out)
     own = [f.name for f in wanted if f.name not in KEYS]
+    own_set = set(own)
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if not files.isStreaming and int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * DEALT_BYTES:
+        files = files.repartition(cores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                found = facts_of(r["path"], r["content"] or "", r["parser"])
+                found = facts_of(r["path"], r["content"] or "", r["parser"], own_set)
                 rows.append({k: r[k] for k in KEYS} | {k: found.get(k) for k in own})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -105,25 +117,37 @@ def naming_smells(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, "naming", "smell_ord")
 
 
+#: Smells that are a threshold on a fact: kind, rule, message; rules work on a struct or a row's columns.
+FUNCTION_SMELLS = [
+    ("long_function", lambda f: f["loc"] > 50, lambda f: F.format_string("%d lines (> 50)", f["loc"])),
+    ("excessive_parameters", lambda f: F.size(f["args"]) > 5, lambda f: F.format_string("%d parameters (> 5)", F.size(f["args"]))),
+    ("deep_nesting", lambda f: f["block_depth"] > 4, lambda f: F.format_string("%d nested blocks (> 4)", f["block_depth"])),
+]
+CLASS_SMELLS = [
+    ("large_class", lambda c: (F.size(c["methods"]) > 15) | (c["loc"] > 300), lambda c: F.format_string("%d methods, %d lines (> 15 or > 300)", F.size(c["methods"]), c["loc"])),
+    ("god_object", lambda c: (F.size(c["methods"]) >= 20) & (c["attributes"] >= 10), lambda c: F.format_string("%d methods and %d attributes (20 and 10)", F.size(c["methods"]), c["attributes"])),
+]
+
+
 def structural_smells(parsed: DataFrame) -> DataFrame:
-    """Smells that are a threshold on a fact: kind, name, line, message."""
-    f, c = functions(parsed), classes(parsed)
-    methods = F.size("methods")
-
-    def rows(df: DataFrame, bad, kind: str, message) -> DataFrame:
-        return df.where(bad).select(*KEYS, F.lit(kind).alias("kind"), "name", "line", message.alias("message"))
-
-    parts = [
-        rows(f, F.col("loc") > 50, "long_function", F.format_string("%d lines (> 50)", "loc")),
-        rows(f, F.size("args") > 5, "excessive_parameters", F.format_string("%d parameters (> 5)", F.size("args"))),
-        rows(f, F.col("block_depth") > 4, "deep_nesting", F.format_string("%d nested blocks (> 4)", "block_depth")),
-        rows(c, (methods > 15) | (F.col("loc") > 300), "large_class", F.format_string("%d methods, %d lines (> 15 or > 300)", methods, "loc")),
-        rows(c, (methods >= 20) & (F.col("attributes") >= 10), "god_object", F.format_string("%d methods and %d attributes (20 and 10)", methods, "attributes")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Smells that are a threshold on a fact: kind, name, line, message. Functions and classes are exploded once each, and all rules tried on a row."""
+
+    def rows(df: DataFrame, smells: list) -> DataFrame:
+        row = {c: F.col(c) for c in df.columns}
+        tried = [F.when(rule(row), F.struct(F.lit(kind).alias("kind"), message(row).alias("message"))) for kind, rule, message in smells]
+        return df.select(*KEYS, "name", "line", F.explode(F.array_compact(F.array(*tried))).alias("x")).select(*KEYS, "x.kind", "name", "line", "x.message")
+
+    return rows(functions(parsed), FUNCTION_SMELLS).unionByName(rows(classes(parsed), CLASS_SMELLS))
+
+
+def named(parsed: DataFrame, kind: str) -> DataFrame:
+    """A row for each export, interface, type or macro: `kind` is the plural."""
+    return _exploded(parsed, kind, "ord")
+
+
+def unused_modules(parsed: DataFrame) -> DataFrame:
+    """Imports of JavaScript and TypeScript whose module's base name is nowhere else in the file."""
+    return _exploded(parsed, "unused_modules", "ord").select(*KEYS, F.col("name").alias("module"), "line")
 
 
 def unused_imports(parsed: DataFrame) -> DataFrame:
@@ -194,15 +218,58 @@ def live_metrics(files: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
-def wasm_hints(fns: DataFrame) -> DataFrame:
-    """Functions that native code would speed up, most urgent first in `priority`."""
-    python = labels.wasm_priority(F.col("big_o"), F.col("complexity"), F.col("loc"), F.col("name"))
-    hot = labels.is_hot(F.col("big_o"))
-    other = F.when((F.col("language").isin("c", "cpp") & (hot | (F.col("complexity") >= 5))) | (F.col("language").isin("javascript", "typescript") & hot), 3).otherwise(0)
-    priority = F.when(F.col("language") == "python", python).otherwise(other)
-    return fns.select(*KEYS, "fn_ord", "name", "line", "big_o", priority.alias("priority"), labels.speedup(F.col("big_o"), F.col("complexity")).alias("speedup")).where("priority > 0")
+def wasm_hints(fns: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """What native code would speed up: keys, `fn_ord`, `name`, `line`, `priority`, `reasons`, `recommendation`, `speedup`.
+
+    With `files`, a module that loads .wasm is a hint of priority 5 on line 1 (Python), and
+    functions beside Cython code are told so.
+    """
+    big_o, cc, loc, name = (F.col(c) for c in ("big_o", "complexity", "loc", "name"))
+    hot, language = labels.is_hot(big_o), F.col("language")
+    python, c = language == "python", language.isin("c", "cpp")
+    if files is None:
+        rows = fns.withColumn("uses_cython", F.lit(False))
+    else:
+        rows = fns.join(wasm_modules(files).select(*KEYS[:2], "uses_cython"), KEYS[:2], "left").withColumn("uses_cython", F.coalesce("uses_cython", F.lit(False)))
+    own = F.array(
+        F.when(hot, F.concat(F.lit("time "), big_o)),
+        F.when(cc >= 5, F.format_string("cyclomatic complexity %d", cc)),
+        F.when(loc >= 30, F.format_string("%d lines", loc)),
+        F.when(labels.is_numeric_name(name), F.lit("the name tells of numeric work")),
+    )
+    reasons = F.when(python, F.array_compact(own)).when(c, F.array(F.format_string("hot path in C: %s, complexity %d", big_o, cc))).otherwise(F.array(F.concat(F.lit("hot path in a script: "), big_o)))
+    wanted = F.when(python, labels.wasm_priority(big_o, cc, loc, name)).when((c & (hot | (cc >= 5))) | (language.isin("javascript", "typescript") & hot), 3).otherwise(0)
+    advice = (
+        F.when(c, "compile with Emscripten: emcc -O3 -s WASM=1")
+        .when(~python, "move it to a Rust or C++ module compiled to WASM")
+        .when(F.col("uses_cython"), F.concat(F.lit("add cdef with C types to "), name))
+        .when(big_o.isin("O(n²)", "O(n³)"), F.concat(F.lit("type it in Cython, vectorise it with NumPy, or compile it with Emscripten: "), name))
+        .when(big_o == "O(2^n)", F.concat(F.lit("memoise it, use dynamic programming, then type it in Cython: "), name))
+        .otherwise(F.concat(F.lit("declare it with cdef in a .pyx file: "), name))
+    )
+    hints = rows.select(*KEYS, "fn_ord", "name", "line", "big_o", wanted.alias("priority"), reasons.alias("reasons"), advice.alias("recommendation"), labels.speedup(big_o, cc, language).alias("speedup")).where("priority > 0")
+    if files is None:
+        return hints
+    modules = wasm_modules(files).where("uses_wasm").where(text.parser_of(F.col("path")) == "python")
+    loads = modules.select(*KEYS, F.lit(1 << 30).alias("fn_ord"), F.lit("<module>").alias("name"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("big_o"), F.lit(5).alias("priority"), F.array(F.lit("the file loads .wasm modules")).alias("reasons"), F.lit("give the bindings types").alias("recommendation"), F.lit("N/A").alias("speedup"))
+    return hints.unionByName(loads)
+
+
+def ordered_hints(hints: DataFrame) -> DataFrame:
+    """A file's hints, most urgent first, else as they stand in it."""
+    return hints.orderBy("project_id", "file_ord", F.desc("priority"), "fn_ord")
+
+
+def critical_hints(hints: DataFrame) -> DataFrame:
+    return hints.where(F.col("priority") >= 4)
+
+
+def hint_summary(hints: DataFrame) -> DataFrame:
+    """Of each project the hints, the critical ones and the files with any."""
+    return hints.groupBy("project_id").agg(F.count("*").alias("hints"), F.count_if(F.col("priority") >= 4).alias("critical"), F.countDistinct("file_ord").alias("candidates"))
 
 
 def wasm_modules(files: DataFrame) -> DataFrame:
-    """Files that load .wasm modules: a hint of priority 5 on line 1; and whether they use Cython."""
-    return files.select(*KEYS, F.col("content").contains(".wasm").alias("uses_wasm"), F.col("content").rlike(r"\bcimport\b|\bcdef\b|\bcpdef\b").alias("uses_cython"))
+    """Whether files load .wasm modules, and whether they use Cython."""
+    content = F.coalesce("content", F.lit(""))
+    return files.select(*KEYS, content.contains(".wasm").alias("uses_wasm"), content.rlike(r"\bcimport\b|\bcdef\b|\bcpdef\b").alias("uses_cython"))

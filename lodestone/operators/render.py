@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import lint
 
 FUNCTIONS, CLASSES, ATTRIBUTES, METHODS, PARTICIPANTS, STEPS, MODELS = 12, 8, 6, 8, 6, 10, 4
 
@@ -73,6 +74,39 @@ def pipeline_diagram(steps: DataFrame, models: DataFrame) -> DataFrame:
     return joined(nodes.unionByName(m.select(*line(["=1", "model"], F.concat(F.lit("  "), F.col("model"), F.lit("(["), F.col("model"), F.lit("])"))))), "flowchart TD")
 
 
+def chain_diagram(steps: DataFrame, models: DataFrame) -> DataFrame:
+    """The same with its arrows: from START over the steps to END, and from the training step to each model."""
+    s = capped(steps.withColumn("project_id", F.col("path")), ["line", "stage"], STEPS)
+    last = s.groupBy("project_id").agg(F.max("k").alias("n"), F.coalesce(F.min(F.when(F.col("stage") == "entrenamiento", F.col("k"))), F.max("k")).alias("train"))
+    node = lambda k: F.concat(F.lit("S"), (k - 1).cast("string"))
+    label = F.concat(F.col("stage"), F.when(F.col("count") > 1, F.concat(F.lit("\\n("), F.col("count").cast("string"), F.lit("x)"))).otherwise(""))
+    pad = lambda k: F.lpad(k.cast("string"), 4, "0")
+    before = F.when(F.col("k") == 1, F.lit("START")).otherwise(node(F.col("k") - 1))
+    rows = s.withColumns({"key": pad(F.col("k"))}).select(*line(["=1", "key"], F.concat(F.lit("    "), node(F.col("k")), F.lit('["'), label, F.lit('"]\n    '), before, F.lit(" --> "), node(F.col("k")))))
+    m = capped(models.withColumn("project_id", F.col("path")), ["line", "model"], MODELS).join(last, "project_id").withColumn("key", pad(F.col("k")))
+    made = F.concat(F.lit("M"), (F.col("k") - 1).cast("string"))
+    rows = rows.unionByName(m.select(*line(["=2", "key"], F.concat(F.lit("    "), made, F.lit("(["), F.col("model"), F.lit("\\n"), F.col("type"), F.lit("])\n    "), node(F.col("train")), F.lit(" --> "), made))))
+    ends = last.select(*line(["=3"], F.concat(F.lit("    END([End])\n    "), node(F.col("n")), F.lit(" --> END"))))
+    return joined(rows.unionByName(ends).unionByName(last.select(*line(["=0"], F.concat(F.lit("    START(["), F.col("project_id"), F.lit("])"))))), "flowchart TD")
+
+
+def text_flowchart(files: DataFrame, most: int = STEPS) -> DataFrame:
+    """Without a parse: a file's functions by their lines, from START over F0, F1, … to END; `project_id` is the file here."""
+    name = F.coalesce(F.nullif(F.regexp_extract("text", r"^def\s+(\w+)", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"function\s+(\w+)", 1), F.lit("")))
+    rows = lint.lines(files).select(F.col("path").alias("project_id"), "line", name.alias("name")).where(F.col("name").isNotNull())
+    top = capped(rows, ["line"], most)
+    node = lambda k: F.concat(F.lit("F"), (k - 1).cast("string"))
+    key = top.withColumn("key", F.lpad(F.col("k").cast("string"), 4, "0"))
+    before = F.when(F.col("k") == 1, F.lit("START")).otherwise(node(F.col("k") - 1))
+    boxes = key.select(*line(["=1", "key"], F.concat(F.lit("    "), node(F.col("k")), F.lit('["'), F.col("name"), F.lit('()"]'))))
+    arrows = key.select(*line(["=3", "key"], F.concat(F.lit("    "), before, F.lit(" --> "), node(F.col("k")))))
+    last = top.groupBy("project_id").agg(F.max("k").alias("n"))
+    ends = last.select(*line(["=2"], F.lit("    END([END])"))).unionByName(last.select(*line(["=4"], F.concat(F.lit("    "), node(F.col("n")), F.lit(" --> END")))))
+    found = joined(boxes.unionByName(arrows).unionByName(ends).unionByName(last.select(*line(["=0"], F.concat(F.lit("    START(["), F.col("project_id"), F.lit("])"))))), "flowchart TD")
+    none = files.select(F.col("path").alias("project_id")).join(found.select("project_id"), "project_id", "left_anti")
+    return found.unionByName(none.select("project_id", F.concat(F.lit("flowchart TD\n    A["), F.col("project_id"), F.lit("]\n    B[no functions]\n    A --> B")).alias("diagram")))
+
+
 def health_cards(scores: DataFrame) -> DataFrame:
     from ..functions.labels import health_tier
 

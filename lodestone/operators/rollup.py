@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from .parse import KEYS
+from .parse import CLASS_SMELLS, FUNCTION_SMELLS, KEYS
 
 
 def totals(parsed: DataFrame) -> DataFrame:
@@ -14,6 +14,21 @@ def totals(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("project_id").agg(F.count("*").alias("files"), n("functions").alias("functions"), n("classes").alias("classes"), n("imports").alias("imports"))
 
 
+def with_unused(totals: DataFrame, unused: DataFrame) -> DataFrame:
+    """Totals with the number of unused imports."""
+    return totals.join(unused.groupBy("project_id").agg(F.count("*").alias("unused_imports")), "project_id", "left").fillna(0, ["unused_imports"])
+
+
+def big_o_bars(distribution: DataFrame) -> DataFrame:
+    """A project's labels from best to worst, unknown ones first, with a bar in percent of its longest."""
+    most = F.max("functions").over(Window.partitionBy("project_id"))
+    return distribution.withColumns({"rank": labels.big_o_order(F.col("big_o")), "bar": F.round(100 * F.col("functions") / most).cast("long"), "colour": labels.big_o_colour(F.col("big_o"))}).orderBy("project_id", "rank", "big_o")
+
+
+def languages_by_lines(distribution: DataFrame) -> DataFrame:
+    return distribution.orderBy("project_id", F.desc("loc"), "language")
+
+
 def big_o_distribution(fns: DataFrame) -> DataFrame:
     return fns.groupBy("project_id", F.coalesce("big_o", F.lit("?")).alias("big_o")).agg(F.count("*").alias("functions"))
 
@@ -60,19 +75,39 @@ def architecture_score(cycles, coupling, files):
     return (100 - F.least(F.lit(100), 15 * cycles + F.round(coupling / F.greatest(F.lit(1), files) * 100))).cast("long")
 
 
-def health(parsed: DataFrame, fns: DataFrame, findings: DataFrame, structural: DataFrame, naming: DataFrame, coupling: DataFrame, cycles: DataFrame) -> DataFrame:
-    """The four scores of each project; every part is reduced to a row a project before they meet."""
+def health_counts(parsed: DataFrame) -> DataFrame:
+    """What the scores need of a project's files, in one aggregation over the nested rows."""
+    some = lambda c: F.coalesce(F.col(c), F.array())
+    size = lambda c: F.size(some(c))
+    bad = lambda c, rule: F.size(F.filter(some(c), rule))
+    of = lambda severity: lambda x: x["severity"] == severity
+    own = parsed.select(
+        "project_id",
+        size("functions").alias("functions"),
+        size("classes").alias("classes"),
+        F.aggregate(some("functions"), F.lit(0), lambda a, f: a + F.coalesce(f["complexity"], F.lit(0))).alias("complexity"),
+        *(bad("findings", of(s)).alias(s.lower()) for s in ("High", "Medium", "Low")),
+        size("naming").alias("naming"),
+        (sum((bad("functions", rule) for _, rule, _ in FUNCTION_SMELLS), F.lit(0)) + sum((bad("classes", rule) for _, rule, _ in CLASS_SMELLS), F.lit(0))).alias("structural"),
+    )
+    n = lambda c: F.sum(c).alias(c)
+    return own.groupBy("project_id").agg(F.count("*").alias("files"), *map(n, ("functions", "classes", "complexity", "high", "medium", "low", "naming", "structural")))
+
+
+def health(parsed: DataFrame, coupling: DataFrame, cycles: DataFrame) -> DataFrame:
+    """The four scores of each project: one pass over its files, and a row a project of its graph's smells."""
     count = lambda df, name: df.groupBy("project_id").agg(F.count("*").alias(name))
-    out = totals(parsed)
-    for part in (complexity_summary(fns), severity_counts(findings).select("project_id", "high", "medium", "low"), count(structural, "structural"), count(naming, "naming"), count(coupling, "coupling"), count(cycles, "cycles")):
+    out = health_counts(parsed)
+    for part in (count(coupling, "coupling"), count(cycles, "cycles")):
         out = out.join(part, "project_id", "left")
-    c = {name: F.coalesce(name, F.lit(0)) for name in ("avg_cc", "high", "medium", "low", "structural", "naming", "coupling", "cycles")}
+    coupling_n, cycles_n = F.coalesce("coupling", F.lit(0)), F.coalesce("cycles", F.lit(0))
+    mean = F.when(F.col("functions") > 0, F.round(F.col("complexity") / F.col("functions"), 2)).otherwise(0.0)
     return out.select(
         "project_id",
-        security_score(c["high"], c["medium"], c["low"]).alias("security"),
-        quality_score(c["structural"], c["naming"], F.col("functions") + F.col("classes")).alias("quality"),
-        complexity_score(c["avg_cc"]).alias("complexity"),
-        architecture_score(c["cycles"], c["coupling"], F.col("files")).alias("architecture"),
+        security_score(F.col("high"), F.col("medium"), F.col("low")).alias("security"),
+        quality_score(F.col("structural"), F.col("naming"), F.col("functions") + F.col("classes")).alias("quality"),
+        complexity_score(mean).alias("complexity"),
+        architecture_score(cycles_n, coupling_n, F.col("files")).alias("architecture"),
     )
 
 
@@ -90,3 +125,11 @@ def merged_findings(findings: DataFrame, structural: DataFrame, naming: DataFram
     rest = [s.select("project_id", "path", F.lit(f).alias("family"), "kind", "line", labels.smell_severity(F.col("kind")).alias("severity")) for s, f in ((structural, "structural"), (naming, "naming"))]
     out = a.unionByName(rest[0]).unionByName(rest[1]).withColumn("rank", labels.mapped(F.col("severity"), labels.SEVERITY_RANK, 9))
     return out if most is None else out.orderBy("rank", "path", "line", "kind").limit(most)
+
+
+def findings_by_kind(findings: DataFrame, structural: DataFrame, naming: DataFrame, architecture: DataFrame) -> DataFrame:
+    """The four families as a report shows them: findings by severity, smells by their kinds' order."""
+    a = findings.select("project_id", F.lit("security").alias("family"), F.lit(0).alias("part"), F.col("cwe").alias("kind"), F.col("path").alias("name"), "line", labels.mapped(F.col("severity"), labels.SEVERITY_RANK, 9).alias("rank"))
+    for k, (rows, family) in enumerate(((structural, "structural"), (naming, "naming"), (architecture, "architecture")), 1):
+        a = a.unionByName(rows.select("project_id", F.lit(family).alias("family"), F.lit(k).alias("part"), "kind", "name", "line", labels.kind_rank(F.col("kind")).alias("rank")))
+    return a.orderBy("project_id", "part", "rank", "name", "line").drop("part")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import difflib
 
+import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,12 @@ OUTLINE = [("class", r"^\s*(?:export\s+)?class\s+(\w+)"), ("function", r"^\s*(?:
 
 
 def grep(files: DataFrame, query: str, regex: bool = False, case: bool = False) -> DataFrame:
-    """Lines that hold the query. A pattern that does not compile raises ValueError."""
+    """Lines that hold the query. A pattern that the engine does not compile raises ValueError."""
     if regex:
         try:
-            re.compile(query)
-        except re.error as e:
-            raise ValueError(f"invalid pattern: {e}") from e
+            files.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(query)
+        except IllegalArgumentException as e:
+            raise ValueError(f"invalid pattern: {query}") from e
         found = F.col("text").rlike(query if case else f"(?i){query}")
     else:
         found = F.contains("text", F.lit(query)) if case else F.contains(F.lower("text"), F.lit(query.lower()))
@@ -31,6 +33,10 @@ def grep_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*KEYS).agg(F.count("*").alias("lines"))
 
 
+def grep_total(hits: DataFrame) -> DataFrame:
+    return hits.agg(F.count("*").alias("lines"), F.countDistinct("project_id", "file_ord").alias("files"))
+
+
 def grep_shown(hits: DataFrame, most: int = 50) -> DataFrame:
     """Each file's first hits; `more` on the last one says how many are left out."""
     w = Window.partitionBy(*KEYS)
@@ -56,11 +62,9 @@ def outline_groups(rows: DataFrame) -> DataFrame:
 def diff(files: DataFrame, before: str, after: str) -> DataFrame:
     """The unified difference of two files of each project, a row a project."""
 
-    @F.udf("string")
-    def unified(a, b):
-        import difflib
-
-        return "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), before, after, lineterm=""))
+    @F.pandas_udf("string")
+    def unified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), before, after, lineterm="")) for x, y in zip(a, b, strict=True)])
 
     side = lambda p, n: files.where(F.col("path") == p).select("project_id", F.col("content").alias(n))
     return side(before, "a").join(side(after, "b"), "project_id").select("project_id", unified("a", "b").alias("diff"))

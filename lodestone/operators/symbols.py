@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import labels
+from ..functions import labels, text
+from . import lint
 from .parse import KEYS
 
 DEFINITION_ORDER = {"function": 0, "method": 0, "class": 1, "variable": 2, "constant": 2}
-COMPLETION_ORDER = {"function": 0, "method": 0, "class": 1, "constant": 2, "import": 3}
+COMPLETION_ORDER = {"function": 0, "method": 0, "class": 1, "variable": 2, "constant": 2, "import": 3, "interface": 4, "type": 4}
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def symbols(parsed: DataFrame) -> DataFrame:
 
 
 def references(parsed: DataFrame) -> DataFrame:
-    """Each place once: definition before call before read."""
+    """Each place of a name once: definition before call before read; `use`: a whole word where there is no tree."""
     rank = F.when(F.col("x.kind") == "definition", 0).when(F.col("x.kind") == "call", 1).otherwise(2)
     rows = parsed.select(*KEYS, F.explode("refs").alias("x")).select(*KEYS, "x.name", "x.line", "x.col", F.struct(rank, "x.kind").alias("k"))
     return rows.groupBy(*KEYS, "name", "line", "col").agg(F.min("k").alias("k")).select(*KEYS, "name", "line", "col", F.col("k.kind").alias("kind"))
@@ -32,7 +33,17 @@ def completions(parsed: DataFrame, prefix: str = "") -> DataFrame:
     """Functions, classes, methods, constants and imports; each label and kind of a file once."""
     rows = symbols(parsed).where(F.col("kind") != "variable").where(F.lower("label").startswith(prefix.lower()))
     out = rows.groupBy(*KEYS, "label", "kind").agg(F.min("line").alias("line"))
-    return out.withColumn("rank", labels.mapped(F.col("kind"), COMPLETION_ORDER, 9))
+    return out.withColumn("rank", labels.mapped(F.col("kind"), COMPLETION_ORDER, 5))
+
+
+def ordered_completions(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("project_id", "file_ord", "rank", "label")
+
+
+def ordered_references(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """References by line and column, each with a preview of its line."""
+    body = lint.lines(files).select(*KEYS[:2], "line", text.preview(F.col("text")).alias("preview"))
+    return rows.join(body, [*KEYS[:2], "line"], "left").orderBy("project_id", "file_ord", "line", "col")
 
 
 def enclosing(points: DataFrame, fns: DataFrame) -> DataFrame:

@@ -15,15 +15,22 @@ CODE = [".py", ".js", ".ts", ".jsx", ".tsx", ".c", ".cpp", ".h", ".hpp", ".html"
 def tree(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     """`project_id`, `path`, `parent`, `depth`, `name`, `is_file`, `bytes`, `size`: every file and every folder above it.
 
-    A folder comes from each of its files and is reduced before the shuffle. Rows are
-    in order by (`parent`, `is_file`, lower(`name`)).
+    A folder comes from each of its files and is reduced before the shuffle. `extension`
+    and `is_code` are null for folders; `modified` is the latest of `mtime`, if files have it.
     """
     parts = F.split("path", "/")
     n = F.size(parts)
     prefixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(depth))), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), F.array_join(F.slice(parts, F.lit(1), k - 1), "/").alias("parent"), k.alias("depth"), F.get(parts, k - 1).alias("name"), (k == n).alias("is_file")))
-    rows = files.select("project_id", F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("bytes"), F.explode(prefixes).alias("x"))
-    out = rows.groupBy("project_id", "x.path", "x.parent", "x.depth", "x.name", "x.is_file").agg(F.sum("bytes").alias("bytes"))
-    return out.withColumn("size", text.human_size(F.col("bytes")))
+    timed = ["mtime"] if "mtime" in files.columns else []
+    rows = files.select("project_id", F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("bytes"), *timed, F.explode(prefixes).alias("x"))
+    out = rows.groupBy("project_id", "x.path", "x.parent", "x.depth", "x.name", "x.is_file").agg(F.sum("bytes").alias("bytes"), *(F.max(c).alias("modified") for c in timed))
+    suffix = text.suffix(F.col("path"))
+    return out.withColumns({"size": text.human_size(F.col("bytes")), "extension": F.when(F.col("is_file"), suffix), "is_code": F.when(F.col("is_file"), suffix.isin(CODE))})
+
+
+def ordered_tree(nodes: DataFrame) -> DataFrame:
+    """Folders before files, by name without regard to case."""
+    return nodes.orderBy("project_id", "parent", "is_file", F.lower("name"), "name")
 
 
 def tree_with_stats(nodes: DataFrame, stats: DataFrame) -> DataFrame:

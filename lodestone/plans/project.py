@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import graph, lint, logs, ml, parse, render, rollup, symbols, tree
+from ..sources import files
 
 GRAPHS = {"import": "imports between files", "call": "calls between functions", "circular": "import cycles", "centrality": "degrees and hubs", "heatmap": "complexity of functions"}
 
+GRAPH_FACTS = ["functions", "imports"]
+
 
 class Project:
     """Lazy tables of one set of source files. Call `release` when done."""
@@ -34,15 +37,17 @@ class Project:
         cycles, coupling = graph.cycles(edges), graph.coupling_smells(nodes)
         findings, structural, naming = parse.findings(self.parsed), parse.structural_smells(self.parsed), parse.naming_smells(self.parsed)
         return {
-            "totals": rollup.totals(self.parsed),
-            "big_o": rollup.big_o_distribution(fns),
-            "languages": rollup.language_distribution(self.files, self.parsed),
+            "totals": rollup.with_unused(rollup.totals(self.parsed), parse.unused_imports(self.parsed)),
+            "big_o": rollup.big_o_bars(rollup.big_o_distribution(fns)),
+            "languages": rollup.languages_by_lines(rollup.language_distribution(self.files, self.parsed)),
             "top": rollup.top_complex(fns),
-            "hints": parse.wasm_hints(fns),
+            "hints": parse.ordered_hints(parse.wasm_hints(fns, self.files)),
             "unused_imports": parse.unused_imports(self.parsed),
+            "unused_modules": parse.unused_modules(self.parsed),
+            "by_kind": rollup.findings_by_kind(findings, structural, naming, coupling.unionByName(graph.cycle_smells(cycles))),
             "findings": rollup.merged_findings(findings, structural, naming),
             "architecture": coupling.unionByName(graph.cycle_smells(cycles)),
-            "health": rollup.health(self.parsed, fns, findings, structural, naming, coupling, cycles),
+            "health": rollup.health(self.parsed, coupling, cycles),
             "metrics": parse.metrics(self.parsed),
         }
 
@@ -52,35 +57,41 @@ class Project:
             raise ValueError(f"{kind!r} is none of {sorted(GRAPHS)}")
         if kind == "call":
             edges = graph.call_graph(self.functions)
-            return {"nodes": graph.active_functions(self.functions, edges), "edges": edges, "diagram": render.call_diagram(edges)}
+            return {"nodes": graph.call_nodes(self.functions, graph.active_functions(self.functions, edges)), "edges": edges, "diagram": render.call_diagram(edges)}
         if kind == "heatmap":
             rows = graph.heatmap(self.functions)
-            return {"nodes": rows, "edges": rows.limit(0), "diagram": render.heatmap_diagram(rows), "summary": graph.heatmap_summary(rows)}
+            return {"nodes": graph.ordered_heatmap(rows), "edges": rows.limit(0), "diagram": render.heatmap_diagram(rows), "summary": graph.heatmap_summary(rows)}
         edges = self.edges
         nodes = graph.degrees(self.files, edges)
-        out = {"nodes": graph.with_short_names(nodes), "edges": edges, "diagram": render.edges_diagram(nodes, edges), "entries": graph.entry_points(self.files, edges)}
+        out = {"nodes": graph.with_short_names(nodes), "edges": edges, "diagram": render.edges_diagram(nodes, edges), "entries": graph.entry_points(self.files, edges), "most": graph.max_in_degree(nodes)}
         if kind == "circular":
             found = graph.cycles(edges)
-            out |= {"cycles": found, "members": graph.cycle_members(found)}
+            out |= {"cycles": found, "members": graph.cycle_members(found), "affected": graph.cycle_summary(found)}
         return out
 
     def lint(self) -> dict[str, DataFrame]:
         issues = lint.python_lint(self.files, self.parsed).unionByName(lint.script_lint(self.files))
-        return {"issues": issues, "markers": lint.markers(issues), "locations": lint.by_location(issues), "summary": lint.issue_summary(issues)}
+        return {"issues": issues, "cards": lint.issue_cards(issues), "markers": lint.markers(issues), "locations": lint.by_location(issues), "summary": lint.issue_summary(issues)}
 
     def inspect_ml(self) -> dict[str, DataFrame]:
         found, stages = ml.libraries(parse.imports(self.parsed)), ml.pipeline(self.files)
         issues, models = ml.issues(self.files, found), ml.models(self.files)
-        return {"libraries": found, "pipeline": stages, "models": models, "metrics": ml.metrics(self.files), "issues": issues, "score": ml.score(self.files, stages, issues), "suggestions": ml.suggestions(stages, issues, self.files), "diagram": render.pipeline_diagram(stages, models)}
+        return {"libraries": found, "pipeline": ml.ordered_pipeline(stages), "models": models, "metrics": ml.metrics(self.files), "issues": issues, "score": ml.score(self.files, stages, issues), "suggestions": ml.suggestions(stages, issues, self.files), "diagram": render.chain_diagram(stages, models)}
 
     def symbols(self) -> dict[str, DataFrame]:
         return {"symbols": symbols.symbols(self.parsed), "references": symbols.references(self.parsed), "completions": symbols.completions(self.parsed), "cards": symbols.hover_cards(self.functions, parse.findings(self.parsed))}
 
     def tree(self) -> DataFrame:
         stats = rollup.file_stats(self.parsed, self.functions, parse.unused_imports(self.parsed))
-        return tree.tree_with_stats(tree.tree(self.files), stats)
+        return tree.ordered_tree(tree.tree_with_stats(tree.tree(self.files), stats))
+
+
+def stored(spark: SparkSession, table_path: str, project: str, kind: str) -> dict[str, DataFrame]:
+    """A graph of a project that is in the store, with the list of its files and its tree."""
+    own = Project(files.load(spark, table_path, project), GRAPH_FACTS)
+    return own.graph(kind) | {"files": own.files.select("file_ord", "path").orderBy("path"), "tree": tree.ordered_tree(tree.tree(own.files))}
 
 
-def analyse_logs(files: DataFrame) -> dict[str, DataFrame]:
-    rows = logs.log_lines(files)
-    return {"counts": logs.level_counts(rows), "errors": logs.error_lines(rows), "warnings": logs.warning_lines(rows), "error_numbers": logs.error_numbers(rows)}
+def analyse_logs(texts: DataFrame) -> dict[str, DataFrame]:
+    rows = logs.log_lines(texts)
+    return {"problems": logs.problems(rows), "counts": logs.level_counts(rows), "errors": logs.error_lines(rows), "warnings": logs.warning_lines(rows), "error_numbers": logs.error_numbers(rows)}

@@ -127,10 +127,23 @@ def entry_points(spark, d):
     return graph.entry_points(*_edges(spark, d)).select(F.col("file_ord").alias("supplier"), "isolated")
 
 
-@query(f"{DEGREES} SELECT 'high_efferent_coupling' AS kind, k AS supplier FROM g WHERE ce > 15 UNION ALL SELECT 'unstable_dependency', k FROM g WHERE ca >= 3 AND ce / (ca + ce) > 0.5")
+COUPLED = """WITH f AS (SELECT s_suppkey AS k, s_suppkey % 20 AS i, s_suppkey // 20 AS p FROM supplier),
+m AS (SELECT p, min(i) AS least, count(*) - 1 AS ce, count(*) FILTER (i BETWEEN 1 AND 4) AS ca FROM f GROUP BY 1 HAVING min(i) = 0)"""
+
+
+def _coupled(spark, d):
+    files = corpus.coupled(spark, d)
+    return graph.degrees(files, graph.import_edges(parse.imports(parse.parse_files(files, ["imports"])), files))
+
+
+@query(COUPLED + " SELECT 'high_efferent_coupling' AS kind, 'k_' || p * 20 || '.py' AS name FROM m WHERE ce > 15 UNION ALL SELECT 'unstable_dependency', 'k_' || p * 20 || '.py' FROM m WHERE ca >= 3 AND ce / (ca + ce) > 0.5")
 def coupling_smells(spark, d):
-    rows = graph.coupling_smells(graph.degrees(*_edges(spark, d)))
-    return rows.select("kind", F.regexp_extract("name", r"m_(\d+)", 1).cast("long").alias("supplier"))
+    return graph.coupling_smells(_coupled(spark, d)).select("kind", "name")
+
+
+@query(COUPLED + " SELECT 't' || p AS project, greatest(ca, CASE WHEN ce > 0 THEN 1 ELSE 0 END) AS most FROM m UNION ALL SELECT DISTINCT 't' || p, 0 FROM f WHERE p NOT IN (SELECT p FROM m)")
+def max_in_degree(spark, d):
+    return graph.max_in_degree(_coupled(spark, d)).select(F.col("project_id").alias("project"), F.col("max_in_degree").alias("most"))
 
 
 RINGS = """
@@ -251,9 +264,10 @@ def enclosing_functions(spark, d):
     return symbols.enclosing(points, _functions(files)).select(F.col("file_ord").alias("supplier"), "symbol", "line", F.col("function").alias("fn"))
 
 
-@query("SELECT s_suppkey AS supplier, unnest(['main(x)', 'helper(x)', 'leaf(x)']) AS label FROM supplier")
+@query("SELECT s_suppkey AS supplier, unnest(['main(x)', 'helper(x)', 'leaf(x)']) AS label FROM supplier UNION ALL SELECT s_suppkey, 'leaf(x)' FROM supplier")
 def completions(spark, d):
-    return symbols.completions(parse.parse_files(corpus.calls(spark, d), ["symbols"])).select(F.col("file_ord").alias("supplier"), "label")
+    parsed = parse.parse_files(corpus.calls(spark, d), ["symbols"])
+    return symbols.completions(parsed).unionByName(symbols.completions(parsed, "LE")).select(F.col("file_ord").alias("supplier"), "label")
 
 
 @query("SELECT s_suppkey AS supplier, 1 AS line, 0 AS col, 'old' AS dummy FROM supplier WHERE false UNION ALL SELECT s_suppkey, 3, 5, 'helper' FROM supplier UNION ALL SELECT s_suppkey, 2, 12, 'helper' FROM supplier UNION ALL SELECT s_suppkey, 2, 24, 'helper' FROM supplier")
@@ -373,7 +387,7 @@ def ml_libraries(spark, d):
     return ml.libraries(parse.imports(parse.parse_files(corpus.notebooks(spark, d), ["imports"]))).select(F.col("file_ord").alias("supplier"), "library", "line")
 
 
-ML_STAGES = "SELECT s_suppkey AS supplier, unnest(['load', 'split', 'train']) AS stage, unnest([3, 4, 6])::BIGINT AS line FROM supplier UNION ALL SELECT s_suppkey, 'evaluate', 7 FROM supplier WHERE s_suppkey % 3 = 0"
+ML_STAGES = "SELECT s_suppkey AS supplier, unnest(['carga_datos', 'split', 'entrenamiento']) AS stage, unnest([3, 4, 6])::BIGINT AS line FROM supplier UNION ALL SELECT s_suppkey, 'evaluacion', 7 FROM supplier WHERE s_suppkey % 3 = 0"
 
 
 @query(ML_STAGES)
@@ -405,15 +419,21 @@ def ml_score(spark, d):
     return ml.score(files, ml.pipeline(files), ml.issues(files, found)).select(F.col("file_ord").alias("supplier"), "score")
 
 
-@query("""WITH n AS (SELECT count(*) AS f, count(*) FILTER (p_partkey % 6 < 4) AS high FROM part)
-SELECT greatest(0, 100 - 15 * high)::BIGINT AS security, 100::BIGINT AS quality, 100::BIGINT AS complexity, 100::BIGINT AS architecture FROM n""")
+HEALTH = """WITH f AS (SELECT s_suppkey AS k, s_suppkey % 10 AS i, s_suppkey // 10 AS p FROM supplier),
+e AS (SELECT a.p, a.i AS src, b.i AS dst FROM f a JOIN f b ON a.p = b.p AND b.i = CASE WHEN a.i % 3 = 2 THEN a.i - 2 ELSE a.i + 1 END),
+c AS (SELECT a.p, count(*) AS cycles FROM e a JOIN e b ON a.p = b.p AND b.src = a.dst JOIN e c ON c.p = a.p AND c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < c.src GROUP BY 1),
+n AS (SELECT p, count(*) AS files, count(*) FILTER (k % 7 = 0) AS high, count(*) FILTER (k % 5 = 0) AS structural, count(*) FILTER (k % 2 = 0) AS naming, round(avg(1 + k % 4 * 4), 2) AS cc FROM f GROUP BY 1)
+SELECT 'h' || n.p AS project, greatest(0, 100 - 15 * high)::BIGINT AS security, greatest(0, 100 - least(100, round(structural / files * 300 + naming / files * 100)))::BIGINT AS quality,
+greatest(0, least(100, round(100 - greatest(0, cc - 5) * 8)))::BIGINT AS complexity, (100 - least(100, 15 * coalesce(cycles, 0)))::BIGINT AS architecture FROM n LEFT JOIN c USING (p)"""
+
+
+@query(HEALTH)
 def health_scores(spark, d):
-    files = corpus.risky(spark, d)
-    parsed = parse.parse_files(files, ["functions", "classes", "imports", "findings", "naming"])
-    fns, edges = parse.functions(parsed), graph.import_edges(parse.imports(parsed), files)
-    nodes = graph.degrees(files, edges)
-    rows = rollup.health(parsed, fns, parse.findings(parsed), parse.structural_smells(parsed), parse.naming_smells(parsed), graph.coupling_smells(nodes), graph.cycles(edges))
-    return rows.drop("project_id")
+    files = corpus.unhealthy(spark, d)
+    edges = graph.import_edges(parse.imports(parse.parse_files(files, ["imports"])), files)
+    parsed = parse.parse_files(files, ["functions", "classes", "findings", "naming"])
+    rows = rollup.health(parsed, graph.coupling_smells(graph.degrees(files, edges)), graph.cycles(edges))
+    return rows.withColumnRenamed("project_id", "project")
 
 
 @query("SELECT p_partkey AS part, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'c' END AS language, CAST(CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 3 END * (p_size % 4 + 1) AS BIGINT) AS sloc, CAST(p_size % 4 + 1 AS BIGINT) AS functions FROM part")
@@ -434,17 +454,130 @@ def raw_metrics(spark, d):
     return rows.select(F.col("file_ord").alias("supplier"), "sloc", "lloc")
 
 
-@query()
+# a file of branches(): 3 lines, and two for each if
+HALSTEAD = """WITH f AS (SELECT p_partkey AS k, p_size % 7 AS n, p_partkey % 2 = 0 AS even FROM part),
+h AS (SELECT k, n, 2 + 2 * n AS sloc, CASE WHEN even THEN 2 ELSE 1 END * n + 1 AS cc,
+-- operators: def, return, and if, = and "and"; operands: the name, first, and second, total, 1
+2 + CASE WHEN n > 0 THEN 2 + CASE WHEN even THEN 1 ELSE 0 END ELSE 0 END AS n1, 2 + CASE WHEN n > 0 THEN 2 + CASE WHEN even THEN 1 ELSE 0 END ELSE 0 END AS n2,
+2 + n * (2 + CASE WHEN even THEN 1 ELSE 0 END) AS t1, 2 + n * (3 + CASE WHEN even THEN 1 ELSE 0 END) AS t2 FROM f),
+v AS (SELECT *, (t1 + t2) * log2(n1 + n2) AS volume, n1 / 2 * t2 / n2 AS difficulty FROM h)"""
+
+
+@query(HALSTEAD + " SELECT k AS part, round(volume, 3) AS volume, round(difficulty, 3) AS difficulty, round(greatest(0, least(100, (171 - 5.2 * ln(volume) - 0.23 * cc - 16.2 * ln(sloc)) * 100 / 171)), 2) AS mi FROM v")
 def maintainability(spark, d):
     rows = parse.metrics(parse.parse_files(corpus.branches(spark, d), ["raw", "halstead", "functions"]))
-    return rows.select(F.col("file_ord").alias("part"), F.round("volume", 3).alias("volume"), "mi")
+    return rows.select(F.col("file_ord").alias("part"), F.round("volume", 3).alias("volume"), F.round("difficulty", 3).alias("difficulty"), "mi")
 
 
-@query()
+CARD = """WITH r AS (SELECT p_partkey AS k, p_partkey % 6 AS i FROM part)
+SELECT k AS part, '`def f_' || k || '(blob, cursor)`' || chr(10) || chr(10) || 'time O(1), space O(1), complexity 1 (simple), ' || CASE i WHEN 3 THEN 2 WHEN 5 THEN 4 ELSE 3 END || ' lines'
+|| CASE WHEN i < 4 THEN chr(10) || chr(10) || CASE i WHEN 0 THEN 'CWE-89 SQL Injection' WHEN 1 THEN 'CWE-78 Command Injection' WHEN 2 THEN 'CWE-22 Path Traversal' ELSE 'CWE-502 Insecure Deserialization' END ELSE '' END AS card FROM r"""
+
+
+@query(CARD)
 def hover_cards(spark, d):
     parsed = parse.parse_files(corpus.risky(spark, d), ["functions", "findings"])
     return symbols.hover_cards(parse.functions(parsed), parse.findings(parsed)).select(F.col("file_ord").alias("part"), "card")
 
 
+STAGE_NAMES = ", ".join(f"'{name}'" for name, _ in ml.STAGES)
+
+
+@query(f"SELECT s_suppkey AS supplier, [{STAGE_NAMES}][s_suppkey % {len(ml.STAGES)} + 1] AS stage, s_suppkey % 3 + 1 AS line, 2 AS count FROM supplier")
+def ml_stages(spark, d):
+    return ml.pipeline(corpus.staged(spark, d)).select(F.col("file_ord").alias("supplier"), "stage", "line", "count")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS supplier, 'run_' || k AS name, 'function' AS kind, 2 AS line FROM s UNION ALL SELECT k, 'Box_' || k, 'class', 3 FROM s
+UNION ALL SELECT k, 'Like_' || k, 'interface', 4 FROM s UNION ALL SELECT k, 'Of_' || k, 'type', 5 FROM s""")
+def ts_definitions(spark, d):
+    rows = symbols.symbols(parse.parse_files(corpus.typed(spark, d), ["symbols"])).where("kind <> 'import'")
+    return rows.select(F.col("file_ord").alias("supplier"), "name", "kind", "line")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS supplier, 2 AS line, 0 AS col, 'definition' AS kind FROM s UNION ALL SELECT k, 2, 16, 'use' FROM s UNION ALL SELECT k, 6, 0, 'use' FROM s""")
+def ts_references(spark, d):
+    rows = symbols.references(parse.parse_files(corpus.typed(spark, d), ["refs"])).where(F.col("name").startswith("run_"))
+    return rows.select(F.col("file_ord").alias("supplier"), "line", "col", "kind")
+
+
+@query("SELECT s_suppkey AS supplier, unnest(['Like_' || s_suppkey, 'tools']) AS label, unnest([4, 3]) AS rank FROM supplier")
+def ts_completions(spark, d):
+    parsed = parse.parse_files(corpus.typed(spark, d), ["symbols"])
+    rows = symbols.completions(parsed, "li").unionByName(symbols.completions(parsed, "TOO"))
+    return rows.select(F.col("file_ord").alias("supplier"), "label", F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT s_suppkey AS supplier, './lib/tools' AS module, 1 AS line FROM supplier WHERE s_suppkey % 2 = 0")
+def unused_modules(spark, d):
+    return parse.unused_modules(parse.parse_files(corpus.typed(spark, d), ["unused_modules"])).select(F.col("file_ord").alias("supplier"), "module", "line")
+
+
+@query("SELECT s_suppkey AS supplier, 'word_' || s_suppkey % 3 AS name, unnest([1, 2]) AS line, unnest([0, 4]) AS col, 'use' AS kind FROM supplier")
+def references_without_tree(spark, d):
+    return symbols.references(parse.parse_files(corpus.broken(spark, d), ["refs"])).select(F.col("file_ord").alias("supplier"), "name", "line", "col", "kind")
+
+
+@query("SELECT s_suppkey AS supplier, 'E999' AS code, 2 AS line, 5 AS col FROM supplier WHERE s_suppkey % 3 = 0")
+def json_errors(spark, d):
+    return lint.json_errors(corpus.settings(spark, d)).select(F.col("file_ord").alias("supplier"), "code", "line", "col")
+
+
+@query(RINGS + "SELECT 'b' || p AS project, count(DISTINCT r) AS cycles, count(DISTINCT path) AS files FROM (SELECT p, r, unnest(nodes) AS path FROM c WHERE r <= 20) GROUP BY 1")
+def cycle_summary(spark, d):
+    return graph.cycle_summary(_cycles(spark, d)).select(F.col("project_id").alias("project"), "cycles", "files")
+
+
+@query(f"WITH f AS (SELECT {LABEL} AS big_o, count(*) AS n FROM part GROUP BY 1) SELECT big_o, n AS functions, CASE big_o WHEN 'O(1)' THEN 0 WHEN 'O(n)' THEN 2 WHEN 'O(n²)' THEN 4 WHEN 'O(n³)' THEN 5 ELSE -1 END AS rank, round(100 * n / max(n) OVER ())::BIGINT AS bar, CASE big_o WHEN 'O(1)' THEN '#00f5a0' WHEN 'O(n)' THEN '#ffb627' WHEN 'O(n²)' THEN '#ff3366' WHEN 'O(n³)' THEN '#ff3366' ELSE '#4a5880' END AS colour FROM f")
+def bigo_bars(spark, d):
+    rows = rollup.big_o_bars(rollup.big_o_distribution(_functions(corpus.loops(spark, d))))
+    return rows.select("big_o", "functions", F.col("rank").cast("int").alias("rank"), "bar", "colour")
+
+
+@query("""WITH h AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 = 4 THEN 2 ELSE 3 END AS priority FROM part WHERE p_size % 5 >= 2)
+SELECT k AS part, priority, CASE WHEN p_size % 5 = 4 THEN ['cyclomatic complexity 5'] WHEN p_size % 5 = 3 THEN ['time O(n³)'] ELSE ['time O(n²)'] END AS reasons, CASE WHEN p_size % 5 = 4 THEN '1.5-3x' WHEN p_size % 5 = 3 THEN '10-100x' ELSE '5-30x' END AS speedup FROM h JOIN part ON p_partkey = k""")
+def native_hints(spark, d):
+    files = corpus.loops(spark, d)
+    return parse.ordered_hints(parse.wasm_hints(_functions(files), files)).select(F.col("file_ord").alias("part"), "priority", "reasons", "speedup")
+
+
+@query("SELECT count(*) AS hints, 0::BIGINT AS critical, count(*) AS candidates FROM part WHERE p_size % 5 >= 2")
+def hint_summary(spark, d):
+    return parse.hint_summary(parse.wasm_hints(_functions(corpus.loops(spark, d)))).drop("project_id")
+
+
+@query("SELECT 'log' || user_id % 10 AS name, event_id AS line_no, level FROM (SELECT *, 'error' AS level FROM (SELECT user_id, event_id FROM events WHERE event_type = 'error' ORDER BY 'log' || user_id % 10, event_id LIMIT 100) UNION ALL SELECT *, 'warning' FROM (SELECT user_id, event_id FROM events WHERE event_type = 'purchase' ORDER BY 'log' || user_id % 10, event_id LIMIT 100))")
+def log_problems(spark, d):
+    rows = corpus.logs(spark, d).select("name", F.col("event_id").alias("line_no"), "line", logs.level_of(F.col("line")).alias("level"))
+    return logs.problems(rows).select("name", "line_no", "level")
+
+
+@query("""SELECT s_suppkey AS supplier, kind, CASE kind WHEN 'single_letter_name' THEN 'Low' WHEN 'inconsistent_casing' THEN 'Medium' ELSE 'High' END AS severity, CASE kind WHEN 'shadowed_name' THEN 0 WHEN 'inconsistent_casing' THEN 1 ELSE 2 END AS rank
+FROM (SELECT s_suppkey, 'single_letter_name' AS kind FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'inconsistent_casing' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'shadowed_name' FROM supplier WHERE s_suppkey % 5 = 0)""")
+def smell_severities(spark, d):
+    rows = parse.naming_smells(parse.parse_files(corpus.names(spark, d), ["naming"]))
+    return rows.select(F.col("file_ord").alias("supplier"), "kind", labels.smell_severity(F.col("kind")).alias("severity"), labels.kind_rank(F.col("kind")).alias("rank"))
+
+
+@query("SELECT s_suppkey AS supplier, CASE s_suppkey % 6 WHEN 0 THEN 'php' WHEN 1 THEN 'ruby' WHEN 2 THEN 'sql' WHEN 3 THEN 'yaml' WHEN 4 THEN 'plaintext' ELSE 'python' END AS language, CASE s_suppkey % 6 WHEN 5 THEN 'python' END AS parser FROM supplier")
+def language_labels(spark, d):
+    s = corpus.table(spark, d, "supplier")
+    path = F.concat(F.lit("a/b."), F.get(F.array(*map(F.lit, ("php", "rb", "sql", "YAML", "pyw", "py"))), (F.col("s_suppkey") % 6).cast("int")))
+    return s.select(F.col("s_suppkey").alias("supplier"), text.language(path).alias("language"), text.parser_of(path).alias("parser"))
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS files, count(*) AS issues, count(*) FILTER (code = 'TS003') AS errors, count(*) FILTER (code IN ('TS004', 'TS005', 'E501')) AS warnings, (SELECT count(*) FROM events) AS apis, (SELECT count(*) FROM events WHERE event_type NOT IN ('error', 'purchase')) AS apis_ok FROM (" + SCRIPT_LINT + ")")
+def run_summary(spark, d):
+    files = corpus.scripts(spark, d)
+    return lint.run_summary(files, lint.script_lint(files), corpus.probes(spark, d).withColumn("status", logs.probe_status(F.col("code"), F.col("error"))))
+
+
+@query("SELECT count(*) AS lines, count(DISTINCT (conv_id, turn)) AS files FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM conversations) WHERE contains(lower(x), 'the')")
+def grep_total(spark, d):
+    c = corpus.table(spark, d, "conversations")
+    files = c.select(F.col("conv_id").cast("string").alias("project_id"), F.col("turn").alias("file_ord"), F.lit("x").alias("path"), F.col("text").alias("content"))
+    return search.grep_total(search.grep(files, "the"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigo_distribution(spark, sf_dir)

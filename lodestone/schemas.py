@@ -35,7 +35,7 @@ PARSED_FILE = T.StructType(
         *fields(
             "",
             functions=rows(FUNCTION), classes=rows(CLASS), imports=rows(IMPORT), findings=rows(FINDING), naming=rows(SMELL),
-            exports=rows(NAMED), interfaces=rows(NAMED), types=rows(NAMED), macros=rows(NAMED),
+            exports=rows(NAMED), interfaces=rows(NAMED), types=rows(NAMED), macros=rows(NAMED), unused_modules=rows(NAMED),
             lint=rows(fields("code string, line int, col int, message string")),
             symbols=rows(fields("name string, kind string, line int, col int, label string")),
             refs=rows(fields("name string, kind string, line int, col int")),

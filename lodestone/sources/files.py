@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.captured import CapturedException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
+from ..operators import tree
 
 # What is read, skipped and refused, and up to which size.
 READ = [".py", ".js", ".ts", ".jsx", ".tsx", ".c", ".cpp", ".h", ".hpp"]
@@ -34,9 +39,8 @@ def inline(spark: SparkSession, project: str, files: list[dict]) -> DataFrame:
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """SOURCE_FILE of `project_id`, `path`, `content`: files of a project are numbered by path."""
-    order = F.row_number().over(Window.partitionBy("project_id").orderBy("path")) - 1
-    return files.select("project_id", order.cast("long").alias("file_ord"), "path", "content")
+    """SOURCE_FILE of `project_id`, `path`, `content`: a file's number is a hash of its path, the same in every upload."""
+    return files.select("project_id", F.xxhash64("path").bitwiseAND(F.lit((1 << 63) - 1)).alias("file_ord"), "path", "content")
 
 
 def folder(spark: SparkSession, root: str, project: str, suffixes: list[str] | None = None, blank: bool = False) -> DataFrame:
@@ -106,6 +110,13 @@ def from_archives(rows: DataFrame) -> DataFrame:
     return numbered(kept.select("project_id", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
 
+def archive_upload(zips: DataFrame) -> dict[str, DataFrame]:
+    """What an uploaded archive is answered with: its files, summary, tree and figures."""
+    rows = archives(zips)
+    files = from_archives(rows)
+    return {"files": files, "summary": archive_summary(rows), "tree": tree.ordered_tree(tree.tree(files)), "info": tree.project_info(files), "extensions": tree.extension_histogram(files)}
+
+
 def uploads(rows: DataFrame, keep_folders: bool = True) -> DataFrame:
     """Loose files or a folder (`project_id`, `path`, `content` binary): safe relative paths or base names, no refused suffixes, no large files."""
     path = text.safe_path(F.col("path"))
@@ -115,13 +126,16 @@ def uploads(rows: DataFrame, keep_folders: bool = True) -> DataFrame:
 
 
 def save(files: DataFrame, table_path: str, mode: str = "append") -> None:
-    """The project store: Parquet, a folder for each project."""
-    files.write.mode(mode).partitionBy("project_id").parquet(table_path)
+    """The project store: Parquet, a folder for each project. What is appended later takes the place of equal paths."""
+    files.withColumn("saved", F.current_timestamp()).write.mode(mode).partitionBy("project_id").parquet(table_path)
 
 
 def load(spark: SparkSession, table_path: str, project: str | None = None) -> DataFrame:
-    rows = spark.read.schema("file_ord long, path string, content string, project_id string").parquet(table_path).select("project_id", "file_ord", "path", "content")
-    return rows if project is None else rows.where(F.col("project_id") == project)
+    rows = spark.read.schema("file_ord long, path string, content string, saved timestamp, project_id string").parquet(table_path)
+    if project is not None:
+        rows = rows.where(F.col("project_id") == project)
+    newest = rows.groupBy("project_id", "path").agg(F.max_by(F.struct("file_ord", "content"), "saved").alias("x"))
+    return newest.select("project_id", "x.file_ord", "path", "x.content")
 
 
 def delete(spark: SparkSession, table_path: str, project: str) -> bool:
@@ -150,7 +164,10 @@ def cached(spark: SparkSession, info: DataFrame, path: str) -> DataFrame:
         rows = spark.read.parquet(path)
         rows.limit(1).collect()
         return rows
-    except Exception:  # a missing or damaged cache is made again
+    except (AnalysisException, CapturedException, Py4JJavaError) as e:
+        # only what is missing or damaged is made again; any other failure is the caller's
+        if not re.search("PATH_NOT_FOUND|UNABLE_TO_INFER_SCHEMA|CANNOT_READ_FILE|is not a Parquet file|FAILED_READ_FILE", str(e)):
+            raise
         info.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
@@ -160,6 +177,16 @@ def export_report(report: DataFrame, path: str) -> None:
     report.select(F.to_json(F.struct(*report.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def report_bundle(report: DataFrame, diagram: str | None = None) -> bytes:
+    """A report of a row, and its diagram, as a ZIP archive for a download."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("report.json", request_json(report))
+        if diagram is not None:
+            archive.writestr("diagram.mmd", diagram)
+    return out.getvalue()
+
+
 def log_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("content"))
 

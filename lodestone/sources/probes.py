@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.metadata
 import importlib.util
 import json
+import re
 import subprocess
 import sys
 import tempfile
@@ -93,6 +94,35 @@ def external_lint(files: DataFrame, tool: str, timeout: float = 60.0) -> DataFra
     return files.where(F.col("path").endswith(".py")).select("project_id", "file_ord", "path", "content").mapInArrow(run, ISSUE)
 
 
+def rating(output: str) -> float | None:
+    """The score that pylint's text ends with."""
+    found = re.search(r"Your code has been rated at (-?\d+(?:\.\d+)?)/", output)
+    return float(found[1]) if found else None
+
+
+def lint_scores(files: DataFrame, timeout: float = 60.0) -> DataFrame:
+    """pylint's score of each Python file, null where it gives none; no rows where pylint is not installed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("project_id", pa.string()), ("file_ord", pa.int64()), ("path", pa.string()), ("score", pa.float64())])
+        if importlib.util.find_spec("pylint") is None:
+            return
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                with tempfile.TemporaryDirectory() as folder:
+                    Path(folder, "f.py").write_text(r["content"] or "", encoding="utf-8")
+                    try:
+                        done = subprocess.run([sys.executable, "-m", "pylint", "--score=y", "f.py"], capture_output=True, text=True, timeout=timeout, cwd=folder)
+                        score = rating(done.stderr + done.stdout)
+                    except (subprocess.TimeoutExpired, OSError):
+                        score = None
+                out.append({k: r[k] for k in ("project_id", "file_ord", "path")} | {"score": score})
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    return files.where(F.col("path").endswith(".py")).select("project_id", "file_ord", "path", "content").mapInArrow(run, "project_id string, file_ord long, path string, score double")
+
+
 def capabilities(spark: SparkSession, names: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "numpy", "duckdb", "flake8", "pylint", "networkx")) -> DataFrame:
     """`name`, `available`, `version` of libraries on the driver."""
     rows = []

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import parse
 from ..operators.logs import level_of
 
 
@@ -52,6 +53,20 @@ def last_values(events: DataFrame, kept: int = 50, shown: int = 10) -> DataFrame
     return events.groupBy("key").transformWithStateInPandas(LastN(kept, shown), "key string, back int, ts timestamp, seq long, value double", "Update", "None")
 
 
+def live_metrics(edits: DataFrame, act: Callable[[DataFrame, int], None], seconds: float = 0.2) -> DataStreamWriter:
+    """The editor's figures of every edit (`file`, `content`): in each small batch the last content of a file, parsed; `act` gets the rows."""
+
+    def work(batch: DataFrame, k: int) -> None:
+        last = batch.withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.max_by("content", "n").alias("content"))
+        files = last.select(F.lit("live").alias("project_id"), F.xxhash64("file").alias("file_ord"), F.col("file").alias("path"), "content").persist()
+        try:
+            act(parse.live_metrics(files, parse.parse_files(files, ["light_functions", "light_classes", "light_imports"])), k)
+        finally:
+            files.unpersist()
+
+    return edits.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(work)
+
+
 def every(df: DataFrame, seconds: int, act: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """Runs `act` on each batch of a stream, every so many seconds: periodic runs and fan-out."""
     return df.writeStream.trigger(processingTime=f"{seconds} seconds").foreachBatch(act)

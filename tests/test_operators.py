@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import labels, text
 from lodestone.operators import graph, lint, logs, ml, parse, render, rollup, search, symbols, tree
-from lodestone.plans.project import GRAPHS, Project, analyse_logs
+from lodestone.plans.project import GRAPHS, Project, analyse_logs, stored
 from lodestone.sources import files as source
 from lodestone.sources import probes
 
@@ -124,7 +124,7 @@ def test_definitions_references_and_rename(spark):
     files = project(spark, {"m.py": "def f(a):\n    return a\n\nclass C:\n    def f(self):\n        return f(1)\n"})
     parsed = parse.parse_files(files)
     assert [(r.kind, r.line) for r in symbols.definitions(parsed, "f").collect()] == [("function", 1), ("method", 5)]
-    assert {(r.line, r.kind) for r in symbols.references(parsed).where("name = 'f'").collect()} == {(1, "definition"), (5, "definition"), (6, "call")}
+    assert {(r.line, r.kind) for r in symbols.references(parsed).where("name = 'f'").collect()} == {(1, "definition"), (5, "definition"), (6, "read")}
     assert lint.rename_edits(symbols.references(parsed), files, "f", "g").count() == 3
     with pytest.raises(ValueError):
         lint.rename_edits(symbols.references(parsed), files, "f", "2g")
@@ -169,7 +169,8 @@ def test_ml(spark):
     assert found["metrics"].where("metric = 'batch_size'").first().value == 32.0
     assert found["score"].where("path = 'empty.py'").first().score == 100
     assert found["models"].first().model == "LSTM"
-    assert ml.notebook_environment(project(spark, {"a.py": "from google.colab import drive"})).first().environment == "colab"
+    text_only = project(spark, {"a.py": "import PYODIDE, numpy"})
+    assert ml.notebook_environments(text_only).first().environment == "pyodide" and ml.libraries_by_text(text_only).first().library == "NumPy" and ml.scores_by_text(text_only).first().score == 50
     p.release()
 
 
@@ -187,6 +188,7 @@ def test_search(spark):
     assert search.grep(files, "foo").count() == 2 and search.grep(files, "foo", case=True).count() == 1 and search.grep(files, "^b.r$", regex=True).count() == 1
     with pytest.raises(ValueError):
         search.grep(files, "(", regex=True)
+    assert search.grep_total(search.grep(files, "foo")).first().asDict() == {"lines": 2, "files": 1} and search.grep_counts(search.grep(files, "foo")).first().lines == 2
     assert search.grep_shown(search.grep(files, "o"), 1).first().more == 1
     assert search.outline_groups(search.outline(project(spark, {"a.ts": "export class A {}\nconst f = (x) => x"}))).count() == 2
     assert "+b" in search.diff(project(spark, {"x": "a", "y": "b"}), "x", "y").first().diff
@@ -222,12 +224,23 @@ def test_folder_source_and_store(spark, tmp_path):
     assert [(r.path, r.content) for r in rows.collect()] == [("src/a.py", "x = '�'")]
     store = f"file://{tmp_path}/store"
     source.save(rows, store)
+    source.save(source.numbered(spark.createDataFrame([("p", "src/a.py", "x = 2")], "project_id string, path string, content string")), store)
+    assert source.load(spark, store, "p").first().content == "x = 2" and source.load(spark, store).count() == 1
+    graph_of = stored(spark, store, "p", "import")
+    assert [r.path for r in graph_of["files"].collect()] == ["src/a.py"] and graph_of["tree"].count() == 2
     assert source.load(spark, store, "p").count() == 1 and source.one_file(source.load(spark, store), "p", "src/a.py").count() == 1
     with pytest.raises(ValueError):
         source.one_file(rows, "p", "../x")
     assert source.delete(spark, store, "p") is True and source.delete(spark, store, "p") is False
     assert source.cached(spark, spark.range(3), f"{store}-meta").count() == 3
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        source.cached(spark, spark.range(3).select(F.lit(1) / F.lit(0)), f"{store}-broken")
     source.export_report(spark.range(2), f"{store}-report")
+    with zipfile.ZipFile(io.BytesIO(source.report_bundle(spark.range(1), "graph TD"))) as z:
+        assert set(z.namelist()) == {"report.json", "diagram.mmd"}
+    (tmp_path / "a.log").write_text("ERROR x\nfine\n")
+    assert {r.level for r in logs.log_lines(source.log_files(spark, f"{tmp_path}/*.log")).collect()} == {"error", None}
+    assert source.sessions(spark.sql("SELECT current_timestamp() - make_interval(0, 0, 0, 0, h) AS ts FROM VALUES (1), (30) AS t(h)")).count() == 1
 
 
 def test_uploads(spark):
@@ -250,3 +263,96 @@ def test_scores_and_renderers(spark):
     assert one(spark, rollup.architecture_score(F.col("c"), F.col("k"), F.col("f")), c=1, k=1, f=10) == 75
     scores = spark.createDataFrame([("p", 90, 60, 10, 80)], "project_id string, security long, quality long, complexity long, architecture long")
     assert {r.card: r.tier for r in render.health_cards(scores).collect()} == {"security": "ok", "quality": "warn", "complexity": "err", "architecture": "ok"}
+
+
+@pytest.mark.parametrize(
+    ("column", "values", "said"),
+    [
+        (lambda: text.human_lines(F.col("n")), {"n": 1_500_000}, "1.5M"), (lambda: text.human_lines(F.col("n")), {"n": 2600}, "3K"), (lambda: text.human_lines(F.col("n")), {"n": 999}, "999"),
+        (lambda: text.preview(F.col("s")), {"s": " " + "a" * 71}, "a" * 70 + "…"), (lambda: text.html_escape(F.col("s")), {"s": "<a & b>"}, "&lt;a &amp; b&gt;"),
+        (lambda: text.line_of(F.col("s"), F.col("n")), {"s": "a\nb\nc", "n": 5}, 3), (lambda: text.is_identifier(F.col("s")), {"s": "a_1"}, True), (lambda: text.is_identifier(F.col("s")), {"s": "1a"}, False),
+        (lambda: text.project_name(F.col("a"), F.col("b"), F.lit("id")), {"a": " ", "b": " kept "}, "kept"), (lambda: text.suffix_loose(F.col("s")), {"s": "Makefile"}, ".makefile"), (lambda: text.is_json(F.col("s")), {"s": "[1"}, False),
+        (lambda: text.clock(F.col("t").cast("timestamp")), {"t": "2024-01-02 03:04:05"}, "03:04:05"),
+        (lambda: text.ago(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")), {"a": "2024-01-01 00:00:00", "b": "2024-01-01 02:30:00"}, "2h"),
+        (lambda: text.ago(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")), {"a": "2024-01-01 00:00:00", "b": "2024-01-03 00:00:00"}, "2d"),
+        (lambda: labels.mi_band(F.col("n")), {"n": 41}, "warn"), (lambda: labels.lint_score_band(F.col("n")), {"n": 8}, "ok"), (lambda: labels.issue_count_band(F.col("n")), {"n": 21}, "err"),
+        (lambda: labels.smell_severity(F.col("s")), {"s": "shadowed_name"}, "High"), (lambda: labels.smell_severity(F.col("s")), {"s": "large_class"}, "Medium"), (lambda: labels.smell_severity(F.col("s")), {"s": "long_function"}, "Low"),
+        (lambda: labels.mapped(F.col("s"), labels.CC_COLOURS), {"s": "high"}, "#ff8a00"), (lambda: labels.big_o_colour(F.col("s")), {"s": "O(n log n)"}, "#ff8a00"), (lambda: labels.big_o_order(F.col("s")), {"s": "O(n^4)"}, -1),
+        (lambda: labels.cc_label(F.col("n")), {"n": 8}, "complex"), (lambda: labels.theta_omega(F.col("s"), F.lit(True))[1], {"s": "O(n)"}, "Ω(1)"), (lambda: labels.theta_omega(F.col("s"), F.lit(True))[0], {"s": "O(n)"}, "varies between Ω(1) and O(n)"),
+        (lambda: logs.ping_status(F.col("s")), {"s": "Timeout"}, "down"), (lambda: logs.ping_status(F.col("s")), {"s": "refused"}, "warning"),
+        (lambda: lint.is_security_issue(), {"message": "use of Eval", "code": "X"}, True),
+    ],
+)
+def test_column_functions(spark, column, values, said):
+    assert one(spark, column(), **values) == said
+
+
+def test_hints_of_each_language(spark):
+    deep = "  for (;;) { for (;;) { } }\n"
+    files = project(spark, {"a.py": "cdef x\n", "b.py": "w = 'x.wasm'\ndef sort_all(a):\n    for x in a:\n        for y in a: pass\n", "c.c": "int f(int a) {\n  for (;;) {\n  for (;;) {\n } } }\n", "d.js": "function g() {\n" + deep + "}\n"})
+    fns = parse.functions(parse.parse_files(files, ["functions"]))
+    rows = {(r.path, r.name): r for r in parse.ordered_hints(parse.wasm_hints(fns, files)).collect()}
+    assert rows["b.py", "sort_all"].priority == 5 and len(rows["b.py", "sort_all"].reasons) == 2 and rows["b.py", "<module>"].speedup == "N/A"
+    assert rows["c.c", "f"].speedup == "2-10x vs JavaScript" and rows["d.js", "g"].speedup == "3-20x for numeric work" and len(rows) == 4
+    assert parse.critical_hints(parse.wasm_hints(fns, files)).count() == 2
+
+
+def test_script_symbols(spark):
+    files = project(spark, {"a.ts": "import { z } from '../x/my-lib'\nclass A extends B {}\nconst f = (x) => x;\nf(A)\n#define"})
+    parsed = parse.parse_files(files)
+    assert {(r.label, r.kind) for r in symbols.ordered_completions(symbols.completions(parsed)).collect()} == {("A", "class"), ("f", "function"), ("my_lib", "import")}
+    rows = symbols.ordered_references(symbols.references(parsed).where("name = 'A'"), files).collect()
+    assert [(r.line, r.col, r.kind, r.preview) for r in rows] == [(2, 0, "definition", "class A extends B {}"), (2, 6, "use", "class A extends B {}"), (4, 2, "use", "f(A)")]
+    assert [r.name for r in parse.named(parse.parse_files(project(spark, {"a.h": "#define N 1\n"})), "macros").collect()] == ["N"]
+
+
+# A text that breaks each rule.
+RULES = {
+    "fit_before_split": "s.fit_transform(a)\ntrain_test_split(a)", "split_without_seed": "train_test_split(a)", "kfold_without_seed": "KFold(3)", "torch_without_seed": "import torch", "tensorflow_without_seed": "import tensorflow",
+    "numpy_without_seed": "import numpy", "no_validation": "m.fit(a)", "network_not_normalised": "import keras", "backward_without_zero_grad": "import torch\nloss.backward()", "model_without_device": "import torch\nnn.Module",
+    "no_early_stopping": "import keras\nmodel.fit(a)", "no_batch_size": "import torch\nDataLoader(a)", "polars_and_pandas": "import polars\npd.read_csv('a')", "many_conversions": "a.to_pandas()\n" * 4,
+    "lightgbm_without_early_stopping": "lgb.train(a)", "lightgbm_without_size": "lgb.train(a)", "spacy_unguarded": "spacy.load('a')", "spacy_in_loop": "nlp = spacy\nfor x in a:\n    y = nlp(x)", "many_debug_calls": "ic(a)\n" * 6, "debug_calls": "ic(a)",
+    "image_unchecked": "cv2.imread('a')", "capture_not_released": "cv2.VideoCapture(0)", "figure_not_shown": "px.bar(a)", "test_without_p_value": "ttest_ind(a, b)",
+}
+
+
+def test_every_ml_rule(spark):
+    files = project(spark, {f"{k}.py": v for k, v in RULES.items()} | {"clean.py": "x = 1"})
+    found = ml.issues(files, ml.libraries(parse.imports(parse.parse_files(files, ["imports"])))).collect()
+    for rule in RULES:
+        assert rule in {r.rule for r in found if r.path == f"{rule}.py"}
+    assert len(RULES) == 24 and not [r for r in found if r.path == "clean.py"]
+
+
+def test_diagrams_of_scripts(spark):
+    flow = {r.project_id: r.diagram for r in render.text_flowchart(project(spark, {"a.py": "def f():\n  pass\ndef g(): pass", "b.js": "x"})).collect()}
+    assert "    START --> F0\n    F0 --> F1\n    F1 --> END" in flow["a.py"] and "no functions" in flow["b.js"]
+    files = project(spark, {"m.py": "pd.read_csv('a')\nm = LSTM()\nm.fit(a)\nm.fit(b)"})
+    chain = render.chain_diagram(ml.pipeline(files), ml.models(files)).first().diagram
+    assert 'S1["entrenamiento\\n(2x)"]' in chain and "S0 --> S1" in chain and "S1 --> M0" in chain and "S1 --> END" in chain
+
+
+def test_reports_in_order(spark):
+    files = project(spark, {"a.py": "def f(a1, b1, c1, d1, e1, f1):\n    l = 1\n", "b.py": "import a\nimport xml.etree.xml\n"})
+    p = Project(files)
+    report = p.report()
+    assert [r.family for r in report["by_kind"].collect()] == ["structural", "naming"] and report["totals"].first().unused_imports == 2
+    assert p.graph("import")["most"].first().max_in_degree == 1 and p.graph("heatmap")["nodes"].first().name == "f" and p.lint()["cards"].count() > 0
+    assert {r.name for r in Project(project(spark, {"c.py": "def f():\n    g()\ndef g(): pass\n"})).graph("call")["nodes"].collect()} == {"f", "g"}
+    own = parse.imports(parse.parse_files(project(spark, {"c.py": "import a.b\nimport b.a\n"}), ["imports"]))
+    assert [r.nodes for r in graph.module_cycles(own).collect()] == [["a", "b"]]
+    p.release()
+
+
+def test_client_lint_status_and_trees(spark):
+    assert {r.code for r in lint.client_lint(project(spark, {"a.js": "debugger\n// TODO: x"})).collect()} == {"DEBUG", "TODO"}
+    apis = spark.createDataFrame([("u", "ok", None)], "url string, status string, error string")
+    issues = spark.createDataFrame([("warning",)], "severity string")
+    none = spark.createDataFrame([], "level string")
+    assert lint.overall_status(apis, issues, none).first().status == "warning" and lint.overall_status(apis, issues.limit(0), none).first().status == "ok"
+    assert logs.cards(apis, "OK").count() == 1 and logs.all_badges(apis, issues, issues).first().files == 1
+    a = spark.createDataFrame([("p", "x", 1), ("p", "y", 1)], "project_id string, path string, bytes int")
+    assert {(r.path, r.bytes) for r in tree.merged_tree(a, a.where("path = 'x'").withColumn("bytes", F.lit(2))).collect()} == {("x", 2), ("y", 1)}
+    assert [r.name for r in tree.ordered_tree(tree.tree(project(spark, {"b.py": "", "A/c.py": ""}))).where("parent = ''").collect()] == ["A", "b.py"]
+    scores = spark.createDataFrame([("p", 8.0), ("p", None), ("p", 9.5)], "project_id string, score double")
+    assert lint.mean_score(scores).first().score == 8.75 and probes.rating("Your code has been rated at 7.50/10") == 7.5 and probes.lint_scores(project(spark, {"a.py": "x"})).count() >= 0

@@ -1,10 +1,12 @@
 """Facts of single snippets, with values worked out by hand."""
 
+import random
 import textwrap
+import time
 
 import pytest
 
-from lodestone.functions import pyfacts, scripts
+from lodestone.functions import cycles, pyfacts, scripts
 
 
 def facts(code):
@@ -133,7 +135,47 @@ def test_script_functions():
     assert [(f["name"], f["loc"], f["complexity"]) for f in js["functions"]] == [("even", 1, 1), ("f", 4, 3)]
     ts = scripts.parse_js("export interface A {}\ntype B = string;\nexport class C extends A {}\nimport { x } from './y';\n", "typescript")
     assert (ts["interfaces"][0]["name"], ts["types"][0]["name"], ts["classes"][0]["bases"], ts["imports"][0]["module"]) == ("A", "B", ["A"], "./y")
-    assert scripts.unused_js(ts["imports"], "from './tools'") == []
+    assert ts["unused_modules"] == [] and ts["exports"] == [{"name": "C", "line": 3}]
+    assert scripts.unused_modules([{"module": "a/my-lib.js", "line": 2}, {"module": "b/used", "line": 3}], "from 'a/my-lib.js'; used; used") == [{"name": "a/my-lib.js", "line": 2}]
+
+
+def test_long_declarations_and_blocks_take_linear_time():
+    began = time.perf_counter()
+    assert scripts.parse_c("int " + "a* " * 50_000 + ";", "c")["functions"] == []
+    assert scripts.parse_js("function f() {\n" + "x\n" * 600 + "}", "javascript")["functions"][0]["loc"] == 500
+    assert time.perf_counter() - began < 5
+
+
+def test_cycles_against_brute_force():
+    def brute(pairs):
+        out, to = [], {}
+        for a, b in pairs:
+            if a != b:
+                to.setdefault(a, set()).add(b)
+
+        def go(path):
+            for x in to.get(path[-1], ()):
+                if x == path[0] and len(path) > 1:
+                    out.append(path)
+                elif x > path[0] and x not in path:
+                    go([*path, x])
+
+        for a in to:
+            go([a])
+        return sorted(out, key=lambda c: (len(c), c))
+
+    rng = random.Random(4)
+    for _ in range(400):
+        n = rng.randint(2, 8)
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 20))]
+        for most in (1, 20):
+            assert cycles.shortest_cycles(pairs, most) == brute(pairs)[:most]
+    assert cycles.shortest_cycles([(k, (k + 1) % 500) for k in range(500)], 20) == [list(range(500))]
+
+
+def test_only_wanted_facts_are_made():
+    assert set(pyfacts.parse("import os", {"imports"})) == {"language", "imports"}
+    assert set(pyfacts.parse("def f(:", {"refs"})) == {"language", "error", "error_line", "error_col", "refs"}
 
 
 def test_c():

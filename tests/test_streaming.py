@@ -34,3 +34,20 @@ def test_level_windows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "lines"))
     found = run(spark, streams.level_windows(stream), "append", tmp_path, "levels").collect()
     assert {(r.level, r.lines) for r in found} >= {("error", 1), ("info", 1)}
+
+
+def test_live_metrics_of_edits(spark, tmp_path):
+    spark.createDataFrame([("a.py", "def f(): pass")], "file string, content string").write.json(f"{tmp_path}/in")
+    edits = spark.readStream.schema("file string, content string").json(f"{tmp_path}/in")
+    seen = []
+    query = streams.live_metrics(edits, lambda rows, k: seen.extend(rows.collect())).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert [(r.path, r.functions) for r in seen] == [("a.py", 1)]
+
+
+def test_every(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    seen = []
+    query = streams.every(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), 1, lambda df, k: seen.append(df.count())).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert seen == [3]
