@@ -126,6 +126,17 @@ g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT g.b, r.seen FROM r JOIN g ON g.a = r.node WHERE r.seen < g.b)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id, m.c = s.doc_id AS kept
 FROM s JOIN (SELECT node, min(seen) AS c FROM r GROUP BY node) m ON m.node = s.doc_id
+""",
+    "op2_suffix_array": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, p, b[p + 1 : p + 50] AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s HAVING count(*) > 1),
+x AS (SELECT doc_id, p, lag(p) OVER w AS o, lead(p) OVER w AS n FROM (SELECT g.doc_id, p FROM g JOIN f USING (s) WHERE m < doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+t AS (SELECT doc_id, sum(least(50, coalesce(n - p, 50))) AS removed, count(*) FILTER (n IS NULL OR n - p > 50) AS spans,
+             list(p ORDER BY p) FILTER (o IS NULL OR p - o > 50) AS starts, list(p + 50 ORDER BY p) FILTER (n IS NULL OR n - p > 50) AS ends FROM x GROUP BY 1),
+k AS (SELECT doc_id, string_agg(hex(b[a + 1 : e]), '' ORDER BY a) AS h FROM (SELECT d.doc_id, b, unnest([0] || ends) AS a, unnest(starts || [octet_length(b)]) AS e FROM d JOIN t USING (doc_id)) WHERE e > a GROUP BY 1)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),

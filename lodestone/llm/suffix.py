@@ -8,8 +8,8 @@ document of a smaller id. Three steps share one exchange of documents into block
    block sends the names it has, by buckets of names; a bucket answers which of them
    several documents have.
 2. Runs of such names are sent to their bucket. There the suffixes of the runs are
-   sorted to a depth of LENGTH; the previous or next suffix of a smaller document, if
-   no common prefix between is shorter than LENGTH, is an earlier match.
+   sorted to a depth of LENGTH, and the previous and next places of a smaller document
+   in suffix order give the longest previous factor: one of LENGTH is an earlier match.
 3. Each block cuts the union of the matches out of its documents.
 
 A name, a text of a run and an answer occur once in a block, however many documents
@@ -164,33 +164,69 @@ def suffix_ranks(raw: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def matches(docs: np.ndarray, lengths: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
-    """Marks, for windows at every byte of the joined runs, those that also start in a smaller document.
+def common_prefixes(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """The common prefix of each suffix with the one before it in `order`, up to `most` bytes; 0 for the first."""
+    padded = np.concatenate([raw, np.zeros(most + 8, np.uint8)])
+    out, same = np.zeros(len(order), np.int64), np.arange(1, len(order))
+    for at in range(0, most, 8):
+        words = np.ndarray((len(raw) + most,), "<u8", padded.data, 0, (1,))
+        differ = words[order[same] + at] ^ words[order[same - 1] + at]
+        # the least byte that differs, in bytes from the first
+        low = differ & (~differ + np.uint64(1))
+        out[same] += np.where(differ == 0, 8, np.searchsorted(_BYTE_ENDS, low, "right"))
+        same = same[differ == 0]
+    return np.minimum(out, most)
+
+
+#: The first bit of each byte but the first.
+_BYTE_ENDS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
 
-    The longest-previous-factor test: in suffix order, a previous or next suffix of
-    a smaller document is reached without the common prefix falling below `length`.
+def previous_smaller(doc: np.ndarray, prefix: np.ndarray, least: int) -> np.ndarray:
+    """For each place in suffix order the longest common prefix with the nearest place before it that has a smaller document; 0 if there is none, or it is below `least`.
+
+    All places jump together over places of larger or equal documents, a place's jump
+    being the one that the place it looks at has made: as in parallel all-nearest-smaller values.
     """
+    n = len(doc)
+    look, most = np.arange(-1, n - 1), prefix.copy()
+    most[:1] = 0
+    open_ = np.flatnonzero(most >= least)
+    while open_.size:
+        at = look[open_]
+        open_ = open_[(at >= 0) & (doc[np.maximum(at, 0)] >= doc[open_])]
+        at = look[open_]
+        further = np.minimum(most[open_], most[at])
+        look[open_], most[open_] = look[at], further
+        open_ = open_[further >= least]
+    found = (most >= least) & (look >= 0)
+    found[found] = doc[look[found]] < doc[found]
+    return np.where(found, most, 0)
+
+
+def longest_previous_factors(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For suffixes at the places `at`: the longest prefix, up to `length`, that also starts in a smaller document; shorter ones are 0."""
+    rank = suffix_ranks(raw, length)[at]
+    # the suffix array; suffixes that agree to the full depth stand in the order of their places
+    order = np.argsort(rank, kind="stable")
+    prefix, own = common_prefixes(raw, at[order], length), doc[order]
+    before = previous_smaller(own, prefix, length)
+    after = previous_smaller(own[::-1], np.concatenate([[0], prefix[:0:-1]]), length)[::-1]
+    out = np.zeros(len(at), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def matches(docs: np.ndarray, lengths: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
+    """Marks, for windows at every byte of the joined runs, those whose longest previous factor is of `length`."""
     ends = np.cumsum(lengths)
-    starts = ends - lengths
     mark = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(mark, starts, 1)
+    np.add.at(mark, ends - lengths, 1)
     np.add.at(mark, ends - length + 1, -1)
     at = np.flatnonzero(np.cumsum(mark)[: len(raw)] > 0)
     out = np.zeros(len(raw), bool)
-    if not len(at):
-        return out
-    rank = suffix_ranks(raw, length)[at]
-    doc = docs[np.searchsorted(ends, at, "right")]
-    # the suffix array; suffixes that agree to the full depth stand in the order of their places
-    order = np.argsort(rank, kind="stable")
-    place, doc = at[order], np.unique(doc, return_inverse=True)[1].astype(np.int64)[order]
-    cut = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])  # the common prefix with the suffix before is shorter
-    segment = np.cumsum(cut) - 1
-    big = int(doc.max()) + 1
-    # least document before and after within the segment: runs of minima over keys that fall from segment to segment
-    earlier = np.minimum.accumulate(doc - segment * big) + segment * big
-    later = (np.minimum.accumulate((doc - (segment[-1] - segment) * big)[::-1]) + ((segment[-1] - segment) * big)[::-1])[::-1]
-    out[place[(earlier < doc) | (later < doc)]] = True
+    if len(at):
+        out[at] = longest_previous_factors(raw, at, docs[np.searchsorted(ends, at, "right")], length) >= length
     return out
 
 
@@ -233,10 +269,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = F.coalesce(F.col(quoted(text_col)).cast("string").cast("binary"), F.lit(b""))
     block = F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int")
     base = docs.select(number.alias("doc_id"), raw.alias("raw"), block.alias("block"), *(F.col(quoted(c)).alias(f"__{k}") for k, c in enumerate(carry)))
-    # of exact copies only the first takes part; by digests, a row a document
+    # of exact copies only the first takes part; by digests, a row a block that has one, however many documents share it
     digests = docs.select(number.alias("doc_id"), F.unhex(F.sha2(raw, 256)).alias("digest"), block.alias("block")).where(F.col("doc_id").isNotNull())
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = digests.join(first, "digest").where(F.col("doc_id") != F.col("first")).select("block", "digest", "doc_id")
+    own = digests.groupBy("digest", "block").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    first = own.groupBy("digest").agg(F.min(F.get("ids", F.lit(0))).alias("first"), F.sum(F.size("ids")).alias("n")).where(F.col("n") > 1)
+    copies = own.join(first, "digest").select("block", "digest", F.explode(F.filter("ids", lambda x: x != F.col("first"))).alias("doc_id"))
     copies = copies.groupBy("block").agg(F.collect_list(F.struct("doc_id", "digest")).alias("copies")).select("block", F.lit(None).cast("binary").alias("body"), F.lit(-1).alias("bucket"), F.col("copies.doc_id").alias("copy_ids"), F.col("copies.digest").alias("copy_digests"))
 
     def opened(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
