@@ -340,3 +340,21 @@ def test_a_link_found_from_one_side_counts_for_both():
     one = hnsw.both_ends(1, 2, np.array([5, 9]), np.array([1, 4]))
     other = hnsw.both_ends(5, 1, np.array([1]), np.array([2]))
     assert [x.tolist() for x in hnsw.totals(np.concatenate([one, other]))] == [[1, 5, 9], [5, 2, 2]]
+
+
+@pytest.mark.parametrize("size", [10, 300, 2000])
+def test_families_of_near_copies_against_exact_products(size):
+    rng = np.random.default_rng(size)
+    base = rng.standard_normal((1500, 48))
+    family = rng.standard_normal(48) + 0.12 * rng.standard_normal((size, 48))
+    v = np.concatenate([base, family]).astype(np.float32)
+    g = hnsw.Graph(v, np.arange(len(v)), np.ones(len(v), np.int64))
+    g.audit(0.95)
+    assert g.recall >= hnsw.RECALL
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    exact = (u @ u.T >= 0.95) & ~np.eye(len(v), dtype=bool)
+    links = g.linked(v, np.arange(len(v)), 0.95)
+    both = np.zeros(exact.shape, bool)
+    for k, found in enumerate(links):
+        both[k, g.ids[found]] = True
+    assert exact.sum() > size and not (both & ~exact).any() and (both | both.T)[exact].mean() > 0.9999

@@ -92,7 +92,7 @@ def compare(spark, name, path=SF):
     return sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in got.collect()) == expected
 
 
-@pytest.mark.parametrize("name", ["op1_hnsw", "op4_decontamination", "op7_minhash"])
+@pytest.mark.parametrize("name", ["op1_hnsw", "op2_suffix_array", "op4_decontamination", "op7_minhash"])
 def test_against_sql(spark, name):
     assert compare(spark, name)
 
@@ -166,19 +166,67 @@ def test_span_edges(spark, odd, empty):
     assert spans.remove_repeats(empty).count() == 0
 
 
+def plain_pieces(text):
+    """What the module's docstring says, word by word: (offset, words, whether a sentence starts)."""
+    import re
+
+    import xxhash
+
+    def scatter(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    found = list(re.finditer(r"\S+", text))
+    words = [m[0] for m in found]
+    hashes = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    pieces, sentence = [], []
+    for k, m in enumerate(found):
+        sentence.append(k)
+        gap = text[m.end() : found[k + 1].start()] if k + 1 < len(found) else None
+        if gap is None or "\n" in gap or m[0][-1] in ".!?":
+            place = {j: scatter((hashes[j] + hashes[j - 1] * 0x9E3779B97F4A7C15) % 2**64) | 1 for j in sentence[1:]}
+            cuts = {sentence[-1]}
+            for at in range(1, len(sentence) - 7):
+                window = sentence[at : at + 8]
+                least = min(place[j] for j in window)
+                cuts |= {j for j in window if place[j] == least}
+            own = []
+            for j in sentence:
+                own.append(j)
+                if j in cuts:
+                    pieces.append((found[own[0]].start() if pieces else 0, [words[i] for i in own], own[0] == sentence[0]))
+                    own = []
+            sentence = []
+    return pieces
+
+
+def plain_spans(pieces):
+    """First and last pieces of all spans, in order."""
+    n, out = len(pieces), set()
+    size = lambda a, b: sum(len(p[1]) for p in pieces[a : b + 1])
+    for i in range(n):
+        out |= {(i, j) for j in [next((j for j in range(i, n) if size(i, j) >= 25), None)] if j is not None}
+        out |= {(j, i) for j in [next((j for j in range(i, -1, -1) if size(j, i) >= 25), None)] if j is not None}
+    opens = [k for k, p in enumerate(pieces) if p[2]] + [n]
+    out |= {(opens[k], opens[k + 3] - 1) for k in range(len(opens) - 3)}
+    return sorted(out)
+
+
 def test_span_query_against_plain(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK_BYTES", 40 << 10)
     monkeypatch.setattr(spans, "BUCKET_BYTES", 90 << 10)
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     seen, expected = set(), {}
     for d, t in docs:
-        parts = spans.sentences(t)
-        gone = set()
-        for h, a, b in zip(*(x.tolist() for x in spans.spans_of(parts)), strict=True):
-            if h in seen:
+        pieces, gone = plain_pieces(t), set()
+        for a, b in plain_spans(pieces):
+            key = tuple(w for p in pieces[a : b + 1] for w in p[1])
+            if key in seen:
                 gone |= set(range(a, b + 1))
-            seen.add(h)
-        expected[d] = "".join(p for k, p in enumerate(parts) if k not in gone)
+            seen.add(key)
+        at = [*(p[0] for p in pieces), len(t)] if pieces else [0, len(t)]
+        expected[d] = "".join(t[a:b] for k, (a, b) in enumerate(zip(at, at[1:], strict=False)) if k not in gone)
     assert {r.doc_id: r.kept_text for r in queries.op8_sentence_spans(spark, SF).collect()} == expected
 
 
@@ -267,3 +315,36 @@ def test_pipeline(spark):
         held = after
     last = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.STAGES[-1][1](spark, held, SF).collect()}
     assert last == {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, SF).collect()} and len(last) > 100
+
+
+def test_pipeline_of_odd_tables(spark, odd, tmp_path):
+    """Nulls, repeated rows, long and empty texts, and columns that have the names of the stages' outputs."""
+    import corpus_pipeline
+
+    toxic = "vile hateful slur " * 9
+    named = {c: F.lit(f"own {c}") for c in ("score", "evidence", "terms", "kept", "cut", "n_words", "items", "hit_words", "n_bytes", "n_removed", "n_spans", "n_tokens", "decoded", "label", "a.b", "__text")}
+    more = spark.createDataFrame([(20 + k, toxic + str(k)) for k in range(12)] + [(60 + k, f"calm words about {k} gardens and rivers") for k in range(40)] + [(50, "lead " + PASSAGE + " " + " ".join(f"other{k}" for k in range(120))), (51, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(more).withColumns(named)
+    spark.createDataFrame([(k, 1, 1) for k in range(20, 32)] + [(k, 1, 0) for k in (*range(12), *range(60, 100))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", "two three four five six seven eight nine ten eleven")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [held.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, str(tmp_path))
+        assert held.columns == docs.columns
+        path = work_dir(spark, "odd")
+        held.write.parquet(path)
+        held = spark.read.parquet(path)
+        rows = held.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in named)
+        sizes.append(len(rows))
+    by = {r.doc_id: r.text for r in held.collect()}
+    assert not set(range(20, 32)) & set(by) and 51 not in by and by[None] == "no id" and by[2] is None and by[3] == "" and by[5] == LONG
+    assert "shared3 " in by[6] and 7 not in by and 10 not in by and "shared3 " not in by[50] and "other3 " in by[50] and sum(r.doc_id == 9 for r in held.collect()) == 2
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert last.count() == sizes[-1] and set(last.columns) == {*docs.columns, "ids"} - {"text"}
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
