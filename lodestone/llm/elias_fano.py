@@ -66,11 +66,23 @@ class EliasFano:
             byte += 1
             bits = np.unpackbits(self.upper[byte : byte + 1], bitorder="little")
 
-    def values(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        found = (ones - np.arange(self.n)).astype(np.int64) << self.low
+    def selects(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1, from the nearest sample on; nothing else is decoded."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.int64)
+        start, last = int(self.samples[a // SAMPLE]), -(-b // SAMPLE)
+        byte, end = start // 8, int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.upper)
+        ones = np.flatnonzero(np.unpackbits(self.upper[byte:end], bitorder="little")) + byte * 8
+        ones = ones[ones >= start][a % SAMPLE :][: b - a]
+        found = (ones - np.arange(a, b)).astype(np.int64) << self.low
         if self.low:
-            bits = np.unpackbits(self.lower, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
+            first, end = a * self.low, b * self.low
+            bits = np.unpackbits(self.lower[first // 8 : (end + 7) // 8], bitorder="little")[first % 8 :][: end - first].reshape(b - a, self.low)
             found |= (bits.astype(np.int64) << np.arange(self.low)).sum(1)
         return found
+
+    def values(self) -> np.ndarray:
+        """All values."""
+        return self.selects(0, self.n)

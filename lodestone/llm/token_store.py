@@ -30,6 +30,8 @@ FILE_IDS = 8 << 20
 CACHED_WORDS = 400_000
 #: Input bytes for each range of document ids, where they have to be dealt anew.
 RANGE_BYTES = 24 << 20
+#: Documents whose boundaries are selected at a time on reading.
+SELECTED = 4096
 _MAGIC = b"LSTOK\x00\x00\x01"
 #: magic, bytes an id, documents of null id, documents, token ids, least document id, bytes of the two Elias-Fano parts
 _HEAD = struct.Struct("<8sIIQQqQQ")
@@ -223,24 +225,29 @@ def _overlap(ranges: DataFrame) -> bool:
 
 
 def read_store(files: DataFrame, slice_ids: int = 1 << 20) -> DataFrame:
-    """A row for each document: `doc_id`, `start` (ids of all documents before it), `n_tokens`, `ids` (little-endian unsigned 32-bit)."""
+    """A row for each document: `doc_id`, `start` (ids of all documents before it), `n_tokens`, `ids` (little-endian unsigned 32-bit).
+
+    Boundaries and document ids come from the select structures, SELECTED at a time.
+    """
 
     def run(batches):
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 file = TokenFile(path)
-                bounds = file.bounds.values()
-                numbers = [None] * file.nulls + (file.numbers.values() + file.least).tolist()
-                k = 0
-                while k < file.n_docs:
-                    to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + slice_ids, "right")) - 1)
-                    raw = file.ids(int(bounds[k]), int(bounds[to])).astype("<u4").tobytes()
-                    own = (bounds[k : to + 1] - bounds[k]).tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers[k:to], pa.int64()), pa.array(base + bounds[k:to], pa.int64()), pa.array(np.diff(bounds[k : to + 1]), pa.int64()), pa.array([raw[4 * s : 4 * e] for s, e in zip(own, own[1:], strict=False)], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-                    k = to
+                for first in range(0, file.n_docs, SELECTED):
+                    last = min(file.n_docs, first + SELECTED)
+                    bounds, known = file.bounds.selects(first, last + 1), max(0, first - file.nulls)
+                    numbers = [None] * max(0, min(last, file.nulls) - first) + (file.numbers.selects(known, max(known, last - file.nulls)) + file.least).tolist()
+                    k = 0
+                    while k < last - first:
+                        to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + slice_ids, "right")) - 1)
+                        raw = file.ids(int(bounds[k]), int(bounds[to])).astype("<u4").tobytes()
+                        own = (bounds[k : to + 1] - bounds[k]).tolist()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(numbers[k:to], pa.int64()), pa.array(base + bounds[k:to], pa.int64()), pa.array(np.diff(bounds[k : to + 1]), pa.int64()), pa.array([raw[4 * s : 4 * e] for s, e in zip(own, own[1:], strict=False)], pa.binary())],
+                            ["doc_id", "start", "n_tokens", "ids"],
+                        )
+                        k = to
                 file.close()
 
     n = files.count()
