@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """Fits on at most `examples` labelled documents that are not held out, those of the least hash of their id.
 
     Rows of a null id or label, and documents without a label, teach nothing. An id
-    with several labels counts by its largest. Without examples every score is 0.5.
+    with several labels counts by its largest, one with several rows by the least
+    statistics among them; equal rows are one example. Without examples every score is 0.5.
     """
     chosen = (
         labels.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(label)).cast("int").alias("label"))
@@ -167,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         return lambda texts: [list(map(statistics, texts))]
 
     # of a bounded size: `examples` rows of numbers, sorted so that sums do not depend on tasks
-    rows = map_texts(held, make, "x array<double>", "text", ["doc_id", "label"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows = map_texts(held, make, "x array<double>", "text", ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return Trees().fit(np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], float))
 
 

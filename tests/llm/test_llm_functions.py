@@ -49,6 +49,9 @@ def test_elias_fano(gaps):
     coded = elias_fano.EliasFano(elias_fano.encode(values))
     assert coded.values().tolist() == values.tolist()
     assert [coded.select(k) for k in range(0, len(values), 7)] == values[::7].tolist()
+    for a in range(0, len(values), 97):
+        for b in (a, min(len(values), a + 300), len(values)):
+            assert coded.selects(a, b).tolist() == values[a:b].tolist()
     with pytest.raises(IndexError):
         coded.select(len(values))
 
@@ -358,3 +361,50 @@ def test_families_of_near_copies_against_exact_products(size):
     for k, found in enumerate(links):
         both[k, g.ids[found]] = True
     assert exact.sum() > size and not (both & ~exact).any() and (both | both.T)[exact].mean() > 0.9999
+
+
+def plain_boosting(x, y, trees, depth, bins, rate, least, l2):
+    """Boosted trees by trying every cut of every feature; gives the probabilities of the rows it is fitted on."""
+    n, width = x.shape
+    share = (y.sum() + 1) / (n + 2)
+    margin = np.full(n, np.log(share / (1 - share)))
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        leaves = [np.arange(n)]
+        for _ in range(depth):
+            nxt = []
+            for rows in leaves:
+                best = (1e-9, None)
+                worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)
+                for f in range(width):
+                    for c in cuts[f]:
+                        a, b = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                        if min(len(a), len(b)) >= least and len(rows) >= 2 * least:
+                            gain = worth(a) + worth(b) - worth(rows)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (a, b))
+                nxt += list(best[1]) if best[1] else [rows]
+            leaves = nxt
+        for rows in leaves:
+            margin[rows] -= rate * g[rows].sum() / (h[rows].sum() + l2)
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_trees_against_plain_boosting_and_plain_traversal(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 6)
+    monkeypatch.setattr(quality, "DEPTH", 2)
+    rng = np.random.default_rng(12)
+    x = rng.random((300, 3))
+    y = ((x[:, 0] > 0.6) ^ (x[:, 1] > 0.4) | (rng.random(300) < 0.1)).astype(float)
+    model = quality.Trees().fit(x, y)
+    got = model.predict(x)
+    assert np.allclose(got, plain_boosting(x, y, 6, 2, quality.BINS, quality.RATE, quality.LEAST_ROWS, quality.L2))
+    for row, p in zip(x[:50], got, strict=False):
+        margin = model.base
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if row[model.feature[node]] <= model.cut[node] else model.right[node]
+            margin += model.value[node]
+        assert abs(1 / (1 + np.exp(-margin)) - p) < 1e-12

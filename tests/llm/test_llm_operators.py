@@ -348,3 +348,80 @@ def test_pipeline_of_odd_tables(spark, odd, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_toxicity_query_against_plain(spark):
+    """Every cosine by dicts, every neighbour by sorting."""
+    import math
+    from collections import Counter
+
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in text}
+
+    def terms(x):
+        raw = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in x.lower().encode())
+        out = Counter()
+        for w, n in Counter(raw.split()).items():
+            whole = w.decode("utf-8", "ignore")
+            for t in (w, *(b"^" + whole[:k].encode() for k in (4, 5, 6) if len(whole) > k)):
+                out[t] += n
+        return out
+
+    own = {d: terms(text[d]) for d in label}
+    size, positive = len(own), sum(label.values())
+    n = Counter(t for c in own.values() for t in c)
+    p = Counter(t for d, c in own.items() if label[d] for t in c)
+
+    def weight(t):
+        a, b = p[t], n[t] - p[t]
+        table = [(a, n[t], positive), (b, n[t], size - positive), (positive - a, size - n[t], positive), (size - positive - b, size - n[t], size - positive)]
+        ratio = max(0.0, 2 * sum(o * math.log(o * size / (r * s)) for o, r, s in table if o))
+        return (math.log((size + 1) / (n[t] + 1)) + 1) * (1 + ratio) / (1 + ratio + 25)
+
+    def unit(c):
+        v = {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {d: unit(c) for d, c in own.items() if c}
+    share = positive / size
+    blank = [label[d] for d, c in own.items() if not c]
+    for r in queries.op5_toxicity(spark, SF).collect():
+        q = terms(text[r.doc_id])
+        if not q:
+            assert r.score == pytest.approx((sum(blank) + share) / (len(blank) + 1))
+            continue
+        q = unit(q)
+        near = sorted(((sum(x * v[t] for t, x in q.items() if t in v), d) for d, v in vectors.items()), key=lambda z: (-z[0], z[1]))[:15]
+        near = [(c, d) for c, d in near if c > 0]
+        votes = sum(c * c for c, _ in near)
+        assert r.score == pytest.approx((sum(c * c * label[d] for c, d in near) + 0.5 * share) / (votes + 0.5), abs=1e-6)
+
+
+def test_language_model_scores_against_plain(spark):
+    """The forward recursion token by token over the trained tables."""
+    import math
+    from collections import Counter
+
+    from lodestone.llm.common import crc_mod5
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    model = hmm.train(docs.where(crc_mod5("doc_id") != 1))
+    hasher = hmm.Hasher()
+    tokens = {r.doc_id: hasher(r.text or "").tolist() for r in docs.collect()}
+    classes = {t: int(hmm.class_of(np.array([t], np.uint64))[0]) for own in tokens.values() for t in own}
+    count = Counter(t for d, own in tokens.items() if zlib.crc32(str(d).encode()) % 5 != 1 for t in own)
+    total, kinds = Counter(), Counter()
+    for t, n in count.items():
+        total[classes[t]] += n
+        kinds[classes[t]] += 1
+    for r in hmm.score(docs, model, crc_mod5("doc_id") != 1).collect():
+        score, state = 0.0, None
+        for t in tokens[r.doc_id]:
+            c = classes[t]
+            before = model.start if state is None else [sum(state[j] * model.move[j, k] for j in range(hmm.STATES)) for k in range(hmm.STATES)]
+            state = [before[k] * model.emit[c, k] for k in range(hmm.STATES)]
+            scale = sum(state)
+            state = [s / scale for s in state]
+            score += math.log10(scale) + math.log10((count[t] + 0.5) / (total[c] + 0.5 * (kinds[c] + 1)))
+        assert r.score == pytest.approx(score, rel=1e-9)
