@@ -40,6 +40,8 @@ PRIORS = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0)
 #: Tokens of a batch of sequences, and bytes of text from which batches are made.
 BATCH_TOKENS, SLICE = 300_000, 12 << 20
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Buckets of whole classes, at most; a divisor of CLASSES.
+WHOLE = 4096
 #: The end of a text as a token: no word holds white space.
 END = xxhash.xxh3_64_intdigest(b"\n")
 
@@ -308,7 +310,10 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
     texts are an end alone. All rows stay. Tokens are told apart by 64-bit hashes.
     """
     size = plan_bytes(docs, text_col)
-    blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), min(CLASSES, max(1, math.ceil(size / BUCKET_BYTES)))
+    blocks, wanted = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
+    # a bucket has whole classes, or, where there are more buckets than classes, parts of one
+    spread = min(WHOLE, wanted)
+    buckets = spread * math.ceil(wanted / spread)
     spark = docs.sparkSession
     number = F.col(quoted(id_col))
     base = docs.select(
@@ -323,7 +328,7 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
         hasher = Hasher()
         docs = [hasher(x) for x in table.column("text").to_pylist()]
         own = np.unique(np.concatenate([np.zeros(0, np.uint64), *docs]))
-        bucket = class_of(own) % buckets
+        bucket = class_of(own) % spread + spread * (own % np.uint64(buckets // spread)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         return docs, own[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -346,7 +351,7 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
         np.add.at(total, place, counts)
         classes = class_of(own)
         known = total > 0
-        sums = np.stack([np.bincount(classes, total, CLASSES), np.bincount(classes[known], minlength=CLASSES)])[:, table.column("bucket")[0].as_py() :: buckets]
+        sums = np.stack([np.bincount(classes, total, CLASSES), np.bincount(classes[known], minlength=CLASSES)])[:, table.column("bucket")[0].as_py() % spread :: spread]
         cut = np.cumsum([0, *map(len, names)])
         out = total[place]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "classes": pa.array([sums.astype(np.int64).tobytes()] * len(names), pa.binary())})
@@ -361,7 +366,7 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
         count = np.frombuffer(b"".join(c for _, c, _ in rows), np.int64)
         totals = np.zeros((2, CLASSES), np.int64)
         for b, _, x in rows:
-            totals[:, b::buckets] = np.frombuffer(x, np.int64).reshape(2, -1)
+            totals[:, b % spread :: spread] += np.frombuffer(x, np.int64).reshape(2, -1)
         all_tokens, kinds = totals.sum(1).tolist()
         order = np.argsort(own)
         name, count = own[order], count[order]

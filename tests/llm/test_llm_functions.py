@@ -1,6 +1,7 @@
 """The parts of the operators that need no session, against plain versions or the libraries themselves."""
 
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,16 @@ def test_bpe_like_the_library_on_odd_texts():
     same_as_library(ODD)
 
 
+def test_token_store_like_the_library_on_every_code_point():
+    """Alone, and between letters."""
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    kept = token_store.LibraryEncoder(PATH)
+    for k in range(0, len(points), 4000):
+        text = " ".join(f"{chr(c)} x{chr(c)}y" for c in points[k : k + 4000])
+        expected = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(kept.encode([text])[0], kept.kind).tolist() == expected, hex(points[k])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
 def test_bpe_like_the_library(texts):

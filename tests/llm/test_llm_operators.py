@@ -398,7 +398,7 @@ def test_toxicity_query_against_plain(spark):
         assert r.score == pytest.approx((sum(c * c * label[d] for c, d in near) + 0.5 * share) / (votes + 0.5), abs=1e-6)
 
 
-def test_language_model_scores_against_plain(spark):
+def test_language_model_scores_against_plain(spark, monkeypatch):
     """The forward recursion token by token over the trained tables."""
     import math
     from collections import Counter
@@ -407,6 +407,9 @@ def test_language_model_scores_against_plain(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
     model = hmm.train(docs.where(crc_mod5("doc_id") != 1))
+    # buckets of parts of classes
+    monkeypatch.setattr(hmm, "WHOLE", 16)
+    monkeypatch.setattr(hmm, "BUCKET_BYTES", 8 << 10)
     hasher = hmm.Hasher()
     tokens = {r.doc_id: hasher(r.text or "").tolist() for r in docs.collect()}
     classes = {t: int(hmm.class_of(np.array([t], np.uint64))[0]) for own in tokens.values() for t in own}
