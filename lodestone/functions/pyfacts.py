@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterator
 from functools import cached_property
 
+from . import rules
+
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SCOPES = (*DEFS, ast.ClassDef)
@@ -30,7 +32,6 @@ HTTP_ATTRIBUTES = {"args", "form", "values", "json", "GET", "POST", "COOKIES", "
 SHELL_CALLS = {"os.system", "os.popen"}
 SUBPROCESS_CALLS = {"call", "run", "Popen", "check_call", "check_output"}
 UNSAFE_LOADS = {"pickle.loads", "pickle.load", "marshal.loads"}
-CREDENTIAL_NEEDLES = ("password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "accesskey", "auth_token", "authtoken", "private_key", "privatekey")
 CASING_IGNORED = {"self", "cls"}
 
 
@@ -390,10 +391,7 @@ def function_findings(f: ast.AST) -> list[dict]:
 
 
 def is_placeholder(value: str) -> bool:
-    v = value.strip()
-    low = v.lower()
-    wrapped = any(v.startswith(a) and v.endswith(b) for a, b in (("<", ">"), ("{{", "}}"), ("${", "}")))
-    return not v or low in ("changeme", "todo") or (len(low) >= 3 and set(low) == {"x"}) or low.startswith("your") or wrapped
+    return re.match(rules.PLACEHOLDER, value.strip()) is not None
 
 
 def credentials(nodes: list[ast.AST]) -> list[dict]:
@@ -402,7 +400,7 @@ def credentials(nodes: list[ast.AST]) -> list[dict]:
         targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) and n.value else []
         if targets and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) and not is_placeholder(n.value.value):
             for t in targets:
-                if isinstance(t, ast.Name) and any(k in t.id.lower() for k in CREDENTIAL_NEEDLES):
+                if isinstance(t, ast.Name) and re.search(rules.CREDENTIAL, t.id.lower()):
                     out.append({"cwe": "CWE-798", "category": "Hardcoded Credentials", "severity": "Medium", "confidence": "Medium", "source": f"code literal (`{t.id}`)", "sink": None, "line": n.lineno, "function": None})
     return out
 
@@ -614,6 +612,17 @@ def light_function(f: ast.AST) -> dict:
     }
 
 
+def diagram_calls(functions: list[ast.AST]) -> list[dict]:
+    """Calls between the functions of a file, nested ones included, by name; each pair once, as met."""
+    names, pairs = {f.name for f in functions}, {}
+    for f in functions:
+        for n in ast.walk(f):
+            callee = {ast.Name: "id", ast.Attribute: "attr"}.get(type(n.func)) if isinstance(n, ast.Call) else None
+            if callee and (to := getattr(n.func, callee)) in names and to != f.name:
+                pairs[f.name, to] = None
+    return [{"caller": a, "callee": b} for a, b in pairs]
+
+
 class File:
     """A parsed file; what several facts need is made once, and only if one is asked for."""
 
@@ -650,6 +659,7 @@ FACTS = {
     "halstead": lambda f: halstead(f.tree),
     "raw": lambda f: raw_lines(f.content, f.tree),
     "light_functions": lambda f: [light_function(n) for n in f.walked if isinstance(n, DEFS)],
+    "diagram_calls": lambda f: diagram_calls([n for n in f.walked if isinstance(n, DEFS)]),
     "light_imports": lambda f: sum(isinstance(n, (ast.Import, ast.ImportFrom)) for n in f.nodes),
     "light_classes": lambda f: sum(isinstance(n, ast.ClassDef) for n in f.nodes),
 }

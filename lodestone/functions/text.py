@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules
+
 # Line breaks of str.splitlines, white space of str.strip, names and suffixes.
 BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SPACE = "[\\s\x1c-\x1f\x85\\p{Z}]"
-CREDENTIAL_NEEDLES = ["password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "accesskey", "auth_token", "authtoken", "private_key", "privatekey"]
 LANGUAGES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".java": "java",
     ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby", ".sql": "sql", ".md": "markdown", ".json": "json", ".yaml": "yaml",
@@ -118,12 +119,11 @@ def is_json(text: Column) -> Column:
 
 
 def is_credential_name(name: Column) -> Column:
-    return F.lower(name).rlike("|".join(CREDENTIAL_NEEDLES))
+    return F.lower(name).rlike(rules.CREDENTIAL)
 
 
 def is_placeholder(value: Column) -> Column:
-    v = strip(value)
-    return v.rlike(r"(?i)^(?:|changeme|todo|x{3,}|your.*)$") | v.rlike(r"^<.*>$|^\{\{.*\}\}$|^\$\{.*\}$")
+    return strip(value).rlike(rules.PLACEHOLDER)
 
 
 def is_identifier(text: Column) -> Column:

@@ -165,6 +165,11 @@ def file_calls(fns: DataFrame) -> DataFrame:
     return called.join(names, [*KEYS[:2], "callee"]).select(*KEYS, "caller", "callee").distinct()
 
 
+def diagram_calls(parsed: DataFrame) -> DataFrame:
+    """Call edges between all functions of a file, nested ones included, as a diagram of the file shows them."""
+    return _exploded(parsed, "diagram_calls", "ord").select(*KEYS, "caller", "callee")
+
+
 def inheritance(parsed: DataFrame) -> DataFrame:
     """Edges from a class to those of its bases that are classes of the same file."""
     c = classes(parsed)

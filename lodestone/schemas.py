@@ -39,6 +39,7 @@ PARSED_FILE = T.StructType(
             lint=rows(fields("code string, line int, col int, message string")),
             symbols=rows(fields("name string, kind string, line int, col int, label string")),
             refs=rows(fields("name string, kind string, line int, col int")),
+            diagram_calls=rows(fields("caller string, callee string")),
             halstead=fields("distinct_operators long, distinct_operands long, total_operators long, total_operands long"),
             raw=fields("loc long, lloc long, sloc long, comments long, blank long, multi long"),
             light_functions=rows(fields("name string, cc int, loops int, recursive boolean, halves boolean")),

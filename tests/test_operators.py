@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import labels, text
+from lodestone.functions import labels, tables, text
 from lodestone.operators import graph, lint, logs, ml, parse, render, rollup, search, symbols, tree
 from lodestone.plans.project import GRAPHS, Project, analyse_logs, stored
 from lodestone.sources import files as source
@@ -356,3 +356,11 @@ def test_client_lint_status_and_trees(spark):
     assert [r.name for r in tree.ordered_tree(tree.tree(project(spark, {"b.py": "", "A/c.py": ""}))).where("parent = ''").collect()] == ["A", "b.py"]
     scores = spark.createDataFrame([("p", 8.0), ("p", None), ("p", 9.5)], "project_id string, score double")
     assert lint.mean_score(scores).first().score == 8.75 and probes.rating("Your code has been rated at 7.50/10") == 7.5 and probes.lint_scores(project(spark, {"a.py": "x"})).count() >= 0
+
+
+def test_table_functions(spark):
+    tables.register(spark)
+    spark.createDataFrame([("a.py", "import os.path as p\ndef f(x):\n    assert x\n"), ("b.py", "def f(:")], "path string, content string").createOrReplaceTempView("code")
+    assert [tuple(r) for r in spark.sql("SELECT t.module, t.alias, t.line FROM code, LATERAL code_imports(content) t").collect()] == [("os.path", "p", 1)]
+    assert {(r.path, r.code) for r in spark.sql("SELECT t.* FROM code, LATERAL code_lint(content, path) t").collect()} == {("a.py", "W001"), ("a.py", "C001"), ("b.py", "E001")}
+    assert [r.name for r in spark.sql("SELECT t.name FROM code, LATERAL code_functions(content) t").collect()] == ["f"]

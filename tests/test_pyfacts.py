@@ -181,3 +181,8 @@ def test_only_wanted_facts_are_made():
 def test_c():
     c = scripts.parse_c("#include <stdio.h>\n#define N 3\nstruct P { int x; };\nint f(int a) {\n  if (a) { return 1; }\n  return g(a);\n}\n", "c")
     assert (c["functions"][0]["name"], c["functions"][0]["calls"], c["macros"][0]["name"], c["classes"][0]["name"], c["imports"][0]["type"]) == ("f", ["f", "g", "if"], "N", "P", "system_include")
+
+
+def test_diagram_calls_know_nested_functions():
+    code = "def a():\n    def b():\n        c()\n    b()\n    b()\ndef c():\n    x.a()\n    c()\n"
+    assert [(e["caller"], e["callee"]) for e in facts(code)["diagram_calls"]] == [("a", "b"), ("a", "c"), ("c", "a"), ("b", "c")]
