@@ -22,7 +22,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, release
 
 
 #: Words that a worker keeps, in each of two generations.
@@ -139,6 +139,9 @@ class WordBpe:
         self.tokens = [""] * (1 + max([*vocab.values(), *added.values()]))
         for token, i in [*vocab.items(), *added.items()]:
             self.tokens[i] = token
+        self.forget()
+
+    def forget(self) -> None:
         self.known = Kept(lambda words: [self.special_ids.get(w) or x for w, x in zip(words, self.encode_words([w.encode() for w in words]), strict=True)])
 
     # -- words ------------------------------------------------------------
@@ -301,6 +304,11 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", carry: list[
             ids = bpe.encode_texts(texts)
             return [ids, [bpe.decode(x) for x in ids]]
 
+        def close() -> None:
+            bpe.forget()
+            release()
+
+        work.close = close
         return work
 
     return map_texts(df, make, "ids binary, decoded string", text_col, carry)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ from pyspark.sql import types as T
 #: Bytes of text that a worker takes up at a time.
 SLICE_BYTES = 4 << 20
 #: Bytes of rows in a batch that Spark sends to a worker, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 TEXT = "__text"
 #: For bytes.translate: A-Z to a-z, everything else as it is.
@@ -60,6 +63,15 @@ def plan_bytes(df: DataFrame, text_col: str) -> int:
     return (df.agg(F.sum(F.octet_length(F.col(quoted(text_col)).cast("string")))).first()[0] or 0) // 2
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on for tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """Has rows sent to Python workers in batches of BATCH_BYTES, unless the session says otherwise."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -107,7 +119,7 @@ def map_texts(
     """Runs over every text in Arrow batches, without a shuffle.
 
     `make` gives, once a task, a function from a list of texts (null: empty) to one
-    list for each column of the DDL schema `out`. The columns `carry` pass through;
+    list for each column of the DDL schema `out`; its attribute `close` is called in the end. The columns `carry` pass through;
     one that has the name of an output is replaced by the output.
     """
     fields = T.StructType.fromDDL(out)
@@ -127,6 +139,7 @@ def map_texts(
             texts = [x or "" for x in part.column(at).to_pylist()]
             made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(work(texts), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(carry))), *made], names)
+        getattr(work, "close", release)()
 
     sent = [F.col(quoted(c)) for c in carry]
     if at == len(carry):
@@ -135,6 +148,12 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def runs_of_equal(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each key of an ascending array with where its run starts and ends."""
+    found, start = np.unique(keys, return_index=True)
+    return list(zip(found.tolist(), start.tolist(), np.append(start[1:], len(keys)).tolist()[: len(start)], strict=True))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

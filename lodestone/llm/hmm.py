@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Kept
-from .common import LOWER, TEXT, bounded_batches, checkpointed, drop_path, gathered, plan_bytes, quoted, work_dir
+from .common import LOWER, TEXT, bounded_batches, checkpointed, drop_path, gathered, plan_bytes, quoted, runs_of_equal, work_dir
 
 #: Hidden states, classes, Baum-Welch rounds over all training documents, at most.
 STATES, CLASSES, ROUNDS = 6, 8192, 3
@@ -320,20 +320,20 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
         number.alias("doc_id"),
         F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"),
         F.coalesce(training, F.lit(False)).alias("train"),
-        F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(number), F.lit(blocks)).alias("block"),
     )
 
     def tokens(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """The documents' hashes, all distinct ones by bucket, and where each bucket starts."""
+        """The documents' hashes, all distinct ones in the order of buckets, and their buckets."""
         hasher = Hasher()
         docs = [hasher(x) for x in table.column("text").to_pylist()]
         own = np.unique(np.concatenate([np.zeros(0, np.uint64), *docs]))
-        bucket = class_of(own) % spread + spread * (own % np.uint64(buckets // spread)).astype(np.int32)
+        bucket = class_of(own).astype(np.int64) % spread + spread * (own % np.uint64(buckets // spread)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        return docs, own[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return docs, own[order], bucket[order]
 
     def ask(table: pa.Table) -> pa.Table:
-        docs, own, cut = tokens(table)
+        docs, own, bucket = tokens(table)
         counted = np.concatenate([np.zeros(0, np.uint64), *(d for d, t in zip(docs, table.column("train").to_pylist(), strict=True) if t)])
         name, count = np.unique(counted, return_counts=True)
         n = np.zeros(len(own), np.int64)
@@ -341,20 +341,35 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
             at = np.minimum(np.searchsorted(name, own), len(name) - 1)
             n = np.where(name[at] == own, count[at], 0)
         here = table.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "block": pa.array([here] * buckets, pa.int32()), "names": pa.array([own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "counts": pa.array([n[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        # a row for each bucket that it has tokens of: never more rows than tokens
+        asked = [(k, own[a:b].tobytes(), n[a:b].astype("<i4").tobytes()) for k, a, b in runs_of_equal(bucket)]
+        return pa.table({"bucket": pa.array([x[0] for x in asked], pa.int64()), "block": pa.array([here] * len(asked), pa.int64()), "names": pa.array([x[1] for x in asked], pa.binary()), "counts": pa.array([x[2] for x in asked], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
+        """The counts that each block asks for, and for block -1 the bucket's tokens and kinds by class."""
         names = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()]).astype(np.int64)
         own, place = np.unique(np.concatenate(names), return_inverse=True)
         total = np.zeros(len(own), np.int64)
         np.add.at(total, place, counts)
-        classes = class_of(own)
-        known = total > 0
-        sums = np.stack([np.bincount(classes, total, CLASSES), np.bincount(classes[known], minlength=CLASSES)])[:, table.column("bucket")[0].as_py() % spread :: spread]
-        cut = np.cumsum([0, *map(len, names)])
-        out = total[place]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "classes": pa.array([sums.astype(np.int64).tobytes()] * len(names), pa.binary())})
+        classes, bucket = class_of(own), table.column("bucket")[0].as_py()
+        sums = np.stack([np.bincount(classes, total, CLASSES), np.bincount(classes[total > 0], minlength=CLASSES)])[:, bucket % spread :: spread]
+        cut, out = np.cumsum([0, *map(len, names)]), total[place]
+        found = [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(found) + 1), pa.int64()), "counts": pa.array([*found, sums.astype(np.int64).tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
+        return pa.table({"part": pa.array([table.column("bucket")[0].as_py() % spread], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    by_block = base.groupBy("block")
+    asked = by_block.applyInArrow(ask, "bucket long, block long, names binary, counts binary")
+    answers = checkpointed(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, counts binary"))
+    # of a fixed size: two numbers a class
+    totals = np.zeros((2, CLASSES), np.int64)
+    for r in answers.where("block < 0").groupBy(F.col("bucket") % spread).applyInArrow(add, "part long, sums binary").collect():
+        totals[:, r["part"] :: spread] = np.frombuffer(r["sums"], np.int64).reshape(2, -1)
+    all_tokens, kinds = totals.sum(1).tolist()
 
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
@@ -362,12 +377,8 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         docs, own, _ = tokens(left)
         model = sent.value
-        rows = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), right.column("classes").to_pylist(), strict=True))
-        count = np.frombuffer(b"".join(c for _, c, _ in rows), np.int64)
-        totals = np.zeros((2, CLASSES), np.int64)
-        for b, _, x in rows:
-            totals[:, b % spread :: spread] += np.frombuffer(x, np.int64).reshape(2, -1)
-        all_tokens, kinds = totals.sum(1).tolist()
+        rows = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
+        count = np.frombuffer(b"".join(c for _, c in rows), np.int64)
         order = np.argsort(own)
         name, count = own[order], count[order]
         weight = np.log10(count + 0.5) - np.log10(all_tokens + 0.5 * (kinds + 1))
@@ -379,7 +390,4 @@ def score(docs: DataFrame, model: Model, training, id_col: str = "doc_id", text_
         columns = [left.column("doc_id"), pa.array([len(d) for d in docs], pa.int64()), pa.array([int((count[a] > 0).sum()) for a in at], pa.int64()), pa.array([all_tokens] * len(docs), pa.int64()), pa.array([float(weight[a].sum()) for a in at], pa.float64()), pa.array(score, pa.float64())]
         return pa.table(columns, names=schema.names)
 
-    by_block = base.groupBy("block")
-    asked = by_block.applyInArrow(ask, "bucket int, block int, names binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, counts binary, classes binary")
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    return by_block.cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(finish, schema)

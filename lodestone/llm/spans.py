@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plan_bytes, quoted
+from .common import plan_bytes, quoted, runs_of_equal
 from .minhash import mix
 
 #: Sentences and words of a span; words of a piece, at most.
@@ -227,7 +227,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own, at = block.firsts()
         owner = np.array([d if d is not None else 0 for d in block.ids], np.int64)[block.doc[at]]
         bucket = ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        rows = [(int(b), own[bucket == b].tobytes(), owner[bucket == b].tobytes()) for b in np.unique(bucket)]
+        order = np.argsort(bucket, kind="stable")
+        own, owner = own[order], owner[order]
+        # a row for each bucket that it has hashes of: never more rows than hashes
+        rows = [(b, own[s:e].tobytes(), owner[s:e].tobytes()) for b, s, e in runs_of_equal(bucket[order])]
         here = table.column("block")[0].as_py()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([here] * len(rows), pa.int32()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "owners": pa.array([r[2] for r in rows], pa.binary())})
 

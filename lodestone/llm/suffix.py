@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plan_bytes, quoted
+from .common import plan_bytes, quoted, runs_of_equal
 
 #: Bytes of a match.
 LENGTH = 50
@@ -107,8 +107,8 @@ def names_of(block: Block, use: np.ndarray, buckets: int) -> dict[int, tuple[byt
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     tail = np.concatenate([head[1:], [len(key)]]) - 1
     own, several = key[head], (ids[head] != ids[tail]) if len(key) else np.zeros(0, bool)
-    cut = np.searchsorted(own >> 32, np.arange(buckets + 1))
-    return {b: (_pack(own[s:e] & 0xFFFFFFFF, "<u4"), np.packbits(several[s:e]).tobytes()) for b, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if e > s}
+    # a row for each bucket that the block has names of: never more rows than names
+    return {b: (_pack(own[s:e] & 0xFFFFFFFF, "<u4"), np.packbits(several[s:e]).tobytes()) for b, s, e in runs_of_equal(own >> 32)}
 
 
 def repeated(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -252,9 +252,11 @@ def cut_out(block: Block, spans: np.ndarray, copies: np.ndarray) -> tuple[list[b
     return [left[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], np.diff(total[block.ends]), np.diff(runs[block.ends])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """`doc_id`, the columns `carry`, `n_bytes`, `n_removed`, `n_spans` and `kept` (binary) for each row.
 
+    With `as_text`, `kept` is a string, from which a character that a cut runs through goes whole.
+
     Texts are taken as UTF-8 bytes, null as empty; matches never cross documents and
     are judged on the input. Rows of one id are one document's: they do not match one
     another. A row of a null id is not compared and keeps its bytes. An empty table
@@ -350,14 +352,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             by.setdefault(cols["block"][o], []).append((s, e))
         return pa.table({"block": pa.array(list(by), pa.int32()), "body": pa.array([_pack(np.array(v), "<i8") for v in by.values()], pa.binary())})
 
-    schema = T.StructType([*T.StructType.fromDDL("doc_id long").fields, *(docs.schema[c] for c in carry), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long").fields, *(docs.schema[c] for c in carry), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")).fields])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block, copied, _ = opened(left, right)
         spans = np.frombuffer(b"".join(x or b"" for x in right.column("body").to_pylist()), "<i8").reshape(-1, 2)
         kept, removed, runs = cut_out(block, spans, copied)
+        if as_text:
+            kept = [x.decode("utf-8", "ignore") for x in kept]
         own = left.take(pa.array(block.order, pa.int64()))
-        columns = [own.column("doc_id"), *(own.column(f"__{k}") for k in range(len(carry))), pa.array(np.diff(block.ends), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
+        columns = [own.column("doc_id"), *(own.column(f"__{k}") for k in range(len(carry))), pa.array(np.diff(block.ends), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
         return pa.table(columns, names=schema.names)
 
     by_block = base.groupBy("block")

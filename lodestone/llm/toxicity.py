@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc_mod5, map_texts, quoted
+from .common import checkpointed, crc_mod5, map_texts, quoted, release
 from .decontam import NORMAL
 
 #: Labelled documents that a model is fitted on, at most.
@@ -32,7 +32,7 @@ WIDE, FIRST_BLOCKS, SLACK = 16, 2, 1e-5
 #: Texts that are scored together.
 TOGETHER = 128
 #: Words, and terms of no example, that a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Weight of the whole sample's share in each vote, in neighbours of cosine 1.
 PRIOR = 0.5
 
@@ -72,7 +72,7 @@ class BlockMaxIndex:
 
     def _invert(self) -> None:
         """What is made where the index is asked, and not sent."""
-        of = np.repeat(np.arange(self.n), self.size)
+        of = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
         self.own_start = np.cumsum(self.size) - self.size
         number = np.bincount(self.own_terms, minlength=self.n_terms)
         self.wide = number > max(BLOCK, self.n // WIDE)
@@ -84,8 +84,10 @@ class BlockMaxIndex:
         self.most = np.ascontiguousarray(self.table.max(2).T)
         narrow = np.flatnonzero(~wide)
         narrow = narrow[np.argsort(self.own_terms[narrow], kind="stable")]
-        self.example, self.weight = of[narrow], self.own_weights[narrow]
+        self.example, self.weight = of[narrow], self.own_weights[narrow].astype(np.float32)
         self.start = np.append(0, np.cumsum(np.where(self.wide, 0, number)))
+        del of, wide, narrow
+        release()
         self.query = np.zeros(self.n_terms)
 
     def __getstate__(self) -> dict:
@@ -174,31 +176,31 @@ class Model:
         #: share of label 1 among the examples without any word, smoothed by one example of the whole sample's share
         self.blank = (sum(blank) + share) / (len(blank) + 1)
         self.share = share
-        self.terms = self.numbers = None
+        self.terms = self.numbers = self.others = self.of_word = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "terms": None, "numbers": None, "of_word": None, "expand": None}
+        return {**self.__dict__, "terms": None, "numbers": None, "others": None, "of_word": None, "expand": None}
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of texts, ascending, their terms, ascending, and how often each occurs; terms of no example have numbers behind the others."""
         if self.terms is None:
             self.terms = self.joined.split()
-        if self.numbers is None or len(self.numbers) > len(self.terms) + REMEMBERED or len(self.of_word) > REMEMBERED:
-            self.numbers, self.of_word = {t: k for k, t in enumerate(self.terms)}, {}
-            self.expand = np.full((1 << 12, 1 + len(BEGINNINGS)), -1, np.int64)
-        numbers, of_word = self.numbers, self.of_word
+            self.numbers = {t: k for k, t in enumerate(self.terms)}
+        if self.of_word is None or len(self.others) > REMEMBERED or len(self.of_word) > REMEMBERED:
+            self.others, self.of_word, self.expand = {}, {}, np.full((1 << 12, 1 + len(BEGINNINGS)), -1, np.int32)
+        numbers, others, of_word = self.numbers, self.others, self.of_word
         split = [words_of(x) for x in texts]
         new = sorted(set(chain.from_iterable(split)).difference(of_word))
         if len(of_word) + len(new) > len(self.expand):
             self.expand = np.pad(self.expand, ((0, len(of_word) + len(new)), (0, 0)), constant_values=-1)
         for w in new:
-            found = [numbers.setdefault(t, len(numbers)) for t in terms_of(w)]
+            found = [numbers[t] if t in numbers else others.setdefault(t, len(numbers) + len(others)) for t in terms_of(w)]
             self.expand[len(of_word), : len(found)] = found
             of_word[w] = len(of_word)
         total = sum(map(len, split))
         word = np.fromiter(map(of_word.__getitem__, chain.from_iterable(split)), np.int64, total)
         key, times = np.unique(np.repeat(np.arange(len(texts)), [len(s) for s in split]) << 32 | word, return_counts=True)
-        found = self.expand[key & 0xFFFFFFFF]
+        found = self.expand[key & 0xFFFFFFFF].astype(np.int64)
         real = found >= 0
         key, at = np.unique((np.broadcast_to((key >> 32 << 32)[:, None], found.shape) | found)[real], return_inverse=True)
         number = np.bincount(at, np.broadcast_to(times[:, None], found.shape)[real], len(key))
@@ -250,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """Fits on at most `examples` labelled documents that are not held out, those of the least hash of their id.
 
     Rows of a null id or label, and documents without a label, teach nothing. An id
-    with several labels counts by its largest.
+    with several labels counts by its largest, one with several rows by the least text.
     """
     chosen = (
         labels.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(label)).cast("int").alias("label"))
@@ -308,8 +310,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     """Adds `score` (0 to 1), `evidence` (ids of up to five nearest toxic examples) and `terms` (up to five of the text's).
 
     Null and empty texts have the share of label 1 among examples without any word, and
-    texts that have no term in common with the examples the share among all. All rows
-    stay. No shuffle; the model is bounded by its examples, and broadcast.
+    texts that have no term in common with the examples the share among all. Among
+    examples of equal cosine those of the least id come first. All rows stay. No shuffle; the model is bounded by its examples, and broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
