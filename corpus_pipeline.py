@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.llm import bpe, decontam, minhash, suffix, toxicity
 from lodestone.llm.common import drop_path, quoted, read, work_dir
@@ -53,21 +52,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own, names = _apart(docs)
 
-    def text_of(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            at = b.schema.get_field_index("kept")
-            texts = [x.decode("utf-8", "ignore") for x in b.column(at).to_pylist()]
-            rest = [k for k in range(b.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(texts, pa.string())], [*(b.schema.names[k] for k in rest), "cut"])
-
-    made = suffix.remove_repeats(own, names["doc_id"], names["text"], carry=own.columns)
-    changed = T.StructType([*(f for f in made.schema if f.name != "kept"), T.StructField("cut", T.StringType())])
-    out = made.mapInArrow(text_of, changed).where((F.col("n_removed") == 0) | (F.length("cut") > 0))
-    new = {"text": F.when(F.col("n_removed") == 0, F.col(names["text"])).otherwise(F.col("cut"))}
+    # one Python operator a task: two would keep twice as many workers, each with its models
+    out = suffix.remove_repeats(own, names["doc_id"], names["text"], carry=own.columns, as_text=True)
+    out = out.where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    new = {"text": F.when(F.col("n_removed") == 0, F.col(names["text"])).otherwise(F.col("kept"))}
     if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col(names["n_chars"])).otherwise(F.length("cut").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col(names["n_chars"])).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
     return _back(out, names, **new)
 
 
