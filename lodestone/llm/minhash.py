@@ -187,8 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts link if 100 * |common shingles| >= `percent` * |all shingles|. Null, empty
     and blank texts have no shingles, link with nothing and are kept. Rows of a null
-    id are left out; ids are expected to be unique. An empty table gives an empty
-    result.
+    id are left out. Each row of a repeated id is returned, of one component and kept
+    alike if their texts are the same; where texts of one id differ, their least set
+    is what links are confirmed on. An empty table gives an empty result.
 
     Equal sets are one class, represented by its least id, so a group of copies costs
     one row from there on. In a bucket of up to SMALL classes each pair is a candidate;

@@ -117,7 +117,9 @@ def test_minhash_large_buckets(spark, monkeypatch):
 
 
 def test_minhash_edges(spark, odd, empty):
-    rows = {r.doc_id: r for r in minhash.near_duplicates(odd.where("doc_id is null or doc_id <> 9"), shingle=2).collect()}
+    found = minhash.near_duplicates(odd, shingle=2).collect()
+    rows = {r.doc_id: r for r in found}
+    assert [(r.n_shingles, r.component_id, r.kept) for r in found if r.doc_id == 9] == [(1, 9, True)] * 2
     assert (rows[10].component_id, rows[10].kept, rows[6].kept) == (6, False, True) and rows[2].n_shingles == 0 and rows[2].kept and None not in rows
     assert rows[7].component_id == 6 and rows[5].n_shingles == 1
     assert minhash.near_duplicates(empty).count() == 0
@@ -290,6 +292,8 @@ def test_embedding_edges(spark):
     nan, a, b = float("nan"), [1.0, 0.0, 0.0], [0.99, 0.01, 0.0]
     rows = [(1, a), (2, a), (3, b), (4, None), (5, [0.0, 0.0, 0.0]), (6, [nan, 1.0, 0.0]), (7, [1.0, None, 0.0]), (8, [1.0, 0.0]), (9, [0.0, 1.0, 0.0]), (None, a), (10, [float("inf"), 0.0, 0.0]), (11, [2.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"n_links": F.lit("own"), "node": F.lit(1)})
+    again = hnsw.near_duplicates(df.unionByName(df.where("vec_id = 1"))).collect()
+    assert sorted((r.n_links, r.component_id) for r in again if r.vec_id == 1) == [(4, 1), (4, 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(df).collect()}
     assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 11: (3, 1, False), **{k: (0, k, True) for k in (4, 5, 6, 7, 8, 9, 10)}}
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
