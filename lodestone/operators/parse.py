@@ -8,6 +8,7 @@ outputs that are wanted, since nothing can be pruned through the stage itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +40,18 @@ def facts_of(path: str, content: str, parser: str | None, wanted: set[str] | Non
         return {"language": parser, "error": f"{type(e).__name__}: {e}"}
 
 
+def column(values: list, kind: pa.DataType) -> pa.Array:
+    """Nested rows as Arrow, field by field: several times as fast as row by row."""
+    if pa.types.is_struct(kind):
+        fields = [column([None if v is None else v.get(f.name) for v in values], f.type) for f in kind]
+        return pa.StructArray.from_arrays(fields, fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        ends = list(accumulate((len(v or ()) for v in values), initial=0))
+        starts = [None if v is None else k for v, k in zip(values, ends, strict=False)]
+        return pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), column([x for v in values if v for x in v], kind.value_type), type=kind)
+    return pa.array(values, kind)
+
+
 def parse_files(files: DataFrame, facts: list[str] | None = None) -> DataFrame:
     """SOURCE_FILE rows to PARSED_FILE rows (or its columns `facts`, beside keys, language and error). Null content is empty.
 
@@ -56,11 +69,10 @@ def parse_files(files: DataFrame, facts: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                found = facts_of(r["path"], r["content"] or "", r["parser"], own_set)
-                rows.append({k: r[k] for k in KEYS} | {k: found.get(k) for k in own})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            path, content, parser = (b.column(k).to_pylist() for k in (2, 3, 4))
+            found = [facts_of(p, c or "", k, own_set) for p, c, k in zip(path, content, parser, strict=True)]
+            made = [column([f.get(k) for f in found], schema.field(k).type) for k in own]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(KEYS))), *made], schema=schema)
 
     return files.select(*KEYS, "content", text.parser_of(F.col("path")).alias("parser")).mapInArrow(run, out)
 
