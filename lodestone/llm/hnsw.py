@@ -2,11 +2,12 @@
 
 Vectors are dealt over shards by a hash of their id, and each shard's graph is a file
 in the shared folder. Every vector is searched in every shard: it descends the levels
-to the bottom one, where a beam widens as long as all of it is linked. The beam that a
-shard starts with is doubled until an audit passes: probes made at the threshold from
-the shard's own vectors must find them; a shard whose
-audit fails is scanned exactly, and so are the nodes without in-links in any. What one
-end of a link finds counts for both. Candidates are verified by the cosine in
+to the bottom one; where all of the beam is linked, as for a member of a large family, the
+shard is scanned exactly. The beam that a shard starts
+with is doubled until an audit passes: the links that exact products find for some of the
+shard's own vectors, and those vectors from probes made at the threshold, must be found; a
+shard whose audit fails is scanned exactly, and so are the nodes without in-links in any.
+What one end of a link finds counts for both. Candidates are verified by the cosine in
 double precision, and links are united to components.
 
 Searches run in lockstep: a batch of queries takes each step together in numpy.
@@ -17,7 +18,6 @@ from __future__ import annotations
 import io
 import math
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,16 @@ from .minhash import mix
 
 #: Neighbours of a node on the bottom level and above, candidates on building, first beam.
 BOTTOM, UPPER, BUILD_BEAM, FIRST_BEAM = 32, 16, 64, 48
-#: Least share of the audit's probes to be found, and their number.
+#: Least share of the audit's links and probes to be found; number of vectors that it takes of a shard.
 RECALL, PROBES = 0.998, 512
+#: Vectors that a task searches in every shard, about; each shard is loaded once a task.
+QUERIES = 8192
 #: Shards, at least; bytes of vectors in one, at most.
 SHARDS, SHARD_BYTES = 4, 64 << 20
 #: Queries in lockstep, and nodes that each expands in a step.
 LOCKSTEP, EXPAND = 256, 4
+#: A wider beam expands this part of it in a step.
+PART = 16
 #: Room below the threshold for single precision.
 SLACK = 1e-4
 
@@ -75,10 +79,10 @@ def search_level(space: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
     ids[sims < -1.5] = -1
     seen = np.zeros((rows, most), bool)
     np.put_along_axis(seen, entry, True, 1)
-    live = np.arange(rows)
+    live, expand = np.arange(rows), max(EXPAND, beam // PART)
     while live.size:
         # the best nodes of the beam that are not expanded yet stand first in it
-        rank = np.argsort(done[live], axis=1, kind="stable")[:, :EXPAND]
+        rank = np.argsort(done[live], axis=1, kind="stable")[:, :expand]
         at = ids[live[:, None], rank]
         open_ = ~done[live[:, None], rank]
         done[live[:, None], rank] = True
@@ -201,32 +205,32 @@ class Graph:
         return entry
 
     def near(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """For each unit vector the nodes of cosine `least` or more; the beam widens while all of it is."""
+        """For each unit vector the nodes of cosine `least` or more; where all of the beam is, the shard is scanned."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         n = len(self.ids)
         step = max(1, min(LOCKSTEP, (64 << 20) // max(1, n)))
         if self.exact:
-            for a in range(0, len(queries), step):
-                hit = queries[a : a + step] @ self.space.T >= least
-                out[a : a + step] = [np.flatnonzero(h) for h in hit]
-            return out
+            return self._scan(queries, least)
         for a in range(0, len(queries), step):
-            todo, beam = np.arange(a, min(len(queries), a + step)), min(self.beam, n)
-            while todo.size:
-                part = queries[todo]
-                ids, sims = search_level(self.space, self.links[0], part, self._descend(part, 1), beam, n)
-                hit = sims >= least
-                wider = hit.all(1) & (beam < n)
-                for k in np.flatnonzero(~wider).tolist():
-                    out[todo[k]] = ids[k][hit[k]]
-                todo, beam = todo[wider], min(n, 4 * beam)
+            part, beam = queries[a : a + step], min(self.beam, n)
+            ids, sims = search_level(self.space, self.links[0], part, self._descend(part, 1), beam, n)
+            hit = sims >= least
+            full = hit.all(1) & (beam < n)
+            for k in np.flatnonzero(~full).tolist():
+                out[a + k] = ids[k][hit[k]]
+            for k, found in zip(np.flatnonzero(full).tolist(), self._scan(part[full], least), strict=True):
+                out[a + k] = found
             if len(self.lost):
                 for k, hit in enumerate(queries[a : a + step] @ self.space[self.lost].T >= least, a):
                     out[k] = np.union1d(out[k], self.lost[hit])
         return out
 
+    def _scan(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
+        step = max(1, (16 << 20) // max(1, len(self.ids)))
+        return [np.flatnonzero(hit) for a in range(0, len(queries), step) for hit in queries[a : a + step] @ self.space.T >= least]
+
     def audit(self, threshold: float) -> None:
-        """Doubles the beam until probes of cosine `threshold` to known vectors find them. If a beam of all nodes does not, the shard is scanned exactly from then on."""
+        """Doubles the beam until the links of known vectors, and these from probes of cosine `threshold` to them, are found. If a beam of all nodes does not do, the shard is scanned exactly from then on."""
         n, width = self.space.shape
         if not n:
             return
@@ -238,9 +242,14 @@ class Graph:
         length = np.linalg.norm(aside, axis=1, keepdims=True)
         cosine = min(1.0, threshold + 1e-3)
         probes = (cosine * own + math.sqrt(1 - cosine**2) * aside / np.where(length > 0, length, 1)).astype(np.float32)
+        # what is linked for certain, by exact products
+        linked = self._scan(self.space[picked], threshold + SLACK)
+        total = sum(map(len, linked))
         while True:
             found = self.near(probes, threshold - SLACK)
-            self.recall = sum(p in f for p, f in zip(picked.tolist(), map(set, (x.tolist() for x in found)), strict=True)) / len(picked)
+            probed = sum(p in f for p, f in zip(picked.tolist(), map(set, (x.tolist() for x in found)), strict=True)) / len(picked)
+            found = self.near(self.space[picked], threshold - SLACK)
+            self.recall = min(probed, sum(np.isin(a, b).sum() for a, b in zip(linked, found, strict=True)) / max(1, total))
             if self.recall >= RECALL or self.exact:
                 return
             if self.beam >= n:
@@ -295,7 +304,6 @@ class Graph:
         self.roots = np.array([root(k) for k in range(len(parent))], np.int64)
 
 
-@lru_cache(maxsize=2)
 def _graph(path: str) -> Graph:
     fs, at = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(at) as f:
@@ -322,8 +330,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link if their cosine is `threshold` or more. Null vectors, those of norm 0
     and those with a null or non-finite component link with nothing and are kept;
-    vectors of different lengths do not link. Rows of a null id are left out; ids are
-    expected to be unique. Equal vectors are one node of the graph with a number of
+    vectors of different lengths do not link. Rows of a null id are left out; rows of one
+    id are vectors of their own that share the id: each is a row, and links with the others. Equal vectors are one node of the graph with a number of
     copies, so a group of copies makes no pairs. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -363,34 +371,39 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         paths.setdefault(r["width"], []).append(r["path"])
 
     def ask(batches):
-        for batch in batches:
-            widths = batch.column(3).to_numpy(zero_copy_only=False)
-            for width in np.unique(widths):
-                part = batch.filter(pa.array(widths == width))
-                ids, copies = part.column(0).to_numpy(), part.column(2).to_numpy()
-                own = matrix(part.column(1), int(width))
-                ends, pairs = [set() for _ in ids], []
-                for path in paths.get(int(width), []):
-                    graph = _graph(path)
-                    for k, found in enumerate(graph.linked(own, ids, threshold)):
-                        ends[k].update(graph.ids[graph.roots[found]].tolist())
+        held = list(batches)
+        if not held:
+            return
+        # a task's share of the vectors, about QUERIES
+        batch = pa.concat_batches(held)
+        widths = batch.column(3).to_numpy(zero_copy_only=False)
+        for width in np.unique(widths):
+            part = batch.filter(pa.array(widths == width))
+            ids, copies = part.column(0).to_numpy(), part.column(2).to_numpy()
+            own = matrix(part.column(1), int(width))
+            ends, pairs = [set() for _ in ids], []
+            for path in paths.get(int(width), []):
+                graph = _graph(path)
+                for k, found in enumerate(graph.linked(own, ids, threshold)):
+                    ends[k].update(graph.ids[graph.roots[found]].tolist())
+                    if len(found):
                         pairs.append(both_ends(ids[k], copies[k], graph.ids[found], graph.copies[found]))
-                    # what others reach by a root of this shard, its nodes reach too
-                    _, mine, here = np.intersect1d(ids, graph.ids, return_indices=True)
-                    for k, root in zip(mine.tolist(), graph.ids[graph.roots[here]].tolist(), strict=True):
-                        ends[k].add(root)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([sorted(e) for e in ends], pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
-                found = np.concatenate([np.zeros((0, 3), np.int64), *pairs])
-                bucket = (mix(found[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                rows = [(int(x), found[bucket == x].astype("<i8").tobytes()) for x in np.unique(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names)
+                # what others reach by a root of this shard, its nodes reach too
+                _, mine, here = np.intersect1d(ids, graph.ids, return_indices=True)
+                for k, root in zip(mine.tolist(), graph.ids[graph.roots[here]].tolist(), strict=True):
+                    ends[k].add(root)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([sorted(e) for e in ends], pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+            found = np.concatenate([np.zeros((0, 3), np.int64), *pairs])
+            bucket = (mix(found[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            rows = [(int(x), found[bucket == x].astype("<i8").tobytes()) for x in np.unique(bucket)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names)
 
     def count(table: pa.Table) -> pa.Table:
         found = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in table.column("pairs").to_pylist()])
         node, total = totals(found)
         return pa.table({"node": node, "others": total})
 
-    buckets, names = max(1, math.ceil(n / 2048)), ["node", "ends", "bucket", "pairs"]
+    buckets, names = max(1, math.ceil(n / QUERIES)), ["node", "ends", "bucket", "pairs"]
     asked = checkpointed(nodes.select("node", "v", "copies", "width").repartition(buckets, "node").mapInArrow(ask, "node long, ends array<long>, bucket int, pairs binary"))
     others = asked.where(F.col("bucket").isNotNull()).select("bucket", "pairs").groupBy("bucket").applyInArrow(count, "node long, others long")
     asked = asked.where(F.col("node").isNotNull())
