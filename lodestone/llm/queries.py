@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hmm, hnsw, minhash, quality, spans, suffix, token_store, toxicity
+from . import bpe, decontam, hmm, hnsw, minhash, piece_counts, prefix_trie, quality, spans, suffix, token_store, toxicity, vector_codes
 from .common import crc_mod5, read, work_dir
 
 
@@ -17,6 +17,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -84,6 +90,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(docs, model, ~held_out).withColumn("held_out", held_out)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), openings=True)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_tokens(read(spark, sf_dir, "documents"), pieces(), carry=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw": op1_hnsw,
     "op2_suffix_array": op2_suffix_array,
@@ -95,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_bpe": op9_bpe,
     "op10_hmm": op10_hmm,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,7 +123,46 @@ _WORDS4 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _SEQ7 = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+#: crc32 of the decimal conv_id: a table of bytes by eight shifts each, then a step a digit.
+_CRC11 = """(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t)"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One step of assignment and of means for each round, written out."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (SELECT id, p, e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{k} c USING (p)),
+a{k} AS MATERIALIZED (SELECT id, p, min(d) AS d, arg_min(e, d * {entries} + e) AS e FROM d{k} GROUP BY id, p)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT p, e, j, sum(x) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS x, unnest(range(len(x))) AS j FROM a{k} JOIN v USING (id, p)) GROUP BY ALL),
+m{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM s{k} GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (p, e))""")
+    return f"""
+WITH w AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT id, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM w, range({parts}) r(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e, x FROM v WHERE id IN (SELECT id FROM w ORDER BY id LIMIT {entries})),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM c{rounds}),
+o AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY id)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM o JOIN w USING (id), h
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(x ORDER BY k) AS x FROM o GROUP BY c),
+h AS (SELECT c, x, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 9 AS h FROM l, {_CRC11}),
+r AS (SELECT h.c, coalesce(b.x[1 : h.h], []) || h.x[h.h + 1 :] AS x FROM h LEFT JOIN l b ON b.c = h.c - h.c % 5),
+p AS (SELECT c, d, x[1 : d] AS key, len(x) AS n FROM (SELECT c, x, unnest(range(len(x) + 1)) AS d FROM r)),
+g AS (SELECT d, key, min(c) AS id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY d, key),
+u AS (SELECT g.*, q.id AS up FROM g LEFT JOIN g q ON q.d = g.d - 1 AND q.key = g.key[1 : g.d - 1]),
+k AS (SELECT u.*, coalesce(m.n, 0) AS n_children FROM u LEFT JOIN (SELECT d - 1 AS d, up AS id, count(*) AS n FROM u WHERE d > 0 GROUP BY ALL) m USING (d, id)),
+s AS (SELECT a.d, a.key, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * strlen(coalesce(k.key[k.d].t, '')))::BIGINT AS saved FROM k JOIN p a ON a.c = k.id AND a.d <= k.d GROUP BY a.d, a.key)
+SELECT k.id AS conv_id, k.d AS depth, k.up AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved AS saved_tokens, k.ends AS ends_sha256 FROM k JOIN s USING (d, key)
+""",
+    "op12_vector_codes": _codes_sql(),
     "op1_hnsw": """
 WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
