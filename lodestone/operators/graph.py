@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..functions.cycles import shortest_cycles
+from .cycles import simple_cycles
 from .parse import KEYS
 
 #: More internal imports than this are high coupling; used by as many and unstable beyond the share.
@@ -81,24 +80,8 @@ def coupling_smells(nodes: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, most: int = MOST_CYCLES) -> DataFrame:
-    """Simple cycles, shortest first, then by their nodes from the least one; up to `most` a project.
-
-    A project is the unit: its distinct edges meet in one task, where those between
-    strongly connected components fall away before cycles are looked for. A cycle's
-    length has no other bound.
-    """
-
-    def find(table: pa.Table) -> pa.Table:
-        src, dst = table.column("src").to_pylist(), table.column("dst").to_pylist()
-        names = sorted({*src, *dst})
-        number = {n: k for k, n in enumerate(names)}
-        found = shortest_cycles([(number[a], number[b]) for a, b in zip(src, dst, strict=True)], most)
-        project = table.column("project_id")[0].as_py()
-        rows = [{"project_id": project, "cycle_id": k, "length": len(c), "nodes": [names[n] for n in c]} for k, c in enumerate(found, 1)]
-        return pa.Table.from_pylist(rows, pa.schema([("project_id", pa.string()), ("cycle_id", pa.int32()), ("length", pa.int32()), ("nodes", pa.list_(pa.string()))]))
-
-    steps = edges.select(F.col("project_id").cast("string").alias("project_id"), "src", "dst").where(F.col("src") != F.col("dst")).distinct()
-    return steps.groupBy("project_id").applyInArrow(find, "project_id string, cycle_id int, length int, nodes array<string>")
+    """Simple cycles, shortest first, then by their nodes from the least one; up to `most` a project. Runs at once, step by step."""
+    return simple_cycles(edges, most)
 
 
 def cycle_summary(found: DataFrame) -> DataFrame:
@@ -120,6 +103,20 @@ def cycle_members(found: DataFrame) -> DataFrame:
     return found.select("project_id", F.explode("nodes").alias("path")).distinct()
 
 
+def cycle_edges(found: DataFrame) -> DataFrame:
+    """The edges on any of the cycles, each once."""
+    following = F.concat(F.slice("nodes", 2, 1 << 30), F.slice("nodes", 1, 1))
+    return found.select("project_id", F.explode(F.arrays_zip(F.col("nodes").alias("src"), following.alias("dst"))).alias("x")).select("project_id", "x.src", "x.dst").distinct()
+
+
+def with_cycle_flags(nodes: DataFrame, edges: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with `in_cycle` and the numbers of their `cycles`, and edges with `is_cycle`."""
+    own = found.select("project_id", "cycle_id", F.explode("nodes").alias("path")).groupBy("project_id", "path").agg(F.sort_array(F.collect_list("cycle_id")).alias("cycles"))
+    nodes = nodes.join(own, ["project_id", "path"], "left").withColumn("in_cycle", F.col("cycles").isNotNull()).withColumn("cycles", F.coalesce("cycles", F.array().cast("array<int>")))
+    flagged = edges.join(cycle_edges(found).withColumn("is_cycle", F.lit(True)), ["project_id", "src", "dst"], "left")
+    return nodes, flagged.withColumn("is_cycle", F.coalesce("is_cycle", F.lit(False)))
+
+
 def module_cycles(imports: DataFrame, most: int = 5) -> DataFrame:
     """A file's own cycles of modules: edges from the first to the last part of each dotted import."""
     parts = F.split("module", r"\.")

@@ -33,6 +33,19 @@ def edges_diagram(nodes: DataFrame, edges: DataFrame, most: int = 60, head: str
     return joined(n.unionByName(e), head)
 
 
+def cycle_diagram(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+    """An import graph whose edges on cycles are dashed and whose files on cycles are filled; a note where there are none."""
+    n = capped(nodes, ["path"], most)
+    node = text.safe_id(F.col("path"))
+    boxes = n.select(*line(["=0", "path"], F.concat(F.lit("  "), node, F.lit('["'), text.short_name(F.col("path")), F.lit('"]'))))
+    arrow = F.when(F.col("is_cycle"), " -.-> ").otherwise(" --> ")
+    arrows = capped(edges, ["src", "dst"], 2 * most).select(*line(["=1", "src", "dst"], F.concat(F.lit("  "), text.safe_id(F.col("src")), arrow, text.safe_id(F.col("dst")))))
+    styles = n.where("in_cycle").select(*line(["=2", "path"], F.concat(F.lit("  style "), node, F.lit(" fill:#ff336630,stroke:#ff3366,stroke-width:2px"))))
+    without = nodes.groupBy("project_id").agg(F.max("in_cycle").alias("any")).where("NOT any")
+    note = without.select(*line(["=3"], F.lit('  OK["no circular imports"]\n  style OK fill:#00f5a020,stroke:#00f5a0')))
+    return joined(boxes.unionByName(arrows).unionByName(styles).unionByName(note), "flowchart TD")
+
+
 def call_diagram(calls: DataFrame, most: int = FUNCTIONS) -> DataFrame:
     e = capped(calls, ["caller", "callee"], 4 * most)
     return joined(e.select(*line(["caller", "callee"], F.concat(F.lit("  "), text.safe_id(F.col("caller")), F.lit(" --> "), text.safe_id(F.col("callee"))))), "flowchart LR")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
@@ -46,18 +46,44 @@ def ordered_references(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(body, [*KEYS[:2], "line"], "left").orderBy("project_id", "file_ord", "line", "col")
 
 
+#: An interval is cut into blocks of 1, 8, 64, ... lines; a line is in one block of each size.
+FAN, SIZES = 8, 8
+
+
+def _blocks(start: Column, end: Column) -> Column:
+    """The blocks (size, number) that make up the lines from `start` to `end`: a few of each size at either side."""
+    parts = []
+    for k in range(SIZES):
+        unit, last = FAN**k, k == SIZES - 1
+        first, stop = F.ceil(start / unit), F.floor((end + 1) / unit)
+        inner, outer = F.ceil(start / (unit * FAN)) * FAN, F.floor((end + 1) / (unit * FAN)) * FAN
+        larger = F.lit(False) if last else inner < outer
+
+        def run(a: Column, b: Column, size: int = k) -> Column:
+            numbers = F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+            return F.transform(numbers, lambda n: F.struct(F.lit(size).alias("size"), n.alias("number")))
+
+        parts += [run(first, F.when(larger, inner).otherwise(stop)), run(F.when(larger, outer).otherwise(stop), stop)]
+    return F.flatten(F.array(*parts))
+
+
 def enclosing(points: DataFrame, fns: DataFrame) -> DataFrame:
     """For cursor rows (keys, `line`, `symbol`) the innermost function around; without one the first of the symbol's name.
 
-    A file's functions are few, so the file is the join's key and the interval a filter.
+    An interval join by equality: functions are cut into blocks of lines, of which each
+    keeps the function that starts last, and a line looks up its block of each size. So
+    neither a file's lines nor its functions meet one another. Equal points are one; of
+    functions that start together the later one is the inner.
     """
-    f = fns.select(*KEYS[:2], F.col("name").alias("fn"), F.col("line").alias("start"), "end_line", "fn_ord")
-    inside = (F.col("start") <= F.col("line")) & (F.col("line") <= F.col("end_line"))
-    both = points.join(f, KEYS[:2], "left")
-    keys = points.columns
-    around = F.max(F.when(inside, F.struct("start", "fn_ord", "fn")))
-    named = F.min(F.when(F.col("fn") == F.col("symbol"), F.struct("start", "fn_ord", "fn")))
-    return both.groupBy(*keys).agg(around.alias("a"), named.alias("n")).select(*keys, F.coalesce("a.fn", "n.fn").alias("function"))
+    own, keys = KEYS[:2], points.columns
+    f = fns.select(*own, F.col("name").alias("fn"), F.col("line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"), "fn_ord")
+    blocks = f.select(*own, F.explode(_blocks(F.col("start"), F.col("end"))).alias("block"), F.struct("start", "fn_ord", "fn").alias("around")).select(*own, "block.size", "block.number", "around")
+    blocks = blocks.groupBy(*own, "size", "number").agg(F.max("around").alias("around"))
+    first = f.groupBy(*own, F.col("fn").alias("symbol")).agg(F.min(F.struct("start", "fn_ord", "fn")).alias("named"))
+    sizes = F.array(*(F.struct(F.lit(k).alias("size"), F.floor(F.col("line") / FAN**k).alias("number")) for k in range(SIZES)))
+    looked = points.withColumn("__b", F.explode(sizes)).select(*keys, F.col("__b.size").alias("size"), F.col("__b.number").alias("number"))
+    found = looked.join(blocks, [*own, "size", "number"], "left").groupBy(*keys).agg(F.max("around").alias("around"))
+    return found.join(first, [*own, "symbol"], "left").select(*keys, F.coalesce("around.fn", "named.fn").alias("function"))
 
 
 def hover_cards(fns: DataFrame, findings: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ class Project:
         out = {"nodes": graph.with_short_names(nodes), "edges": edges, "diagram": render.edges_diagram(nodes, edges), "entries": graph.entry_points(self.files, edges), "most": graph.max_in_degree(nodes)}
         if kind == "circular":
             found = graph.cycles(edges)
-            out |= {"cycles": found, "members": graph.cycle_members(found), "affected": graph.cycle_summary(found)}
+            flagged, marked = graph.with_cycle_flags(out["nodes"], edges, found)
+            out |= {"nodes": flagged, "edges": marked, "diagram": render.cycle_diagram(flagged, marked), "cycles": found, "members": graph.cycle_members(found), "affected": graph.cycle_summary(found)}
         return out
 
     def lint(self) -> dict[str, DataFrame]:

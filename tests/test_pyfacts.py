@@ -6,7 +6,8 @@ import time
 
 import pytest
 
-from lodestone.functions import cycles, pyfacts, scripts
+import plain_cycles as cycles
+from lodestone.functions import pyfacts, scripts
 
 
 def facts(code):
