@@ -13,8 +13,6 @@ import re
 from collections.abc import Iterator
 from functools import cached_property
 
-from . import rules
-
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SCOPES = (*DEFS, ast.ClassDef)
@@ -28,10 +26,6 @@ GRAMMAR_NAMES = ("parse", "parser", "grammar", "tokenize", "lexer", "lex_", "ast
 INDEGREE_NAMES = {"in_degree", "indegree", "in_deg"}
 VISITED_NAMES = {"visited", "seen", "explored"}
 GROWING_METHODS = {"append", "add", "update", "insert", "extend"}
-HTTP_ATTRIBUTES = {"args", "form", "values", "json", "GET", "POST", "COOKIES", "headers"}
-SHELL_CALLS = {"os.system", "os.popen"}
-SUBPROCESS_CALLS = {"call", "run", "Popen", "check_call", "check_output"}
-UNSAFE_LOADS = {"pickle.loads", "pickle.load", "marshal.loads"}
 CASING_IGNORED = {"self", "cls"}
 
 
@@ -308,100 +302,58 @@ def import_facts(nodes: list[ast.AST]) -> list[dict]:
     return out
 
 
-# -- taint -----------------------------------------------------------------
+# -- statements that data flow through -----------------------------------------
 
 
-def taint_source(e: ast.AST) -> str | None:
-    if isinstance(e, ast.Call):
-        if isinstance(e.func, ast.Name) and e.func.id in ("input", "raw_input"):
-            return "stdin (input())"
-        name = dotted(e.func)
-        if name in ("os.getenv", "os.environ.get"):
-            return "environment variable"
-        if name == "request.get_json":
-            return "HTTP request"
-        if isinstance(e.func, ast.Attribute) and e.func.attr == "get" and dotted(e.func.value).rsplit(".", 1)[-1] in HTTP_ATTRIBUTES:
-            return "HTTP request"
-        return None
-    if isinstance(e, ast.Subscript):
-        known = {"sys.argv": "CLI argument", "os.environ": "environment variable"}.get(dotted(e.value))
-        return known or ("HTTP request" if isinstance(e.value, ast.Attribute) and e.value.attr in HTTP_ATTRIBUTES else None)
-    return "HTTP request" if isinstance(e, ast.Attribute) and e.attr in HTTP_ATTRIBUTES else None
-
-
-def taint(e: ast.AST, tainted: dict) -> tuple[str, bool] | None:
-    """Where an expression's data come from, and whether it is built from them."""
-    if direct := taint_source(e):
-        return direct, False
-    if isinstance(e, ast.Name):
-        return tainted.get(e.id)
-    parts: list[ast.AST] = []
-    if isinstance(e, ast.BinOp):
-        parts = [e.left, e.right]
-    elif isinstance(e, ast.JoinedStr):
-        parts = [v.value for v in e.values if isinstance(v, ast.FormattedValue)]
-    elif isinstance(e, ast.Call) and isinstance(e.func, ast.Attribute) and e.func.attr == "format":
-        parts = [*e.args, *(k.value for k in e.keywords)]
-    found = next((t for p in parts if (t := taint(p, tainted))), None)
-    return (found[0], True) if found else None
-
-
-def finding_of(call: ast.Call, tainted: dict) -> dict | None:
-    """At most one finding: SQL, then command, path, deserialisation."""
-    name, first = dotted(call.func), call.args[0] if call.args else None
-    attribute = call.func.attr if isinstance(call.func, ast.Attribute) else None
-    own_taint = taint(first, tainted) if first is not None else None
-
-    def row(cwe, category, source, sink, confidence="High"):
-        return {"cwe": cwe, "category": category, "severity": "High", "confidence": confidence, "source": source, "sink": sink}
-
-    if attribute in ("execute", "executemany") and own_taint and own_taint[1]:
-        base = dotted(call.func.value)
-        return row("CWE-89", "SQL Injection", own_taint[0], f"{attribute}(...)" if base == "?" else f"{base}.{attribute}(...)")
-    shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in call.keywords)
-    if own_taint and (name in SHELL_CALLS or (attribute in SUBPROCESS_CALLS and dotted(call.func.value) == "subprocess" and shell)):
-        return row("CWE-78", "Command Injection", own_taint[0], f"{name}(...)")
-    if isinstance(call.func, ast.Name) and name == "open" and own_taint and own_taint[1]:
-        return row("CWE-22", "Path Traversal", own_taint[0], "open(...)")
-    if name == "os.path.join":
-        for later in call.args[1:]:
-            if t := taint(later, tainted):
-                return row("CWE-22", "Path Traversal", t[0], "os.path.join(...)")
-    safe = any(k.arg == "Loader" and isinstance(k.value, ast.Attribute) and "SafeLoader" in k.value.attr for k in call.keywords)
-    if name in UNSAFE_LOADS or (name == "yaml.load" and not safe):
-        source, confidence = (own_taint[0], "High") if own_taint else ("unvalidated deserialization call", "Medium")
-        return row("CWE-502", "Insecure Deserialization", source, f"{name}(...)", confidence)
-    return None
+def parts(e: ast.AST) -> dict:
+    """What an expression is made of: names, calls, subscripts and attributes in order; `built` if it joins them to a text."""
+    out, stack, first = [], [e], True
+    built = False
+    while stack:
+        x = stack.pop()
+        if isinstance(x, ast.BinOp):
+            below = [x.left, x.right]
+        elif isinstance(x, ast.JoinedStr):
+            below = [v.value for v in x.values if isinstance(v, ast.FormattedValue)]
+        elif isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "format":
+            below = [*x.args, *(k.value for k in x.keywords)]
+        else:
+            below = []
+            form = {ast.Name: "name", ast.Call: "call", ast.Subscript: "subscript", ast.Attribute: "attribute"}.get(type(x))
+            if form:
+                out.append({"form": form, "name": dotted(x.func if form == "call" else x.value if form == "subscript" else x)})
+            first = False
+            continue
+        built, first = built or first, False
+        stack += below[::-1]
+    return {"built": built, "parts": out}
 
 
-def function_findings(f: ast.AST) -> list[dict]:
-    tainted: dict[str, tuple[str, bool]] = {}
-    nodes = body_nodes(f.body)
-    for n in nodes:
-        if isinstance(n, ast.Assign):
-            info = taint(n.value, tainted)
-            for t in n.targets:
-                if isinstance(t, ast.Name):
-                    if info:
-                        tainted[t.id] = info
-                    else:
-                        tainted.pop(t.id, None)
-    rows = [found | {"line": n.lineno, "function": f.name} for n in nodes if isinstance(n, ast.Call) and (found := finding_of(n, tainted))]
-    return sorted(rows, key=lambda r: r["line"])
+def assigns(functions: list[ast.AST]) -> list[dict]:
+    """Assignments to names in functions: function, order, names, and the parts of the value."""
+    return [{"fn": k, "ord": i, "targets": names} | parts(n.value) for k, f in enumerate(functions) for i, n in enumerate(body_nodes(f.body)) if isinstance(n, ast.Assign) and (names := [t.id for t in n.targets if isinstance(t, ast.Name)])]
 
 
-def is_placeholder(value: str) -> bool:
-    return re.match(rules.PLACEHOLDER, value.strip()) is not None
+def calls_made(functions: list[ast.AST]) -> list[dict]:
+    """Calls in functions: callee as written, what its keywords say, and the parts of its arguments."""
+    out = []
+    for k, f in enumerate(functions):
+        for i, n in enumerate(body_nodes(f.body)):
+            if isinstance(n, ast.Call):
+                shell = any(x.arg == "shell" and isinstance(x.value, ast.Constant) and x.value.value is True for x in n.keywords)
+                loader = next((x.value.attr for x in n.keywords if x.arg == "Loader" and isinstance(x.value, ast.Attribute)), None)
+                form = {ast.Name: "name", ast.Attribute: "attribute"}.get(type(n.func), "other")
+                out.append({"fn": k, "function": f.name, "ord": i, "line": n.lineno, "form": form, "name": dotted(n.func), "shell": shell, "loader": loader, "args": [parts(x) for x in n.args]})
+    return out
 
 
-def credentials(nodes: list[ast.AST]) -> list[dict]:
+def literals(nodes: list[ast.AST]) -> list[dict]:
+    """Names that a text is assigned to, with the text."""
     out = []
     for n in nodes:
         targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) and n.value else []
-        if targets and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) and not is_placeholder(n.value.value):
-            for t in targets:
-                if isinstance(t, ast.Name) and re.search(rules.CREDENTIAL, t.id.lower()):
-                    out.append({"cwe": "CWE-798", "category": "Hardcoded Credentials", "severity": "Medium", "confidence": "Medium", "source": f"code literal (`{t.id}`)", "sink": None, "line": n.lineno, "function": None})
+        if targets and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
+            out += [{"name": t.id, "value": n.value.value, "line": n.lineno} for t in targets if isinstance(t, ast.Name)]
     return out
 
 
@@ -650,7 +602,9 @@ FACTS = {
     "functions": lambda f: [function_facts(x) for x in f.listed],
     "classes": lambda f: [class_facts(n) for n in f.nodes if isinstance(n, ast.ClassDef)],
     "imports": lambda f: import_facts(f.nodes),
-    "findings": lambda f: sorted([x for g in f.listed for x in function_findings(g)] + credentials(f.nodes), key=lambda r: r["line"]),
+    "assigns": lambda f: assigns(f.listed),
+    "calls_made": lambda f: calls_made(f.listed),
+    "literals": lambda f: literals(f.nodes),
     "naming": lambda f: naming(f.tree, f.nodes),
     "used_names": lambda f: sorted({n.id for n in f.nodes if isinstance(n, ast.Name)} | {n.attr for n in f.nodes if isinstance(n, ast.Attribute)}),
     "lint": lambda f: lint(f.walked),

@@ -32,9 +32,9 @@ def facts_of(path: str, content: str, parser: str | None, wanted: set[str] | Non
         if parser == "python":
             return pyfacts.parse(content, wanted)
         if parser in ("javascript", "typescript"):
-            return scripts.parse_js(content, parser)
+            return scripts.parse_js(content, parser, wanted)
         if parser in ("c", "cpp"):
-            return scripts.parse_c(content, parser)
+            return scripts.parse_c(content, parser, wanted)
         return {"language": "unknown", "error": f"no parser for {path}"}
     except Exception as e:  # a row with an error, as the contract says
         return {"language": parser, "error": f"{type(e).__name__}: {e}"}
@@ -121,10 +121,6 @@ def imports(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, "imports", "import_ord")
 
 
-def findings(parsed: DataFrame) -> DataFrame:
-    return _exploded(parsed, "findings", "finding_ord")
-
-
 def naming_smells(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, "naming", "smell_ord")
 

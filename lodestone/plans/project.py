@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import graph, lint, logs, ml, parse, render, rollup, symbols, tree
+from ..operators import dataflow, graph, lint, logs, ml, parse, render, rollup, symbols, tree
 from ..sources import files
 
 GRAPHS = {"import": "imports between files", "call": "calls between functions", "circular": "import cycles", "centrality": "degrees and hubs", "heatmap": "complexity of functions"}
@@ -35,7 +35,7 @@ class Project:
         fns, edges = self.functions, self.edges.persist()
         nodes = graph.degrees(self.files, edges)
         cycles, coupling = graph.cycles(edges), graph.coupling_smells(nodes)
-        findings, structural, naming = parse.findings(self.parsed), parse.structural_smells(self.parsed), parse.naming_smells(self.parsed)
+        findings, structural, naming = dataflow.findings(self.parsed), parse.structural_smells(self.parsed), parse.naming_smells(self.parsed)
         return {
             "totals": rollup.with_unused(rollup.totals(self.parsed), parse.unused_imports(self.parsed)),
             "big_o": rollup.big_o_bars(rollup.big_o_distribution(fns)),
@@ -47,7 +47,7 @@ class Project:
             "by_kind": rollup.findings_by_kind(findings, structural, naming, coupling.unionByName(graph.cycle_smells(cycles))),
             "findings": rollup.merged_findings(findings, structural, naming),
             "architecture": coupling.unionByName(graph.cycle_smells(cycles)),
-            "health": rollup.health(self.parsed, coupling, cycles),
+            "health": rollup.health(self.parsed, findings, coupling, cycles),
             "metrics": parse.metrics(self.parsed),
         }
 
@@ -80,7 +80,7 @@ class Project:
         return {"libraries": found, "pipeline": ml.ordered_pipeline(stages), "models": models, "metrics": ml.metrics(self.files), "issues": issues, "score": ml.score(self.files, stages, issues), "suggestions": ml.suggestions(stages, issues, self.files), "diagram": render.chain_diagram(stages, models)}
 
     def symbols(self) -> dict[str, DataFrame]:
-        return {"symbols": symbols.symbols(self.parsed), "references": symbols.references(self.parsed), "completions": symbols.completions(self.parsed), "cards": symbols.hover_cards(self.functions, parse.findings(self.parsed))}
+        return {"symbols": symbols.symbols(self.parsed), "references": symbols.references(self.parsed), "completions": symbols.completions(self.parsed), "cards": symbols.hover_cards(self.functions, dataflow.findings(self.parsed))}
 
     def tree(self) -> DataFrame:
         stats = rollup.file_stats(self.parsed, self.functions, parse.unused_imports(self.parsed))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .functions import labels, text
-from .operators import graph, lint, logs, ml, parse, rollup, search, symbols, tree
+from .operators import dataflow, graph, lint, logs, ml, parse, rollup, search, symbols, tree
 from .operators.parse import KEYS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,17 +185,17 @@ RISKS = "SELECT p_partkey AS part, CASE p_partkey % 6 WHEN 0 THEN 'CWE-89' WHEN
 
 @query(RISKS)
 def security_findings(spark, d):
-    return parse.findings(parse.parse_files(corpus.risky(spark, d), ["findings"])).select(F.col("file_ord").alias("part"), "cwe", "source", "confidence", "line")
+    return dataflow.findings(parse.parse_files(corpus.risky(spark, d), dataflow.FACTS)).select(F.col("file_ord").alias("part"), "cwe", "source", "confidence", "line")
 
 
 @query(f"WITH r AS ({RISKS}) SELECT count(*) AS high, 0::BIGINT AS medium, 0::BIGINT AS low, 100::BIGINT AS high_percent FROM r")
 def severity_counts(spark, d):
-    return rollup.severity_counts(parse.findings(parse.parse_files(corpus.risky(spark, d), ["findings"]))).select("high", "medium", "low", "high_percent")
+    return rollup.severity_counts(dataflow.findings(parse.parse_files(corpus.risky(spark, d), dataflow.FACTS))).select("high", "medium", "low", "high_percent")
 
 
 @query("SELECT s_suppkey AS supplier, 'CWE-798' AS cwe FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0")
 def credentials(spark, d):
-    return parse.findings(parse.parse_files(corpus.secrets(spark, d), ["findings"])).select(F.col("file_ord").alias("supplier"), "cwe")
+    return dataflow.findings(parse.parse_files(corpus.secrets(spark, d), dataflow.FACTS)).select(F.col("file_ord").alias("supplier"), "cwe")
 
 
 @query("SELECT s_suppkey AS supplier, s_suppkey % 2 = 0 AS telling, s_suppkey % 3 = 0 AS placeholder FROM supplier")
@@ -431,8 +431,8 @@ greatest(0, least(100, round(100 - greatest(0, cc - 5) * 8)))::BIGINT AS complex
 def health_scores(spark, d):
     files = corpus.unhealthy(spark, d)
     edges = graph.import_edges(parse.imports(parse.parse_files(files, ["imports"])), files)
-    parsed = parse.parse_files(files, ["functions", "classes", "findings", "naming"])
-    rows = rollup.health(parsed, graph.coupling_smells(graph.degrees(files, edges)), graph.cycles(edges))
+    parsed = parse.parse_files(files, ["functions", "classes", "naming", *dataflow.FACTS])
+    rows = rollup.health(parsed, dataflow.findings(parsed), graph.coupling_smells(graph.degrees(files, edges)), graph.cycles(edges))
     return rows.withColumnRenamed("project_id", "project")
 
 
@@ -476,8 +476,8 @@ SELECT k AS part, '`def f_' || k || '(blob, cursor)`' || chr(10) || chr(10) || '
 
 @query(CARD)
 def hover_cards(spark, d):
-    parsed = parse.parse_files(corpus.risky(spark, d), ["functions", "findings"])
-    return symbols.hover_cards(parse.functions(parsed), parse.findings(parsed)).select(F.col("file_ord").alias("part"), "card")
+    parsed = parse.parse_files(corpus.risky(spark, d), ["functions", *dataflow.FACTS])
+    return symbols.hover_cards(parse.functions(parsed), dataflow.findings(parsed)).select(F.col("file_ord").alias("part"), "card")
 
 
 STAGE_NAMES = ", ".join(f"'{name}'" for name, _ in ml.STAGES)

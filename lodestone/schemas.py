@@ -26,7 +26,8 @@ FUNCTION = fields(
 METHOD = fields("name string, line int, args strings, is_async boolean")
 CLASS = fields("name string, line int, end_line int, loc int, bases strings, decorators strings, docstring string, attributes int", methods=rows(METHOD))
 IMPORT = fields("module string, name string, alias string, type string, line int")
-FINDING = fields("cwe string, category string, severity string, confidence string, source string, sink string, line int, function string")
+PART = fields("form string, name string")
+VALUE = fields("built boolean", parts=rows(PART))
 SMELL = fields("kind string, name string, line int, message string")
 NAMED = fields("name string, line int")
 PARSED_FILE = T.StructType(
@@ -34,7 +35,10 @@ PARSED_FILE = T.StructType(
         *fields("project_id string, file_ord long, path string, language string, error string, error_line int, error_col int").fields,
         *fields(
             "",
-            functions=rows(FUNCTION), classes=rows(CLASS), imports=rows(IMPORT), findings=rows(FINDING), naming=rows(SMELL),
+            functions=rows(FUNCTION), classes=rows(CLASS), imports=rows(IMPORT), naming=rows(SMELL),
+            assigns=rows(fields("fn int, ord int, targets strings, built boolean", parts=rows(PART))),
+            calls_made=rows(fields("fn int, function string, ord int, line int, form string, name string, shell boolean, loader string", args=rows(VALUE))),
+            literals=rows(fields("name string, value string, line int")),
             exports=rows(NAMED), interfaces=rows(NAMED), types=rows(NAMED), macros=rows(NAMED), unused_modules=rows(NAMED),
             lint=rows(fields("code string, line int, col int, message string")),
             symbols=rows(fields("name string, kind string, line int, col int, label string")),

@@ -7,6 +7,7 @@ import time
 import pytest
 
 import plain_cycles as cycles
+import plain_taint
 from lodestone.functions import pyfacts, scripts
 
 
@@ -92,12 +93,12 @@ def test_nested_functions_are_not_listed():
     ],
 )
 def test_taint(body, cwe):
-    assert [f["cwe"] for f in facts(f"def f(c, x):\n    {body}\n")["findings"]] == cwe
+    assert [f["cwe"] for f in plain_taint.findings(f"def f(c, x):\n    {body}\n")] == cwe
 
 
 @pytest.mark.parametrize(("line", "n"), [("api_key = 'abc'", 1), ("api_key = ''", 0), ("api_key = 'xxxx'", 0), ("api_key = '<key>'", 0), ("api_key = '${K}'", 0), ("name = 'abc'", 0), ("pwd: str = 'abc'", 1), ("pwd = other", 0)])
 def test_credentials(line, n):
-    assert len(facts(line)["findings"]) == n
+    assert len(plain_taint.findings(line)) == n
 
 
 def test_naming():
@@ -147,6 +148,26 @@ def test_long_declarations_and_blocks_take_linear_time():
     assert time.perf_counter() - began < 5
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["".join(f"function f{k}(){{if (a) " for k in range(20_000)) + "}" * 20_000, "import" + " " * 50_000, "function f(" * 20_000, "const a = (x" * 20_000 + ")", "function f(x) ;" * 20_000, "/* \n" * 40_000, "a  " * 40_000],
+    ids=["nested", "blanks", "unclosed", "constants", "semicolons", "comments", "words"],
+)
+def test_scripts_are_linear(text):
+    """What is on one line, never closed or only white space; the times before were quadratic."""
+    began = time.perf_counter()
+    js, c = scripts.parse_js(text, "typescript", {"functions", "imports", "unused_modules"}), scripts.parse_c(text, "c")
+    assert time.perf_counter() - began < 8
+    if text.startswith("function f0"):
+        assert len(js["functions"]) == 20_000 and {f["complexity"] for f in js["functions"]} == {20_001} and js["functions"][0]["calls"] is js["functions"][-1]["calls"] and len(js["functions"][0]["calls"]) == 20_001
+    assert c["functions"] is not None
+
+
+def test_functions_inside_functions():
+    js = scripts.parse_js("function a(x) {\n  for (;;) { if (x) {} }\n  function b(y) { return c(y) && d\n (y) }\n}\nconst e = (z) =>\n  z ? 1 : 2;\n", "javascript", {"functions"})["functions"]
+    assert [(f["name"], f["line"], f["loc"], f["complexity"], f["label"], f["calls"]) for f in js] == [("a", 1, 5, 4, "O(n)", ["a", "b", "c", "d", "for", "if"]), ("b", 3, 2, 2, "O(1)", ["b", "c", "d"]), ("e", 6, 2, 2, "O(1)", [])]
+
+
 def test_cycles_against_brute_force():
     def brute(pairs):
         out, to = [], {}
