@@ -257,3 +257,38 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON file for each supplier, which breaks on line 2 if the key is divisible by 3."""
     s = table(spark, sf_dir, "supplier")
     return files(s, "s_suppkey", numbered("j_", "s_suppkey", ".json"), F.when(F.col("s_suppkey") % 3 == 0, '{"a": 1,\n"b" 2}').otherwise('{"a": 1}'))
+
+
+def documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each supplier: a text of key % 5 + 2 lines, key % 4 comments, key % 3 blank lines and key % 7 + 1 assignments."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    several = lambda text, n: F.array_repeat(F.lit(text), n.cast("int"))
+    return files(
+        s, "s_suppkey", numbered("d_", "s_suppkey"),
+        F.array_join(F.concat(F.array(F.lit('"""Says')), several("what # it", k % 5), F.array(F.lit('is for."""')), several("  # a note", k % 4), several("  ", k % 3), several("total = total + 1", k % 7 + 1)), "\n"),
+    )
+
+
+def nested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part: p_size functions inside one another; the first binds a name, and the last one too if the key is even."""
+    p = table(spark, sf_dir, "part")
+    head = lambda i: F.concat(F.repeat(F.lit(" "), i - 1), F.lit("def level_"), i.cast("string"), F.lit("(argument_"), i.cast("string"), F.lit("):"))
+    body = lambda i: F.concat(F.repeat(F.lit(" "), i), F.when((i == 1) | ((i == F.col("p_size")) & (F.col("p_partkey") % 2 == 0)), "total = 1").otherwise("pass"))
+    return files(p, "p_partkey", numbered("scopes/s_", "p_partkey"), F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.array(head(i), body(i)))), "\n"))
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function for each part: input() goes through p_size names into a command; if the key is divisible by 3 one of them is set to a text first."""
+    p = table(spark, sf_dir, "part")
+    n, name = F.col("p_size"), lambda i: F.concat(F.lit("x_"), i.cast("string"))
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("    "), name(i), F.lit(" = "), F.when((i == 1) & (F.col("p_partkey") % 3 == 0), "'fixed'").when(F.col("p_partkey") % 2 == 0, F.concat(name(i - 1), F.lit(" + '.'"))).otherwise(name(i - 1))))
+    return files(p, "p_partkey", numbered("chains/f_", "p_partkey"), F.array_join(F.concat(F.array(F.lit("def run():"), F.lit("    x_0 = input()")), steps, F.array(F.concat(F.lit("    os.system("), name(n), F.lit(")")))), "\n"))
+
+
+def one_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers' modules in one project: rings of seven by key, a chord in every third ring, and an import of the next ring's first module."""
+    s = table(spark, sf_dir, "supplier")
+    k, i = F.col("s_suppkey"), F.col("s_suppkey") % 7
+    line = lambda x: F.concat(F.lit("import o_"), x.cast("string"))
+    return files(s, "s_suppkey", numbered("o_", "s_suppkey"), lines(line(F.when(i == 6, k - 6).otherwise(k + 1)), F.when((i == 3) & (F.floor(k / 7) % 3 == 0), line(k - 3)), F.when(i == 0, line(k + 7))))

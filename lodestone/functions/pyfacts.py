@@ -26,7 +26,6 @@ GRAMMAR_NAMES = ("parse", "parser", "grammar", "tokenize", "lexer", "lex_", "ast
 INDEGREE_NAMES = {"in_degree", "indegree", "in_deg"}
 VISITED_NAMES = {"visited", "seen", "explored"}
 GROWING_METHODS = {"append", "add", "update", "insert", "extend"}
-CASING_IGNORED = {"self", "cls"}
 
 
 def body_nodes(body: list[ast.stmt]) -> list[ast.AST]:
@@ -370,15 +369,6 @@ def bound(target: ast.AST) -> Iterator[ast.Name]:
         yield from bound(target.value)
 
 
-def casing(name: str) -> str | None:
-    core = name.strip("_")
-    if name.startswith("__") or len(name) <= 1 or not core:
-        return None
-    if "_" in core:
-        return "snake_case" if core == core.lower() else None
-    return "camelCase" if name[0].islower() and name != name.lower() else None
-
-
 def scope_names(f: ast.AST) -> set[str]:
     a = f.args
     names = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x}
@@ -388,45 +378,35 @@ def scope_names(f: ast.AST) -> set[str]:
     return names
 
 
-def shadowed(body: list[ast.stmt], outer: set[str]) -> Iterator[dict]:
-    for s in body:
+def scopes(tree: ast.Module) -> list[dict]:
+    """The module and the functions that see one another's names: number, the scope around, name, line, and the names that are bound there."""
+    module = {t.id for s in tree.body for t in (s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []) if isinstance(t, ast.Name)}
+    out = [{"id": 0, "parent": None, "name": None, "line": 0, "names": sorted(module)}]
+    stack = [(s, 0) for s in reversed(tree.body)]
+    while stack:
+        s, parent = stack.pop()
         if isinstance(s, DEFS):
-            names = scope_names(s)
-            if hidden := sorted(names & outer):
-                yield {"kind": "shadowed_name", "name": s.name, "line": s.lineno, "message": f"'{hidden[0]}' hides a name of an outer scope"}
-            yield from shadowed(s.body, outer | names)
+            out.append({"id": len(out), "parent": parent, "name": s.name, "line": s.lineno, "names": sorted(scope_names(s))})
+            below, parent = s.body, len(out) - 1
         elif isinstance(s, ast.ClassDef):
-            yield from shadowed(s.body, outer)
-        elif not isinstance(s, ast.TryStar):
-            for b in blocks_of(s):
-                yield from shadowed(b, outer)
+            below = s.body
+        else:
+            below = [] if isinstance(s, ast.TryStar) else [x for b in blocks_of(s) for x in b]
+        stack += [(x, parent) for x in reversed(below)]
+    return out
 
 
-def naming(tree: ast.Module, nodes: list[ast.AST]) -> list[dict]:
-    loops = [n.target for n in nodes if isinstance(n, (ast.For, ast.AsyncFor, ast.comprehension))]
-    exempt = {(x.id, x.lineno) for t in loops for x in bound(t)}
-    out, seen = [], set()
-    for n in nodes:
-        for t in n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []:
-            for x in bound(t):
-                key = (x.id, x.lineno)
-                if len(x.id) == 1 and x.id.isalpha() and key not in exempt and key not in seen:
-                    seen.add(key)
-                    out.append({"kind": "single_letter_name", "name": x.id, "line": x.lineno, "message": f"one-letter variable '{x.id}' outside a loop or comprehension"})
-    examples: dict[str, list[str]] = {"snake_case": [], "camelCase": []}
-    met = set(CASING_IGNORED)
+def bindings(nodes: list[ast.AST]) -> list[dict]:
+    """Names in source order and how they are bound: by an assignment, a loop, or (`named`) where casing counts."""
+    out = []
     for n in nodes:
-        names = [n.name, *(a.arg for a in n.args.args)] if isinstance(n, DEFS) else [t.id for t in n.targets if isinstance(t, ast.Name)] if isinstance(n, ast.Assign) else []
-        for name in names:
-            if name not in met:
-                met.add(name)
-                if (style := casing(name)) and len(examples[style]) < 3:
-                    examples[style].append(name)
-    if all(examples.values()):
-        out.append({"kind": "inconsistent_casing", "name": "file", "line": 1, "message": f"snake_case ({', '.join(examples['snake_case'])}) beside camelCase ({', '.join(examples['camelCase'])})"})
-    module = {t.id for s in tree.body for t in (s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []) if isinstance(t, ast.Name)}
-    out += shadowed(tree.body, module)
-    return sorted(out, key=lambda r: r["line"])
+        if isinstance(n, (ast.For, ast.AsyncFor, ast.comprehension)):
+            out += [("loop", x.id, x.lineno) for x in bound(n.target)]
+        targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []
+        out += [("assign", x.id, x.lineno) for t in targets for x in bound(t)]
+        named = [n.name, *(a.arg for a in n.args.args)] if isinstance(n, DEFS) else [t.id for t in targets if isinstance(t, ast.Name)] if isinstance(n, ast.Assign) else []
+        out += [("named", name, n.lineno) for name in named]
+    return [{"ord": k, "role": role, "name": name, "line": line} for k, (role, name, line) in enumerate(out)]
 
 
 # -- Halstead and lines ----------------------------------------------------
@@ -449,9 +429,9 @@ UNREAD = {
 }
 
 
-def halstead(tree: ast.Module) -> dict:
-    operators: dict[str, int] = {}
-    operands: dict[object, int] = {}
+def tokens(tree: ast.Module) -> list[dict]:
+    """Operators, operands and logical lines, an entry for each time; constants by type and text."""
+    out = [("statement", None)] * logical_lines(tree.body)
     stack: list[tuple[ast.AST, bool]] = [(s, False) for s in tree.body]
     while stack:
         node, star = stack.pop()
@@ -462,26 +442,26 @@ def halstead(tree: ast.Module) -> dict:
         elif kind is ast.ExceptHandler:
             name = "except*" if star else "except"
         if name:
-            operators[name] = operators.get(name, 0) + 1
+            out.append(("operator", name))
         if kind is ast.comprehension and node.ifs:
-            operators["if"] = operators.get("if", 0) + len(node.ifs)
+            out += [("operator", "if")] * len(node.ifs)
         if kind in (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef):
-            key: object = node.name
+            key = node.name
         elif kind is ast.Attribute:
             key = node.attr
         elif kind is ast.Name:
             key = node.id
         elif kind is ast.Constant:
-            key = (type(node.value).__name__, repr(node.value))
+            key = f"{type(node.value).__name__} {node.value!r}"
         else:
             key = None
         if key is not None:
-            operands[key] = operands.get(key, 0) + 1
+            out.append(("operand", key))
         skipped = UNREAD.get(kind, ())
         for field, value in ast.iter_fields(node):
             if field not in skipped:
                 stack += [(c, kind is ast.TryStar) for c in (value if isinstance(value, list) else [value]) if isinstance(c, ast.AST)]
-    return {"distinct_operators": len(operators), "distinct_operands": len(operands), "total_operators": sum(operators.values()), "total_operands": sum(operands.values())}
+    return [{"kind": kind, "value": value} for kind, value in out]
 
 
 def logical_lines(body: list[ast.stmt]) -> int:
@@ -489,27 +469,6 @@ def logical_lines(body: list[ast.stmt]) -> int:
     return sum(1 + (logical_lines(s.body) if isinstance(s, holders) else 0) for s in body)
 
 
-def raw_lines(content: str, tree: ast.Module | None) -> dict:
-    n = {"loc": 0, "lloc": logical_lines(tree.body) if tree else 0, "sloc": 0, "comments": 0, "blank": 0, "multi": 0}
-    lines = content.split("\n")
-    if lines and not lines[-1]:
-        lines.pop()
-    quote = None
-    for line in (x.strip() for x in lines):
-        n["loc"] += 1
-        if quote:
-            n["multi"] += 1
-            quote = None if quote in line else quote
-        elif not line:
-            n["blank"] += 1
-        elif line.startswith("#"):
-            n["comments"] += 1
-        else:
-            n["sloc"] += 1
-            quote = next((q for q in ('"""', "'''") if q in line and q not in line.split(q, 1)[1]), None)
-    return n
-
-
 # -- lint and symbols ------------------------------------------------------
 
 
@@ -605,13 +564,13 @@ FACTS = {
     "assigns": lambda f: assigns(f.listed),
     "calls_made": lambda f: calls_made(f.listed),
     "literals": lambda f: literals(f.nodes),
-    "naming": lambda f: naming(f.tree, f.nodes),
+    "bindings": lambda f: bindings(f.nodes),
+    "scopes": lambda f: scopes(f.tree),
     "used_names": lambda f: sorted({n.id for n in f.nodes if isinstance(n, ast.Name)} | {n.attr for n in f.nodes if isinstance(n, ast.Attribute)}),
     "lint": lambda f: lint(f.walked),
     "symbols": lambda f: f.named[0],
     "refs": lambda f: f.named[1],
-    "halstead": lambda f: halstead(f.tree),
-    "raw": lambda f: raw_lines(f.content, f.tree),
+    "tokens": lambda f: tokens(f.tree),
     "light_functions": lambda f: [light_function(n) for n in f.walked if isinstance(n, DEFS)],
     "diagram_calls": lambda f: diagram_calls([n for n in f.walked if isinstance(n, DEFS)]),
     "light_imports": lambda f: sum(isinstance(n, (ast.Import, ast.ImportFrom)) for n in f.nodes),
@@ -631,8 +590,6 @@ def parse(content: str, wanted: set[str] | None = None) -> dict:
         failed = {"error": str(e) or type(e).__name__}
     else:
         return {"language": "python"} | {k: fact(file) for k, fact in FACTS.items() if wanted is None or k in wanted}
-    if wanted is None or "raw" in wanted:
-        failed["raw"] = raw_lines(content, None)
     if wanted is None or "refs" in wanted:
         failed["refs"] = [{"name": m[0], "kind": "use", "line": k, "col": m.start()} for k, line in enumerate(content.splitlines(), 1) for m in WORD.finditer(line)]
     return {"language": "python"} | failed

@@ -86,8 +86,7 @@ def tainted(parsed: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     leaves = _leaves(a, [*OWN, "ord"])
     direct = leaves.where("source IS NOT NULL").select(*OWN, "ord", "pos", "built", "source", F.lit(None).cast("int").alias("ref"))
     named = _referred(leaves.where("source IS NULL").select(*OWN, "ord", "pos", "built", "var"), assigned).select(*OWN, "ord", "pos", "built", F.lit(None).cast("string").alias("source"), "ref")
-    open_ = steps.keep(direct.unionByName(named))
-    found = [open_.limit(0).select(*OWN, "ord", "source", "built")]
+    open_, found = direct.unionByName(named), []
     while True:
         waits = F.col("source").isNull()
         first = Window.partitionBy(*OWN, "ord")
@@ -107,14 +106,12 @@ def tainted(parsed: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
         still = rest.select(*OWN, F.col("ord").alias("ref")).distinct().withColumn("open", F.lit(True))
         moved = rest.drop("wait", "has", "n", "ready").join(told, [*OWN, "ref"], "left").join(on, [*OWN, "ref"], "left").join(still, [*OWN, "ref"], "left")
         moved = moved.where("ref IS NULL OR s IS NOT NULL OR open")
-        open_ = steps.keep(moved.select(
+        open_ = moved.select(
             *OWN, "ord", "pos",
             (F.col("built") | F.coalesce("b", F.lit(False)) | F.coalesce("through", F.lit(False)) | F.coalesce("b2", F.lit(False))).alias("built"),
             F.coalesce("source", "s", "s2").alias("source"),
             F.when(F.coalesce("s", "s2").isNull(), F.coalesce("next", "ref")).alias("ref"),
-        ))
-        if open_.isEmpty():
-            break
+        )
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)
@@ -132,7 +129,7 @@ def findings(parsed: DataFrame) -> DataFrame:
     # the files are parsed once
     parsed = steps.keep(parsed.where("language = 'python'").select(*KEYS, *FACTS))
     found, assigned = tainted(parsed, steps)
-    calls = steps.keep(sinks(parsed))
+    calls = sinks(parsed)
     call = [*OWN, "ord"]
     args = calls.select(*call, F.posexplode("args").alias("k", "arg")).select(*call, "k", "arg.*")
     leaves = _leaves(args, [*call, "k"])

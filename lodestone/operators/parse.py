@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,10 +121,6 @@ def imports(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, "imports", "import_ord")
 
 
-def naming_smells(parsed: DataFrame) -> DataFrame:
-    return _exploded(parsed, "naming", "smell_ord")
-
-
 #: Smells that are a threshold on a fact: kind, rule, message; rules work on a struct or a row's columns.
 FUNCTION_SMELLS = [
     ("long_function", lambda f: f["loc"] > 50, lambda f: F.format_string("%d lines (> 50)", f["loc"])),
@@ -185,14 +181,51 @@ def inheritance(parsed: DataFrame) -> DataFrame:
     return edges.join(c.select(*KEYS[:2], F.col("name").alias("base")).distinct(), [*KEYS[:2], "base"], "left_semi")
 
 
-def metrics(parsed: DataFrame) -> DataFrame:
-    """Maintainability, Halstead and line counts of each Python file."""
-    h = labels.halstead(F.col("halstead"))
+def line_counts(content: Column) -> Column:
+    """A struct of `loc`, `sloc`, `comments`, `blank`, `multi`: a fold over the lines that remembers the quotes it is inside of.
+
+    A line with an odd one of triple quotes opens a text; the lines up to those that close it are `multi`.
+    """
+    parts = F.split(content, "\n")
+    lines = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    counted = ("loc", "sloc", "comments", "blank", "multi")
+    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in counted), F.lit("").alias("quote"))
+
+    def opened(line: Column) -> Column:
+        once = lambda q: F.size(F.split(line, q, 3)) == 2
+        return F.when(once('"""'), '"""').when(once("'''"), "'''").otherwise("")
+
+    def step(s: Column, raw: Column) -> Column:
+        line, inside = text.strip(raw), s["quote"] != ""
+        kind = F.when(inside, "multi").when(line == "", "blank").when(line.startswith("#"), "comments").otherwise("sloc")
+        quote = F.when(inside, F.when(line.contains(s["quote"]), "").otherwise(s["quote"])).when(kind == "sloc", opened(line)).otherwise("")
+        return F.struct((s["loc"] + 1).alias("loc"), *((s[c] + (kind == c).cast("long")).alias(c) for c in counted[1:]), quote.alias("quote"))
+
+    return F.aggregate(lines, start, step, lambda s: F.struct(*(s[c].alias(c) for c in counted)))
+
+
+#: The facts of a parse that `metrics` needs.
+METRIC_FACTS = ["functions", "tokens"]
+
+
+def metrics(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Maintainability, Halstead and line counts of each Python file that parses.
+
+    Counts come from token and line rows within a file's own row: nothing is shuffled but
+    to bring texts and facts together.
+    """
+    of = lambda kind: F.transform(F.filter("tokens", lambda t: t["kind"] == kind), lambda t: t["value"])
+    kinds = {"operators": of("operator"), "operands": of("operand")}
+    counts = F.struct(*(F.size(F.array_distinct(v)).cast("long").alias(f"distinct_{k}") for k, v in kinds.items()), *(F.size(v).cast("long").alias(f"total_{k}") for k, v in kinds.items()))
     cc = F.when(F.size("functions") > 0, F.aggregate("functions", F.lit(0.0), lambda a, f: a + f["complexity"], lambda a: a / F.size("functions"))).otherwise(0.0)
+    python = parsed.where((F.col("language") == "python") & F.col("error").isNull())
+    own = python.select(*KEYS, counts.alias("halstead"), F.size(of("statement")).cast("long").alias("lloc"), cc.alias("__cc"))
+    lines = files.select(*KEYS[:2], line_counts(F.coalesce("content", F.lit(""))).alias("raw"))
+    both = own.join(lines, KEYS[:2])
+    h = labels.halstead(F.col("halstead"))
     sloc, comments = F.col("raw.sloc"), F.col("raw.comments") + F.col("raw.multi")
     ratio = F.when(sloc > 0, comments / sloc * 100).otherwise(0.0)
-    python = parsed.where((F.col("language") == "python") & F.col("error").isNull())
-    return python.select(*KEYS, "raw.*", "halstead.*", *(c.alias(n) for n, c in h.items()), labels.maintainability(h["volume"], cc, sloc.cast("double"), ratio).alias("mi"))
+    return both.select(*KEYS, "raw.*", "lloc", "halstead.*", *(c.alias(n) for n, c in h.items()), labels.maintainability(h["volume"], F.col("__cc"), sloc.cast("double"), ratio).alias("mi"))
 
 
 def live_metrics(files: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -85,20 +85,19 @@ def health_counts(parsed: DataFrame) -> DataFrame:
         size("functions").alias("functions"),
         size("classes").alias("classes"),
         F.aggregate(some("functions"), F.lit(0), lambda a, f: a + F.coalesce(f["complexity"], F.lit(0))).alias("complexity"),
-        size("naming").alias("naming"),
         (sum((bad("functions", rule) for _, rule, _ in FUNCTION_SMELLS), F.lit(0)) + sum((bad("classes", rule) for _, rule, _ in CLASS_SMELLS), F.lit(0))).alias("structural"),
     )
     n = lambda c: F.sum(c).alias(c)
-    return own.groupBy("project_id").agg(F.count("*").alias("files"), *map(n, ("functions", "classes", "complexity", "naming", "structural")))
+    return own.groupBy("project_id").agg(F.count("*").alias("files"), *map(n, ("functions", "classes", "complexity", "structural")))
 
 
-def health(parsed: DataFrame, findings: DataFrame, coupling: DataFrame, cycles: DataFrame) -> DataFrame:
-    """The four scores of each project: one pass over its files, and a row a project of its findings and its graph's smells."""
+def health(parsed: DataFrame, findings: DataFrame, naming: DataFrame, coupling: DataFrame, cycles: DataFrame) -> DataFrame:
+    """The four scores of each project: one pass over its files, and a row a project of its findings, names and its graph's smells."""
     count = lambda df, name: df.groupBy("project_id").agg(F.count("*").alias(name))
     out = health_counts(parsed)
-    for part in (severity_counts(findings).select("project_id", "high", "medium", "low"), count(coupling, "coupling"), count(cycles, "cycles")):
+    for part in (severity_counts(findings).select("project_id", "high", "medium", "low"), count(naming, "naming"), count(coupling, "coupling"), count(cycles, "cycles")):
         out = out.join(part, "project_id", "left")
-    out = out.fillna(0, ["high", "medium", "low"])
+    out = out.fillna(0, ["high", "medium", "low", "naming"])
     coupling_n, cycles_n = F.coalesce("coupling", F.lit(0)), F.coalesce("cycles", F.lit(0))
     mean = F.when(F.col("functions") > 0, F.round(F.col("complexity") / F.col("functions"), 2)).otherwise(0.0)
     return out.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import dataflow, graph, lint, logs, ml, parse, render, rollup, symbols, tree
+from ..operators import dataflow, graph, lint, logs, ml, naming, parse, render, rollup, symbols, tree
 from ..sources import files
 
 GRAPHS = {"import": "imports between files", "call": "calls between functions", "circular": "import cycles", "centrality": "degrees and hubs", "heatmap": "complexity of functions"}
@@ -35,7 +35,7 @@ class Project:
         fns, edges = self.functions, self.edges.persist()
         nodes = graph.degrees(self.files, edges)
         cycles, coupling = graph.cycles(edges), graph.coupling_smells(nodes)
-        findings, structural, naming = dataflow.findings(self.parsed), parse.structural_smells(self.parsed), parse.naming_smells(self.parsed)
+        findings, structural, names = dataflow.findings(self.parsed), parse.structural_smells(self.parsed), naming.naming_smells(self.parsed)
         return {
             "totals": rollup.with_unused(rollup.totals(self.parsed), parse.unused_imports(self.parsed)),
             "big_o": rollup.big_o_bars(rollup.big_o_distribution(fns)),
@@ -44,11 +44,11 @@ class Project:
             "hints": parse.ordered_hints(parse.wasm_hints(fns, self.files)),
             "unused_imports": parse.unused_imports(self.parsed),
             "unused_modules": parse.unused_modules(self.parsed),
-            "by_kind": rollup.findings_by_kind(findings, structural, naming, coupling.unionByName(graph.cycle_smells(cycles))),
-            "findings": rollup.merged_findings(findings, structural, naming),
+            "by_kind": rollup.findings_by_kind(findings, structural, names, coupling.unionByName(graph.cycle_smells(cycles))),
+            "findings": rollup.merged_findings(findings, structural, names),
             "architecture": coupling.unionByName(graph.cycle_smells(cycles)),
-            "health": rollup.health(self.parsed, findings, coupling, cycles),
-            "metrics": parse.metrics(self.parsed),
+            "health": rollup.health(self.parsed, findings, names, coupling, cycles),
+            "metrics": parse.metrics(self.files, self.parsed),
         }
 
     def graph(self, kind: str) -> dict[str, DataFrame]:

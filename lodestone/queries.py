@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .functions import labels, text
-from .operators import dataflow, graph, lint, logs, ml, parse, rollup, search, symbols, tree
+from .operators import dataflow, graph, lint, logs, ml, naming, parse, rollup, search, symbols, tree
 from .operators.parse import KEYS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +236,7 @@ def inheritance(spark, d):
 @query("""SELECT s_suppkey AS supplier, 'single_letter_name' AS kind FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'inconsistent_casing' FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT s_suppkey, 'shadowed_name' FROM supplier WHERE s_suppkey % 5 = 0""")
 def naming_smells(spark, d):
-    return parse.naming_smells(parse.parse_files(corpus.names(spark, d), ["naming"])).select(F.col("file_ord").alias("supplier"), "kind")
+    return naming.naming_smells(parse.parse_files(corpus.names(spark, d), naming.FACTS)).select(F.col("file_ord").alias("supplier"), "kind")
 
 
 @query("SELECT s_suppkey AS supplier, 'main' AS caller, 'helper' AS callee FROM supplier UNION ALL SELECT s_suppkey, 'helper', 'leaf' FROM supplier WHERE s_suppkey % 2 = 0")
@@ -431,8 +431,8 @@ greatest(0, least(100, round(100 - greatest(0, cc - 5) * 8)))::BIGINT AS complex
 def health_scores(spark, d):
     files = corpus.unhealthy(spark, d)
     edges = graph.import_edges(parse.imports(parse.parse_files(files, ["imports"])), files)
-    parsed = parse.parse_files(files, ["functions", "classes", "naming", *dataflow.FACTS])
-    rows = rollup.health(parsed, dataflow.findings(parsed), graph.coupling_smells(graph.degrees(files, edges)), graph.cycles(edges))
+    parsed = parse.parse_files(files, ["functions", "classes", *naming.FACTS, *dataflow.FACTS])
+    rows = rollup.health(parsed, dataflow.findings(parsed), naming.naming_smells(parsed), graph.coupling_smells(graph.degrees(files, edges)), graph.cycles(edges))
     return rows.withColumnRenamed("project_id", "project")
 
 
@@ -450,7 +450,8 @@ def wasm_hints(spark, d):
 
 @query("SELECT s_suppkey AS supplier, CAST(2 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sloc, CAST(2 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lloc FROM supplier")
 def raw_metrics(spark, d):
-    rows = parse.metrics(parse.parse_files(corpus.unused(spark, d), ["raw", "halstead", "functions"]))
+    files = corpus.unused(spark, d)
+    rows = parse.metrics(files, parse.parse_files(files, parse.METRIC_FACTS))
     return rows.select(F.col("file_ord").alias("supplier"), "sloc", "lloc")
 
 
@@ -465,7 +466,8 @@ v AS (SELECT *, (t1 + t2) * log2(n1 + n2) AS volume, n1 / 2 * t2 / n2 AS difficu
 
 @query(HALSTEAD + " SELECT k AS part, round(volume, 3) AS volume, round(difficulty, 3) AS difficulty, round(greatest(0, least(100, (171 - 5.2 * ln(volume) - 0.23 * cc - 16.2 * ln(sloc)) * 100 / 171)), 2) AS mi FROM v")
 def maintainability(spark, d):
-    rows = parse.metrics(parse.parse_files(corpus.branches(spark, d), ["raw", "halstead", "functions"]))
+    files = corpus.branches(spark, d)
+    rows = parse.metrics(files, parse.parse_files(files, parse.METRIC_FACTS))
     return rows.select(F.col("file_ord").alias("part"), F.round("volume", 3).alias("volume"), F.round("difficulty", 3).alias("difficulty"), "mi")
 
 
@@ -555,7 +557,7 @@ def log_problems(spark, d):
 @query("""SELECT s_suppkey AS supplier, kind, CASE kind WHEN 'single_letter_name' THEN 'Low' WHEN 'inconsistent_casing' THEN 'Medium' ELSE 'High' END AS severity, CASE kind WHEN 'shadowed_name' THEN 0 WHEN 'inconsistent_casing' THEN 1 ELSE 2 END AS rank
 FROM (SELECT s_suppkey, 'single_letter_name' AS kind FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'inconsistent_casing' FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'shadowed_name' FROM supplier WHERE s_suppkey % 5 = 0)""")
 def smell_severities(spark, d):
-    rows = parse.naming_smells(parse.parse_files(corpus.names(spark, d), ["naming"]))
+    rows = naming.naming_smells(parse.parse_files(corpus.names(spark, d), naming.FACTS))
     return rows.select(F.col("file_ord").alias("supplier"), "kind", labels.smell_severity(F.col("kind")).alias("severity"), labels.kind_rank(F.col("kind")).alias("rank"))
 
 
@@ -581,3 +583,78 @@ def grep_total(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bigo_distribution(spark, sf_dir)
+
+
+DOCUMENTED = "d AS (SELECT s_suppkey AS k, s_suppkey % 5 + 1 AS multi, s_suppkey % 4 AS comments, s_suppkey % 3 AS blank, s_suppkey % 7 + 1 AS n FROM supplier)"
+
+
+@query(f"WITH {DOCUMENTED} SELECT k AS supplier, 1 + multi + comments + blank + n AS loc, 1 + n AS sloc, comments, blank, multi, 1 + n AS lloc FROM d")
+def line_counts(spark, d):
+    files = corpus.documented(spark, d)
+    return parse.metrics(files, parse.parse_files(files, parse.METRIC_FACTS)).select(F.col("file_ord").alias("supplier"), "loc", "sloc", "comments", "blank", "multi", "lloc")
+
+
+# operators: = and binop; operands: the text, total twice, 1
+@query(f"""WITH {DOCUMENTED}, h AS (SELECT k, 1 + n AS sloc, comments + multi AS notes, 2 AS n1, 3 AS n2, 2 * n AS t1, 1 + 3 * n AS t2 FROM d), v AS (SELECT *, (t1 + t2) * log2(n1 + n2) AS volume FROM h)
+SELECT k AS supplier, n1 AS distinct_operators, n2 AS distinct_operands, t1 AS total_operators, t2 AS total_operands, round(volume, 3) AS volume,
+round(greatest(0, least(100, (171 - 5.2 * ln(volume) - 16.2 * ln(sloc) + 50 * sin(sqrt(2.4 * notes / sloc * 100))) * 100 / 171)), 2) AS mi FROM v""")
+def commented_maintainability(spark, d):
+    files = corpus.documented(spark, d)
+    rows = parse.metrics(files, parse.parse_files(files, parse.METRIC_FACTS))
+    return rows.select(F.col("file_ord").alias("supplier"), "distinct_operators", "distinct_operands", "total_operators", "total_operands", F.round("volume", 3).alias("volume"), "mi")
+
+
+@query("SELECT p_partkey AS part, 'level_' || p_size AS name, 2 * p_size - 1 AS line, '''total'' hides a name of an outer scope' AS message FROM part WHERE p_partkey % 2 = 0 AND p_size > 1")
+def deep_shadowing(spark, d):
+    rows = naming.naming_smells(parse.parse_files(corpus.nested_scopes(spark, d), naming.FACTS))
+    return rows.where("kind = 'shadowed_name'").select(F.col("file_ord").alias("part"), "name", "line", "message")
+
+
+@query("""SELECT s_suppkey AS supplier, 'single_letter_name' AS kind, 'q' AS name, 2 AS line, 'one-letter variable ''q'' outside a loop or comprehension' AS message FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'inconsistent_casing', 'file', 1, 'snake_case (total_count) beside camelCase (otherCount)' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'shadowed_name', 'inner', 4 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END, '''total_count'' hides a name of an outer scope' FROM supplier WHERE s_suppkey % 5 = 0""")
+def naming_messages(spark, d):
+    rows = naming.naming_smells(parse.parse_files(corpus.names(spark, d), naming.FACTS))
+    return rows.select(F.col("file_ord").alias("supplier"), "kind", "name", "line", "message")
+
+
+@query("SELECT p_partkey AS part, 'CWE-78' AS cwe, 'stdin (input())' AS source, 'os.system(...)' AS sink, p_size + 3 AS line, 'run' AS function FROM part WHERE p_partkey % 3 <> 0")
+def taint_chains(spark, d):
+    return dataflow.findings(parse.parse_files(corpus.chains(spark, d), dataflow.FACTS)).select(F.col("file_ord").alias("part"), "cwe", "source", "sink", "line", "function")
+
+
+@query("""WITH s AS (SELECT count(*) FILTER (p_partkey % 6 < 4) AS high FROM part), m AS (SELECT count(*) FILTER (s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0) AS medium FROM supplier)
+SELECT high, medium, 0::BIGINT AS low, round(high * 100 / (high + medium))::BIGINT AS high_percent FROM s, m""")
+def severity_mix(spark, d):
+    files = corpus.risky(spark, d).unionByName(corpus.secrets(spark, d).withColumn("file_ord", -F.col("file_ord") - 1))
+    return rollup.severity_counts(dataflow.findings(parse.parse_files(files, dataflow.FACTS))).select("high", "medium", "low", "high_percent")
+
+
+ONE_RING = """WITH RECURSIVE n AS (SELECT s_suppkey AS k, s_suppkey % 7 AS i FROM supplier),
+e AS (SELECT DISTINCT a.k AS src, b.k AS dst FROM n a JOIN n b ON b.k = CASE WHEN a.i = 6 THEN a.k - 6 ELSE a.k + 1 END OR (a.i = 3 AND a.k // 7 % 3 = 0 AND b.k = a.k - 3) OR (a.i = 0 AND b.k = a.k + 7)),
+w AS (SELECT [src, dst] AS p FROM e WHERE src < dst UNION ALL SELECT list_append(p, e.dst) FROM w JOIN e ON e.src = p[-1] WHERE e.dst > p[1] AND NOT list_contains(p, e.dst) AND len(p) < 8 AND e.dst // 7 = p[1] // 7),
+c AS (SELECT list_transform(p, lambda k: 'o_' || k || '.py') AS nodes FROM w JOIN e ON e.src = p[-1] AND e.dst = p[1]),
+t AS (SELECT CASE WHEN list_position(nodes, list_min(nodes)) = 1 THEN nodes ELSE nodes[list_position(nodes, list_min(nodes)) :] || nodes[: list_position(nodes, list_min(nodes)) - 1] END AS nodes FROM c),
+r AS (SELECT nodes, row_number() OVER (ORDER BY len(nodes), nodes) AS cycle_id FROM t QUALIFY cycle_id <= 20)"""
+
+
+def _one_ring(spark, d):
+    files = corpus.one_ring(spark, d)
+    edges = graph.import_edges(parse.imports(parse.parse_files(files, ["imports"])), files)
+    return files, edges, graph.cycles(edges)
+
+
+@query(ONE_RING + " SELECT cycle_id, len(nodes) AS length, array_to_string(nodes, ' ') AS nodes FROM r")
+def project_cycles(spark, d):
+    return _one_ring(spark, d)[2].select("cycle_id", F.col("length").cast("long").alias("length"), F.array_join("nodes", " ").alias("nodes"))
+
+
+@query(ONE_RING + """, m AS (SELECT x, list(cycle_id ORDER BY cycle_id) AS ids FROM (SELECT unnest(nodes) AS x, cycle_id FROM r) GROUP BY x),
+f AS (SELECT DISTINCT nodes[j] AS src, nodes[j % len(nodes) + 1] AS dst FROM (SELECT nodes, unnest(range(1, len(nodes) + 1)) AS j FROM r))
+SELECT 'o_' || k || '.py' AS a, NULL AS b, ids IS NOT NULL AS flag, array_to_string(coalesce(ids, []), ' ') AS cycles FROM n LEFT JOIN m ON x = 'o_' || k || '.py'
+UNION ALL SELECT 'o_' || e.src || '.py', 'o_' || e.dst || '.py', f.src IS NOT NULL, '' FROM e LEFT JOIN f ON f.src = 'o_' || e.src || '.py' AND f.dst = 'o_' || e.dst || '.py'""")
+def cycle_flags(spark, d):
+    files, edges, found = _one_ring(spark, d)
+    nodes, marked = graph.with_cycle_flags(files.select("project_id", "path"), edges, found)
+    own = nodes.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("b"), F.col("in_cycle").alias("flag"), F.array_join(F.col("cycles").cast("array<string>"), " ").alias("cycles"))
+    return own.unionByName(marked.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("is_cycle").alias("flag"), F.lit("").alias("cycles")))

@@ -28,14 +28,16 @@ CLASS = fields("name string, line int, end_line int, loc int, bases strings, dec
 IMPORT = fields("module string, name string, alias string, type string, line int")
 PART = fields("form string, name string")
 VALUE = fields("built boolean", parts=rows(PART))
-SMELL = fields("kind string, name string, line int, message string")
 NAMED = fields("name string, line int")
 PARSED_FILE = T.StructType(
     [
         *fields("project_id string, file_ord long, path string, language string, error string, error_line int, error_col int").fields,
         *fields(
             "",
-            functions=rows(FUNCTION), classes=rows(CLASS), imports=rows(IMPORT), naming=rows(SMELL),
+            functions=rows(FUNCTION), classes=rows(CLASS), imports=rows(IMPORT),
+            bindings=rows(fields("ord int, role string, name string, line int")),
+            scopes=rows(fields("id int, parent int, name string, line int, names strings")),
+            tokens=rows(fields("kind string, value string")),
             assigns=rows(fields("fn int, ord int, targets strings, built boolean", parts=rows(PART))),
             calls_made=rows(fields("fn int, function string, ord int, line int, form string, name string, shell boolean, loader string", args=rows(VALUE))),
             literals=rows(fields("name string, value string, line int")),
@@ -44,8 +46,6 @@ PARSED_FILE = T.StructType(
             symbols=rows(fields("name string, kind string, line int, col int, label string")),
             refs=rows(fields("name string, kind string, line int, col int")),
             diagram_calls=rows(fields("caller string, callee string")),
-            halstead=fields("distinct_operators long, distinct_operands long, total_operators long, total_operands long"),
-            raw=fields("loc long, lloc long, sloc long, comments long, blank long, multi long"),
             light_functions=rows(fields("name string, cc int, loops int, recursive boolean, halves boolean")),
         ).fields,
         *fields("used_names strings, light_imports int, light_classes int").fields,

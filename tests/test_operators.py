@@ -148,7 +148,7 @@ def test_live_metrics(spark):
 
 def test_maintainability(spark):
     files = project(spark, {"a.py": "total = 1 + 1\n", "b.py": "", "c.ts": "x"})
-    rows = {r.path: r for r in parse.metrics(parse.parse_files(files)).collect()}
+    rows = {r.path: r for r in parse.metrics(files, parse.parse_files(files)).collect()}
     assert rows["b.py"].mi is None and rows["a.py"].volume == 10.0 and 0 <= rows["a.py"].mi <= 100 and "c.ts" not in rows
 
 
