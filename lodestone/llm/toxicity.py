@@ -303,7 +303,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     rows = map_texts(held, make_vectors, "terms array<int>, weights array<double>", "text", ["doc_id", "label"]).toArrow().sort_by("doc_id")
     sent.destroy()
     pairs = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows.column("terms"), rows.column("weights"), strict=True)]
-    return Model(names, weights, other, pairs, rows.column("label").to_pylist(), rows.column("doc_id").to_pylist())
+    model = Model(names, weights, other, pairs, rows.column("label").to_pylist(), rows.column("doc_id").to_pylist())
+    # the driver lives on: what it has made the model of goes back to the system
+    del pairs, rows, table
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
