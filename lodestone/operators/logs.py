@@ -65,6 +65,12 @@ def history(probes: DataFrame, kept: int = HISTORY, shown: int = SHOWN) -> DataF
     return probes.withColumn("back", rank).where(F.col("back") <= min(kept, shown))
 
 
+def histories(probes: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """Each probe with the last `shown` of its url up to it, oldest first: the state of the ring after it, at any time."""
+    upto = Window.partitionBy("url").orderBy("ts", "seq").rowsBetween(1 - shown, Window.currentRow)
+    return probes.withColumn("ring", F.collect_list(F.struct("seq", "ms")).over(upto))
+
+
 def ping_status(error: Column) -> Column:
     """Of a probe that sees no answer: what times out is down, what fails otherwise a warning."""
     return F.when(error.isNull(), "ok").when(F.lower(error).rlike("timed? ?out|abort"), "down").otherwise("warning")

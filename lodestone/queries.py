@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import corpus
 from .functions import labels, text
 from .operators import dataflow, graph, lint, logs, ml, naming, parse, rollup, search, symbols, tree
 from .operators.parse import KEYS
+from .operators.stepwise import Steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -658,3 +659,66 @@ def cycle_flags(spark, d):
     nodes, marked = graph.with_cycle_flags(files.select("project_id", "path"), edges, found)
     own = nodes.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("b"), F.col("in_cycle").alias("flag"), F.array_join(F.col("cycles").cast("array<string>"), " ").alias("cycles"))
     return own.unionByName(marked.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("is_cycle").alias("flag"), F.lit("").alias("cycles")))
+
+
+def _positioned(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the order that an operator gives, from 1: the place in a task's part and the sizes of the parts before; no task gets all rows."""
+    number = F.monotonically_increasing_id()
+    kept = Steps(rows.sparkSession, "positions").keep(rows.withColumns({"__part": F.shiftright(number, 33), "__at": number.bitwiseAND((1 << 33) - 1)}))
+    # a row a part
+    sizes = kept.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
+    return kept.join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.col("__at") + 1)
+
+
+@query(f"WITH f AS (SELECT p_partkey AS part, {CC} AS complexity FROM part) SELECT part, row_number() OVER (ORDER BY CASE WHEN complexity > 20 THEN 0 WHEN complexity > 5 THEN 1 ELSE 3 END, complexity DESC, part) AS position FROM f")
+def heatmap_order(spark, d):
+    return _positioned(graph.ordered_heatmap(graph.heatmap(_functions(corpus.branches(spark, d))))).select(F.col("file_ord").alias("part"), "position")
+
+
+@query("SELECT p_partkey AS part, row_number() OVER (ORDER BY p_partkey) AS position FROM part WHERE p_size % 5 >= 2")
+def hints_order(spark, d):
+    files = corpus.loops(spark, d)
+    return _positioned(parse.ordered_hints(parse.wasm_hints(_functions(files), files))).select(F.col("file_ord").alias("part"), "position")
+
+
+@query("""WITH l AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'c' END AS language,
+sum(CASE p_partkey % 3 WHEN 0 THEN 3 * (p_size % 4 + 1) - 1 ELSE 4 * (p_size % 4 + 1) - 1 END) AS loc FROM part GROUP BY 1) SELECT language, row_number() OVER (ORDER BY loc DESC, language) AS position FROM l""")
+def languages_order(spark, d):
+    files = corpus.mixed(spark, d)
+    return _positioned(rollup.languages_by_lines(rollup.language_distribution(files, parse.parse_files(files, ["functions"])))).select("language", "position")
+
+
+@query(TREE + " SELECT path, row_number() OVER (ORDER BY parent, is_file, lower(name), name) AS position FROM (SELECT DISTINCT path, CASE WHEN depth = 1 THEN '' ELSE path[: len(path) - len(name) - 1] END AS parent, name, is_file FROM x)")
+def tree_order(spark, d):
+    pages = corpus.table(spark, d, "pages")
+    files = pages.select(F.lit("p").alias("project_id"), F.col("page_id").alias("file_ord"), F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"))
+    return _positioned(tree.ordered_tree(tree.tree(files))).select("path", "position")
+
+
+@query("WITH l AS (SELECT s_suppkey AS k, unnest(['helper(x)', 'leaf(x)', 'main(x)']) AS label FROM supplier) SELECT k AS supplier, label, row_number() OVER (ORDER BY 'p' || k, label) AS position FROM l")
+def completions_order(spark, d):
+    rows = symbols.ordered_completions(symbols.completions(parse.parse_files(corpus.calls(spark, d), ["symbols"])))
+    return _positioned(rows).select(F.col("file_ord").alias("supplier"), "label", "position")
+
+
+@query("WITH s AS (SELECT s_suppkey AS k, unnest([2, 2, 6]) AS line, unnest([0, 16, 0]) AS col FROM supplier) SELECT k AS supplier, line, col, row_number() OVER (ORDER BY k, line, col) AS position FROM s")
+def references_order(spark, d):
+    files = corpus.typed(spark, d)
+    rows = symbols.references(parse.parse_files(files, ["refs"])).where(F.col("name").startswith("run_"))
+    return _positioned(symbols.ordered_references(rows, files)).select(F.col("file_ord").alias("supplier"), "line", "col", "position")
+
+
+@query("SELECT s_suppkey AS supplier, s_suppkey % 3 + 1 AS line, row_number() OVER (ORDER BY s_suppkey) AS position FROM supplier")
+def pipeline_order(spark, d):
+    return _positioned(ml.ordered_pipeline(ml.pipeline(corpus.staged(spark, d)))).select(F.col("file_ord").alias("supplier"), "line", "position")
+
+
+@query("SELECT s_suppkey AS supplier, 'main' AS caller, 'helper' AS callee, 'c_' || s_suppkey || '.py' AS callee_path FROM supplier UNION ALL SELECT s_suppkey, 'helper', 'leaf', 'c_' || s_suppkey || '.py' FROM supplier WHERE s_suppkey % 2 = 0")
+def call_targets(spark, d):
+    return graph.call_graph(_functions(corpus.calls(spark, d))).select(F.col("file_ord").alias("supplier"), "caller", "callee", "callee_path")
+
+
+@query("""SELECT event_id AS seq, '/u/' || user_id AS url, array_to_string(list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ' ') AS ring FROM events""")
+def probe_histories(spark, d):
+    return logs.histories(corpus.probes(spark, d)).select("seq", "url", F.array_join(F.transform("ring", lambda x: x["seq"].cast("string")), " ").alias("ring"))

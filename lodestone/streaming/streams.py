@@ -54,10 +54,14 @@ def last_values(events: DataFrame, kept: int = 50, shown: int = 10) -> DataFrame
 
 
 def live_metrics(edits: DataFrame, act: Callable[[DataFrame, int], None], seconds: float = 0.2) -> DataStreamWriter:
-    """The editor's figures of every edit (`file`, `content`): in each small batch the last content of a file, parsed; `act` gets the rows."""
+    """The editor's figures of every edit (`file`, `content`): in each small batch the last content of a file, parsed; `act` gets the rows.
+
+    The last edit is that of the greatest `ts`, then `seq`, as far as edits have these; without both it is any of the batch's.
+    """
+    times = [c for c in ("ts", "seq") if c in edits.columns] or ["content"]
 
     def work(batch: DataFrame, k: int) -> None:
-        last = batch.withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.max_by("content", "n").alias("content"))
+        last = batch.withColumn("n", F.struct(*times)).groupBy("file").agg(F.max_by("content", "n").alias("content"))
         files = last.select(F.lit("live").alias("project_id"), F.xxhash64("file").alias("file_ord"), F.col("file").alias("path"), "content").persist()
         try:
             act(parse.live_metrics(files, parse.parse_files(files, ["light_functions", "light_classes", "light_imports"])), k)

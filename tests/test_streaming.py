@@ -51,3 +51,26 @@ def test_every(spark, tmp_path):
     query = streams.every(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), 1, lambda df, k: seen.append(df.count())).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert seen == [3]
+
+
+def test_live_metrics_take_the_last_edit_by_time(spark, tmp_path):
+    """Edits in any order of files and partitions."""
+    rows = [("a.py", 2, 1, "def f(): pass\ndef g(): pass"), ("a.py", 2, 0, "def f(): pass"), ("a.py", 1, 9, ""), ("b.py", 5, 0, "x = 1"), ("b.py", 4, 0, "def h(): pass")]
+    spark.createDataFrame(rows, "file string, ts long, seq long, content string").repartition(3).write.json(f"{tmp_path}/in")
+    edits = spark.readStream.schema("file string, ts long, seq long, content string").json(f"{tmp_path}/in")
+    seen = []
+    streams.live_metrics(edits, lambda rows, k: seen.extend(rows.collect())).trigger(availableNow=True).start().awaitTermination(60)
+    assert {(r.path, r.functions) for r in seen} == {("a.py", 2), ("b.py", 0)}
+
+
+def test_ring_of_batch_and_stream(spark, tmp_path):
+    """After the last event the stream's ring is the batch's last frame."""
+    from lodestone.operators import logs
+
+    df = spark.range(37).select((F.col("id") % 3).cast("string").alias("key"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value"))
+    df.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "events"))
+    found = run(spark, streams.last_values(stream, 50, 10), "update", tmp_path, "rings").collect()
+    frames = logs.histories(df.withColumnRenamed("key", "url").withColumnRenamed("value", "ms"))
+    last = frames.groupBy("url").agg(F.max_by("ring", "seq").alias("ring")).collect()
+    assert {(r.key, r.back, r.seq) for r in found} == {(r.url, b, x.seq) for r in last for b, x in enumerate(r.ring[::-1], 1)}
