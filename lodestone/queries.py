@@ -431,8 +431,9 @@ greatest(0, least(100, round(100 - greatest(0, cc - 5) * 8)))::BIGINT AS complex
 @query(HEALTH)
 def health_scores(spark, d):
     files = corpus.unhealthy(spark, d)
-    edges = graph.import_edges(parse.imports(parse.parse_files(files, ["imports"])), files)
-    parsed = parse.parse_files(files, ["functions", "classes", *naming.FACTS, *dataflow.FACTS])
+    # the files are parsed once for all that looks at them
+    parsed = Steps(spark, "health").keep(parse.parse_files(files, ["imports", "functions", "classes", *naming.FACTS, *dataflow.FACTS]))
+    edges = graph.import_edges(parse.imports(parsed), files)
     rows = rollup.health(parsed, dataflow.findings(parsed), naming.naming_smells(parsed), graph.coupling_smells(graph.degrees(files, edges)), graph.cycles(edges))
     return rows.withColumnRenamed("project_id", "project")
 
