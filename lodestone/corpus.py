@@ -292,3 +292,26 @@ def one_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, i = F.col("s_suppkey"), F.col("s_suppkey") % 7
     line = lambda x: F.concat(F.lit("import o_"), x.cast("string"))
     return files(s, "s_suppkey", numbered("o_", "s_suppkey"), lines(line(F.when(i == 6, k - 6).otherwise(k + 1)), F.when((i == 3) & (F.floor(k / 7) % 3 == 0), line(k - 3)), F.when(i == 0, line(k + 7))))
+
+
+def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part that calls the function of number p_size modulo 25 on line p_partkey modulo 4 + 1, twice, and sets that of the key modulo 25 once."""
+    p = table(spark, sf_dir, "part")
+    term = lambda n, tail: F.concat(F.lit("term_"), (n % 25).cast("string"), tail)
+    call = term(F.col("p_size"), F.lit("(1)"))
+    return files(p, "p_partkey", numbered("words/w_", "p_partkey"), F.concat(F.repeat(F.lit("\n"), (F.col("p_partkey") % 4).cast("int")), call, F.lit("\n"), call, F.lit("\n"), term(F.col("p_partkey"), F.concat(F.lit(" = "), F.col("p_size").cast("string")))))
+
+
+def nation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of patterns for each nation: calls of the function of its number, and numbers that are set to it."""
+    number = F.col("n_nationkey").cast("string")
+    word = F.concat(F.lit("term_"), number)
+    row = lambda kind, pattern, values: F.struct(
+        F.lit(kind).alias("kind"), F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("name"), pattern.alias("pattern"), F.array(word).alias("words"), values.alias("values"),
+        F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("attributes"),
+    )
+    called = F.concat(F.lit(r"\b"), word, F.lit(r"\s*\("))
+    set_to = F.concat(F.lit(r"\b"), word, F.lit(r"\s*="))
+    value = F.array(F.concat(set_to, F.lit(r"\s*(\d+)")))
+    both = F.array(row("call", called, F.lit(None).cast("array<string>")), row("set", set_to, value))
+    return table(spark, sf_dir, "nation").select(F.explode(both).alias("x")).select("x.*")

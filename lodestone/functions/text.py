@@ -39,7 +39,7 @@ def count_of(text: Column, piece: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)).cast("long")
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
@@ -52,9 +52,9 @@ def line_of(text: Column, position: Column) -> Column:
     return (line_feeds(F.substring(text, F.lit(1), position - 1)) + 1).cast("int")
 
 
-def first_line_of(text: Column, pattern: str) -> Column:
+def first_line_of(text: Column, pattern: str | Column) -> Column:
     """The line of the first match, or null: by splitting there, as positions of matches are not at hand."""
-    return F.when(text.rlike(pattern), line_feeds(F.get(F.split(text, pattern, 2), F.lit(0))) + 1)
+    return F.when(F.rlike(text, F.lit(pattern)), line_feeds(F.get(F.split(text, pattern, 2), F.lit(0))) + 1)
 
 
 def source_lines(lines: Column, fallback: bool = False) -> Column:

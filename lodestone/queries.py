@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import corpus
 from .functions import labels, text
-from .operators import dataflow, graph, lint, logs, ml, naming, parse, rollup, search, symbols, tree
+from .operators import dataflow, graph, lint, logs, ml, naming, parse, patterns, rollup, search, symbols, tree
 from .operators.parse import KEYS
 from .operators.stepwise import Steps
 
@@ -723,3 +723,32 @@ def call_targets(spark, d):
 @query("""SELECT event_id AS seq, '/u/' || user_id AS url, array_to_string(list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ' ') AS ring FROM events""")
 def probe_histories(spark, d):
     return logs.histories(corpus.probes(spark, d)).select("seq", "url", F.array_join(F.transform("ring", lambda x: x["seq"].cast("string")), " ").alias("ring"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS part, p_size % 25 AS called, p_partkey % 25 AS given, p_partkey % 4 + 1 AS line, p_size FROM part)
+SELECT part, n_name AS name, 'call' AS kind, line, 2 AS count, NULL AS value, n_regionkey AS region FROM f JOIN nation ON n_nationkey = called
+UNION ALL SELECT part, n_name, 'set', line + 2, 1, p_size, n_regionkey FROM f JOIN nation ON n_nationkey = given""")
+def pattern_rows(spark, d):
+    found = patterns.scan(corpus.worded(spark, d), corpus.nation_patterns(spark, d))
+    return found.select(F.col("file_ord").alias("part"), "name", "kind", "line", "count", "value", F.col("attributes")["region"].cast("int").alias("region"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS part, p_size % 25 AS called, p_partkey % 25 AS given FROM part)
+SELECT part, n_name AS rule, 'warning' AS severity FROM f JOIN nation ON n_nationkey = called WHERE called <> given
+UNION ALL SELECT part, 'late_' || n_name, 'error' FROM f JOIN nation ON n_nationkey = given AND called = (given + 1) % 25""")
+def rule_rows(spark, d):
+    """Rules from a table: a call of a function that is never set, and a call before the next function's name is set."""
+    word = lambda n: F.concat(F.lit("term_"), (n % 25).cast("string"))
+    k, none = F.col("n_nationkey").cast("int"), F.lit(None).cast("array<string>")
+    call, assigned = (lambda n: F.concat(F.lit(r"\b"), word(n), F.lit(r"\("))), (lambda n: F.concat(F.lit(r"\b"), word(n), F.lit(" =")))
+
+    def row(rule, severity, has, lacks, first, second):
+        own = {"ord": k, "rule": rule, "severity": F.lit(severity), "category": F.lit("own"), "words": F.array(word(k)), "libraries": none, "modules": none, "has": has, "lacks": lacks}
+        end = {"counted": F.lit(None).cast("string"), "at_least": F.lit(None).cast("int"), "at_most": F.lit(None).cast("int"), "first": first, "second": second}
+        return F.struct(*[c.alias(n) for n, c in (own | end).items()])
+
+    missing = F.lit(None).cast("string")
+    both = F.array(row(F.col("n_name"), "warning", F.array(call(k)), F.array(assigned(k)), missing, missing), row(F.concat(F.lit("late_"), "n_name"), "error", none, none, call(k + 1), assigned(k)))
+    rules = corpus.table(spark, d, "nation").select(F.explode(both).alias("x")).select("x.*")
+    files = corpus.worded(spark, d).withColumns({"libraries": none, "modules": none})
+    return patterns.violations(files, rules).select(F.col("file_ord").alias("part"), "rule", "severity")
