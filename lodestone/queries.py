@@ -12,6 +12,7 @@ from .functions import labels, text
 from .operators import dataflow, graph, lint, logs, ml, naming, parse, patterns, rollup, search, symbols, tree
 from .operators.parse import KEYS
 from .operators.stepwise import Steps
+from .sources import zips
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -752,3 +753,13 @@ def rule_rows(spark, d):
     rules = corpus.table(spark, d, "nation").select(F.explode(both).alias("x")).select("x.*")
     files = corpus.worded(spark, d).withColumns({"libraries": none, "modules": none})
     return patterns.violations(files, rules).select(F.col("file_ord").alias("part"), "rule", "severity")
+
+
+@query("SELECT p_partkey AS part, 'a' || p_partkey // 4096 AS project, (p_size % 4 + 1) * 26 - 1 AS bytes FROM part WHERE p_partkey % 3 = 0 AND p_partkey // 4096 IN (0, 2)")
+def zip_members(spark, d):
+    """Files packed into archives and read back: two projects' Python members. The filters reach the archives' listing and the members' names."""
+    steps = Steps(spark, "zips")
+    files = corpus.mixed(spark, d).withColumn("project_id", F.concat(F.lit("a"), F.floor(F.col("file_ord") / 4096).cast("string")))
+    steps.keep(zips.pack(files, f"{steps.path}/archives"))
+    rows = zips.read(spark, f"{steps.path}/archives").where(F.col("project_id").isin("a0", "a2") & (F.col("suffix") == ".py") & (F.col("status") == "extracted"))
+    return rows.select(F.regexp_extract("path", r"f_(\d+)", 1).cast("long").alias("part"), F.col("project_id").alias("project"), "bytes")

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text
 from ..operators import tree
+from . import zips
+from .zips import IGNORED, MEMBER_BYTES, REFUSED
 
-# What is read, skipped and refused, and up to which size.
+# What is read, and up to which size.
 READ = [".py", ".js", ".ts", ".jsx", ".tsx", ".c", ".cpp", ".h", ".hpp"]
-IGNORED = ["__pycache__", ".git", "node_modules", ".venv", "venv", "env", ".env", "dist", "build", ".next", ".nuxt", "target", ".idea", ".vscode", ".pytest_cache", ".mypy_cache", "*.egg-info"]
-REFUSED = [".exe", ".dll", ".so", ".bat", ".cmd", ".ps1", ".msi", ".bin"]
-MEMBER_BYTES, ARCHIVE_BYTES, READ_BYTES = 50 << 20, 200 << 20, 5 << 20
+ARCHIVE_BYTES, READ_BYTES = 200 << 20, 5 << 20
 
 
 def ignored(path: Column) -> Column:
@@ -61,7 +61,7 @@ def _quote(s: str) -> str:
     return "".join(c if c.isalnum() or c in "/_-" else f"\\{c}" for c in s)
 
 
-def archives(zips: DataFrame) -> DataFrame:
+def archives(uploaded: DataFrame) -> DataFrame:
     """ZIP rows (`project_id`, `content` binary) to `project_id`, `path`, `status`, `bytes`, `content`.
 
     Status: extracted, skipped (folders, ignored ones, refused suffixes, members of
@@ -76,7 +76,7 @@ def archives(zips: DataFrame) -> DataFrame:
                 for row in members(raw):
                     yield pa.RecordBatch.from_pylist([{"project_id": project, **row}], kind)
 
-    return zips.select("project_id", "content").mapInArrow(run, "project_id string, path string, status string, bytes long, content binary")
+    return uploaded.select("project_id", "content").mapInArrow(run, "project_id string, path string, status string, bytes long, content binary")
 
 
 def members(raw: bytes | None) -> Iterator[dict]:
@@ -88,16 +88,8 @@ def members(raw: bytes | None) -> Iterator[dict]:
     except zipfile.BadZipFile:
         yield {"path": "", "status": "error: not a zip archive", "bytes": len(raw), "content": None}
         return
-    for m in archive.infolist():
-        path = "/".join(p for p in m.filename.replace("\\", "/").split("/") if p not in ("", ".", ".."))
-        parts = path.split("/")
-        if m.is_dir() or not path or set(parts) & set(IGNORED) or any(parts[-1].lower().endswith(s) for s in REFUSED) or m.file_size > MEMBER_BYTES:
-            yield {"path": path, "status": "skipped", "bytes": m.file_size, "content": None}
-            continue
-        try:
-            yield {"path": path, "status": "extracted", "bytes": m.file_size, "content": archive.read(m)}
-        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError) as e:
-            yield {"path": path, "status": f"error: {e}", "bytes": m.file_size, "content": None}
+    for row in zips.unpack(archive, enumerate(archive.infolist())):
+        yield {c: row[c] for c in ("path", "status", "bytes", "content")}
 
 
 def archive_summary(rows: DataFrame) -> DataFrame:
@@ -110,9 +102,9 @@ def from_archives(rows: DataFrame) -> DataFrame:
     return numbered(kept.select("project_id", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
 
-def archive_upload(zips: DataFrame) -> dict[str, DataFrame]:
+def archive_upload(uploaded: DataFrame) -> dict[str, DataFrame]:
     """What an uploaded archive is answered with: its files, summary, tree and figures."""
-    rows = archives(zips)
+    rows = archives(uploaded)
     files = from_archives(rows)
     return {"files": files, "summary": archive_summary(rows), "tree": tree.ordered_tree(tree.tree(files)), "info": tree.project_info(files), "extensions": tree.extension_histogram(files)}
 
