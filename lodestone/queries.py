@@ -13,6 +13,7 @@ from .operators import dataflow, graph, lint, logs, ml, naming, parse, patterns,
 from .operators.parse import KEYS
 from .operators.stepwise import Steps
 from .sources import zips
+from .sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -763,3 +764,23 @@ def zip_members(spark, d):
     steps.keep(zips.pack(files, f"{steps.path}/archives"))
     rows = zips.read(spark, f"{steps.path}/archives").where(F.col("project_id").isin("a0", "a2") & (F.col("suffix") == ".py") & (F.col("status") == "extracted"))
     return rows.select(F.regexp_extract("path", r"f_(\d+)", 1).cast("long").alias("part"), F.col("project_id").alias("project"), "bytes")
+
+
+@query("""WITH f AS (SELECT p_partkey AS part, p_partkey % 7 AS project FROM part)
+SELECT part, 's' || project AS project, CASE WHEN project = 1 OR part % 2 = 0 THEN 'second' ELSE 'first' END AS version FROM f
+WHERE project <> 3 AND (project <> 1 OR part % 2 = 0)
+UNION ALL SELECT part, 's3', 'third' FROM f WHERE project = 3 AND part % 5 = 0""")
+def stored_projects(spark, d):
+    """A store after an upload of all, an update of the even keys, one project replaced, one emptied and filled anew, with a compaction in between."""
+    steps = Steps(spark, "store")
+    kept = Store(spark, f"{steps.path}/store")
+    files = corpus.branches(spark, d).withColumn("project_id", F.concat(F.lit("s"), (F.col("file_ord") % 7).cast("string")))
+    version = lambda rows, v: rows.withColumn("content", F.lit(v))
+    even = files.where("file_ord % 2 = 0")
+    kept.save(version(files, "first"))
+    kept.save(version(even, "second"))
+    kept.compact()
+    kept.delete("s3")
+    kept.save(version(even.where("project_id = 's1'"), "second"), replace=True)
+    kept.save(version(files.where("project_id = 's3' and file_ord % 5 = 0"), "third"))
+    return kept.load().select(F.col("file_ord").alias("part"), F.col("project_id").alias("project"), F.col("content").alias("version"))

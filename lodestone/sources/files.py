@@ -19,6 +19,7 @@ from .. import schemas
 from ..functions import text
 from ..operators import tree
 from . import zips
+from .store import Store
 from .zips import IGNORED, MEMBER_BYTES, REFUSED
 
 # What is read, and up to which size.
@@ -117,25 +118,18 @@ def uploads(rows: DataFrame, keep_folders: bool = True) -> DataFrame:
     return numbered(out.select("project_id", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
 
-def save(files: DataFrame, table_path: str, mode: str = "append") -> None:
-    """The project store: Parquet, a folder for each project. What is appended later takes the place of equal paths."""
-    files.withColumn("saved", F.current_timestamp()).write.mode(mode).partitionBy("project_id").parquet(table_path)
+def save(files: DataFrame, table_path: str, replace: bool = False) -> str:
+    """The project store: a commit of `store`. What is saved later takes the place of equal paths, or with `replace` of all that its projects had."""
+    return Store(files.sparkSession, table_path).save(files, replace)
 
 
 def load(spark: SparkSession, table_path: str, project: str | None = None) -> DataFrame:
-    rows = spark.read.schema("file_ord long, path string, content string, saved timestamp, project_id string").parquet(table_path)
-    if project is not None:
-        rows = rows.where(F.col("project_id") == project)
-    newest = rows.groupBy("project_id", "path").agg(F.max_by(F.struct("file_ord", "content"), "saved").alias("x"))
-    return newest.select("project_id", "x.file_ord", "path", "x.content")
+    return Store(spark, table_path).load(project)
 
 
 def delete(spark: SparkSession, table_path: str, project: str) -> bool:
-    """Removes a project's folder; whether there was one."""
-    if not project or "/" in project or project in (".", ".."):
-        raise ValueError("no project id")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/project_id={project}")
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    """Empties a project; whether there was one."""
+    return Store(spark, table_path).delete(project)
 
 
 def one_file(files: DataFrame, project: str, path: str) -> DataFrame:
