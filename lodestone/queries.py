@@ -14,6 +14,7 @@ from .operators.parse import KEYS
 from .operators.stepwise import Steps
 from .sources import zips
 from .sources.store import Store
+from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -784,3 +785,13 @@ def stored_projects(spark, d):
     kept.save(version(even.where("project_id = 's1'"), "second"), replace=True)
     kept.save(version(files.where("project_id = 's3' and file_ord % 5 = 0"), "third"))
     return kept.load().select(F.col("file_ord").alias("part"), F.col("project_id").alias("project"), F.col("content").alias("version"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, epoch_ms(ts) AS at, event_id AS seq, event_type AS content FROM events),
+f AS (SELECT *, lead(at) OVER (PARTITION BY user_id ORDER BY at, seq) AS following FROM e)
+SELECT 'u' || user_id AS file, wait, at, seq, content FROM f, (VALUES (600000), (7200000)) AS w(wait) WHERE following IS NULL OR following - at >= wait""")
+def edit_pauses(spark, d):
+    """Events as edits of their user's file: after which of them the file rests for ten minutes, and for two hours."""
+    utc = F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
+    e = corpus.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), utc.alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
+    return streams.paused_batch(e, (600_000, 7_200_000))

@@ -74,3 +74,21 @@ def test_ring_of_batch_and_stream(spark, tmp_path):
     frames = logs.histories(df.withColumnRenamed("key", "url").withColumnRenamed("value", "ms"))
     last = frames.groupBy("url").agg(F.max_by("ring", "seq").alias("ring")).collect()
     assert {(r.key, r.back, r.seq) for r in found} == {(r.url, b, x.seq) for r in last for b, x in enumerate(r.ring[::-1], 1)}
+
+
+def test_two_pauses_over_a_restart(spark, tmp_path):
+    """Edits of two files that interleave, out of order, over a restart: the rows of the batch form, each once."""
+    first = [("a", 0, 0, "1"), ("a", 299, 1, "2"), ("b", 100, 2, "x"), ("a", 2299, 4, "4"), ("a", 599, 3, "3"), ("a", 599, 3, "3"), (None, 5, 9, "n"), ("b", None, 9, "n")]
+    second = [("b", 1900, 7, None), ("a", 4200, 8, "6"), ("a", 2299, 5, "5"), ("b", 1900, None, "z"), ("end", 60_000, 0, "")]
+    schema = "file string, ms long, seq long, content string"
+    timed = lambda rows: spark.createDataFrame(rows, schema).select("file", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ms")).alias("ts"), "seq", "content")
+    found = []
+    for part in (first, second):
+        timed(part).repartition(3).write.mode("append").parquet(f"{tmp_path}/edits")
+        stream = streams.paused(spark.readStream.schema(timed(part).schema).parquet(f"{tmp_path}/edits"))
+        q = stream.writeStream.option("checkpointLocation", f"{tmp_path}/check").foreachBatch(lambda df, k: found.extend(df.collect())).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    plain = streams.paused_batch(timed(first + second)).where("file <> 'end'").collect()
+    key = lambda r: (r.file, r.wait, r["at"] - 1_700_000_000_000, r.seq, r.content)
+    assert sorted(map(key, found)) == sorted(map(key, plain))
+    assert sorted(map(key, plain)) == [("a", 300, 299, 1, "2"), ("a", 300, 599, 3, "3"), ("a", 300, 2299, 5, "5"), ("a", 300, 4200, 8, "6"), ("a", 2000, 4200, 8, "6"), ("b", 300, 100, 2, "x"), ("b", 300, 1900, 7, ""), ("b", 2000, 1900, 7, "")]
