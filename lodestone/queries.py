@@ -787,9 +787,9 @@ def stored_projects(spark, d):
     return kept.load().select(F.col("file_ord").alias("part"), F.col("project_id").alias("project"), F.col("content").alias("version"))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id, epoch_ms(ts) AS at, event_id AS seq, event_type AS content FROM events),
-f AS (SELECT *, lead(at) OVER (PARTITION BY user_id ORDER BY at, seq) AS following FROM e)
-SELECT 'u' || user_id AS file, wait, at, seq, content FROM f, (VALUES (600000), (7200000)) AS w(wait) WHERE following IS NULL OR following - at >= wait""")
+@query("""WITH e AS (SELECT DISTINCT user_id, epoch_ms(ts) AS ms, event_id AS seq, event_type AS content FROM events),
+f AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, seq) AS following FROM e), w(wait) AS (VALUES (600000), (7200000))
+SELECT 'u' || user_id AS file, wait, ms AS "at", seq, content FROM f, w WHERE following IS NULL OR following - ms >= wait""")
 def edit_pauses(spark, d):
     """Events as edits of their user's file: after which of them the file rests for ten minutes, and for two hours."""
     utc = F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
