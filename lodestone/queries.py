@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import corpus
-from .functions import labels, text
+from .functions import labels, tables, text
 from .operators import dataflow, graph, lint, logs, ml, naming, parse, patterns, rollup, search, symbols, tree
 from .operators.parse import KEYS
 from .operators.stepwise import Steps
@@ -795,3 +795,14 @@ def edit_pauses(spark, d):
     utc = F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
     e = corpus.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), utc.alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
     return streams.paused_batch(e, (600_000, 7_200_000))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS k, 's' || s_suppkey // 8 AS project FROM supplier),
+i AS (SELECT project, k, 'C001' AS code, unnest([1, 3, 5]) AS line FROM f UNION ALL SELECT project, k, 'C002', 6 FROM f)
+SELECT project, 't_' || k || '.py' AS path, code, line, row_number() OVER (PARTITION BY project, code ORDER BY k, line) AS nth, NULL AS total FROM i
+UNION ALL SELECT project, NULL, code, NULL, NULL, count(*) FROM i GROUP BY ALL""")
+def lint_of_tables(spark, d):
+    """SQL's form of the lint: a table function over projects, with state across the files of each."""
+    tables.register(spark)
+    files = corpus.calls(spark, d).withColumns({"project_id": F.concat(F.lit("s"), F.floor(F.col("file_ord") / 8).cast("string")), "path": F.concat(F.lit("t_"), F.col("file_ord").cast("string"), F.lit(".py"))})
+    return spark.sql("SELECT project_id AS project, path, code, line, nth, total FROM code_lint_of(TABLE(SELECT * FROM {files}) PARTITION BY (project_id) ORDER BY (file_ord), 'project_id')", files=files)

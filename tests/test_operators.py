@@ -364,3 +364,18 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT t.module, t.alias, t.line FROM code, LATERAL code_imports(content) t").collect()] == [("os.path", "p", 1)]
     assert {(r.path, r.code) for r in spark.sql("SELECT t.* FROM code, LATERAL code_lint(content, path) t").collect()} == {("a.py", "W001"), ("a.py", "C001"), ("b.py", "E001")}
     assert [r.name for r in spark.sql("SELECT t.name FROM code, LATERAL code_functions(content) t").collect()] == ["f"]
+
+
+def test_table_function_of_a_table(spark):
+    tables.register(spark)
+    rows = [(1, "a.py", "def f(x):\n    assert x\n"), (1, "b.py", "def f(:"), (2, "c.py", None), (1, None, "def f(:")]
+    spark.createDataFrame(rows, "part int, path string, content string").createOrReplaceTempView("parts")
+    ask = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    got = ask("SELECT * FROM code_lint_of(TABLE(parts) PARTITION BY (part) ORDER BY (path), 'part')")
+    assert {r for r in got if r[1] == "a.py"} == {(1, "a.py", "C001", 1, 1, None), (1, "a.py", "W001", 2, 1, None)}
+    assert [r[4] for r in got if r[2] == "E001" and r[5] is None] == [1, 2] and {(r[2], r[5]) for r in got if r[5]} == {("C001", 1), ("W001", 1), ("E001", 2)}
+    assert ask("SELECT count(*) FROM code_lint_of(TABLE(parts) WITH SINGLE PARTITION)") == [(7,)]
+    assert ask("SELECT * FROM code_lint_of(TABLE(SELECT * FROM parts WHERE false) PARTITION BY part)") == []
+    for wrong, said in [("TABLE(SELECT path FROM parts)", "no content"), ("'x'", "must be a table"), ("TABLE(parts), 'other'", "no other")]:
+        with pytest.raises(Exception, match=said):
+            ask(f"SELECT * FROM code_lint_of({wrong})")
