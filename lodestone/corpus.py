@@ -315,3 +315,16 @@ def nation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.array(F.concat(set_to, F.lit(r"\s*(\d+)")))
     both = F.array(row("call", called, F.lit(None).cast("array<string>")), row("set", set_to, value))
     return table(spark, sf_dir, "nation").select(F.explode(both).alias("x")).select("x.*")
+
+
+def native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of `loops`; the file names a .wasm module if the key is divisible by 4, and Cython's cdef if by 3."""
+    k = F.col("file_ord")
+    return loops(spark, sf_dir).withColumn("content", F.concat_ws("\n", F.col("content"), F.when(k % 4 == 0, "MODULE = 'lib.wasm'"), F.when(k % 3 == 0, "# cdef int x")))
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of notes for each supplier that names libraries and notebook environments by its key, whole words and parts of words."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return files(s, "s_suppkey", numbered("notes_", "s_suppkey", ".html"), lines(F.when(k % 2 == 0, "we use numpy, torchvision"), F.when(k % 3 == 0, "polars(x)"), F.when(k % 4 == 0, "loadPyodide()"), F.when(k % 5 == 0, "IMPORT a STARBOARD b"), "end"))

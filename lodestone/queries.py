@@ -806,3 +806,35 @@ def lint_of_tables(spark, d):
     tables.register(spark)
     files = corpus.calls(spark, d).withColumns({"project_id": F.concat(F.lit("s"), F.floor(F.col("file_ord") / 8).cast("string")), "path": F.concat(F.lit("t_"), F.col("file_ord").cast("string"), F.lit(".py"))})
     return spark.sql("SELECT project_id AS project, path, code, line, nth, total FROM code_lint_of(TABLE(SELECT * FROM {files}) PARTITION BY (project_id) ORDER BY (file_ord), 'project_id')", files=files)
+
+
+HINTS = """f AS (SELECT p_partkey AS k, p_size % 5 AS n FROM part),
+h AS (SELECT k AS part, 'f_' || k AS name, CASE WHEN n = 4 THEN 2 ELSE 3 END AS priority,
+CASE WHEN k % 3 = 0 THEN 'add cdef with C types to f_' || k WHEN n < 4 THEN 'type it in Cython, vectorise it with NumPy, or compile it with Emscripten: f_' || k ELSE 'declare it with cdef in a .pyx file: f_' || k END AS recommendation FROM f WHERE n >= 2
+UNION ALL SELECT k, '<module>', 5, 'give the bindings types' FROM f WHERE k % 4 = 0)"""
+
+
+def _native_hints(spark, d):
+    files = corpus.native(spark, d)
+    return parse.wasm_hints(_functions(files), files).withColumnRenamed("file_ord", "part")
+
+
+@query(f"WITH {HINTS} SELECT part, name, priority, recommendation FROM h")
+def module_hints(spark, d):
+    return _native_hints(spark, d).select("part", "name", "priority", "recommendation")
+
+
+@query(f"WITH {HINTS} SELECT part, name FROM h WHERE priority >= 4")
+def critical_hints(spark, d):
+    return parse.critical_hints(_native_hints(spark, d)).select("part", "name")
+
+
+@query("""SELECT s_suppkey AS supplier, 'numpy' AS module, 'NumPy' AS library, 'datos' AS category FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'polars', 'Polars', 'dados' FROM supplier WHERE s_suppkey % 3 = 0""")
+def libraries_by_text(spark, d):
+    return ml.libraries_by_text(corpus.noted(spark, d)).select(F.col("file_ord").alias("supplier"), "module", "library", "category")
+
+
+@query("SELECT s_suppkey AS supplier, 'pyodide' AS environment FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 'starboard' FROM supplier WHERE s_suppkey % 5 = 0")
+def notebook_environments(spark, d):
+    return ml.notebook_environments(corpus.noted(spark, d)).select(F.col("file_ord").alias("supplier"), "environment")
