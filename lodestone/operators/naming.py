@@ -1,4 +1,4 @@
-"""Naming smells as joins over names and scopes: one-letter variables, mixed casing, names that hide outer ones."""
+"""Naming smells as rows of names and scopes: one-letter variables, mixed casing, names that hide outer ones."""
 
 from __future__ import annotations
 
@@ -31,39 +31,30 @@ def single_letters(bindings: DataFrame) -> DataFrame:
     return first.select(*KEYS, F.lit("single_letter_name").alias("kind"), "name", "line", F.format_string("one-letter variable '%s' outside a loop or comprehension", "name").alias("message"), F.lit(0).alias("family"), "ord")
 
 
-def mixed_casing(bindings: DataFrame) -> DataFrame:
-    """Files that have names of both styles, with the first of each."""
-    first = bindings.where((F.col("role") == "named") & ~F.col("name").isin(*CASING_IGNORED)).groupBy(*KEYS, "name").agg(F.min("ord").alias("ord"))
-    styled = first.withColumn("style", casing(F.col("name"))).where("style IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy(*KEYS, "style").orderBy("ord"))
-    few = styled.withColumn("r", rank).where(F.col("r") <= EXAMPLES)
-    of = lambda style: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("style") == style, F.struct("ord", "name")))), lambda x: x["name"]), ", ")
-    both = few.groupBy(*KEYS).agg(F.countDistinct("style").alias("styles"), of("snake_case").alias("snake"), of("camelCase").alias("camel")).where("styles = 2")
-    return both.select(*KEYS, F.lit("inconsistent_casing").alias("kind"), F.lit("file").alias("name"), F.lit(1).alias("line"), F.format_string("snake_case (%s) beside camelCase (%s)", "snake", "camel").alias("message"), F.lit(1).alias("family"), F.lit(0).alias("ord"))
-
-
-def ancestors(scopes: DataFrame, steps: Steps) -> DataFrame:
-    """`id`, `around`, `far` for every scope around a scope. Each round doubles how far scopes see."""
-    own = KEYS[:2]
-    seen = scopes.where("parent IS NOT NULL").select(*own, "id", F.col("parent").alias("around"), F.lit(1).alias("far"))
-    reach = 1
-    while True:
-        edge = seen.where(F.col("far") == reach).select(*own, "id", F.col("around").alias("edge"))
-        further = seen.select(*own, F.col("id").alias("edge"), "around", (F.col("far") + reach).alias("far"))
-        more = steps.keep(edge.join(further, [*own, "edge"]).select(*own, "id", "around", "far"))
-        if more.isEmpty():
-            return seen
-        seen, reach = seen.unionByName(more), 2 * reach
-
-
-def shadowed(scopes: DataFrame, steps: Steps) -> DataFrame:
-    """Functions that bind a name of a scope around them, with the first such name."""
-    own = KEYS[:2]
-    names = scopes.select(*own, "id", F.explode("names").alias("bound"))
-    seen = ancestors(scopes, steps)
-    outer = names.select(*own, F.col("id").alias("around"), "bound")
-    hidden = names.join(seen, [*own, "id"]).join(outer, [*own, "around", "bound"], "left_semi").groupBy(*own, "id").agg(F.min("bound").alias("bound"))
-    rows = scopes.select(*KEYS, "id", "name", "line").join(hidden, [*own, "id"])
+def mixed_casing(parsed: DataFrame) -> DataFrame:
+    """Files that have names of both styles, with the first of each. Bindings are in source order and a file is a row, so nothing is shuffled."""
+    named = F.transform(F.filter("bindings", lambda b: (b["role"] == "named") & ~b["name"].isin(*CASING_IGNORED)), lambda b: b["name"])
+    styled = F.transform(F.array_distinct(named), lambda name: F.struct(name.alias("name"), casing(name).alias("style")))
+    few = lambda style: F.slice(F.transform(F.filter("styled", lambda x: x["style"] == style), lambda x: x["name"]), 1, EXAMPLES)
+    both = parsed.select(*KEYS, styled.alias("styled")).select(*KEYS, few("snake_case").alias("snake"), few("camelCase").alias("camel")).where((F.size("snake") > 0) & (F.size("camel") > 0))
+    message = F.format_string("snake_case (%s) beside camelCase (%s)", F.array_join("snake", ", "), F.array_join("camel", ", "))
+    return both.select(*KEYS, F.lit("inconsistent_casing").alias("kind"), F.lit("file").alias("name"), F.lit(1).alias("line"), message.alias("message"), F.lit(1).alias("family"), F.lit(0).alias("ord"))
+
+
+def shadowed(parsed: DataFrame) -> DataFrame:
+    """Functions that bind a name of a scope around them, with the first such name.
+
+    The scopes inside a scope have the numbers from its own to its `last`, so of the scopes that
+    bind a name, one before reaches as far as this one just if it is around it. Only names that
+    a file binds twice become rows.
+    """
+    bound = F.array_sort(F.flatten(F.transform("scopes", lambda s: s["names"])))
+    again = F.array_distinct(F.array_compact(F.zip_with(bound, F.slice(bound, 2, 1 << 30), lambda a, b: F.when(a == b, a))))
+    scopes = parsed.select(*KEYS, again.alias("again"), "scopes").where(F.size("again") > 0).select(*KEYS, "again", F.explode("scopes").alias("x"))
+    names = scopes.select(*KEYS, "x.id", "x.last", "x.name", "x.line", F.explode(F.array_intersect("x.names", "again")).alias("bound"))
+    before = Window.partitionBy(*KEYS[:2], "bound").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    hidden = names.withColumn("reach", F.max("last").over(before)).where("reach >= id")
+    rows = hidden.groupBy(*KEYS, "id", "name", "line").agg(F.min("bound").alias("bound"))
     return rows.select(*KEYS, F.lit("shadowed_name").alias("kind"), "name", "line", F.format_string("'%s' hides a name of an outer scope", "bound").alias("message"), F.lit(2).alias("family"), F.col("id").alias("ord"))
 
 
@@ -73,8 +64,7 @@ def naming_smells(parsed: DataFrame) -> DataFrame:
     # the files are parsed once
     parsed = steps.keep(parsed.where("language = 'python'").select(*KEYS, *FACTS))
     bindings = parsed.select(*KEYS, F.explode("bindings").alias("x")).select(*KEYS, "x.*")
-    scopes = parsed.select(*KEYS, F.explode("scopes").alias("x")).select(*KEYS, "x.*")
-    rows = single_letters(bindings).unionByName(mixed_casing(bindings)).unionByName(shadowed(scopes, steps))
+    rows = single_letters(bindings).unionByName(mixed_casing(parsed)).unionByName(shadowed(parsed))
     order = Window.partitionBy(*KEYS).orderBy("line", "family", "ord")
     result = kept.keep(rows.select(*KEYS, F.lit("python").alias("language"), (F.row_number().over(order) - 1).alias("smell_ord"), "kind", "name", "line", "message"))
     steps.drop()

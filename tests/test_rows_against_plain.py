@@ -64,6 +64,15 @@ def test_scopes_fifty_deep(spark):
     assert [(r["name"], r.line) for r in rows] == [(f"f{n - 1}", 2 * n - 1)]
 
 
+def test_shadowed_names_need_no_pairs_of_scopes(spark):
+    texts = ["total = 1\ndef a():\n  def b():\n    total = 2\ndef c():\n  other = 1\ndef d():\n  other = 2\n", "x = 1\ndef f():\n  y = 2\n"]
+    parsed = parse.parse_files(inline(spark, texts), naming.FACTS)
+    rows = naming.shadowed(parsed)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.path, r["name"], r.line) for r in rows.collect()] == [("f0.py", "b", 3)]
+    assert [(s.id, s["last"]) for s in parsed.orderBy("path").first().scopes] == [(0, 4), (1, 2), (2, 2), (3, 3), (4, 4)]
+
+
 def test_metrics(spark):
     texts = programs()
     files = inline(spark, texts)
