@@ -82,3 +82,14 @@ def test_flags_of_nodes_and_edges(spark):
     p = Project(project(spark, {"a.py": "import b", "b.py": "x = 1"}))
     assert "OK[" in p.graph("circular")["diagram"].first().diagram
     p.release()
+
+
+def test_a_long_chain_of_rings_takes_few_steps(spark):
+    m = 150
+    number = lambda k: 0 if k == 3 * m - 1 else k + 1
+    pairs = [(k, k - 2 if k % 3 == 2 else k + 1) for k in range(3 * m)] + [(k, k + 3) for k in range(0, 3 * m - 3, 3)] + [(k + 1, k) for k in range(0, 3 * m, 9)]
+    steps = Steps(spark, "t")
+    strong = cycles.strong_edges(made(spark, {"p": [(number(a), number(b)) for a, b in pairs]}), steps)
+    assert strong.count() == 3 * m + len(range(0, 3 * m, 9)) and strong.select("component").distinct().count() == m
+    assert steps.n < 60  # the least name at the chain's end once went one ring a round
+    steps.drop()
