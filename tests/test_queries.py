@@ -38,6 +38,17 @@ def test_query(spark, duck, name):
         assert found
 
 
+def test_edit_pauses_rounds_times_as_sql_does(spark, tmp_path):
+    us = [-1500, -500, -499, 499, 500, 1499, 1500, 600_000_499, 600_000_500]
+    values = ", ".join(f"({k}, {k % 2}, make_timestamp({t}::BIGINT), 'x')" for k, t in enumerate(us))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW events AS SELECT * FROM (VALUES {values}) v(event_id, user_id, ts, event_type)")
+    own.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = QUERIES["edit_pauses"](spark, str(tmp_path))
+    result = own.execute(ORACLE_SQL["edit_pauses"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([c[0] for c in result.description], result.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
