@@ -379,3 +379,22 @@ def test_table_function_of_a_table(spark):
     for wrong, said in [("TABLE(SELECT path FROM parts)", "no content"), ("'x'", "must be a table"), ("TABLE(parts), 'other'", "no other")]:
         with pytest.raises(Exception, match=said):
             ask(f"SELECT * FROM code_lint_of({wrong})")
+
+
+def test_smells_and_inheritance_parse_once_and_shuffle_nothing(spark):
+    many = "".join(f"    def m{k}(self):\n        self.v{k} = 1\n" for k in range(20))
+    texts = {"a.py": f"class A:\n{many}class B(A, x.C, A):\n    pass\ndef f(a, b, c, d, e, g):\n    pass\n", "b.py": "class C(A):\n    pass\n", "c.py": "class :"}
+    files = source.inline(spark, "p", [{"filename": n, "content": c} for n, c in texts.items()])
+    whole, narrow = parse.parse_files(files), parse.parse_files(files, parse.FUNCTION_SMELL_FACTS + parse.CLASS_SMELL_FACTS)
+    for parsed in (whole, narrow):
+        smells = parse.structural_smells(parsed)
+        assert smells._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert sorted((r.path, r.kind, r["name"], r.message) for r in smells.collect()) == [
+            ("a.py", "excessive_parameters", "f", "6 parameters (> 5)"),
+            ("a.py", "god_object", "A", "20 methods and 20 attributes (20 and 10)"),
+            ("a.py", "large_class", "A", "20 methods, 41 lines (> 15 or > 300)"),
+        ]
+    edges = parse.inheritance(parse.parse_files(files, parse.INHERITANCE_FACTS))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert [(r.path, r["name"], r.base) for r in edges.collect()] == [("a.py", "B", "A")] * 2
