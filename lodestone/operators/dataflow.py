@@ -1,8 +1,9 @@
 """Security findings as dataflow over statement rows: where values come from, through which names, into which calls.
 
-The parse gives assignments, calls and what expressions are made of; sources, sinks and
-what lies between are joins and windows here. A name stands for its last assignment
-before, in a call for its last one of all, as the rules say.
+The parse gives assignments, calls, what expressions are made of, and which assignment a
+name stands for: its last one before, in a call its last one of all, and where that only
+passes a name on, what this stands for. Sources, sinks and what lies between are joins and
+windows here.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ UNSAFE_LOADS = ("pickle.loads", "pickle.load", "marshal.loads")
 #: The facts of a parse that `findings` needs.
 FACTS = ["assigns", "calls_made", "literals"]
 OWN = [*KEYS, "fn"]
-#: The place of a call in the order of assignments: behind all of them.
-END = (1 << 31) - 1
 
 
 def source_of(form: Column, name: Column) -> Column:
@@ -58,35 +57,21 @@ def sinks(parsed: DataFrame) -> DataFrame:
 
 
 def _leaves(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """What expressions are made of, in order: `source`, or the name `var` whose value counts."""
+    """What expressions are made of, in order: `source`, or `ref`, the order of the assignment whose value counts; `built` on the way included."""
     x = rows.select(*keys, "built", F.posexplode("parts").alias("pos", "p"))
-    x = x.select(*keys, "built", "pos", source_of(F.col("p.form"), F.col("p.name")).alias("source"), F.when(F.col("p.form") == "name", F.col("p.name")).alias("var"))
-    return x.where("source IS NOT NULL OR var IS NOT NULL")
+    x = x.select(*keys, (F.col("built") | F.coalesce("p.through", F.lit(False))).alias("built"), "pos", source_of(F.col("p.form"), F.col("p.name")).alias("source"), F.col("p.ref").alias("ref"))
+    return x.where("source IS NOT NULL OR ref IS NOT NULL")
 
 
-def _referred(uses: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Uses of names with `ref`, the order of the assignment that their value is from; without one they carry nothing."""
-    events = uses.select(*uses.columns, F.lit(None).cast("int").alias("made"), F.col("ord").alias("at"))
-    made = assigned.select(*[F.col(c) if c in assigned.columns else F.lit(None).cast(uses.schema[c].dataType).alias(c) for c in uses.columns], F.col("ord").alias("made"), F.col("ord").alias("at"))
-    # a statement's uses come before its own assignment
-    order = Window.partitionBy(*OWN, "var").orderBy("at", F.col("made").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last("made", ignorenulls=True).over(order)
-    return events.unionByName(made).withColumn("ref", last).where("made IS NULL AND ref IS NOT NULL").drop("made", "at")
-
-
-def tainted(parsed: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
-    """Assignments whose value is from outside (keys, `ord`, `source`, `built`), and all assigned names (keys, `var`, `ord`).
+def tainted(parsed: DataFrame, steps: Steps) -> DataFrame:
+    """Assignments whose value is from outside (keys, `ord`, `source`, `built`).
 
     An assignment takes the source of the first of its parts that has one. Each round
     settles the assignments whose earlier parts are settled; a value that only passes a
     name on points to where that one has it from, so that chains of such halve in a round.
     """
     a = parsed.select(*KEYS, F.explode("assigns").alias("x")).select(*KEYS, "x.*")
-    assigned = a.select(*OWN, F.explode("targets").alias("var"), "ord")
-    leaves = _leaves(a, [*OWN, "ord"])
-    direct = leaves.where("source IS NOT NULL").select(*OWN, "ord", "pos", "built", "source", F.lit(None).cast("int").alias("ref"))
-    named = _referred(leaves.where("source IS NULL").select(*OWN, "ord", "pos", "built", "var"), assigned).select(*OWN, "ord", "pos", "built", F.lit(None).cast("string").alias("source"), "ref")
-    open_, found = direct.unionByName(named), []
+    open_, found = _leaves(a, [*OWN, "ord"]), []
     while True:
         waits = F.col("source").isNull()
         first = Window.partitionBy(*OWN, "ord")
@@ -115,7 +100,7 @@ def tainted(parsed: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)
-    return out, assigned
+    return out
 
 
 def findings(parsed: DataFrame) -> DataFrame:
@@ -128,13 +113,12 @@ def findings(parsed: DataFrame) -> DataFrame:
     steps, kept = Steps(parsed.sparkSession, "dataflow"), Steps(parsed.sparkSession, "findings")
     # the files are parsed once
     parsed = steps.keep(parsed.where("language = 'python'").select(*KEYS, *FACTS))
-    found, assigned = tainted(parsed, steps)
+    found = tainted(parsed, steps)
     calls = sinks(parsed)
     call = [*OWN, "ord"]
     args = calls.select(*call, F.posexplode("args").alias("k", "arg")).select(*call, "k", "arg.*")
     leaves = _leaves(args, [*call, "k"])
-    named = leaves.where("source IS NULL").select(*OWN, F.col("ord").alias("call"), "k", "pos", "built", "var", F.lit(END).alias("ord"))
-    named = _referred(named, assigned).join(found.select(*OWN, F.col("ord").alias("ref"), F.col("source").alias("s"), F.col("built").alias("b")), [*OWN, "ref"])
+    named = leaves.where("source IS NULL").withColumnRenamed("ord", "call").join(found.select(*OWN, F.col("ord").alias("ref"), F.col("source").alias("s"), F.col("built").alias("b")), [*OWN, "ref"])
     known = leaves.where("source IS NOT NULL").select(*call, "k", "pos", "source", "built").unionByName(named.select(*OWN, F.col("call").alias("ord"), "k", "pos", F.col("s").alias("source"), (F.col("built") | F.col("b")).alias("built")))
     one = known.groupBy(*call, "k").agg(F.min_by(F.struct("source", "built"), "pos").alias("t"))
     both = one.groupBy(*call).agg(F.max(F.when(F.col("k") == 0, F.col("t"))).alias("first"), F.min_by(F.when(F.col("k") > 0, F.col("t.source")), F.when(F.col("k") > 0, F.col("k"))).alias("later"))

@@ -78,3 +78,14 @@ def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
 
 def test_nothing_to_find(spark):
     assert rows(spark, ["", "def f(:", "x = 1"]) == {} and rows(spark, []) == {}
+
+
+def test_a_chain_of_names_is_settled_in_one_round(spark):
+    n = 40
+    text = "def run(cur):\n  x0 = input()\n" + "".join(f"  x{k + 1} = x{k}{' + t' if k == 20 else ''}\n" for k in range(n)) + f"  cur.execute(x{n})\n  cur.execute(x20)\n  x3 = 'fixed'\n  cur.execute(x3)\n"
+    parsed = parse.parse_files(source.inline(spark, "p", [{"filename": "a.py", "content": text}]), dataflow.FACTS)
+    steps = Steps(spark, "t")
+    assert dataflow.tainted(parsed, steps).count() == 1  # what only passes a name on is no row of its own
+    assert steps.n == 1
+    steps.drop()
+    assert [(r.cwe, r.source, r.line) for r in dataflow.findings(parsed).collect()] == [("CWE-89", "stdin (input())", n + 3)]
