@@ -2,8 +2,8 @@
 
 Vectors are dealt over shards by a hash of their id, and each shard's graph is a file
 in the shared folder. Every vector is searched in every shard: it descends the levels
-to the bottom one; where all of the beam is linked, as for a member of a large family, the
-shard is scanned exactly. The beam that a shard starts
+to the bottom one; where the beam ends within twice the threshold's angle, as for a member
+of a large family, the shard is scanned exactly. The beam that a shard starts
 with is doubled until an audit passes: the links that exact products find for some of the
 shard's own vectors, and those vectors from probes made at the threshold, must be found; a
 shard whose audit fails is scanned exactly, and so are the nodes without in-links in any.
@@ -41,6 +41,8 @@ SHARDS, SHARD_BYTES = 4, 64 << 20
 LOCKSTEP, EXPAND = 256, 4
 #: A wider beam expands this part of it in a step.
 PART = 16
+#: A beam that ends below this cosine is no part of a family.
+UNLIKE = 0.5
 #: Room below the threshold for single precision.
 SLACK = 1e-4
 
@@ -69,7 +71,7 @@ def search_level(space: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
     sims = np.full((rows, beam), -2.0, np.float32)
     done = np.ones((rows, beam), bool)
     width = min(entry.shape[1], beam)
-    first = np.einsum("rd,rkd->rk", queries, space[entry])
+    first = (space[entry] @ queries[:, :, None])[:, :, 0]
     fresh = first_of_each(entry, np.ones(entry.shape, bool))
     first[~fresh] = -2.0
     order = np.argsort(-first, axis=1, kind="stable")[:, :width]
@@ -77,30 +79,39 @@ def search_level(space: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
     sims[:, :width] = np.take_along_axis(first, order, 1)
     done[:, :width] = sims[:, :width] < -1.5
     ids[sims < -1.5] = -1
-    seen = np.zeros((rows, most), bool)
-    np.put_along_axis(seen, entry, True, 1)
-    live, expand = np.arange(rows), max(EXPAND, beam // PART)
+    live, expand, width = np.arange(rows), max(EXPAND, beam // PART), links.shape[1]
+    # 0: not seen, else 1 + the place among a step's candidates
+    seen = np.zeros(rows * most, np.uint16 if expand * width < 1 << 16 else np.uint32)
+    seen[(np.arange(rows)[:, None] * most + entry).ravel()] = 1
     while live.size:
         # the best nodes of the beam that are not expanded yet stand first in it
         rank = np.argsort(done[live], axis=1, kind="stable")[:, :expand]
         at = ids[live[:, None], rank]
         open_ = ~done[live[:, None], rank]
         done[live[:, None], rank] = True
-        near = links[np.where(open_, at, 0)].reshape(len(live), -1).astype(np.int64)
-        good = (near >= 0) & np.repeat(open_, links.shape[1], 1)
-        near[~good] = 0
-        good &= ~seen[live[:, None], near]
-        good = first_of_each(near, good)
-        found = np.where(good, near, 0)
-        r, c = np.nonzero(good)
-        seen[live[r], found[r, c]] = True
-        value = np.full(near.shape, -2.0, np.float32)
-        value[r, c] = np.einsum("nd,nd->n", space[found[r, c]], queries[live[r]])
-        all_sims = np.concatenate([sims[live], value], 1)
-        all_ids = np.concatenate([ids[live], np.where(good, near, -1)], 1)
-        all_done = np.concatenate([done[live], ~good], 1)
-        keep = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-        sims[live], ids[live], done[live] = (np.take_along_axis(x, keep, 1) for x in (all_sims, all_ids, all_done))
+        near = links[np.where(open_, at, 0)].reshape(len(live), -1)
+        r, c = np.nonzero((near >= 0) & np.repeat(open_, width, 1))
+        found = near[r, c].astype(np.int64)
+        key = live[r] * most + found
+        new = np.flatnonzero(seen[key] == 0)
+        key, place = key[new], (c[new] + 1).astype(seen.dtype)
+        seen[key] = place
+        new = new[seen[key] == place]  # one of equal candidates
+        found, r = found[new], r[new]
+        value = np.einsum("nd,nd->n", space[found], queries[live[r]])
+        # what is not better than the beam's end doesn't enter it
+        better = np.flatnonzero(value > sims[live[r], -1])
+        if better.size:
+            found, r, value = found[better], r[better], value[better]
+            some, start, number = np.unique(r, return_index=True, return_counts=True)
+            row, slot = np.repeat(np.arange(len(some)), number), np.arange(len(r)) - np.repeat(start, number)
+            new_ids, new_sims = np.full((len(some), int(number.max())), -1, np.int64), np.full((len(some), int(number.max())), -2.0, np.float32)
+            new_ids[row, slot], new_sims[row, slot] = found, value
+            to = live[some]
+            all_sims, all_ids = np.concatenate([sims[to], new_sims], 1), np.concatenate([ids[to], new_ids], 1)
+            all_done = np.concatenate([done[to], new_ids < 0], 1)
+            keep = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+            sims[to], ids[to], done[to] = (np.take_along_axis(x, keep, 1) for x in (all_sims, all_ids, all_done))
         live = live[~done[live].all(1)]
     return ids, sims
 
@@ -109,12 +120,16 @@ def diverse(space: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) ->
     """Of each row's candidates, best first, up to `most`: those nearer to the row's vector than to one chosen before, then the nearest of the rest."""
     rows, n = ids.shape
     own = space[np.maximum(ids, 0)]
-    among = np.einsum("rad,rbd->rab", own, own)
+    among = own @ own.transpose(0, 2, 1)
     chosen = np.zeros((rows, n), bool)
     good = ids >= 0
+    # of each candidate, the nearest chosen one so far
+    rival, number = np.full((rows, n), -2.0, np.float32), np.zeros(rows, np.int64)
     for j in range(n):
-        rival = np.where(chosen, among[:, j, :], -2.0).max(1)
-        chosen[:, j] = good[:, j] & (sims[:, j] > rival) & (chosen.sum(1) < most)
+        new = np.flatnonzero(good[:, j] & (sims[:, j] > rival[:, j]) & (number < most))
+        chosen[new, j] = True
+        number[new] += 1
+        rival[new] = np.maximum(rival[new], among[new, j])
     order = np.argsort(np.where(chosen, 0, np.where(good, 1, 2)), axis=1, kind="stable")[:, :most]
     out = np.take_along_axis(np.where(good, ids, -1), order, 1)
     if n < most:
@@ -178,16 +193,18 @@ class Graph:
         # a node of the batch may have the link already
         have = (links[to] == of[:, None]).any(1)
         of, to = of[~have], to[~have]
-        order = np.argsort(to, kind="stable")
+        # nodes of as many new links are together, so that few candidates are compared where one link is new
+        order = np.lexsort((to, np.bincount(to, minlength=len(links))[to]))
         of, to = of[order], to[order]
-        nodes, start, count = np.unique(to, return_index=True, return_counts=True)
+        start = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        nodes, count = to[start], np.diff(np.append(start, len(to)))
         for a in range(0, len(nodes), 512):
             u, s, c = nodes[a : a + 512], start[a : a + 512], count[a : a + 512]
             add = np.full((len(u), int(c.max())), -1, np.int64)
             slot = np.arange(add.shape[1])[None, :]
             add[slot < c[:, None]] = of[s[0] : s[-1] + c[-1]]
             ids = np.concatenate([links[u].astype(np.int64), add], 1)
-            sims = np.einsum("rd,rkd->rk", self.space[u], self.space[np.maximum(ids, 0)])
+            sims = (self.space[np.maximum(ids, 0)] @ self.space[u][:, :, None])[:, :, 0]
             sims[ids < 0] = -2.0
             order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * most]
             ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
@@ -205,7 +222,7 @@ class Graph:
         return entry
 
     def near(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """For each unit vector the nodes of cosine `least` or more; where all of the beam is, the shard is scanned."""
+        """For each unit vector the nodes of cosine `least` or more; where all of the beam is within twice that angle, and links may lie behind its end, the shard is scanned."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         n = len(self.ids)
         step = max(1, min(LOCKSTEP, (64 << 20) // max(1, n)))
@@ -215,7 +232,7 @@ class Graph:
             part, beam = queries[a : a + step], min(self.beam, n)
             ids, sims = search_level(self.space, self.links[0], part, self._descend(part, 1), beam, n)
             hit = sims >= least
-            full = hit.all(1) & (beam < n)
+            full = (sims >= min(least, max(UNLIKE, 2 * least**2 - 1))).all(1) & (beam < n)
             for k in np.flatnonzero(~full).tolist():
                 out[a + k] = ids[k][hit[k]]
             for k, found in zip(np.flatnonzero(full).tolist(), self._scan(part[full], least), strict=True):

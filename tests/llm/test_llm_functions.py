@@ -350,6 +350,25 @@ def test_nodes_without_in_links_and_failed_audits_are_scanned():
     assert g.recall >= hnsw.RECALL and g.exact
 
 
+def test_a_member_of_a_family_that_few_links_lead_to_is_found_by_the_first_beam():
+    rng = np.random.default_rng(3)
+    family = rng.standard_normal(48) + 0.2 * rng.standard_normal((140, 48))
+    v = np.concatenate([rng.standard_normal((600, 48)), family]).astype(np.float32)
+    g = hnsw.Graph(v, np.arange(740), np.ones(740, np.int64))
+    for member in np.flatnonzero(g.ids >= 600)[-5:].tolist():
+        links = g.links[0].copy()
+        aside = rng.standard_normal(48)
+        aside -= (aside @ g.space[member]) * g.space[member]
+        probe = (0.951 * g.space[member] + np.sqrt(1 - 0.951**2) * aside / np.linalg.norm(aside)).astype(np.float32)
+        nearer = np.argsort(-(g.space @ probe))
+        assert (g.space[nearer[: hnsw.FIRST_BEAM]] @ probe < 0.95).sum() > hnsw.FIRST_BEAM // 2
+        links[links == member] = -1
+        links[nearer[135], 0] = member  # the only one: a member behind the beam's end
+        kept, g.links[0] = g.links[0], links
+        assert g.beam == hnsw.FIRST_BEAM and member in g.near(probe[None], 0.9499)[0]
+        g.links[0] = kept
+
+
 def test_a_link_found_from_one_side_counts_for_both():
     one = hnsw.both_ends(1, 2, np.array([5, 9]), np.array([1, 4]))
     other = hnsw.both_ends(5, 1, np.array([1]), np.array([2]))
