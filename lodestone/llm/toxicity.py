@@ -11,7 +11,7 @@ then scored in double precision by all terms.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,10 +41,25 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(NORMAL).split()
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """A word and, marked, its beginnings, in whole characters."""
+def beginnings_of(word: bytes) -> list[bytes]:
+    """A word's beginnings, in whole characters."""
+    if word.isascii():
+        return [word[:n] for n in BEGINNINGS if len(word) > n]
     w = word.decode("utf-8", "ignore")
-    return [word, *(b"^" + w[:n].encode() for n in BEGINNINGS if len(w) > n)]
+    return [w[:n].encode() for n in BEGINNINGS if len(w) > n]
+
+
+def terms_of(word: bytes) -> list[bytes]:
+    """A word and, marked, its beginnings."""
+    return [word, *(b"^" + b for b in beginnings_of(word))]
+
+
+class Numbers(dict):
+    """Numbers what is asked for in turn."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -176,36 +191,49 @@ class Model:
         #: share of label 1 among the examples without any word, smoothed by one example of the whole sample's share
         self.blank = (sum(blank) + share) / (len(blank) + 1)
         self.share = share
-        self.terms = self.numbers = self.others = self.of_word = None
+        self.terms = self.words = self.starts = self.others = self.of_word = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "terms": None, "numbers": None, "others": None, "of_word": None, "expand": None}
+        return {**self.__dict__, "terms": None, "words": None, "starts": None, "others": None, "of_word": None, "expand": None}
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of texts, ascending, their terms, ascending, and how often each occurs; terms of no example have numbers behind the others."""
         if self.terms is None:
             self.terms = self.joined.split()
-            self.numbers = {t: k for k, t in enumerate(self.terms)}
+            self.words = {t: k for k, t in enumerate(self.terms) if t[:1] != b"^"}
+            self.starts = {t[1:]: k for k, t in enumerate(self.terms) if t[:1] == b"^"}
         if self.of_word is None or len(self.others) > REMEMBERED or len(self.of_word) > REMEMBERED:
-            self.others, self.of_word, self.expand = {}, {}, np.full((1 << 12, 1 + len(BEGINNINGS)), -1, np.int32)
-        numbers, others, of_word = self.numbers, self.others, self.of_word
+            self.others, self.of_word, self.expand = Numbers(), Numbers(), np.full((1 << 12, 1 + len(BEGINNINGS)), -1, np.int32)
+        of_word, before = self.of_word, len(self.of_word)
         split = [words_of(x) for x in texts]
-        new = sorted(set(chain.from_iterable(split)).difference(of_word))
-        if len(of_word) + len(new) > len(self.expand):
-            self.expand = np.pad(self.expand, ((0, len(of_word) + len(new)), (0, 0)), constant_values=-1)
-        for w in new:
-            found = [numbers[t] if t in numbers else others.setdefault(t, len(numbers) + len(others)) for t in terms_of(w)]
-            self.expand[len(of_word), : len(found)] = found
-            of_word[w] = len(of_word)
-        total = sum(map(len, split))
-        word = np.fromiter(map(of_word.__getitem__, chain.from_iterable(split)), np.int64, total)
-        key, times = np.unique(np.repeat(np.arange(len(texts)), [len(s) for s in split]) << 32 | word, return_counts=True)
+        lengths = np.array(list(map(len, split)))
+        word = np.fromiter(map(of_word.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        new = list(islice(of_word, before, None))
+        if len(of_word) > len(self.expand):
+            self.expand = np.pad(self.expand, ((0, len(of_word)), (0, 0)), constant_values=-1)
+        self.expand[before : len(of_word)] = self._terms_of_words(new, before)
+        key, times = np.unique(np.repeat(np.arange(len(texts)), lengths) << 32 | word, return_counts=True)
         found = self.expand[key & 0xFFFFFFFF].astype(np.int64)
         real = found >= 0
         key, at = np.unique((np.broadcast_to((key >> 32 << 32)[:, None], found.shape) | found)[real], return_inverse=True)
         number = np.bincount(at, np.broadcast_to(times[:, None], found.shape)[real], len(key))
         return key >> 32, key & 0xFFFFFFFF, number.astype(np.int64)
 
+    def _terms_of_words(self, new: list[bytes], before: int) -> np.ndarray:
+        """Numbers of the terms of new words, -1 where there are fewer. Of terms of no example words have even numbers, beginnings odd ones."""
+        words, starts, others, unknown = self.words, self.starts, self.others, len(self.terms)
+        out = np.full((len(new), 1 + len(BEGINNINGS)), -1, np.int32)
+        out[:, 0] = [words.get(w, -1) for w in new]
+        out[:, 0] = np.where(out[:, 0] < 0, unknown + 2 * np.arange(before, before + len(new)), out[:, 0])
+        parts = list(map(beginnings_of, new))
+        number = np.fromiter(map(len, parts), np.int64, len(parts))
+        every = list(chain.from_iterable(parts))
+        found = np.fromiter((starts.get(b, -1) for b in every), np.int64, len(every))
+        lost = np.flatnonzero(found < 0).tolist()
+        found[lost] = [unknown + 1 + 2 * others[every[k]] for k in lost]
+        out[np.repeat(np.arange(len(new)), number), 1 + ranges(np.zeros(len(new), np.int64), number)] = found
+        return out
+
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The texts' unit vectors: places of texts, terms and weights."""
         of, own, counts = self.counts(texts)

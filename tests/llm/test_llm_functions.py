@@ -263,6 +263,24 @@ def test_block_max_is_exact_where_bounds_decide():
         assert np.allclose(scores, np.sort(every)[::-1][:15]) and np.allclose(every[ids], scores)
 
 
+def test_terms_are_counted_as_one_by_one_and_unknown_words_are_held_once():
+    from collections import Counter
+
+    known = sorted({t for w in toxicity.words_of("alpha alphabet Grüße größer beta") for t in toxicity.terms_of(w)})
+    model = toxicity.Model(b" ".join(known), np.ones(len(known)), 1.0)
+    texts = ["alpha alphas ALPHA beta", "", "größte Grüße grünlich zebra zebras zebra ab abcd abcde", "日本語日本語 日本語日本誌 alphabet gros"]
+    for texts in (texts, texts[::-1], [" ".join(texts)]):
+        of, own, counts = model.counts(texts)
+        for k, x in enumerate(texts):
+            plain = Counter(t for w in toxicity.words_of(x) for t in toxicity.terms_of(w))
+            mine = dict(zip(own[of == k].tolist(), counts[of == k].tolist(), strict=True))
+            assert {known[t]: n for t, n in mine.items() if t < len(known)} == {t: n for t, n in plain.items() if t in known}
+            assert sorted(n for t, n in mine.items() if t >= len(known)) == sorted(n for t, n in plain.items() if t not in known)
+            assert list(mine) == sorted(mine)
+    words = set(toxicity.words_of(" ".join(texts)))
+    assert len(model.others) == len({t for w in words for t in toxicity.terms_of(w)[1:]} - set(known))
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(4)
     k, c = hmm.STATES, hmm.CLASSES
