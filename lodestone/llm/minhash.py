@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         more = checkpointed(_rest(large, joined, docs, id_col, text_col, shingle, percent))
         if not more.isEmpty():
-            joined = components(links.unionByName(more))
+            joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     roots = joined.select(F.col("node").alias("rep"), "component")
     by_class = classes.select("set_key", "rep").join(roots, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")

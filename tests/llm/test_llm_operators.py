@@ -132,6 +132,46 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_components_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK_LINKS", 40)
+    rng = np.random.default_rng(5)
+    path = rng.permutation(np.arange(-300, 300))
+    links = [*zip(path[1:].tolist(), path[:-1].tolist(), strict=True), *((5000, k) for k in range(1000, 1200)), *((2000, k) for k in range(2001, 2200)), *(rng.integers(3000, 3400, (250, 2)).tolist())]
+    parent = {}
+
+    def least(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = least(a), least(b)
+            parent[max(a, b)] = min(a, b)
+    got = components.components(spark.createDataFrame([links[k] for k in rng.permutation(len(links))], "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, least(x)) for x in parent)
+
+
+def test_components_take_few_tasks(spark):
+    """Every task of a small graph costs shuffle files and bookkeeping, however few its rows are."""
+    edges = spark.createDataFrame([(k // 4 * 4, k) for k in range(2000)] + [(k, k + 4) for k in range(0, 400, 4)], "a long, b long").repartition(8)
+    before, context = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    context.setJobGroup("components", "")
+    try:
+        found = components.components(edges).groupBy("component").count().collect()
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("components") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    finally:
+        context._jsc.clearJobGroup()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["component"]: r["count"] for r in found} == {0: 404} | {k: 4 for k in range(404, 2000, 4)}
+    assert tasks < 2000
+
+
 def test_suffix_edges(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 1 << 10)
     monkeypatch.setattr(suffix, "BUCKET_BYTES", 1 << 10)
