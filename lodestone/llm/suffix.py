@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plan_bytes, quoted, runs_of_equal
+from .common import plan_bytes, quoted, release, runs_of_equal
 
 #: Bytes of a match.
 LENGTH = 50
 #: Input file bytes of a block of documents, and of a bucket of names.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+#: Bytes of a block whose windows are named at a time, and bytes of a bucket's runs whose suffixes are sorted at a time, about.
+PIECE_BYTES = 1 << 18
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -53,14 +55,12 @@ class Block:
         self.size = int(self.ends[-1])
         self.raw = np.frombuffer(b"".join([*(texts[k] for k in order), bytes(length + 16)]), np.uint8)
 
-    def runs(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the documents marked in `use`: names, starts, numbers of windows and documents of the runs."""
-        n, length = self.size, self.length
-        empty = np.zeros(0, np.int64)
-        if n < length:
-            return empty.view(np.uint64), empty, empty, empty
-        words = np.ndarray((n + length,), "<u8", self.raw.data, 0, (1,))
+    def _names(self, start: int, stop: int) -> np.ndarray:
+        """The least hash of the grams of each window that starts in the range."""
+        length = self.length
         gram = max(8, length // 2 // 8 * 8)
+        n = stop - start + length - gram
+        words = np.ndarray((n + gram,), "<u8", self.raw.data, start, (1,))
         h = words[:n] * _M[0]
         for k, at in enumerate(range(8, gram, 8)):
             h = (h ^ (h >> np.uint64(31))) * _M[1 + k % 3] + words[at : n + at]
@@ -71,23 +71,30 @@ class Block:
             k *= 2
         if width > k:
             h = np.minimum(h[: -(width - k)], h[width - k :])
-        starts = n - length + 1
-        name = h[:starts]
-        sizes = np.diff(self.ends)
-        valid = np.zeros(n + 1, np.int32)
-        ok = use & (sizes >= length)
-        np.add.at(valid, self.ends[:-1][ok], 1)
-        np.add.at(valid, self.ends[1:][ok] - length + 1, -1)
-        valid = np.cumsum(valid[:starts]).astype(bool)
-        first = valid.copy()
-        first[1:] &= (name[1:] != name[:-1]) | ~valid[:-1]
-        # a document's first window starts a run even right behind another document's last
-        heads = self.ends[:-1][ok]
-        first[heads] = True
-        at = np.flatnonzero(first)
-        before = np.concatenate([[0], np.cumsum(valid)])
-        count = before[np.concatenate([at[1:], [starts]])] - before[at] if len(at) else empty
-        return _mix(name[at] + _M[0]), at, count, np.searchsorted(self.ends, at, "right") - 1
+        return h
+
+    def runs(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the documents marked in `use`: names, starts, numbers of windows and documents of the runs."""
+        length, empty = self.length, np.zeros(0, np.int64)
+        starts = max(0, self.size - length + 1)
+        valid, heads = np.zeros(starts, bool), np.zeros(starts, bool)
+        for a, b in zip(self.ends[:-1][use].tolist(), (self.ends[1:][use] - length + 1).tolist(), strict=True):
+            if a < b:
+                valid[a:b] = True
+                # a document's first window starts a run even right behind another document's last
+                heads[a] = True
+        names, places, last = [empty.view(np.uint64)], [empty], np.zeros(1, np.uint64)
+        for a in range(0, starts, PIECE_BYTES):
+            b = min(starts, a + PIECE_BYTES)
+            name = self._names(a, b)
+            at = np.flatnonzero(valid[a:b] & (heads[a:b] | (name != np.concatenate([last, name[:-1]]))))
+            names.append(name[at])
+            places.append(at + a)
+            last = name[-1:]
+        name, at = np.concatenate(names), np.concatenate(places)
+        doc = np.searchsorted(self.ends, at, "right") - 1
+        count = np.minimum(np.append(at[1:], starts), self.ends[doc + 1] - length + 1) - at
+        return _mix(name + _M[0]), at, count, doc
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.ends, at, "right") - 1]
@@ -120,8 +127,8 @@ def repeated(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
     return np.unique(np.concatenate([again, *(n[f] for n, f in zip(names, flags, strict=True))]))
 
 
-def runs_of(block: Block, use: np.ndarray, answers: dict[int, np.ndarray], buckets: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]], list[tuple[int, int]]]:
-    """The runs of repeated names for each bucket (documents, places, lengths, texts), and the matches inside the block.
+def runs_of(block: Block, use: np.ndarray, answers: dict[int, np.ndarray], buckets: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]], list[tuple[int, int]]]:
+    """The runs of repeated names for each bucket (documents, places, lengths, names, texts), and the matches inside the block.
 
     Of equal runs those of the block's least document are sent; for the others the
     match is known already.
@@ -134,32 +141,42 @@ def runs_of(block: Block, use: np.ndarray, answers: dict[int, np.ndarray], bucke
         return [], []
     place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
     chosen = np.flatnonzero(wanted[place] == key)
-    raw, data = block.raw.data, {}
-    inside: list[tuple[int, int]] = []
-    seen: dict[tuple[int, bytes], int] = {}
-    docs = block.doc_of(at[chosen])
-    ends = at[chosen] + count[chosen] + block.length - 1
-    for b, s, e, d in zip(bucket[chosen].tolist(), at[chosen].tolist(), ends.tolist(), docs.tolist(), strict=True):
-        text = bytes(raw[s:e])
-        if seen.setdefault((b, text), d) < d:  # documents ascend
-            inside.append((s, e))
-        else:
-            data.setdefault(b, []).append((d, s, e - s, text))
+    raw = block.raw.data
+    bucket, short, docs, starts = bucket[chosen], short[chosen], block.doc_of(at[chosen]), at[chosen]
+    ends = starts + count[chosen] + block.length - 1
+    # equal texts have one name, and so one bucket
+    seen: dict[bytes, int] = {}
+    again = np.array([seen.setdefault(bytes(raw[s:e]), d) < d for s, e, d in zip(starts.tolist(), ends.tolist(), docs.tolist(), strict=True)], bool)  # documents ascend
+    del seen
+    inside = list(zip(starts[again].tolist(), ends[again].tolist(), strict=True))
+    sent = np.flatnonzero(~again)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
     out = []
-    for b, rows in data.items():
-        d, s, n, texts = zip(*rows, strict=True)
-        out.append((b, np.array(d, np.int64), np.array(s, np.int64), np.array(n, np.int64), b"".join(texts)))
+    for b, s, e in runs_of_equal(bucket[sent]):
+        own = sent[s:e]
+        text = b"".join([raw[x:y] for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+        out.append((b, docs[own], starts[own], ends[own] - starts[own], short[own], text))
     return out, inside
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    keys = keys[order]
+    out = np.zeros(len(keys), np.int32)
+    out[order[1:]] = np.cumsum(keys[1:] != keys[:-1], dtype=np.int32)
+    return out
+
+
 def suffix_ranks(raw: np.ndarray, depth: int) -> np.ndarray:
     """Ranks by their first `depth` bytes (8 or more) of all suffixes that have as many, by doubling."""
-    words = np.ndarray((len(raw) - 7,), ">u8", raw.data, 0, (1,)).astype(np.uint64)
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    rank = _ranked(np.ndarray((len(raw) - 7,), ">u8", raw.data, 0, (1,)).astype(np.uint64))
     have = 8
     while have < depth:
         step = min(have, depth - have)
-        rank = np.unique(rank[: len(rank) - step] << 32 | rank[step:], return_inverse=True)[1].astype(np.int64)
+        keys = rank[: len(rank) - step].astype(np.int64)
+        keys <<= 32
+        keys |= rank[step:]
+        rank = _ranked(keys)
         have += step
     return rank
 
@@ -167,15 +184,17 @@ def suffix_ranks(raw: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """The common prefix of each suffix with the one before it in `order`, up to `most` bytes; 0 for the first."""
     padded = np.concatenate([raw, np.zeros(most + 8, np.uint8)])
-    out, same = np.zeros(len(order), np.int64), np.arange(1, len(order))
-    for at in range(0, most, 8):
-        words = np.ndarray((len(raw) + most,), "<u8", padded.data, 0, (1,))
-        differ = words[order[same] + at] ^ words[order[same - 1] + at]
-        # the least byte that differs, in bytes from the first
-        low = differ & (~differ + np.uint64(1))
-        out[same] += np.where(differ == 0, 8, np.searchsorted(_BYTE_ENDS, low, "right"))
-        same = same[differ == 0]
-    return np.minimum(out, most)
+    words = np.ndarray((len(raw) + most,), "<u8", padded.data, 0, (1,))
+    out = np.zeros(len(order), np.int32)
+    for start in range(1, len(order), PIECE_BYTES):
+        same = np.arange(start, min(len(order), start + PIECE_BYTES))
+        for at in range(0, most, 8):
+            differ = words[order[same] + at] ^ words[order[same - 1] + at]
+            # the least byte that differs, in bytes from the first
+            low = differ & (~differ + np.uint64(1))
+            out[same] += np.where(differ == 0, 8, np.searchsorted(_BYTE_ENDS, low, "right")).astype(np.int32)
+            same = same[differ == 0]
+    return np.minimum(out, most, out=out)
 
 
 #: The first bit of each byte but the first.
@@ -189,9 +208,9 @@ def previous_smaller(doc: np.ndarray, prefix: np.ndarray, least: int) -> np.ndar
     being the one that the place it looks at has made: as in parallel all-nearest-smaller values.
     """
     n = len(doc)
-    look, most = np.arange(-1, n - 1), prefix.copy()
+    look, most = np.arange(-1, n - 1, dtype=np.int32), prefix.copy()
     most[:1] = 0
-    open_ = np.flatnonzero(most >= least)
+    open_ = np.flatnonzero(most >= least).astype(np.int32)
     while open_.size:
         at = look[open_]
         open_ = open_[(at >= 0) & (doc[np.maximum(at, 0)] >= doc[open_])]
@@ -201,19 +220,19 @@ def previous_smaller(doc: np.ndarray, prefix: np.ndarray, least: int) -> np.ndar
         open_ = open_[further >= least]
     found = (most >= least) & (look >= 0)
     found[found] = doc[look[found]] < doc[found]
-    return np.where(found, most, 0)
+    return np.where(found, most, np.int32(0))
 
 
 def longest_previous_factors(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For suffixes at the places `at`: the longest prefix, up to `length`, that also starts in a smaller document; shorter ones are 0."""
-    rank = suffix_ranks(raw, length)[at]
     # the suffix array; suffixes that agree to the full depth stand in the order of their places
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(suffix_ranks(raw, length)[at], kind="stable").astype(np.int32)
     prefix, own = common_prefixes(raw, at[order], length), doc[order]
-    before = previous_smaller(own, prefix, length)
-    after = previous_smaller(own[::-1], np.concatenate([[0], prefix[:0:-1]]), length)[::-1]
-    out = np.zeros(len(at), np.int64)
-    out[order] = np.maximum(before, after)
+    most = previous_smaller(own, prefix, length)
+    after = previous_smaller(own[::-1], np.concatenate([prefix[:1] * 0, prefix[:0:-1]]), length)[::-1]
+    np.maximum(most, after, out=most)
+    out = np.zeros(len(at), np.int32)
+    out[order] = most
     return out
 
 
@@ -223,33 +242,65 @@ def matches(docs: np.ndarray, lengths: np.ndarray, raw: np.ndarray, length: int)
     mark = np.zeros(len(raw) + 1, np.int32)
     np.add.at(mark, ends - lengths, 1)
     np.add.at(mark, ends - length + 1, -1)
-    at = np.flatnonzero(np.cumsum(mark)[: len(raw)] > 0)
+    at = np.flatnonzero(np.cumsum(mark, out=mark)[: len(raw)] > 0).astype(np.int32)
+    del mark
     out = np.zeros(len(raw), bool)
     if len(at):
-        out[at] = longest_previous_factors(raw, at, docs[np.searchsorted(ends, at, "right")], length) >= length
+        # places, ranks and numbers of documents fit 32 bits: a bucket's texts are one Arrow array
+        number = np.unique(docs, return_inverse=True)[1].astype(np.int32)
+        doc = np.repeat(number, np.maximum(0, lengths - length + 1))
+        out[at] = longest_previous_factors(raw, at, doc, length) >= length
     return out
 
 
+def pieces_of(names: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Places of runs, in pieces of PIECE_BYTES of text or of one name: runs of different names have no window in common."""
+    order = np.argsort(names, kind="stable")
+    ends = np.cumsum(sizes[order])
+    out, start, begun = [], 0, 0
+    for _, s, e in runs_of_equal(names[order]):
+        if s > start and ends[e - 1] - begun > PIECE_BYTES:
+            out.append(order[start:s])
+            start, begun = s, int(ends[s - 1])
+    return [*out, order[start:]] if start < len(order) else out
+
+
+def spans_of(docs: np.ndarray, at: np.ndarray, lengths: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches of runs that stand at `at` in their blocks: which run, and first and last place in its block."""
+    hit = matches(docs, lengths, raw, length)
+    edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+    # windows of two runs are never adjacent: each run ends with length - 1 bytes where no window starts
+    head, tail = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum(lengths)
+    run = np.searchsorted(ends, head, "right")
+    shift = (at - (ends - lengths))[run]
+    return run, head + shift, tail - 1 + length + shift
+
+
 def cut_out(block: Block, spans: np.ndarray, copies: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Each document's remaining bytes, number of removed bytes and of removed runs; `copies` of a smaller document go whole."""
     n = block.size
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     if len(spans):
         np.add.at(edge, spans[:, 0], 1)
         np.add.at(edge, spans[:, 1], -1)
     whole = copies & (np.diff(block.ends) >= block.length)
     np.add.at(edge, block.ends[:-1][whole], 1)
     np.add.at(edge, block.ends[1:][whole], -1)
-    gone = np.cumsum(edge)[:n] > 0
+    gone = np.cumsum(edge, out=edge)[:n] > 0
     first = gone.copy()
     first[1:] &= ~gone[:-1]
     heads = block.ends[:-1]
     inner = heads[heads < n]
     first[inner] = gone[inner]
-    total, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(first)])
+    # the array of edges has room for the sums before each byte
+    edge[0] = 0
+    np.cumsum(gone, out=edge[1:])
+    total = edge[block.ends].astype(np.int64)
+    runs = np.searchsorted(np.flatnonzero(first), block.ends)
     left = block.raw[:n][~gone].tobytes()
-    kept = block.ends - total[block.ends]
-    return [left[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], np.diff(total[block.ends]), np.diff(runs[block.ends])
+    kept = block.ends - total
+    return [left[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], np.diff(total), np.diff(runs)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, length: int = LENGTH, as_text: bool = False) -> DataFrame:
@@ -261,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are judged on the input. Rows of one id are one document's: they do not match one
     another. A row of a null id is not compared and keeps its bytes. An empty table
     gives an empty result. Columns of `carry` that have the name of an output are
-    replaced. A worker holds a block or a bucket.
+    replaced. A worker holds a block or a bucket, and what is computed of PIECE_BYTES of it.
     """
     outputs = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     carry = [c for c in (carry or []) if c not in outputs]
@@ -282,6 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """The block, which of its documents are copies, and which take part."""
         import hashlib
 
+        release()  # what the worker's last group has left
         ids, texts = left.column("doc_id").to_pylist(), [x or b"" for x in left.column("raw").to_pylist()]
         block = Block([-(1 << 63) if d is None else d for d in ids], texts, length)
         again: set = set()
@@ -310,47 +362,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "body": pa.array(out, pa.binary())})
 
     def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {"bucket": pa.int32(), "block": pa.int32(), "docs": pa.binary(), "at": pa.binary(), "sizes": pa.binary(), "body": pa.binary()}
+        kinds = {"bucket": pa.int32(), "block": pa.int32(), "docs": pa.binary(), "at": pa.binary(), "sizes": pa.binary(), "names": pa.binary(), "body": pa.binary()}
         if not left.num_rows:
             return pa.table({c: pa.array([], k) for c, k in kinds.items()})
         block, _, use = opened(left, right)
         answers = {b: np.frombuffer(x, "<u4") for b, x in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist(), strict=True) if x}
         found, inside = runs_of(block, use, answers, buckets)
         here = left.column("block")[0].as_py()
-        rows = [(b, here, _pack(d, "<i8"), _pack(s, "<i8"), _pack(n, "<i8"), x) for b, d, s, n, x in found]
+        rows = [(b, here, _pack(d, "<i8"), _pack(s, "<i8"), _pack(n, "<i8"), _pack(w, "<u4"), x) for b, d, s, n, w, x in found]
         if inside:
-            rows.append((-1, here, None, None, None, _pack(np.array(inside), "<i8")))
+            rows.append((-1, here, None, None, None, None, _pack(np.array(inside), "<i8")))
         return pa.table({c: pa.array(list(v), k) for (c, k), v in zip(kinds.items(), zip(*rows, strict=True) if rows else [[]] * len(kinds), strict=True)})
 
     def find(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("docs", "at", "sizes", "body", "block")}
-        per_row = [len(x) // 8 for x in cols["docs"]]
-        owner = np.repeat(np.arange(len(per_row)), per_row)
+        release()
+        cols = {c: table.column(c).to_pylist() for c in ("docs", "at", "sizes", "names", "body")}
+        owner = np.repeat(table.column("block").to_numpy(), [len(x) // 8 for x in cols["docs"]])
         doc, at, n = (np.frombuffer(b"".join(cols[c]), "<i8") for c in ("docs", "at", "sizes"))
+        name = np.frombuffer(b"".join(cols["names"]), "<u4")
         raw = np.frombuffer(b"".join(cols["body"]), np.uint8)
-        # equal runs of several blocks: only the least document's take part, the others are matches as they are
-        starts = np.cumsum(n) - n
-        view = raw.data
-        least: dict[bytes, int] = {}
-        texts = [bytes(view[s : s + k]) for s, k in zip(starts.tolist(), n.tolist(), strict=True)]
-        for t, d in zip(texts, doc.tolist(), strict=True):
-            if least.setdefault(t, d) > d:
-                least[t] = d
-        known = np.array([least[t] < d for t, d in zip(texts, doc.tolist(), strict=True)], bool)
-        part = np.flatnonzero(~known)
-        hit = matches(doc[part], n[part], np.frombuffer(b"".join(texts[k] for k in part.tolist()), np.uint8), length)
-        spans = [(int(o), int(a), int(a + k)) for o, a, k in zip(owner[known], at[known], n[known], strict=True)]
-        edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-        # windows of two runs are never adjacent: each run ends with length - 1 bytes where no window starts
-        head, tail = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        own_end = np.cumsum(n[part])
-        run = np.searchsorted(own_end, head, "right")
-        shift = at[part][run] - (own_end - n[part])[run]
-        spans += list(zip(owner[part][run].tolist(), (head + shift).tolist(), (tail - 1 + length + shift).tolist(), strict=True))
-        by: dict[int, list] = {}
-        for o, s, e in spans:
-            by.setdefault(cols["block"][o], []).append((s, e))
-        return pa.table({"block": pa.array(list(by), pa.int32()), "body": pa.array([_pack(np.array(v), "<i8") for v in by.values()], pa.binary())})
+        del cols
+        starts, view, spans = np.cumsum(n) - n, raw.data, []
+        for own in pieces_of(name, n):
+            # equal runs of several blocks: only the least document's take part, the others are matches as they are
+            texts = [bytes(view[s : s + k]) for s, k in zip(starts[own].tolist(), n[own].tolist(), strict=True)]
+            least: dict[bytes, int] = {}
+            for t, d in zip(texts, doc[own].tolist(), strict=True):
+                if least.setdefault(t, d) > d:
+                    least[t] = d
+            known = np.array([least[t] < d for t, d in zip(texts, doc[own].tolist(), strict=True)], bool)
+            part, known = own[~known], own[known]
+            chosen = np.frombuffer(b"".join([view[s : s + k] for s, k in zip(starts[part].tolist(), n[part].tolist(), strict=True)]), np.uint8)
+            run, first, last = spans_of(doc[part], at[part], n[part], chosen, length)
+            spans += [(owner[known], at[known], at[known] + n[known]), (owner[part][run], first, last)]
+        to, first, last = (np.concatenate(x) for x in zip(*spans, strict=True))
+        order = np.argsort(to, kind="stable")
+        both = np.stack([first, last], 1)[order]
+        found = runs_of_equal(to[order])
+        return pa.table({"block": pa.array([b for b, _, _ in found], pa.int32()), "body": pa.array([_pack(both[s:e], "<i8") for _, s, e in found], pa.binary())})
 
     schema = T.StructType([*T.StructType.fromDDL("doc_id long").fields, *(docs.schema[c] for c in carry), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")).fields])
 
@@ -369,7 +418,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = by_block.cogroup(copies.groupBy("block")).applyInArrow(send_names, "bucket int, block int, names binary, several binary")
     answers = names.groupBy("bucket").applyInArrow(answer, "block int, bucket int, body binary")
     asked = copies.unionByName(answers.select("block", "bucket", "body", *none))
-    runs = by_block.cogroup(asked.groupBy("block")).applyInArrow(send_runs, "bucket int, block int, docs binary, at binary, sizes binary, body binary")
+    runs = by_block.cogroup(asked.groupBy("block")).applyInArrow(send_runs, "bucket int, block int, docs binary, at binary, sizes binary, names binary, body binary")
     found = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(find, "block int, body binary")
     inside = runs.where("bucket < 0").select("block", "body")
     spans = found.unionByName(inside).select("block", F.lit(0).alias("bucket"), "body", *none)

@@ -29,8 +29,8 @@ BEGINNINGS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms of more than this part of the examples have no postings; blocks that are read at first; room for single precision.
 WIDE, FIRST_BLOCKS, SLACK = 16, 2, 1e-5
-#: Texts that are scored together.
-TOGETHER = 128
+#: Texts that are scored together; terms of examples that are inverted at a time.
+TOGETHER, PART = 128, 1 << 18
 #: Words, and terms of no example, that a worker remembers.
 REMEMBERED = 1 << 16
 #: Weight of the whole sample's share in each vote, in neighbours of cosine 1.
@@ -87,21 +87,27 @@ class BlockMaxIndex:
 
     def _invert(self) -> None:
         """What is made where the index is asked, and not sent."""
-        of = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
+        of = np.repeat(np.arange(self.n, dtype=np.uint16 if self.n <= 1 << 16 else np.int32), self.size)
         self.own_start = np.cumsum(self.size) - self.size
         number = np.bincount(self.own_terms, minlength=self.n_terms)
         self.wide = number > max(BLOCK, self.n // WIDE)
-        self.column = np.cumsum(self.wide) - 1
+        self.column = np.cumsum(self.wide, dtype=np.int32) - 1
+        # by parts, and postings before the table: what is made in between is never as large as they are
         wide = self.wide[self.own_terms]
-        block, slot = np.divmod(of[wide], BLOCK)
+        narrow = np.flatnonzero(~wide).astype(np.int32)
+        narrow = narrow[np.argsort(self.own_terms[narrow], kind="stable")]
+        self.example, self.weight = of[narrow], np.empty(len(narrow), np.float32)
+        for k in range(0, len(narrow), PART):
+            self.weight[k : k + PART] = self.own_weights[narrow[k : k + PART]]
+        del narrow
         self.table = np.zeros((self.blocks, int(self.wide.sum()), BLOCK), np.float32)
-        self.table[block, self.column[self.own_terms[wide]], slot] = self.own_weights[wide]
+        for k in range(0, len(wide), PART):
+            at = np.flatnonzero(wide[k : k + PART]) + k
+            block, slot = np.divmod(of[at], BLOCK)
+            self.table[block, self.column[self.own_terms[at]], slot] = self.own_weights[at]
         self.most = np.ascontiguousarray(self.table.max(2).T)
-        narrow = np.flatnonzero(~wide)
-        narrow = narrow[np.argsort(self.own_terms[narrow], kind="stable")]
-        self.example, self.weight = of[narrow], self.own_weights[narrow].astype(np.float32)
         self.start = np.append(0, np.cumsum(np.where(self.wide, 0, number)))
-        del of, wide, narrow
+        del of, wide, number
         release()
         self.query = np.zeros(self.n_terms)
 

@@ -179,6 +179,56 @@ def test_equal_windows_have_equal_names():
     assert set(doc.tolist()) == {0, 1}
 
 
+def test_suffix_pieces_find_what_the_whole_does(monkeypatch):
+    rng = random.Random(7)
+    docs = [(k, bytes(rng.choice(b"ab") for _ in range(200))) for k in range(40)]
+
+    def found(piece):
+        monkeypatch.setattr(suffix, "PIECE_BYTES", piece)
+        block = suffix.Block([d for d, _ in docs], [t for _, t in docs], 12)
+        name, at, count, doc = block.runs(np.ones(len(docs), bool))
+        short, sizes, out = (name >> np.uint64(32)).astype(np.int64), count + 11, set()
+        pieces = suffix.pieces_of(short, sizes)
+        assert sorted(np.concatenate(pieces).tolist()) == list(range(len(at)))
+        for own in pieces:
+            raw = np.frombuffer(b"".join(block.raw[s : s + n].tobytes() for s, n in zip(at[own], sizes[own], strict=True)), np.uint8)
+            run, first, last = suffix.spans_of(block.ids[doc[own]], at[own], sizes[own], raw, 12)
+            out |= set(zip(own[run].tolist(), first.tolist(), last.tolist(), strict=True))
+        return len(pieces), [x.tolist() for x in (name, at, count, doc)], out
+
+    whole, some = found(1 << 18), found(150)
+    assert whole[0] == 1 < some[0] and whole[1:] == some[1:] and whole[2]
+
+
+def test_suffix_memory_does_not_grow_with_what_repeats():
+    """Sorting all suffixes of a bucket at once took over 80 bytes for each of its bytes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base = [rng.integers(97, 123, 2000, np.uint8) for _ in range(200)]
+    texts = []
+    for k in range(1600):
+        x = base[k % 200].copy()
+        x[rng.integers(0, 2000, 20)] = 46
+        texts.append(x.tobytes())
+    block = suffix.Block(list(range(len(texts))), texts)
+    use = np.ones(len(texts), bool)
+    tracemalloc.start()
+    name, at, count, doc = block.runs(use)
+    most = [tracemalloc.get_traced_memory()[1]]
+    sizes = count + 49
+    for own in suffix.pieces_of((name >> np.uint64(32)).astype(np.int64), sizes):
+        raw = np.frombuffer(b"".join(block.raw[s : s + n].tobytes() for s, n in zip(at[own], sizes[own], strict=True)), np.uint8)
+        tracemalloc.reset_peak()
+        suffix.spans_of(block.ids[doc[own]], at[own], sizes[own], raw, 50)
+        most.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.reset_peak()
+    suffix.cut_out(block, np.zeros((0, 2), np.int64), np.zeros(len(texts), bool))
+    most.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert max(most) < 25 * block.size
+
+
 def test_sentences_join_to_the_text():
     for t in ["", "A b. C d! E", "one\n\n two. ", "w " * 55 + "end. Next", "no end", "...", "a.b.c"]:
         assert "".join(spans.sentences(t)) == t
